@@ -5,10 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verity.llm.common import table
+from verity.llm import quality, toxicity
+from verity.llm.common import id_crc, labelled_sample, table
 from verity.llm.exact_dedup import exact_dedup
+from verity.llm.html_wrapper import extract_main_text
+from verity.llm.language_id import identify, learn_languages
+from verity.llm.packing import pack_documents
 from verity.llm.simhash_dedup import simhash_groups
+from verity.llm.tiff import text_media
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +35,46 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def fifth_held_out():
+    return F.coalesce(F.pmod(id_crc(), F.lit(5)) == 0, F.lit(False))
+
+
+def quarter_held_out():
+    return F.coalesce(F.pmod(id_crc(), F.lit(4)) == 2, F.lit(False))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.PER_CLASS, fifth_held_out())
+    scored = toxicity.score_toxicity(docs, toxicity.learn_toxicity(sample))
+    return scored.select("doc_id", fifth_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_languages(docs.where(~quarter_held_out()))
+    told = identify(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", quarter_held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+
+
+def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", quality.PER_CLASS, fifth_held_out())
+    scored = quality.score_quality(docs, quality.learn_quality(docs, sample))
+    return scored.select("doc_id", fifth_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_simhash_near_dedup": op2_simhash_near_dedup,
-        "op3_exact_dedup": op3_exact_dedup,
-    }
+    found = [op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op5_toxicity, op7_language_id, op8_tiff_media, op9_quality_classifier, op10_html_extraction]
+    return {f.__name__: f for f in found}
 
 
 OP3_SQL = """
