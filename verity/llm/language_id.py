@@ -18,7 +18,7 @@ PER_LANGUAGE, MAX_LANGUAGES = 600, 200
 #: Centroids of a language.
 CLUSTERS = 4
 #: A text is rejected when its cosine is below this share of the least cosine seen in training.
-SLACK = 0.5
+SLACK = 0.25
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
