@@ -12,6 +12,8 @@ from verity.llm.common import id_crc, labelled_sample, table
 from verity.llm.exact_dedup import exact_dedup
 from verity.llm.html_wrapper import extract_main_text
 from verity.llm.language_id import identify, learn_languages
+from verity.llm.line_dedup import line_dedup
+from verity.llm.mixing import learn_domains, memberships, mix
 from verity.llm.packing import pack_documents
 from verity.llm.simhash_dedup import simhash_groups
 from verity.llm.tiff import text_media
@@ -50,6 +52,25 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", fifth_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Wanted shares of tokens by domain; a domain is a class of the labelled table.
+TARGET_WEIGHTS = {"q1t0": 0.90, "q1t1": 0.03, "q0t0": 0.06, "q0t1": 0.01}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of rows with both labels."""
+    return labels.where("quality is not null and toxic is not null").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("int").cast("string"), F.lit("t"), F.col("toxic").cast("int").cast("string")).alias("domain"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_domains(docs, domains_of(table(spark, sf_dir, "labels")))
+    return mix(memberships(docs, model), model, TARGET_WEIGHTS).select("doc_id", "tokens", "posterior", "domain", "share", "rate")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn_languages(docs.where(~quarter_held_out()))
@@ -73,7 +94,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op5_toxicity, op7_language_id, op8_tiff_media, op9_quality_classifier, op10_html_extraction]
+    found = [op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_line_dedup, op5_toxicity, op6_source_mixing, op7_language_id, op8_tiff_media, op9_quality_classifier, op10_html_extraction]
     return {f.__name__: f for f in found}
 
 
@@ -88,5 +109,39 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+#: Words of a line as a set; rarest words first; prefixes meet; sets are compared whole.
+OP4_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS n
+  FROM documents
+), firsts AS (
+  SELECT line, min({'d': doc_id, 'n': n}) AS at,
+         list_filter(list_distinct(string_split_regex(lower(line), '[ \t\x0B\f\r]+')), lambda x: x <> '') AS words
+  FROM lines GROUP BY line
+), sets AS (SELECT * FROM firsts WHERE len(words) > 0),
+tokens AS (SELECT line, unnest(words) AS word FROM sets),
+rarity AS (SELECT word, count(*) AS df FROM tokens GROUP BY word),
+places AS (
+  SELECT line, word, row_number() OVER (PARTITION BY line ORDER BY df, word) AS pos FROM tokens JOIN rarity USING (word)
+), prefixes AS (
+  SELECT line, word FROM places JOIN sets USING (line) WHERE pos <= len(words) - (len(words) * 80 + 99) // 100 + 1
+), pairs AS (
+  SELECT DISTINCT a.line AS late, b.line AS early FROM prefixes a JOIN prefixes b USING (word)
+  JOIN sets s ON s.line = a.line JOIN sets t ON t.line = b.line
+  WHERE s.at > t.at AND len(s.words) * 100 >= len(t.words) * 80 AND len(t.words) * 100 >= len(s.words) * 80
+), similar_lines AS (
+  SELECT DISTINCT late AS line FROM pairs JOIN sets s ON s.line = late JOIN sets t ON t.line = early
+  WHERE len(list_intersect(s.words, t.words)) * 100 >= (len(s.words) + len(t.words) - len(list_intersect(s.words, t.words))) * 80
+), marked AS (
+  SELECT l.doc_id, l.n, l.line,
+         s.line IS NOT NULL AND (s.at <> {'d': l.doc_id, 'n': l.n} OR r.line IS NOT NULL) AS gone
+  FROM lines l LEFT JOIN sets s ON s.line = l.line LEFT JOIN similar_lines r ON r.line = l.line
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS text,
+       count(*)::INT AS n_lines, count(*) FILTER (WHERE gone)::INT AS n_removed
+FROM marked GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL}
