@@ -47,9 +47,9 @@ def _edges(k: int) -> str:
     return "[" + ", ".join(f"CAST({float(e)!r} AS DOUBLE)" for e in np.linspace(0.0, 1.0, k + 1)) + "]"
 
 
-def _bundle_cte(keys: Sequence[str], source: str = "results_runs") -> str:
+def _bundle_cte(keys: Sequence[str], source: str = "results_runs", extra: str = "") -> str:
     by = ", ".join(keys)
-    return f"""{with_views(source)},
+    return f"""{with_views("results_runs")}{extra},
 base AS (SELECT {by}, ord, estimated_confidence AS c, CAST(resolved AS DOUBLE) AS y FROM {source}),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY c DESC, ord) AS k, count(*) OVER (PARTITION BY {by}) AS n,
@@ -74,9 +74,9 @@ main_ AS (
 )"""
 
 
-def _bundle_sql(keys: Sequence[str], columns: Sequence[str] = metrics.METRICS, source: str = "results_runs") -> str:
+def _bundle_sql(keys: Sequence[str], columns: Sequence[str] = metrics.METRICS, source: str = "results_runs", extra: str = "") -> str:
     shown = ", ".join([*keys, *(c if c == "n" else f"round({c}, 6) AS {c}" for c in columns)])
-    return f"{_bundle_cte(keys, source)} SELECT {shown} FROM bundle"
+    return f"{_bundle_cte(keys, source, extra)} SELECT {shown} FROM bundle"
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ FROM results_runs GROUP BY run""")(lambda s, d: metrics.selective_utility(runs(s
 
 
 def _sweep_sql() -> str:
-    parts = [with_views("results_runs"), ", base AS (SELECT run, ord, estimated_confidence AS c, CAST(resolved AS DOUBLE) AS y FROM results_runs)"]
+    parts = [with_views("results_runs") + ", base AS (SELECT run, ord, estimated_confidence AS c, CAST(resolved AS DOUBLE) AS y FROM results_runs)"]
     names = []
     for k in (5, 10, 15, 20):
         cell = f"least(len(list_filter({_edges(k)}, lambda e: c >= e)) - 1, {k - 1})"
@@ -113,16 +113,17 @@ register("ece_sweep", _sweep_sql())(lambda s, d: reports.ece_sweep(runs(s, d)))
 register("metrics_by_benchmark", _bundle_sql(["run", "benchmark"]))(lambda s, d: reports.breakdown(runs(s, d), "benchmark"))
 register("metrics_by_model", _bundle_sql(["run", "model"]))(lambda s, d: reports.breakdown(runs(s, d), "model"))
 _DIFFICULTY = "CASE WHEN difficulty IN ('1-4 hours', '>4 hours') THEN '> 1 hour' ELSE difficulty END"
-register("metrics_by_difficulty", _bundle_sql(["run", "difficulty"], source="results_hard").replace("base AS (", f"results_hard AS (SELECT * REPLACE (coalesce({_DIFFICULTY}, '(none)') AS difficulty) FROM results_runs), base AS (", 1).replace("WITH RECURSIVE ,", "WITH RECURSIVE ").replace("WITH RECURSIVE ", with_views("results_runs") + ", ", 1).replace(", ,", ",").replace(",,", ","))(
+_HARD = f", results_hard AS (SELECT * REPLACE (coalesce({_DIFFICULTY}, '(none)') AS difficulty) FROM results_runs)"
+register("metrics_by_difficulty", _bundle_sql(["run", "difficulty"], source="results_hard", extra=_HARD))(
     lambda s, d: reports.breakdown(runs(s, d), "difficulty").withColumn("difficulty", F.coalesce("difficulty", F.lit("(none)")))
 )
-_SHARED = f"""results_shared AS (
+_SHARED = """, results_shared AS (
   SELECT * FROM results_runs WHERE (instance_id, model) IN (
     SELECT (instance_id, model) FROM results_runs GROUP BY instance_id, model HAVING count(DISTINCT run) = (SELECT count(DISTINCT run) FROM results_runs)))"""
-register("shared_subset_metrics", _bundle_sql(["run"], source="results_shared").replace("WITH RECURSIVE ", with_views("results_runs") + ", " + _SHARED, 1))(lambda s, d: metrics.run_metrics(reports.shared_subset(runs(s, d))))
+register("shared_subset_metrics", _bundle_sql(["run"], source="results_shared", extra=_SHARED))(lambda s, d: metrics.run_metrics(reports.shared_subset(runs(s, d))))
 register("min_n_runs", f"""{with_views("results_runs")}, sized AS (SELECT *, CASE WHEN run = 'run-b' AND ord % 7 <> 0 THEN 0 ELSE 1 END AS kept FROM results_runs),
-some AS (SELECT * FROM sized WHERE kept = 1)
-SELECT run, count(*) AS n FROM some WHERE run IN (SELECT run FROM some GROUP BY run HAVING count(*) >= 1000) GROUP BY run""")(
+few AS (SELECT * FROM sized WHERE kept = 1)
+SELECT run, count(*) AS n FROM few WHERE run IN (SELECT run FROM few GROUP BY run HAVING count(*) >= 1000) GROUP BY run""")(
     lambda s, d: reports.min_n(runs(s, d).where("run <> 'run-b' or ord % 7 = 0"), 1000).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
 )
 register("usage_summary", f"""{with_views("results_runs")}
@@ -133,12 +134,12 @@ SELECT run, model, round(mean_total_tokens, 6) AS mean_total_tokens, round(mean_
     lambda s, d: reports.with_cost(reports.mean_usage(runs(s, d), ["run", "model"]), "model", {"m0": (0.289, 2.40), "m1": (0.32, 2.50)})
 )
 register("difficulty_values", f"""{with_views("results")} SELECT DISTINCT {_DIFFICULTY} AS difficulty FROM results""")(lambda s, d: reports.split_values(view(s, d, "results").withColumn("difficulty", reports.normalized_difficulty()), "difficulty"))
-register("row_slice", f"""{with_views("results")}, o AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS at, count(*) OVER () AS n FROM results)
-SELECT ord, instance_id, model FROM o WHERE at >= 5 AND at < n - 3 AND (at - 5) % 4 = 0""")(
+register("row_slice", f"""{with_views("results")}, o AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS place, count(*) OVER () AS n FROM results)
+SELECT ord, instance_id, model FROM o WHERE place >= 5 AND place < n - 3 AND (place - 5) % 4 = 0""")(
     lambda s, d: row_slice(view(s, d, "results"), parse_slice("5:-3:4"), view(s, d, "results").count()).select("ord", "instance_id", "model")
 )
-register("p95_confidence", f"""{with_views("results_runs")}, o AS (SELECT run, estimated_confidence AS c, row_number() OVER (PARTITION BY run ORDER BY estimated_confidence) - 1 AS at, count(*) OVER (PARTITION BY run) AS n FROM results_runs)
-SELECT run, round(c, 6) AS p95 FROM o WHERE at = round_even(CAST(0.95 AS DOUBLE) * (n - 1), 0)""")(lambda s, d: reports.nearest_percentile(runs(s, d), ["run"], "estimated_confidence", 0.95, "p95"))
+register("p95_confidence", f"""{with_views("results_runs")}, o AS (SELECT run, estimated_confidence AS c, row_number() OVER (PARTITION BY run ORDER BY estimated_confidence) - 1 AS place, count(*) OVER (PARTITION BY run) AS n FROM results_runs)
+SELECT run, round(c, 6) AS p95 FROM o WHERE place = round_even(CAST(0.95 AS DOUBLE) * (n - 1), 0)""")(lambda s, d: reports.nearest_percentile(runs(s, d), ["run"], "estimated_confidence", 0.95, "p95"))
 
 
 # ---------------------------------------------------------------- graphs
