@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from verity.functions.scores import geometric_mean, product
 from verity.operators.graphs import goal_edges
 
+# The labels of an assessment and the names of the checks.
 LABELS = ("entailment", "contradiction", "neutral")
-SIBLINGS = "non_redundant_siblings"
+SUFFICIENCY, NECESSITY, SIBLINGS, PARTICULARIZATION = "joint_sufficiency", "child_necessity", "non_redundant_siblings", "quality_of_particularization"
+CHECKS = (SUFFICIENCY, NECESSITY, SIBLINGS, PARTICULARIZATION)
 
 
 def children_of(nodes: DataFrame, edges: DataFrame, claim: str = "auditable_claim") -> DataFrame:
@@ -26,18 +28,20 @@ def children_of(nodes: DataFrame, edges: DataFrame, claim: str = "auditable_clai
 
 
 def claim_pairs(nodes: DataFrame, edges: DataFrame, claim: str = "auditable_claim") -> DataFrame:
-    """(gid, metric, parent, pair, direction, premise, hypothesis).
+    """(gid, metric, parent, pair, direction, child_ids, premise, hypothesis).
 
-    sufficiency: all children's claims joined by " AND " against the parent's; necessity: the reverse;
-    both for decompositions. particularization: both directions between parent and child.
+    joint_sufficiency: all children's claims joined by " AND " against the parent's, one pair for each
+    decomposition; child_necessity: the parent's claim against each child's; quality_of_particularization:
+    child against parent and the reverse, as two directions of a pair.
     """
     kids = children_of(nodes, edges, claim)
-    joined = F.array_join("claims", " AND ")
-    row = lambda metric, direction, premise, hypothesis: F.struct(F.lit(metric).alias("metric"), F.lit(direction).alias("direction"), premise.alias("premise"), hypothesis.alias("hypothesis"))
-    parts = kids.where("relation = 'decomposes_from'").select("gid", "parent", F.lit(0).alias("pair"), F.explode(F.array(row("sufficiency", 0, joined, F.col("parent_claim")), row("necessity", 0, F.col("parent_claim"), joined))).alias("r"))
-    one = kids.where("relation = 'particularizes'").select("gid", "parent", "parent_claim", F.posexplode("claims").alias("pair", "child"))
-    special = one.select("gid", "parent", "pair", F.explode(F.array(row("particularization", 0, F.col("child"), F.col("parent_claim")), row("particularization", 1, F.col("parent_claim"), F.col("child")))).alias("r"))
-    return parts.unionByName(special).select("gid", "r.metric", "parent", "pair", "r.direction", "r.premise", "r.hypothesis")
+    parts = kids.where("relation = 'decomposes_from'")
+    joint = parts.select("gid", F.lit(SUFFICIENCY).alias("metric"), "parent", F.lit(0).alias("pair"), F.lit(0).alias("direction"), F.col("ids").alias("child_ids"), F.array_join("claims", " AND ").alias("premise"), F.col("parent_claim").alias("hypothesis"))
+    each = lambda rows: rows.select("gid", "parent", "parent_claim", F.posexplode(F.arrays_zip("ids", "claims")).alias("pair", "child"))
+    needed = each(parts).select("gid", F.lit(NECESSITY).alias("metric"), "parent", "pair", F.lit(0).alias("direction"), F.array("child.ids").alias("child_ids"), F.col("parent_claim").alias("premise"), F.col("child.claims").alias("hypothesis"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("direction"), F.col("child.claims").alias("premise"), F.col("parent_claim").alias("hypothesis")), F.struct(F.lit(1).alias("direction"), F.col("parent_claim").alias("premise"), F.col("child.claims").alias("hypothesis"))))
+    special = each(kids.where("relation = 'particularizes'")).select("gid", F.lit(PARTICULARIZATION).alias("metric"), "parent", "pair", F.array("child.ids").alias("child_ids"), both.alias("r")).select("gid", "metric", "parent", "pair", "r.direction", "child_ids", "r.premise", "r.hypothesis")
+    return joint.unionByName(needed).unionByName(special)
 
 
 def sibling_pairs(nodes: DataFrame, edges: DataFrame, claim: str = "auditable_claim") -> DataFrame:
@@ -95,6 +99,43 @@ def aggregation_mse(nodes: DataFrame, edges: DataFrame, keys: list[str] | None =
     return both.groupBy(*(keys or [])).agg(split(d, F.col("p")).alias("product_mse"), split(d, F.col("g")).alias("geometric_mse"), split(d, F.col("m")).alias("arithmetic_mse"), split(s, F.col("m")).alias("particularization_mse"), F.count_if(F.col("relationship_type") == d).alias("decompositions"), F.count_if(F.col("relationship_type") == s).alias("particularizations"))
 
 
+def graph_scores(assessments: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and ``score`` by ``keys`` and metric as a graph reports them: the share of entailments,
+    but for the checks in two directions (``pair`` tells a check) the share of checks of which both
+    directions entail, or for siblings of which neither does."""
+    plain = entailment_scores(assessments, keys)
+    paired = None
+    for metric, want in ((SIBLINGS, "independence"), (PARTICULARIZATION, "entailment")):
+        part = paired_scores(assessments.where(F.col("metric") == metric), keys, want).select(*keys, F.lit(metric).alias("metric"), F.col("score").alias("_paired"))
+        paired = part if paired is None else paired.unionByName(part)
+    return plain.join(paired, [*keys, "metric"], "left").withColumn("score", F.coalesce("_paired", "score")).drop("_paired")
+
+
+def quality_summary(results: DataFrame, scores: DataFrame, failures: DataFrame | None = None, run: str = "run", min_n: int | None = None) -> DataFrame:
+    """One row per run: evaluator, rows, failures, mean score of each check, entailments over all
+    checks but the siblings', and sums and means of tokens and cost.
+
+    ``results``: run, gid, evaluator_model, total_tokens, generated_tokens, cost, one row per graph;
+    ``scores``: ``graph_scores`` by run and gid. A run with other than one evaluator is an error.
+    """
+    one = F.when(F.countDistinct("evaluator_model") == 1, F.max("evaluator_model")).otherwise(F.raise_error(F.lit("a run has other than one evaluator")).cast("string"))
+    usage = [f(c).alias(f"{name}_{c}") for c in ("total_tokens", "generated_tokens", "cost") for name, f in (("avg", F.avg), ("sum", F.sum))]
+    runs = results.groupBy(run).agg(one.alias("evaluator_model"), F.count(F.lit(1)).alias("n"), *usage)
+    if min_n is not None:
+        if min_n < 1:
+            raise ValueError("min_n is 1 or more")
+        runs = runs.where(F.col("n") >= min_n)
+    of = lambda m: F.avg(F.when(F.col("metric") == m, F.col("score"))).alias(m)
+    counted = F.col("metric") != SIBLINGS
+    observed, expected = F.sum(F.when(counted, F.col("entailment"))), F.sum(F.when(counted, F.col("predictions")))
+    checks = scores.groupBy(run).agg(*map(of, CHECKS), F.coalesce(observed, F.lit(0)).alias("observed_entailments"), F.coalesce(expected, F.lit(0)).alias("expected_entailments"), F.try_divide(observed, expected).alias("total_entailments"))
+    out = runs.join(checks, run, "left")
+    if failures is None:
+        return out.withColumn("failed", F.lit(0).cast("long"))
+    lost = failures.groupBy(run).agg(F.count(F.lit(1)).alias("failed"))
+    return out.join(lost, run, "left").fillna(0, ["failed"])
+
+
 def macro_average(per_graph: DataFrame, keys: list[str], score: str = "score", count: str = "predictions") -> DataFrame:
     """Mean of the graphs' scores that are not null, and mean count, by key."""
     return per_graph.groupBy(*keys).agg(F.avg(score).alias("mean_score"), F.avg(count).alias("mean_predictions"), F.count(score).alias("graphs"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verity.functions.summaries import action_summary, call_action_summary, call_observation_summary, observation_summary
+from verity.functions.text import call_parts, content, json_object, rstrip, strip, without_result_header
 from verity.plans.tables import cut
 
 TERMINAL = ("completed", "failed")
@@ -96,16 +98,19 @@ def first_seen_ids(events: DataFrame, column: str, key: str = "traj", pattern: s
 
 
 def merge_adjacent_snapshots(calls: DataFrame, key: str = "traj") -> DataFrame:
-    """A terminal record without title and kind directly before a pending one without content, of the
-    same call, is merged: the later record goes and the earlier takes its title and kind. ``conflict``
-    marks any other adjacent repetition of an id."""
+    """Two adjacent records of one call are merged if the first is finished, a tool or skill without
+    title but with content, and the second a pending read, edit or other with a title and no content:
+    the second goes and the first takes its title and kind. ``conflict`` marks any other adjacent
+    repetition of an id. Every pair is told from its own two records, so three in a row conflict."""
     w = _log(key)
     nxt = lambda c: F.lead(c).over(w)
-    same = nxt("tool_call_id") == F.col("tool_call_id")
-    pair = same & F.col("status").isin(*TERMINAL) & F.col("title").isNull() & F.col("call_kind").isNull() & (nxt("status") == "pending") & nxt("content").isNull()
-    marked = calls.withColumn("_pair", F.coalesce(pair, F.lit(False))).withColumn("_title", nxt("title")).withColumn("_kind", nxt("call_kind")).withColumn("_again", F.coalesce(same, F.lit(False)))
-    dropped = F.coalesce(F.lag("_pair").over(w), F.lit(False))
-    out = marked.withColumn("_gone", dropped).withColumn("title", F.when(F.col("_pair"), F.col("_title")).otherwise(F.col("title"))).withColumn("call_kind", F.when(F.col("_pair"), F.col("_kind")).otherwise(F.col("call_kind")))
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    same = F.coalesce(nxt("tool_call_id") == F.col("tool_call_id"), F.lit(False))
+    first = F.col("status").isin(*TERMINAL) & F.col("call_kind").isin("tool", "skill") & blank(F.col("title")) & ~blank(F.col("content"))
+    second = (nxt("status") == "pending") & nxt("call_kind").isin("read", "edit", "other") & ~blank(nxt("title")) & blank(nxt("content"))
+    marked = calls.withColumn("_again", same).withColumn("_pair", F.coalesce(same & first & second, F.lit(False))).withColumn("_title", nxt("title")).withColumn("_kind", nxt("call_kind"))
+    out = marked.withColumn("_gone", F.coalesce(F.lag("_pair").over(w), F.lit(False)))
+    out = out.withColumn("title", F.when(F.col("_pair"), F.col("_title")).otherwise(F.col("title"))).withColumn("call_kind", F.when(F.col("_pair"), F.col("_kind")).otherwise(F.col("call_kind")))
     return out.where("not _gone").withColumn("conflict", F.col("_again") & ~F.col("_pair")).drop("_pair", "_title", "_kind", "_again", "_gone")
 
 
@@ -127,65 +132,181 @@ def snapshot_index(calls: DataFrame, key: str = "traj") -> DataFrame:
     return per.withColumn("step", F.dense_rank().over(Window.partitionBy(key).orderBy("first_idx")))
 
 
-def condense(steps: DataFrame, cited: DataFrame, summary: str = "summary", text: str = "text", key: str = "traj") -> DataFrame:
-    """Events (with ``step``) whose step is not cited (key, step) take a tagged summary for a text;
-    ids, times and parents stay, and so do events that are neither action nor observation."""
-    marks = cited.select(F.col(key).alias("_k"), F.col("step").alias("_s")).distinct().withColumn("_cited", F.lit(True))
-    joined = steps.join(marks, (steps[key] == marks["_k"]) & (steps["step"] == marks["_s"]), "left")
-    tagged = F.concat(F.lit("<summary step="), F.col("step").cast("string"), F.lit(">"), F.coalesce(F.col(summary), F.lit("")), F.lit("</summary>"))
-    change = F.col("_cited").isNull() & F.col("kind").isin("action", "observation", "error") & (F.col("step") > 0)
-    return joined.withColumn(text, F.when(change, tagged).otherwise(F.col(text))).drop("_k", "_s", "_cited")
+def summary_block(what: str, step: Column, text: Column) -> Column:
+    """``what`` is action or observation."""
+    return F.concat(F.lit(f"<summarized_{what} step="), step.cast("string"), F.lit(">\n"), text, F.lit(f"\n</summarized_{what}>"))
+
+
+def condense(events: DataFrame, cited: DataFrame, key: str = "traj") -> DataFrame:
+    """Events whose step is not cited (key, step) become summaries: kind ``summary`` and a tagged text.
+
+    Actions and observations (errors too) are matched by ``tool_call_id``; an observation without an
+    action is an error. Ids, times and parents stay, and so do all other events. The columns that the
+    summaries are made of may be absent: summary, arguments, command, path, exit_code, is_error,
+    observed_command, old_content, new_content. ``step`` is added, and ``render`` keeps it, so that
+    actions keep their numbers.
+    """
+    have = set(events.columns)
+    text = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
+    is_action, is_seen = F.col("kind") == "action", F.col("kind").isin("observation", "error")
+    numbered = action_steps(events, key)
+    actions = numbered.where(is_action).groupBy(F.col(key).alias("_k"), F.col("tool_call_id").alias("_id")).agg(F.min(F.struct("step", text("command").alias("asked"), text("operation").alias("operation"), text("path").alias("path"))).alias("_a"))
+    marks = cited.select(F.col(key).alias("_ck"), F.col("step").alias("_s")).distinct()
+    joined = numbered.join(actions, (numbered[key] == actions["_k"]) & (numbered["tool_call_id"] == actions["_id"]), "left")
+    step = F.when(is_action, F.col("step")).otherwise(F.col("_a.step"))
+    joined = joined.withColumn("_step", F.when(is_seen & F.col("_a").isNull(), F.raise_error(F.lit("an observation has no action")).cast("long")).otherwise(step.cast("long")))
+    both = joined.join(marks, (joined[key] == marks["_ck"]) & (joined["_step"] == marks["_s"]), "left")
+    uncited = F.col("_s").isNull()
+    done = action_summary(F.col("tool_name"), text("summary"), text("arguments"), F.coalesce(text("operation"), text("command")), text("path"))
+    result = strip(F.coalesce(text("text"), F.lit("")))
+    operation = F.coalesce(F.col("_a.operation"), F.col("_a.asked"))
+    seen = observation_summary(
+        F.col("tool_name"), result, command=text("observed_command"), asked=F.col("_a.asked"), exit_code=text("exit_code"), operation=operation, path=F.coalesce(F.col("_a.path"), text("path")),
+        failed=F.col("is_error") if "is_error" in have else F.col("kind") == "error", old=text("old_content"), new=text("new_content"),
+    )
+    shown = F.when(is_action & uncited, summary_block("action", F.col("_step"), done)).when(is_seen & uncited, summary_block("observation", F.col("_step"), seen)).otherwise(text("text"))
+    kind = F.when((is_action | is_seen) & uncited, F.lit("summary")).otherwise(F.col("kind"))
+    call = F.when(~uncited | ~(is_action | is_seen), F.col("tool_call_id"))
+    changed = {"kind": kind, "text": F.col("_shown"), "tool_call_id": call}
+    both = both.withColumn("_shown", shown)
+    return both.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in events.columns if c != "step"], "step")
 
 
 def condense_calls(calls: DataFrame, cited: DataFrame, key: str = "traj") -> DataFrame:
-    """Snapshots of calls that are not cited shrink to their first and terminal one, with summaries."""
-    index = snapshot_index(calls, key).select(F.col(key).alias("_k"), F.col("tool_call_id").alias("_id"), "step", "first_idx", "last_idx")
-    joined = calls.join(index, (calls[key] == index["_k"]) & (calls["tool_call_id"].eqNullSafe(index["_id"])), "left").drop("_k", "_id")
-    marks = cited.select(F.col(key).alias("_k"), F.col("step").alias("_s")).distinct().withColumn("_cited", F.lit(True))
-    both = joined.join(marks, (joined[key] == marks["_k"]) & (joined["step"] == marks["_s"]), "left").drop("_k", "_s")
-    plain = F.col("_cited").isNotNull() | F.col("step").isNull()
-    end = (F.col("idx") == F.col("first_idx")) | (F.col("idx") == F.col("last_idx"))
-    return both.where(plain | end).withColumn("condensed", ~plain).drop("_cited", "first_idx", "last_idx")
+    """Snapshots of calls that are not cited shrink to a summary at the first and one at the terminal
+    snapshot (``summary``: the tagged text); those between go. Snapshots of cited calls and records
+    that are no calls stay with a null summary. ``content`` is the call's output as text."""
+    index = snapshot_index(calls, key).select(F.col(key).alias("_k"), F.col("tool_call_id").alias("_id"), "step", "first_idx", "last_idx", F.col("title").alias("_title"), F.col("call_kind").alias("_kind"), F.col("input").alias("_input"))
+    joined = calls.join(index, (calls[key] == index["_k"]) & (calls["tool_call_id"] == index["_id"]), "left").drop("_k", "_id")
+    marks = cited.select(F.col(key).alias("_k"), F.col("step").alias("_s")).distinct()
+    both = joined.join(marks, (joined[key] == marks["_k"]) & (joined["step"] == marks["_s"]), "left")
+    plain = F.col("_s").isNotNull() | F.col("step").isNull()
+    first, last = F.col("idx") == F.col("first_idx"), F.col("idx") == F.col("last_idx")
+    tool = F.coalesce("_kind", F.lit("unknown"))
+    begun = summary_block("action", F.col("step"), call_action_summary(tool, F.col("_title"), F.coalesce("_input", F.lit("{}"))))
+    ended = summary_block("observation", F.col("step"), call_observation_summary(tool, F.col("status"), F.coalesce("content", F.lit("<empty>"))))
+    summary = F.when(~plain, F.concat_ws("\n\n", F.when(first, begun), F.when(last, ended)))
+    return both.where(plain | first | last).withColumn("summary", summary).drop("_k", "_s", "first_idx", "last_idx", "_title", "_kind", "_input")
 
 
 def acp_to_events(records: DataFrame, key: str = "traj") -> DataFrame:
-    """Records (key, idx, type, text, tool_call_id, title, status, output) as events in order, each
-    with the event before as its parent. Thoughts and tool calls give an action and an observation."""
+    """Records (key, idx, type, text, tool_call_id, kind, title, status, output) as events in order.
+
+    A user message is a message; the agent's message finishes (without the critic's part); thoughts
+    and tool calls give an action and an observation. The parent of an observation is its action, of
+    any other event the event before. Records are numbered from 1 in order, thoughts by themselves.
+    """
     w = _log(key)
-    number = F.row_number().over(w) - 1
-    thought = F.sum((F.col("type") == "agent_thought").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    numbered = records.withColumn("_n", number).withColumn("_t", thought)
-    event = lambda kind, name, text, failed=None: F.struct(F.lit(kind).alias("kind"), name.alias("event_id"), text.alias("text"), (F.lit(False) if failed is None else failed).alias("is_error"))
-    think = F.format_string("acp-think-%04d", F.col("_t"))
+    thought = F.sum((F.col("type") == "agent_thought").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    output = F.coalesce("output", F.lit(""))
+    numbered = records.withColumn("_n", F.row_number().over(w)).withColumn("_t", thought).withColumn("_c", call_parts(output, F.col("kind"), F.col("title")))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+
+    def event(kind: str, call: Column, tool: Column = none, text: Column = none, arguments: Column = none, summary: Column = none, command: Column = none, path: Column = none, operation: Column = none, failed: Column = no) -> Column:
+        own = {"kind": F.lit(kind), "tool_call_id": call, "tool_name": tool, "text": text, "arguments": arguments, "summary": summary, "command": command, "path": path, "operation": operation, "is_error": failed}
+        return F.struct(*[v.alias(k) for k, v in own.items()])
+
+    finish, think = F.format_string("acp-finish-%04d", F.col("_n")), F.format_string("acp-think-%04d", F.col("_t"))
+    ended, call = strip_critic(F.col("text")), F.col("_c")
+    arguments = json_object(name=call["skill"], path=call["path"], command=F.coalesce(call["command"], F.when(call["operation"] == "view", F.lit("view"))), operation=F.when(call["operation"] == "edit", F.lit("edit")))
     made = (
-        F.when(F.col("type") == "user_message", F.array(event("message", F.format_string("acp-user-%04d", F.col("_n")), F.col("text"))))
-        .when(F.col("type") == "agent_message", F.array(event("action", F.format_string("acp-finish-%04d", F.col("_n")), strip_critic(F.col("text")))))
-        .when(F.col("type") == "agent_thought", F.array(event("action", think, F.col("text")), event("observation", F.concat(think, F.lit("-result")), F.lit("Your thought has been logged."))))
-        .when(F.col("type") == "tool_call", F.array(event("action", F.col("tool_call_id"), F.col("title")), event("observation", F.concat("tool_call_id", F.lit("-result")), F.col("output"), F.col("status") == "failed")))
+        F.when(F.col("type") == "user_message", F.array(event("message", none, text=F.col("text"))))
+        .when(F.col("type") == "agent_message", F.array(event("action", finish, F.lit("finish"), ended, json_object(message=ended))))
+        .when(F.col("type") == "agent_thought", F.array(event("action", think, F.lit("think"), F.lit(""), json_object(thought=F.col("text"))), event("observation", think, F.lit("think"), F.lit("Your thought has been logged."))))
+        .when(
+            F.col("type") == "tool_call",
+            F.array(
+                event("action", F.col("tool_call_id"), call["tool"], F.lit(""), arguments, F.nullif(call["summary"], F.lit("")), call["command"], call["path"], call["operation"]),
+                event("observation", F.col("tool_call_id"), call["tool"], without_result_header(output), path=call["path"], failed=F.col("status") == "failed"),
+            ),
+        )
+        .otherwise(F.raise_error(F.lit("a record is of an unknown type")).cast("array<struct<kind:string,tool_call_id:string,tool_name:string,text:string,arguments:string,summary:string,command:string,path:string,operation:string,is_error:boolean>>"))
     )
     each = numbered.select(key, F.col("idx").alias("_r"), F.posexplode(made).alias("_p", "e"))
     order = Window.partitionBy(key).orderBy("_r", "_p")
-    return each.select(key, (F.row_number().over(order) - 1).alias("idx"), "e.*", F.lag("e.event_id").over(order).alias("parent_id"))
+    placed = each.select(key, (F.row_number().over(order) - 1).alias("idx"), "e.*")
+    role = F.when(F.col("kind") == "message", F.lit("user"))
+    named = placed.withColumn("event_id", F.format_string("event-%06d", "idx")).withColumn("role", role)
+    return named.withColumn("parent_id", F.lag("event_id").over(_log(key)))
 
 
 def strip_critic(text: Column) -> Column:
     """Without the critic's part at the end, and without white space after what is left."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?ms)^Critic:.*", ""), r"\s+\z", "")
+    return rstrip(F.regexp_replace(text, r"(?ms)^Critic:.*", ""))
 
 
 def drop_repeated_finish(events: DataFrame, key: str = "traj") -> DataFrame:
-    """Without assistant messages directly before a finish action of the same text."""
+    """Without the assistant's messages directly before a finish action of the same text."""
     w = _log(key)
-    repeated = (F.col("kind") == "message") & (F.lead("kind").over(w) == "finish") & (F.lead("text").over(w) == F.col("text"))
+    own = strip(F.coalesce("text", F.lit("")))
+    repeated = (F.col("kind") == "message") & (F.col("role") == "assistant") & (F.lead("kind").over(w) == "action") & (F.lead("tool_name").over(w) == "finish") & (F.lead("text").over(w) == own)
     return events.withColumn("_rep", F.coalesce(repeated, F.lit(False))).where("not _rep").drop("_rep")
 
 
-def render(events: DataFrame, key: str = "traj") -> DataFrame:
-    """(key, text): tagged blocks of the events in order, joined by a blank line."""
-    steps = action_steps(events, key)
-    block = F.concat(F.lit("<"), F.col("kind"), F.lit(" step="), F.col("step").cast("string"), F.lit(">\n"), F.coalesce("text", F.lit("")), F.lit("\n</"), F.col("kind"), F.lit(">"))
-    listed = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", block.alias("b")))).alias("l"))
-    return listed.select(key, F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("text"))
+def call_text(tool: Column, arguments: Column, call: Column) -> Column:
+    return F.concat(tool, F.lit("("), content(F.coalesce(arguments, F.lit(""))), F.lit(") [id="), call, F.lit("]"))
+
+
+def _content(text: Column) -> Column:
+    own = strip(F.coalesce(text, F.lit("")))
+    return F.concat(F.lit("<content>\n"), F.when(own == "", F.lit("<empty>")).otherwise(content(own)), F.lit("\n</content>"))
+
+
+def event_blocks(events: DataFrame, key: str = "traj", normalize_ids: bool = True) -> DataFrame:
+    """(key, idx, block): the tagged text of each event, null for events that are not shown.
+
+    Actions of one reply (``response_id``, if there is such a column) share a block at the first of
+    them. Tool-call ids are renumbered by first appearance unless ``normalize_ids`` is off.
+    """
+    steps = events if "step" in events.columns else action_steps(events, key)
+    steps = first_seen_ids(steps, "tool_call_id", key) if normalize_ids else steps.withColumn("stable_id", F.col("tool_call_id"))
+    is_action = F.col("kind") == "action"
+    of_action = F.min(F.when(is_action, F.col("step"))).over(Window.partitionBy(key, "tool_call_id"))
+    w = _log(key)
+    reply = F.col("response_id") if "response_id" in events.columns else F.lit(None).cast("string")
+    goes_on = is_action & F.coalesce((F.lag("kind").over(w) == "action") & (F.lag("_reply").over(w) == F.col("_reply")), F.lit(False))
+    marked = steps.withColumn("_reply", reply).withColumn("_on", goes_on).withColumn("_of", of_action)
+    marked = marked.withColumn("_group", F.sum((~F.col("_on")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    call = F.struct("idx", "step", call_text(F.col("tool_name"), F.col("arguments"), F.col("stable_id")).alias("call"))
+    calls = F.sort_array(F.collect_list(F.when(is_action, call)).over(Window.partitionBy(key, "_group")))
+    marked = marked.withColumn("_calls", F.when(is_action & ~F.col("_on"), calls))
+    one = F.size("_calls") == 1
+    opening = F.when(one, F.concat(F.lit("<action step="), F.col("_calls")[0]["step"].cast("string"))).otherwise(F.concat(F.lit("<action steps="), F.array_join(F.transform("_calls", lambda c: c["step"].cast("string")), ",")))
+    several = F.transform("_calls", lambda c: F.concat(F.lit("<tool_call step="), c["step"].cast("string"), F.lit(">\n"), c["call"], F.lit("\n</tool_call>")))
+    listed = F.when(one, F.col("_calls")[0]["call"]).otherwise(F.array_join(several, "\n"))
+    action = F.concat(opening, F.lit(">\n"), _content(F.col("text")), F.lit("\n<tool_calls>\n"), listed, F.lit("\n</tool_calls>\n</action>"))
+    seen = F.concat(F.lit("<observation step="), F.col("_of").cast("string"), F.lit(" tool_call_id="), F.col("stable_id"), F.lit(">\n"), _content(F.col("text")), F.lit("\n</observation>"))
+    role = F.coalesce(F.col("role"), F.lit("user")) if "role" in events.columns else F.lit("user")
+    said = F.concat(F.lit("<message role="), role, F.lit(">\n"), _content(F.col("text")), F.lit("\n</message>"))
+    block = F.when(is_action & ~F.col("_on"), action).when(F.col("kind").isin("observation", "error"), seen).when(F.col("kind") == "message", said).when(F.col("kind") == "summary", F.col("text"))
+    return marked.select(key, "idx", block.alias("block"))
+
+
+def render(events: DataFrame, key: str = "traj", start_at_first_action: bool = False, normalize_ids: bool = True) -> DataFrame:
+    """(key, text): tagged blocks of the events in order, joined by a blank line.
+
+    ``events``: key, idx, kind (message, action, observation, error, summary), text, tool_name,
+    arguments, tool_call_id, and role, response_id and step if there are any. Steps are counted over
+    all events, also if those before the first action are left out.
+    """
+    blocks = event_blocks(events, key, normalize_ids)
+    if start_at_first_action:
+        shown = from_first_action(events, key).select(F.col(key).alias("_k"), F.col("idx").alias("_i"))
+        blocks = blocks.join(shown, (blocks[key] == shown["_k"]) & (blocks["idx"] == shown["_i"]), "left_semi")
+    listed = blocks.where("block is not null").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "block"))).alias("l"))
+    return listed.select(key, F.array_join(F.transform("l", lambda x: x["block"]), "\n\n").alias("text"))
+
+
+def call_blocks(index: DataFrame, key: str = "traj", normalize_ids: bool = True) -> DataFrame:
+    """(key, idx, block) of tool calls (``snapshot_index`` with ``output`` and ``exit_code``): an action
+    where a call begins and an observation where it ends."""
+    call = F.format_string("tool_call_%04d", F.col("step")) if normalize_ids else F.col("tool_call_id")
+    step = F.col("step").cast("string")
+    action = F.concat(F.lit("<action step="), step, F.lit(">\n<content>\n<empty>\n</content>\n<tool_calls>\n"), call_text(F.coalesce("call_kind", F.lit("unknown")), F.col("input"), call), F.lit("\n</tool_calls>\n</action>"))
+    code = F.coalesce(F.concat(F.lit("<exit_code>"), F.col("exit_code").cast("string"), F.lit("</exit_code>\n")), F.lit("")) if "exit_code" in index.columns else F.lit("")
+    seen = F.concat(F.lit("<observation step="), step, F.lit(" tool_call_id="), call, F.lit(" status="), F.col("terminal"), F.lit(">\n"), code, F.lit("<content>\n"), content(F.col("output")), F.lit("\n</content>\n</observation>"))
+    both = F.explode(F.array(F.struct(F.col("first_idx").alias("idx"), F.lit(0).alias("part"), action.alias("block")), F.struct(F.col("last_idx").alias("idx"), F.lit(1).alias("part"), seen.alias("block"))))
+    return index.select(key, both.alias("b")).select(key, "b.*")
 
 
 def step_log_probs(tokens: DataFrame, key: str = "traj") -> DataFrame:
@@ -211,6 +332,9 @@ def overlapping(spans: DataFrame, regions: DataFrame, key: str = "traj") -> Data
     return spans.join(regions, key).where((F.col("end") > F.col("rs")) & (F.col("start") < F.col("re")))
 
 
+TAGS = ("action", "observation", "summarized_action", "summarized_observation")
+
+
 def tag_counts(rendered: DataFrame, text: str = "text") -> DataFrame:
-    tag = lambda name: F.regexp_count(text, F.lit(rf"(?m)^<{name} step=")).alias(f"{name}s")
-    return rendered.select("*", tag("action"), tag("observation"), tag("error"))
+    """How often a line begins with each of TAGS, in a column named by it."""
+    return rendered.select("*", *[F.regexp_count(text, F.lit(rf"(?m)^<{name} step=")).alias(f"{name}s") for name in TAGS])

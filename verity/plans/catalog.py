@@ -300,10 +300,10 @@ def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 T = f"{G}, tn AS (SELECT *, concat('claim ', id) AS claim FROM gnodes WHERE id NOT LIKE 'n%'), te AS (SELECT * FROM gedges WHERE target LIKE 'c%')"
 _PAIRS = f"""{T}, kids AS (SELECT gid, target AS parent, relationship_type AS relation, string_agg(concat('claim ', source), ' AND ' ORDER BY pos) AS joined, concat('claim ', target) AS own FROM te GROUP BY ALL),
 pairs AS (
-  SELECT gid, 'sufficiency' AS metric, parent, 0 AS pair, 0 AS direction, joined AS premise, own AS hypothesis FROM kids WHERE relation = 'decomposes_from'
-  UNION ALL SELECT gid, 'necessity', parent, 0, 0, own, joined FROM kids WHERE relation = 'decomposes_from'
-  UNION ALL SELECT gid, 'particularization', parent, 0, 0, joined, own FROM kids WHERE relation = 'particularizes'
-  UNION ALL SELECT gid, 'particularization', parent, 0, 1, own, joined FROM kids WHERE relation = 'particularizes')"""
+  SELECT gid, 'joint_sufficiency' AS metric, parent, 0 AS pair, 0 AS direction, joined AS premise, own AS hypothesis FROM kids WHERE relation = 'decomposes_from'
+  UNION ALL SELECT gid, 'child_necessity', target, (row_number() OVER (PARTITION BY target ORDER BY pos) - 1)::INT, 0, concat('claim ', target), concat('claim ', source) FROM te WHERE relationship_type = 'decomposes_from'
+  UNION ALL SELECT gid, 'quality_of_particularization', parent, 0, 0, joined, own FROM kids WHERE relation = 'particularizes'
+  UNION ALL SELECT gid, 'quality_of_particularization', parent, 0, 1, own, joined FROM kids WHERE relation = 'particularizes')"""
 _LABEL = "CASE (length({p}) * 7 + length({h}) * 3) % 5 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'neutral' ELSE 'entailment' END"
 
 
@@ -312,7 +312,7 @@ def assessed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("label", F.expr(_LABEL.format(p="premise", h="hypothesis")))
 
 
-register("claim_pairs", f"{_PAIRS} SELECT * FROM pairs")(lambda s, d: quality.claim_pairs(*_claims(s, d)))
+register("claim_pairs", f"{_PAIRS} SELECT * FROM pairs")(lambda s, d: quality.claim_pairs(*_claims(s, d)).drop("child_ids"))
 _SIBLINGS = f"""{T}, ranked AS (SELECT gid, target AS parent, source AS id, row_number() OVER (PARTITION BY target ORDER BY pos) - 1 AS at FROM te WHERE relationship_type = 'decomposes_from'),
 two AS (SELECT a.gid, a.parent, a.at AS i, b.at AS j, a.id AS id_a, b.id AS id_b FROM ranked a JOIN ranked b ON a.parent = b.parent AND a.at < b.at)"""
 register("sibling_pairs", f"""{_SIBLINGS} SELECT gid, 'non_redundant_siblings' AS metric, parent, i::INT AS i, j::INT AS j, id_a, id_b, 0 AS direction, concat('claim ', id_a) AS premise, concat('claim ', id_b) AS hypothesis FROM two
@@ -322,6 +322,12 @@ round(CAST(count(*) FILTER (WHERE l = 'entailment') AS DOUBLE) / count(*), 6) AS
 register("total_entailments", f"""{_PAIRS} SELECT gid, count(*) FILTER (WHERE l = 'entailment') AS entailments, count(*) AS predictions, round(CAST(count(*) FILTER (WHERE l = 'entailment') AS DOUBLE) / count(*), 6) AS score FROM (SELECT *, {_LABEL.format(p="premise", h="hypothesis")} AS l FROM pairs) GROUP BY gid""")(
     lambda s, d: quality.total_entailments(assessed(quality.claim_pairs(*_claims(s, d))), ["gid"])
 )
+register("graph_quality_scores", f"""{_PAIRS}, a AS (SELECT *, {_LABEL.format(p="premise", h="hypothesis")} AS l FROM pairs),
+checks AS (SELECT gid, metric, parent, pair, bool_and(l = 'entailment') AS ok FROM a GROUP BY ALL), shares AS (SELECT gid, metric, avg(CAST(ok AS DOUBLE)) AS share FROM checks GROUP BY ALL)
+SELECT gid, metric, count(*) AS predictions, count(*) FILTER (WHERE l = 'entailment') AS entailment,
+round(CASE WHEN metric = 'quality_of_particularization' THEN max(share) ELSE CAST(count(*) FILTER (WHERE l = 'entailment') AS DOUBLE) / count(*) END, 6) AS score FROM a JOIN shares USING (gid, metric) GROUP BY gid, metric""")(
+    lambda s, d: quality.graph_scores(assessed(quality.claim_pairs(*_claims(s, d))), ["gid"]).select("gid", "metric", "predictions", "entailment", "score")
+)
 register("sibling_scores", f"""{_SIBLINGS}, both_ AS (SELECT gid, parent, i, j, bool_and(l <> 'entailment') AS ok FROM (
   SELECT gid, parent, i, j, {_LABEL.format(p="concat('claim ', id_a)", h="concat('claim ', id_b)")} AS l FROM two UNION ALL SELECT gid, parent, i, j, {_LABEL.format(p="concat('claim ', id_b)", h="concat('claim ', id_a)")} FROM two) GROUP BY ALL)
 SELECT gid, round(avg(CAST(ok AS DOUBLE)), 6) AS score, count(*) AS pairs FROM both_ GROUP BY gid""")(
@@ -355,7 +361,7 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps taken as snapshots of tool calls, two by two."""
     return view(spark, sf_dir, "steps").selectExpr(
         "traj", "idx", "cast(idx div 2 as string) as tool_call_id", "case when idx % 2 = 0 and event_id % 3 <> 0 then 'completed' when idx % 2 = 0 then 'failed' else 'pending' end as status",
-        "case when idx % 2 = 1 then event_type end as title", "case when idx % 2 = 1 then 'execute' end as call_kind", "cast(null as string) as content", "event_type as input",
+        "case when idx % 2 = 1 then event_type end as title", "case when idx % 2 = 1 then 'read' else 'tool' end as call_kind", "case when idx % 2 = 0 then 'done' end as content", "event_type as input",
     )
 
 
@@ -368,12 +374,26 @@ g AS (SELECT traj, id AS tool_call_id, min(idx) AS first_idx, count(*) AS snapsh
 SELECT traj, tool_call_id, snapshots, title, terminal, dense_rank() OVER (PARTITION BY traj ORDER BY first_idx)::BIGINT AS step FROM g""")(
     lambda s, d: trajectory.snapshot_index(_calls(s, d)).select("traj", "tool_call_id", "snapshots", "title", "terminal", F.col("step").cast("long").alias("step"))
 )
-register("render_runs", f"""{V}, st AS (SELECT *, {_STEP} AS step FROM steps)
-SELECT traj, sha256(string_agg('<' || kind || ' step=' || step || '>' || chr(10) || event_type || chr(10) || '</' || kind || '>', chr(10) || chr(10) ORDER BY idx)) AS digest FROM st GROUP BY traj""")(
-    lambda s, d: trajectory.render(view(s, d, "steps").withColumn("text", F.col("event_type"))).select("traj", F.sha2("text", 256).alias("digest"))
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps as a log of events: calls are told apart by their step, texts and arguments are made up."""
+    steps = trajectory.action_steps(view(spark, sf_dir, "steps")).where("step > 0")
+    return steps.selectExpr("traj", "idx", "kind", "concat('c', cast(step as string)) as tool_call_id", "event_type as tool_name", "concat('{', cast(event_id as string), '}') as arguments", "if(event_id % 4 = 0, '', event_type) as text", "if(event_id % 3 = 0, 'done', null) as summary")
+
+
+_EVENTS = f"""{V}, st AS (SELECT *, {_STEP} AS step FROM steps), l AS (SELECT *, 'tool_call_' || lpad(CAST(step AS VARCHAR), 4, '0') AS call, CASE WHEN event_id % 4 = 0 THEN '<empty>' ELSE event_type END AS shown FROM st WHERE step > 0)"""
+_BLOCK = """CASE WHEN kind = 'action' THEN '<action step=' || step || '>' || chr(10) || '<content>' || chr(10) || shown || chr(10) || '</content>' || chr(10) || '<tool_calls>' || chr(10) || event_type || '({' || event_id || '}) [id=' || call || ']' || chr(10) || '</tool_calls>' || chr(10) || '</action>'
+ELSE '<observation step=' || step || ' tool_call_id=' || call || '>' || chr(10) || '<content>' || chr(10) || shown || chr(10) || '</content>' || chr(10) || '</observation>' END"""
+register("render_runs", f"""{_EVENTS} SELECT traj, sha256(string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY idx)) AS digest FROM l GROUP BY traj""")(
+    lambda s, d: trajectory.render(_log(s, d)).select("traj", F.sha2("text", 256).alias("digest"))
+)
+register("render_condensed", f"""{_EVENTS}, b AS (SELECT traj, idx, CASE WHEN step % 2 = 0 THEN {_BLOCK.replace("call ||", "'tool_call_' || lpad(CAST(step // 2 AS VARCHAR), 4, '0') ||")}
+WHEN kind = 'action' THEN '<summarized_action step=' || step || '>' || chr(10) || CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'Tool: ' || event_type || chr(10) || 'Arguments: {{' || event_id || '}}' END || chr(10) || '</summarized_action>'
+ELSE '<summarized_observation step=' || step || '>' || chr(10) || 'Tool: ' || event_type || chr(10) || 'Result: ' || CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END || chr(10) || '</summarized_observation>' END AS block FROM l)
+SELECT traj, sha256(string_agg(block, chr(10) || chr(10) ORDER BY idx)) AS digest FROM b GROUP BY traj""")(
+    lambda s, d: trajectory.render(trajectory.condense(_log(s, d), trajectory.action_steps(_log(s, d)).where("step % 2 = 0").select("traj", "step").distinct())).select("traj", F.sha2("text", 256).alias("digest"))
 )
-register("tag_counts", f"""{V} SELECT traj, count(*) FILTER (WHERE kind = 'action') AS actions, count(*) FILTER (WHERE kind = 'observation') AS observations, count(*) FILTER (WHERE kind = 'error') AS errors FROM steps GROUP BY traj""")(
-    lambda s, d: trajectory.tag_counts(trajectory.render(view(s, d, "steps").withColumn("text", F.col("event_type")))).select("traj", *[F.col(c).cast("long").alias(c) for c in ("actions", "observations", "errors")])
+register("tag_counts", f"""{_EVENTS} SELECT traj, count(*) FILTER (WHERE kind = 'action') AS actions, count(*) FILTER (WHERE kind <> 'action') AS observations FROM l GROUP BY traj""")(
+    lambda s, d: trajectory.tag_counts(trajectory.render(_log(s, d))).select("traj", *[F.col(c).cast("long").alias(c) for c in ("actions", "observations")])
 )
 register("logprob_modes", f"""{V}, st AS (SELECT *, {_STEP} AS step, -(event_id % 7 + 1) / CAST(100 AS DOUBLE) AS lp FROM steps),
 p AS (SELECT traj, step, sum(lp) AS total, avg(lp) AS mean FROM st WHERE step > 0 GROUP BY traj, step)
@@ -393,7 +413,7 @@ SELECT traj, round(CAST(t AS DOUBLE) / (t + f), 6) AS share FROM n""")(
 
 register("parse_percentage", f"""{with_views("conv")}, p AS (SELECT conv_id, turn, CAST(regexp_extract(response, '(?:^|\\n)Confidence:\\s*(\\d+)%\\s*\\z', 1) AS INT) AS v FROM conv)
 SELECT conv_id, turn, round(CASE WHEN v BETWEEN 0 AND 100 THEN v / CAST(100 AS DOUBLE) END, 6) AS confidence FROM p""")(lambda s, d: view(s, d, "conv").select("conv_id", "turn", tx.confidence_percent("response").alias("confidence")))
-register("excerpts", f"""{with_views("conv")} SELECT conv_id, turn, CASE WHEN length(response) <= 300 THEN response ELSE left(response, 150) || chr(10) || '...' || chr(10) || right(response, 150) END AS excerpt FROM conv""")(
+register("excerpts", f"""{with_views("conv")} SELECT conv_id, turn, CASE WHEN length(response) <= 300 THEN response ELSE regexp_replace(left(response, 150), '\\s+$', '') || chr(10) || '...' || chr(10) || regexp_replace(right(response, 150), '^\\s+', '') END AS excerpt FROM conv""")(
     lambda s, d: view(s, d, "conv").select("conv_id", "turn", tx.excerpt(F.col("response")).alias("excerpt"))
 )
 register("short_ids", f"""{with_views("conv")}, x AS (SELECT conv_id, turn, repeat(CAST(conv_id AS VARCHAR), 30) AS i FROM conv) SELECT conv_id, turn, CASE WHEN length(i) > 64 THEN 'fc_' || left(sha256(i), 61) ELSE i END AS short FROM x""")(
