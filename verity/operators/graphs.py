@@ -6,17 +6,41 @@ relationship_type, pos. Graphs are told apart by ``gid``; levels are found for a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verity.operators.reports import nearest_percentile
 from verity.plans.tables import cut
 
 GOAL, EVIDENCE = "GSNGoalNode", "EvidenceNodeV2"
-# The relation labels of goal edges and of evidence edges, and the name of the root.
-GOAL_RELATIONS = ("decomposes_from", "particularizes")
-EVIDENCE_RELATIONS = ("proves", "supports", "refutes", "undermines", "unverified")
+# The relation labels of goal edges and of evidence edges with what they mean, the name
+# of the root, and the optional fields of a rendered node.
+GOAL_RELATIONS = {
+    "decomposes_from": "is a conjunct in a decomposition of the target goal",
+    "particularizes": "restates the target goal concretely for the specific task context",
+}
+EVIDENCE_RELATIONS = {
+    "proves": "establishes the target claim as true beyond reasonable doubt",
+    "supports": "increases confidence in the target claim",
+    "refutes": "establishes the target claim as false beyond reasonable doubt",
+    "undermines": "decreases confidence in the target claim",
+    "unverified": "identifies missing verification or evidence, without indicating falsehood",
+}
 ROOT_NAME = "Agent's Overall Task"
+NODE_FIELDS = {GOAL: ["reasoning"], EVIDENCE: ["step_numbers", "contribution"]}
+
+
+def relation_meanings(labels: list[str]) -> dict[str, str]:
+    """Evidence labels, in the order given, with what they mean; an unknown label is an error."""
+    return {label: EVIDENCE_RELATIONS[label] for label in labels}
+
+
+def checked_node_fields(fields: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Optional fields to render by kind of node: known ones, each once; core fields are always there."""
+    for kind, names in fields.items():
+        if len(set(names)) != len(names) or not set(names) <= set(NODE_FIELDS[kind]):
+            raise ValueError(f"fields of {kind}: {names}; each at most once of {NODE_FIELDS[kind]}")
+    return fields
 
 
 def goal_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -161,16 +185,79 @@ def predecessor_contexts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def render_compact(nodes: DataFrame, edges: DataFrame, root: DataFrame) -> DataFrame:
-    """(gid, text): claims level by level, each with its parents; blocks joined by a blank line."""
-    depths = bfs_levels(root.select("gid", F.col("root").alias("origin"), F.col("root").alias("id")), edges.select("gid", F.col("target").alias("here"), F.col("source").alias("there"))).select("gid", "id", "depth")
-    above = edges.groupBy("gid", F.col("source").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"]), ", ").alias("parents"))
-    first = edges.groupBy("gid", F.col("source").alias("id")).agg(F.min("pos").alias("_pos"))
-    rows = nodes.join(depths, ["gid", "id"]).join(above, ["gid", "id"], "left").join(first, ["gid", "id"], "left")
-    block = F.concat(F.lit("Node: "), F.col("id"), F.lit("\nClaim: "), F.col("auditable_claim"), F.lit("\nParents: "), F.coalesce("parents", F.lit("none")))
-    listed = rows.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("depth", "_pos", "id", block.alias("block")))).alias("b"))
+    """(gid, text): node, claim and parents level by level from the root, blocks joined by a blank
+    line. Goals go by their name, evidence by its id. A level is in the order of its first links: by
+    the place of the parent, then of the edge. Graphs with nodes that are not reached are an error."""
+    start = root.select("gid", F.col("root").alias("id"), F.array(F.lit(0).cast("long")).alias("at"))
+    level, seen, depth = cut(start, "render-level"), None, 0
+    while not level.isEmpty():
+        placed = level.withColumn("depth", F.lit(depth))
+        seen = placed if seen is None else seen.unionByName(placed)
+        step = level.select("gid", F.col("id").alias("target"), "at").join(edges, ["gid", "target"])
+        reached = step.groupBy("gid", F.col("source").alias("id")).agg(F.min(F.concat("at", F.array(F.col("pos").cast("long")))).alias("at"))
+        level, depth = cut(reached.join(seen.select("gid", "id"), ["gid", "id"], "left_anti"), "render-level"), depth + 1
+    name = F.when(F.col("kind") == GOAL, F.col("goal_name")).otherwise(F.col("id"))
+    named = nodes.withColumn("_name", name)
+    above = edges.join(named.select("gid", F.col("id").alias("target"), "_name"), ["gid", "target"]).groupBy("gid", F.col("source").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_name"))), lambda x: x["_name"]), ", ").alias("parents"))
+    rows = named.join(seen if seen is not None else start.withColumn("depth", F.lit(0)), ["gid", "id"], "left").join(above, ["gid", "id"], "left")
+    block = F.concat(F.lit("Node: "), F.col("_name"), F.lit("\nClaim: "), F.coalesce("auditable_claim", F.lit("<no claim>")), F.lit("\nParents: "), F.coalesce("parents", F.lit("None")))
+    lost = F.when(F.col("depth").isNull(), F.raise_error(F.lit("a node is not reached from the root")).cast("int")).otherwise(F.col("depth"))
+    listed = rows.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct(lost.alias("depth"), "at", "id", block.alias("block")))).alias("b"))
     return listed.select("gid", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("text"))
 
 
+def render_nested(nodes: DataFrame, edges: DataFrame, root: DataFrame, fields: dict[str, list[str]] | None = None, max_depth: int = 1000) -> DataFrame:
+    """(gid, text): an indented outline from the root goal, sub-goals before evidence, without ids.
+
+    Nodes are found path by path, a node under several parents once under each, and every path knows
+    its place among its siblings; the outline is the paths in order. Cycles, nodes that are not
+    reached and edges whose label does not fit their ends are errors.
+    """
+    fields = checked_node_fields(NODE_FIELDS if fields is None else fields)
+    kinds = nodes.select("gid", "id", "kind")
+    ends = edges.join(kinds.withColumnRenamed("id", "source"), ["gid", "source"]).join(kinds.select("gid", F.col("id").alias("target"), F.col("kind").alias("_above")), ["gid", "target"])
+    section = F.when(F.col("kind") == GOAL, 0).otherwise(1)
+    fits = (F.col("_above") == GOAL) & F.when(F.col("kind") == GOAL, F.col("relationship_type").isin(*GOAL_RELATIONS)).otherwise(F.col("relationship_type").isin(*EVIDENCE_RELATIONS))
+    checked = F.when(F.coalesce(fits, F.lit(False)), section).otherwise(F.raise_error(F.lit("the label of an edge does not fit its ends")).cast("int"))
+    order = Window.partitionBy("gid", "target", "section").orderBy("pos", "source")
+    links = ends.withColumn("section", checked)
+    links = cut(links.select("gid", "target", "source", "relationship_type", "section", (F.row_number().over(order) - 1).alias("rank")), "nested-links")
+    step = F.struct("section", "rank")
+    level = cut(root.select("gid", F.col("root").alias("id"), F.array().cast("array<struct<section:int,rank:int>>").alias("at"), F.array(F.col("root")).alias("path"), F.lit(None).cast("string").alias("relation")), "nested-level")
+    seen = level
+    for _ in range(max_depth):
+        below = level.withColumnRenamed("id", "target").join(links, ["gid", "target"])
+        no_cycle = F.when(~F.array_contains("path", F.col("source")), F.col("source")).otherwise(F.raise_error(F.lit("the graph has a cycle")).cast("string"))
+        level = cut(below.select("gid", no_cycle.alias("id"), F.concat("at", F.array(step)).alias("at"), F.concat("path", F.array("source")).alias("path"), F.col("relationship_type").alias("relation")), "nested-level")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    else:
+        raise ValueError("the graph has a cycle or is deeper than max_depth")
+    rows = nodes.join(seen, ["gid", "id"], "left")
+    goal = F.col("kind") == GOAL
+    reached = F.when(F.col("at").isNotNull(), F.size("at")).otherwise(F.raise_error(F.lit("a node is not reached from the root")).cast("int"))
+    indent, inner = F.repeat(F.lit(" "), 4 * F.col("_d")), F.repeat(F.lit(" "), 4 * F.col("_d") + 2)
+
+    def line(label: str, value: Column) -> Column:
+        shown = F.when(F.coalesce(value, F.lit("None")) == "", F.lit("(empty)")).otherwise(F.coalesce(value, F.lit("None")))
+        return F.concat(inner, F.lit(f"{label}: "), F.replace(shown, F.lit("\n"), F.concat(F.lit("\n"), inner, F.lit("  "))))
+
+    def extra(kind: str, name: str) -> Column:
+        value = F.array_join(F.col(name).cast("array<string>"), ", ") if name == "step_numbers" else F.col(name)
+        return F.when(F.col("kind") == kind, line(name.replace("_", " ").title(), value))
+
+    last = F.element_at("at", -1)
+    first_here = F.when((F.col("_d") > 0) & (last["rank"] == 0), F.concat(F.repeat(F.lit(" "), 4 * F.col("_d") - 2), F.when(last["section"] == 0, "SUBGOALS").otherwise("EVIDENCE")))
+    link = F.when(F.col("_d") > 0, F.concat(F.repeat(F.lit(" "), 4 * F.col("_d") - 2), F.lit("- Connection: "), F.col("relation")))
+    heading = F.concat(indent, F.when(F.col("_d") == 0, "ROOT GOAL").when(goal, "GOAL").otherwise("EVIDENCE"))
+    name = F.when(goal, F.col("goal_name")).otherwise(F.col("evidence"))
+    block = F.concat_ws("\n", first_here, link, heading, line("Name", name), line("Claim", F.col("auditable_claim")), *[extra(kind, n) for kind, names in fields.items() for n in names])
+    told = rows.withColumn("_d", reached).withColumn("_block", block)
+    listed = told.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("at", "_block"))).alias("b"))
+    return listed.select("gid", F.array_join(F.transform("b", lambda x: x["_block"]), "\n").alias("text"))
+
+
 def first_child_rank(edges: DataFrame) -> DataFrame:
     """Edges with the child's place under its parent, in edge order."""
     return edges.withColumn("rank", F.row_number().over(Window.partitionBy("gid", "target").orderBy("pos", "source")))

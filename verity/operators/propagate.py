@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verity.functions.scores import claim_dropout, geometric_mean, product, require, temperature_scale
-from verity.operators.graphs import GOAL, goal_edges, goal_leaves
+from verity.functions.text import outdated
+from verity.operators.graphs import GOAL, confidence_leaves, goal_edges, goal_leaves, leaves
 from verity.plans.tables import cut
 
 Combine = Callable[[Column], Column]
@@ -116,6 +117,114 @@ def product_interpolated(nodes: DataFrame, edges: DataFrame, prior: float | None
     return bottom_up(nodes, edges, product, lambda p: require((w >= 0) & (own >= 0), "a weight or a confidence is unset", w * p + (1 - w) * own))
 
 
+#: What each aggregation type takes besides the graph, by the name of the parameter.
+AGGREGATIONS: dict[str, tuple[str, ...]] = {
+    "product": (),
+    "product_leaf_adaptive_claim_dropout": ("expected_leaves",),
+    "product_leaf_claim_dropout": ("dropout",),
+    "product_leaf_temperature_scaled": ("temperature",),
+    "product_all_temperature_scaled": ("temperature",),
+    "temperature_scale_final": ("temperature",),
+    "geometric_mean": (),
+    "geometric_mean_leaves": (),
+    "arithmetic_mean": (),
+    "minimum": (),
+    "maximum": (),
+    "union_bound": (),
+    "simple_bp_goal_leaf_v1": (),
+    "simple_bp_goal_leaf_v2": (),
+    "product_interp_prior": ("prior",),
+}
+RANGES: dict[str, Callable[[float], bool]] = {"temperature": lambda x: x > 0, "dropout": lambda x: 0 <= x <= 1, "expected_leaves": lambda x: x >= 0, "prior": lambda x: 0 <= x <= 1}
+
+
+def aggregate_graphs(nodes: DataFrame, edges: DataFrame, root: DataFrame, aggregation: str, **parameters: float) -> DataFrame:
+    """``nodes`` after one of AGGREGATIONS, with the old rationale of changed goals marked as outdated.
+
+    A parameter that the type takes and lacks, or has and does not take, is an error.
+    """
+    if aggregation not in AGGREGATIONS:
+        raise ValueError(f"unknown aggregation: {aggregation}")
+    given = {k: v for k, v in parameters.items() if v is not None}
+    if set(given) != set(AGGREGATIONS[aggregation]) or not all(RANGES[k](v) for k, v in given.items()):
+        raise ValueError(f"{aggregation} takes {AGGREGATIONS[aggregation] or 'no parameter'}, got {given}")
+    value = next(iter(given.values()), 0.0)
+    if aggregation in COMBINE:
+        out = aggregate(nodes, edges, aggregation)
+    elif aggregation.startswith("simple_bp"):
+        out = belief_propagation(nodes, edges, 1 if aggregation.endswith("v1") else 2)
+    elif aggregation == "temperature_scale_final":
+        out = final_temperature(nodes, root, value)
+    elif aggregation == "geometric_mean_leaves":
+        out = geometric_mean_of_leaves(nodes, edges, root)
+    elif aggregation == "product_interp_prior":
+        out = product_interpolated(nodes, edges, value)
+    else:
+        ways = {"product_leaf_adaptive_claim_dropout": product_adaptive_dropout, "product_leaf_claim_dropout": product_claim_dropout, "product_leaf_temperature_scaled": product_leaf_temperature, "product_all_temperature_scaled": product_all_temperature}
+        out = ways[aggregation](nodes, edges, value)
+    if "confidence_rationale" not in nodes.columns:
+        return out
+    before = nodes.select("gid", "id", F.col("confidence").alias("_old"))
+    both = out.join(before, ["gid", "id"])
+    changed = (F.col("kind") == GOAL) & (F.col("confidence") != F.col("_old"))
+    new = F.when(changed, outdated(F.col("confidence_rationale"), aggregation)).otherwise(F.col("confidence_rationale"))
+    return both.select(*[new.alias(c) if c == "confidence_rationale" else F.col(c) for c in nodes.columns])
+
+
+def root_confidence(nodes: DataFrame, root: DataFrame) -> DataFrame:
+    """(gid, confidence) of the roots (gid, root); an unset root is an error, a lost one is absent."""
+    at = root.select("gid", F.col("root").alias("id"))
+    c = F.col("confidence")
+    return nodes.join(at, ["gid", "id"]).select("gid", require(c >= 0, "the root has no confidence", c).alias("confidence"))
+
+
+Score = Callable[[DataFrame], DataFrame]
+POPULATIONS = ("all_nodes", "goal_leaves_product", "product_interp_verbalized", "product_interp_prior")
+
+
+def populate(nodes: DataFrame, edges: DataFrame, score: Score, mode: str = "all_nodes", prior: float | None = None, max_waves: int = 10_000) -> DataFrame:
+    """``nodes`` with a confidence for all (``all_nodes``) or for all goals.
+
+    ``score`` takes rows of nodes and returns (gid, id, confidence). all_nodes: unset nodes without
+    predecessors, then wave by wave those whose predecessors are all set. The other modes score goal
+    leaves and propagate by product, or by interpolation with the goals' own scores or a prior. Nodes
+    that never become ready are an error. Every wave is one job over all graphs.
+    """
+    if mode not in POPULATIONS:
+        raise ValueError(f"unknown mode: {mode}")
+
+    def fill(now: DataFrame, rows: DataFrame) -> DataFrame:
+        told = cut(score(rows).select("gid", "id", F.col("confidence").alias("_new")), "populate-scores")
+        return cut(now.join(told, ["gid", "id"], "left").select(*[F.coalesce("_new", "confidence").alias("confidence") if c == "confidence" else F.col(c) for c in nodes.columns]), "populate-nodes")
+
+    def settled(now: DataFrame, of: Column) -> DataFrame:
+        left = now.where(of & (F.col("confidence") < 0)).limit(20).collect()
+        if left:
+            raise ValueError(f"never ready: {[(r['gid'], r['id']) for r in left]}")
+        return now
+
+    unset = F.col("confidence") < 0
+    goal = F.col("kind") == GOAL
+    if mode == "all_nodes":
+        now = fill(nodes, leaves(nodes, edges).where(unset))
+        for _ in range(max_waves):
+            ready = cut(confidence_leaves(now, edges), "populate-ready")
+            if ready.isEmpty():
+                return settled(now, F.lit(True))
+            now = fill(now, ready)
+        raise RuntimeError("more waves than max_waves")
+    leaf = goal_leaves(nodes, edges)
+    now = fill(nodes, leaf.where(unset))
+    if mode == "goal_leaves_product":
+        return settled(bottom_up(now, edges, product), goal)
+    if mode == "product_interp_verbalized":
+        now = fill(now, now.where(goal).join(leaf.select("gid", "id"), ["gid", "id"], "left_anti"))
+        return product_interpolated(now, edges)
+    if prior is None:
+        raise ValueError("the prior is missing")
+    return product_interpolated(now, edges, prior)
+
+
 # Likelihood of a leaf's confidence class given that the claim is false, and true. The
 # classes are cut at .2, .4, .7 and .9; a value on a cut belongs to the upper class.
 CUTS = (0.2, 0.4, 0.7, 0.9)

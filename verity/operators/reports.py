@@ -12,7 +12,13 @@ from verity.operators.metrics import adaptive_calibration_error, expected_calibr
 KEY = ("instance_id", "model")
 
 # US dollars per million tokens (input, output), by model name, where a run has no cost.
-PRICES = {"qwen3-coder-30b": (0.289, 2.40), "qwen3-32b": (0.32, 2.50)}
+PRICES = {
+    "Qwen/Qwen3.6-27B": (0.289, 2.40),
+    "openai/qwen36-27b": (0.289, 2.40),
+    "openai/qwen38-27b": (0.289, 2.40),
+    "Qwen/Qwen3.8-27B-FP8": (0.32, 2.50),
+    "openai/Qwen/Qwen3.8-27B-FP8": (0.32, 2.50),
+}
 
 
 def normalized_difficulty(column: str = "difficulty") -> Column:
@@ -79,6 +85,47 @@ def with_cost(usage: DataFrame, model: str, prices: dict[str, tuple[float, float
     return joined.withColumn(cost, F.when(known.isNull() | (known == 0), priced).otherwise(known)).drop("_m", "_in", "_out")
 
 
+def usage_labels(usage: DataFrame) -> DataFrame:
+    """Mean tokens in thousands and mean cost in dollars as shown; a missing mean is ``N/A`` and a
+    missing column ``-``."""
+
+    def shown(name: str, value: Column) -> Column:
+        return F.coalesce(value, F.lit("N/A")) if name in usage.columns else F.lit("-")
+
+    thousands = lambda c: shown(c, F.concat(F.format_string("%.1f", F.col(c) / 1000), F.lit("K"))) if c in usage.columns else F.lit("-")
+    cost = shown("mean_cost", F.concat(F.lit("$"), F.format_string("%.2f", F.col("mean_cost").cast("double")))) if "mean_cost" in usage.columns else F.lit("-")
+    made = ("mean_total_tokens", "mean_generated_tokens", "mean_cost")
+    return usage.select(*[c for c in usage.columns if c not in made], thousands("mean_total_tokens").alias("total_tokens"), thousands("mean_generated_tokens").alias("gen_tokens"), cost.alias("cost"))
+
+
+def estimator_model(config: Column) -> Column:
+    """The model named by a run's configuration (a JSON text), found where its type of estimator keeps
+    it; types without a model have a fixed label, and an unknown type is an error."""
+    at = lambda path: F.get_json_object(config, f"$.estimator.{path}")
+    kind = at("estimator_type")
+    return (
+        F.when(kind == "oh_gsn", F.coalesce(at("graph_populator.agent.model_name"), at("graph_generator.agent.model_name")))
+        .when(kind == "litellm_verbal", at("litellm.agent.model_name"))
+        .when(kind.isin("log_probs_estimator", "gsn_plain_verbalized"), at("agent.model_name"))
+        .when(kind == "replay", F.lit("replay"))
+        .when(kind.isin("dummy", "gsn_product", "gsn_aggregate"), F.lit("N/A"))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown estimator type: "), F.coalesce(kind, F.lit("none")))).cast("string"))
+    )
+
+
+def by_benchmark(df: DataFrame, default: str, texts: dict[str, str], column: str = "benchmark", name: str = "criteria") -> DataFrame:
+    """``df`` with the text of its benchmark: ``default`` for none, and an error for an unknown one."""
+    known = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])[F.col(column)] if texts else F.lit(None).cast("string")
+    lost = F.raise_error(F.concat(F.lit("no text for benchmark "), F.col(column))).cast("string")
+    return df.withColumn(name, F.when(F.col(column).isNull(), F.lit(default)).otherwise(F.coalesce(known, lost)))
+
+
+def delimited(rows: DataFrame, decimals: int = 2, mark: str = "\t") -> str:
+    """A summary table (few rows by nature: one per run) as CSV or TSV text."""
+    show = lambda v: "" if v is None else f"{v:.{decimals}f}" if isinstance(v, float) else str(v)
+    return "\n".join([mark.join(rows.columns), *(mark.join(map(show, r)) for r in rows.limit(10_000).collect())])
+
+
 def merge_usage(df: DataFrame, keys: Sequence[str], column: str = "usage_by_model") -> DataFrame:
     """A map of structs per row, summed field by field per key and model."""
     fields = df.schema[column].dataType.valueType.fieldNames()

@@ -443,15 +443,13 @@ register("scored_runs", f"""{R}, x AS (SELECT instance_id, model, ord, list_sum(
 SELECT instance_id, model, ord, round(t % 101 / CAST(100 AS DOUBLE), 6) AS estimated_confidence FROM x""")(
     lambda s, d: runner.run_estimates(view(s, d, "results").select("instance_id", "model", "ord"), None, lambda: runner.stub_scorer)[0].select("instance_id", "model", "ord", "estimated_confidence")
 )
-register("audit_report", f"""{R} SELECT code, count(*) AS n FROM (
-  SELECT 'missing_result' AS code FROM results WHERE ord % 10 = 0 UNION ALL SELECT 'orphan_output' FROM results WHERE ord % 8 = 0
-  UNION ALL SELECT 'value_mismatch' FROM results WHERE ord % 10 <> 0 AND ord % 7 = 0) GROUP BY code""")(
+register("audit_report", f"""{R} SELECT code, severity, n FROM (
+  SELECT 'missing_prediction' AS code, 'error' AS severity, count(*) AS n FROM results WHERE ord % 8 <> 0 AND ord % 10 = 0
+  UNION ALL SELECT 'result_output_mismatch', 'error', count(*) FROM results WHERE ord % 10 <> 0 AND ord % 8 <> 0 AND ord % 7 = 0
+  UNION ALL SELECT 'orphan_outputs', 'warning', 1 UNION ALL SELECT 'missing_metrics', 'error', 1)""")(
     lambda s, d: audit.audit_run(
-        view(s, d, "results").where("ord % 8 <> 0 or ord % 10 <> 0").where("ord % 8 <> 0").unionByName(view(s, d, "results").where("ord % 8 = 0").where("false")),
+        view(s, d, "results").where("ord % 8 <> 0").select("instance_id", "model", "benchmark", "resolved"),
         view(s, d, "results").where("ord % 10 <> 0 and ord % 8 <> 0"),
-        view(s, d, "results").withColumn("estimated_confidence", F.expr("if(ord % 7 = 0, estimated_confidence + 2, estimated_confidence)")),
-    ).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+        view(s, d, "results").selectExpr("instance_id", "model", "if(ord % 7 = 0, estimated_confidence + 2, estimated_confidence) as confidence"),
+    ).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
 )
-SQL["audit_report"] = f"""{R} SELECT code, count(*) AS n FROM (
-  SELECT 'missing_result' AS code FROM results WHERE ord % 8 <> 0 AND ord % 10 = 0 UNION ALL SELECT 'orphan_output' FROM results WHERE ord % 8 = 0
-  UNION ALL SELECT 'value_mismatch' FROM results WHERE ord % 10 <> 0 AND ord % 8 <> 0 AND ord % 7 = 0) GROUP BY code"""
