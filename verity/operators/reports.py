@@ -82,20 +82,21 @@ def with_cost(usage: DataFrame, model: str, prices: dict[str, tuple[float, float
     generated = F.col("mean_generated_tokens")
     priced = ((F.col("mean_total_tokens") - generated) * F.col("_in") + generated * F.col("_out")) / 1e6
     joined = usage.join(F.broadcast(price), usage[model] == price["_m"], "left")
-    return joined.withColumn(cost, F.when(known.isNull() | (known == 0), priced).otherwise(known)).drop("_m", "_in", "_out")
+    return joined.withColumn(cost, F.when(known.isNull() | (known == 0), F.coalesce(priced, known)).otherwise(known)).drop("_m", "_in", "_out")
 
 
 def usage_labels(usage: DataFrame) -> DataFrame:
     """Mean tokens in thousands and mean cost in dollars as shown; a missing mean is ``N/A`` and a
     missing column ``-``."""
 
-    def shown(name: str, value: Column) -> Column:
-        return F.coalesce(value, F.lit("N/A")) if name in usage.columns else F.lit("-")
+    def shown(name: str, head: str, pattern: str, tail: str, per: float = 1.0) -> Column:
+        if name not in usage.columns:
+            return F.lit("-")
+        value = F.col(name).cast("double") / per
+        return F.when(value.isNull(), F.lit("N/A")).otherwise(F.concat(F.lit(head), F.format_string(pattern, value), F.lit(tail)))
 
-    thousands = lambda c: shown(c, F.concat(F.format_string("%.1f", F.col(c) / 1000), F.lit("K"))) if c in usage.columns else F.lit("-")
-    cost = shown("mean_cost", F.concat(F.lit("$"), F.format_string("%.2f", F.col("mean_cost").cast("double")))) if "mean_cost" in usage.columns else F.lit("-")
     made = ("mean_total_tokens", "mean_generated_tokens", "mean_cost")
-    return usage.select(*[c for c in usage.columns if c not in made], thousands("mean_total_tokens").alias("total_tokens"), thousands("mean_generated_tokens").alias("gen_tokens"), cost.alias("cost"))
+    return usage.select(*[c for c in usage.columns if c not in made], shown("mean_total_tokens", "", "%.1f", "K", 1000).alias("total_tokens"), shown("mean_generated_tokens", "", "%.1f", "K", 1000).alias("gen_tokens"), shown("mean_cost", "$", "%.2f", "").alias("cost"))
 
 
 def estimator_model(config: Column) -> Column:
