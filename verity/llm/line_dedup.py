@@ -6,16 +6,24 @@ the Jaccard similarity of their token sets is ``percent`` or more. Whole numbers
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verity.llm.common import cut
 
-#: Words are counted over the whole corpus in so many bins; a word's rarity is its bin's count. Any
-#: fixed order gives the same result, a better one gives fewer candidates.
-RARITY_BINS = 1 << 14
-#: Rows up to which a side is broadcast after it was counted; beyond it Spark shuffles.
-BROADCAST_ROWS = 300_000
+#: Words are counted over the whole corpus in so many bins; the logarithm of its bin's count is a
+#: word's level. Any fixed order gives the same result, a better one gives fewer candidates.
+RARITY_BITS, LEVELS_AN_OCTAVE = 18, 4
+#: A token is its level in the upper 8 bits and 55 bits of its hash; of level 0, it is in no other line.
+HASH_BITS = 55
+SHARED = 1 << HASH_BITS
+#: Rarest shared tokens by which a line finds the one earlier line that is tried first.
+TRIED = 4
+#: Rows up to which a side (of a few whole numbers) is broadcast after it was counted; beyond it
+#: Spark shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -23,93 +31,110 @@ def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("_lines"))
-    return rows.select("_id", "_th", F.posexplode("_lines").alias("_line", "_text"))
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), r"[ \t\x0B\f\r]+")), "")
-
-
-def _hashes(line: Column) -> Column:
-    """64-bit hashes of the distinct words; two words of a line with one hash only cost a candidate."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), r"[ \t\x0B\f\r]+"), ""), lambda w: F.xxhash64(w)))
-
-
-def _rarity(lines: DataFrame) -> Column:
-    """The bins in order of count, as a constant array of RARITY_BINS whole numbers."""
-    words = lines.select(F.explode(_hashes(F.col("_text"))).alias("h"))
-    counts = {r["b"]: r["n"] for r in words.groupBy(F.pmod("h", F.lit(RARITY_BINS)).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = [0] * RARITY_BINS
-    for rank, b in enumerate(sorted(range(RARITY_BINS), key=lambda b: (counts.get(b, 0), b))):
-        place[b] = rank
-    return F.split(F.lit(",".join(map(str, place))), ",").cast("array<int>")
-
-
-def _sets(lines: DataFrame, rarity: Column, percent: int) -> DataFrame:
-    """One row per different line: its first place, size, bitmap, and its rarest words' hashes."""
-    hashed = lines.select("_id", "_th", "_line", "_text", _hashes(F.col("_text")).alias("h")).where(F.size("h") > 0)
-    bin_of = lambda h: F.element_at(rarity, (F.pmod(h, F.lit(RARITY_BINS)) + 1).cast("int")).cast("long")
-    n = F.size("h")
-    kept = n - F.floor((n * percent + 99) / 100).cast("int") + 1
-    keys = F.sort_array(F.transform("h", lambda h: F.shiftleft(bin_of(h), 32).bitwiseOR(F.shiftrightunsigned(h, 32))))
-    bits = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int"))))
-    each = hashed.select(
-        F.struct("_id", "_line", "_th").alias("first"),
-        F.xxhash64("_text").alias("h1"),
-        F.xxhash64(F.lit(1), F.col("_text")).alias("h2"),
-        n.alias("n"),
-        bits.alias("bits"),
-        F.transform(F.slice(keys, F.lit(1), kept), lambda k: k.bitwiseAND(F.lit(0xFFFFFFFF))).alias("prefix"),
-    )
-    merged = each.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    return cut(merged.select(F.monotonically_increasing_id().alias("lid"), "first.*", "n", "bits", "prefix"), "lines-sets")
-
-
-def _may_match(s: str, t: str, percent: int) -> Column:
-    """Length, positional and bitmap bounds; no matching pair fails them at its rarest common word."""
-    ns, nt = F.col(f"{s}.n"), F.col(f"{t}.n")
-    least = F.floor(((ns + nt) * percent + 99 + percent) / (100 + percent))
-    apart = F.bit_count(F.col(f"{s}.bits").bitwiseXOR(F.col(f"{t}.bits")))
-    return (ns * 100 >= nt * percent) & (nt * 100 >= ns * percent) & (F.least(ns - F.col(f"{s}.pos"), nt - F.col(f"{t}.pos")) >= least) & (ns + nt - apart >= 2 * least)
+def _words(text: Column, blanks: str = "\t\x0b\f\r") -> Column:
+    """The lower-cased words, with empty ones where blanks meet."""
+    plain = F.lower(text)
+    for blank in blanks:
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    return F.split(plain, " ")
+
+
+def _levels(docs: DataFrame, text_col: str) -> Column:
+    """The levels of all bins as a constant array; its size does not depend on the data."""
+    words = docs.select(F.explode(_words(F.col(text_col), "\n\t\x0b\f\r")).alias("word")).where("word <> ''")
+    bins = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    level = ["0"] * (1 << RARITY_BITS)
+    for r in bins.collect():
+        level[r["b"]] = str(int(LEVELS_AN_OCTAVE * math.log2(r["n"])))
+    return F.split(F.lit(",".join(level)), ",").cast("array<smallint>")
+
+
+def _tokens(line: Column, levels: Column) -> Column:
+    """The line's different tokens, rarest first."""
+    hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
+    at = lambda h: F.element_at(levels, (h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)) + 1).cast("int")).cast("long")
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(at(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS)))))
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """One row per line: number in the order of the corpus, place, size and hashes of its token set,
+    64-bit bitmap, and prefix. Documents are sorted by range of their ids first."""
+    levels = _levels(docs, text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text")).where("_text is not null")
+    ordered = rows.repartitionByRange("_id", "_th").sortWithinPartitions("_id", "_th")
+    lines = ordered.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_line", "_text"))
+    tokens = lines.select(F.monotonically_increasing_id().alias("lid"), "_id", "_th", "_line", _tokens(F.col("_text"), levels).alias("t"))
+    n = F.size("t")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    return cut(
+        tokens.select(
+            "lid", "_id", "_th", "_line", n.alias("n"),
+            F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"),
+            F.aggregate("t", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(bit(k))).alias("bits"),
+            F.slice("t", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1).alias("prefix"),
+        ),
+        "lines-sets",
+    )
+
+
+def _least(ns: Column, nt: Column, percent: int) -> Column:
+    """Common tokens that sets of these sizes need."""
+    return F.floor(((ns + nt) * percent + 99 + percent) / (100 + percent))
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The later lines (``lid``) of those candidate pairs whose word sets are similar."""
-    pairs = cut(pairs.distinct(), "lines-pairs")
-    wanted = cut(pairs.select(F.col("late").alias("lid")).unionByName(pairs.select(F.col("early").alias("lid"))).distinct(), "lines-wanted")
+    """The later lines (``lid``) of those pairs (late, early) whose word sets are similar. Sizes and
+    bitmaps are compared first, the words of what is left come from the documents."""
+    own = lambda name: sets.select(F.col("lid").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
+    sized = pairs.join(own("late"), "late").join(own("early"), "early")
+    ns, nt = F.col("late_n"), F.col("early_n")
+    apart = F.bit_count(F.col("late_bits").bitwiseXOR(F.col("early_bits")))
+    fits = (ns * 100 >= nt * percent) & (nt * 100 >= ns * percent) & (ns + nt - apart >= 2 * _least(ns, nt, percent))
+    close = cut(sized.where(fits).select("late", "early"), "lines-pairs")
+    wanted = cut(close.select(F.col("late").alias("lid")).unionByName(close.select(F.col("early").alias("lid"))).distinct(), "lines-wanted")
     places = cut(sets.select("lid", F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("_line").alias("l")).join(_side(wanted), "lid"), "lines-places")
-    lines = _lines(docs, id_col, text_col)
-    same = lines["_id"].eqNullSafe(F.col("i")) & lines["_th"].eqNullSafe(F.col("t")) & (lines["_line"] == F.col("l"))
-    words = cut(lines.join(_side(places), same).select("lid", _words(F.col("_text")).alias("words")).dropDuplicates(["lid"]), "lines-words")
-    both = pairs.join(words.select(F.col("lid").alias("late"), F.col("words").alias("a")), "late").join(words.select(F.col("lid").alias("early"), F.col("words").alias("b")), "early")
+    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode(F.split(text_col, "\n")).alias("_line", "_text"))
+    same = lines["_id"].eqNullSafe(F.col("i")) & (lines["_th"] == F.col("t")) & (lines["_line"] == F.col("l"))
+    texts = cut(lines.join(_side(places), same).select("lid", "_text").dropDuplicates(["lid"]), "lines-texts")
+    of = lambda name, text: texts.select(F.col("lid").alias(name), F.col("_text").alias(text))
+    words = lambda text: F.array_distinct(F.array_remove(_words(F.col(text)), "")).alias(text)
+    both = close.join(of("late", "a"), "late").join(of("early", "b"), "early").select("late", words("a"), words("b"))
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared * 100 >= (F.size("a") + F.size("b") - shared) * percent).select(F.col("late").alias("lid")).distinct()
 
 
-def repeated_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(different lines, ``lid`` of those that match an earlier different line).
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """(_id, _th, _line) of the lines that match an earlier line.
 
-    Every word bucket first compares its members with its earliest line only. Members that match are
-    done: one match is enough. Those left are compared with all earlier members. So a group of many
-    variants of one line costs one pair per variant, and nothing is left out.
+    Lines of one token set are merged first: the later ones go. The others share a bucket with every
+    line that has a token of their prefix. First each line is compared with one line alone, of those
+    directly before it in its buckets the one that is so most often; if they match it is done, so a
+    group of many variants of a line costs one pair per variant. Those left are compared with all
+    earlier members of their buckets that pass the length and positional filters, so nothing is left
+    out. Sets too small to match a different set are in no bucket.
     """
-    lines = _lines(docs, id_col, text_col)
-    sets = _sets(lines, _rarity(lines), percent)
-    entries = sets.select("lid", "_id", "_line", "n", "bits", F.posexplode("prefix").alias("pos", "key"))
-    order = F.struct("_id", "_line", "lid")
-    bucket = Window.partitionBy("key")
-    placed = entries.withColumn("own", F.struct("n", "bits", "pos")).withColumn("low", F.min(F.struct(order.alias("at"), F.col("own").alias("t"))).over(bucket)).withColumn("members", F.count(F.lit(1)).over(bucket))
-    to_first = placed.where((F.col("members") > 1) & (F.col("lid") != F.col("low.at.lid")) & _may_match("own", "low.t", percent)).select(F.col("lid").alias("late"), F.col("low.at.lid").alias("early"))
-    done = cut(_matched(to_first, sets, docs, id_col, text_col, percent), "lines-done")
-    more = placed.where(F.col("members") > 2).select("key", "lid", "_id", "_line", "n", "bits", "pos", F.col("low.at.lid").alias("low"))
-    left = more.join(_side(done), "lid", "left_anti").alias("s")
-    right = more.where("lid <> low").alias("t")
-    later = F.struct("s._id", "s._line", "s.lid") > F.struct("t._id", "t._line", "t.lid")
-    rest = left.join(right, (F.col("s.key") == F.col("t.key")) & later & _may_match("s", "t", percent)).select(F.col("s.lid").alias("late"), F.col("t.lid").alias("early"))
-    found = cut(_matched(rest, sets, docs, id_col, text_col, percent).unionByName(done).distinct(), "lines-found")
-    return sets, found
+    sets = _sets(docs, id_col, text_col, percent).where("n > 0")
+    firsts = cut(sets.groupBy("h1", "h2").agg(F.min("lid").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "lines-firsts")
+    equal = cut(sets.select("h1", "h2", "lid").join(firsts, ["h1", "h2"]).where("lid > first").select("lid"), "lines-equal")
+    unique = sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).join(_side(equal), "lid", "left_anti").select("lid", "n", "prefix")
+
+    heads = unique.select("lid", F.explode(F.slice(F.filter("prefix", lambda k: k >= SHARED), 1, TRIED)).alias("key"))
+    before = F.lag("lid").over(Window.partitionBy("key").orderBy("lid"))
+    tried = heads.select(F.col("lid").alias("late"), before.alias("early")).where("early is not null").groupBy("late", "early").agg(F.count(F.lit(1)).alias("c"))
+    one = tried.groupBy("late").agg(F.max(F.struct("c", "early")).alias("m")).select("late", "m.early")
+    done = cut(_matched(cut(one, "lines-tried"), sets, docs, id_col, text_col, percent), "lines-done")
+
+    entries = lambda rows: rows.select("lid", "n", F.posexplode("prefix").alias("pos", "key")).where(F.col("key") >= SHARED)
+    late = entries(unique.join(_side(done), "lid", "left_anti")).alias("s")
+    early = entries(unique).alias("t")
+    ns, nt = F.col("s.n"), F.col("t.n")
+    length = (ns * 100 >= nt * percent) & (nt * 100 >= ns * percent)
+    position = F.least(ns - F.col("s.pos"), nt - F.col("t.pos")) >= _least(ns, nt, percent)
+    pairs = late.join(early, (F.col("s.key") == F.col("t.key")) & (F.col("s.lid") > F.col("t.lid")) & length & position)
+    pairs = cut(pairs.select(F.col("s.lid").alias("late"), F.col("t.lid").alias("early")).distinct(), "lines-candidates")
+    found = _matched(pairs, sets, docs, id_col, text_col, percent)
+    gone = cut(equal.unionByName(done).unionByName(found), "lines-gone")
+    return sets.select("lid", "_id", "_th", "_line").join(_side(gone), "lid", "left_semi").drop("lid")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -120,19 +145,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``n_lines``, ``n_removed``.
 
     * Blank lines are never removed; null text stays null (no lines), empty text stays empty.
-    * A null id comes before all others. Rows that repeat both id and text share one answer.
+    * A null id comes before all others. Rows that repeat both id and text share one answer; rows of
+      one id with other texts come in the order of a hash of the text.
     * Columns of the added names are replaced; an empty table gives an empty result.
     """
-    sets, found = repeated_sets(docs, id_col, text_col, percent)
-    kept = sets.select("lid", "_id", "_th", "_line").join(_side(found), "lid", "left_anti")
-    by_doc = cut(kept.groupBy("_id", "_th").agg(F.collect_list("_line").alias("_kept")), "lines-kept")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     source = docs.select(*[f"`{c}`" for c in names]).withColumn("__th", F.xxhash64(text_col))
-    joined = source.join(by_doc, source[id_col].eqNullSafe(by_doc["_id"]) & source["__th"].eqNullSafe(by_doc["_th"]), "left")
-    all_lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    keep = F.filter(all_lines, lambda line, i: F.coalesce(F.array_contains("_kept", i), F.lit(False)) | ~line.rlike(r"[^ \t\x0B\f\r]"))
-    cleaned = joined.withColumn("__all", all_lines).withColumn("__keep", keep)
-    text = F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.array_join("__keep", "\n"))
+    gone = repeated_lines(docs.select(id_col, text_col), id_col, text_col, percent)
+    # rows that repeat: their second copy is all repeated lines, but they take the answer of the first
+    copies = F.count(F.lit(1)).alias("_n")
+    per_line = gone.groupBy("_id", "_th", "_line").agg(copies)
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th")).groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("_rows"))
+    many = cut(rows.where("_rows > 1"), "lines-repeated-rows")
+    told = per_line.join(_side(many), per_line["_id"].eqNullSafe(many["_id"]) & (per_line["_th"] == many["_th"]), "left")
+    told = told.where(F.col("_n") >= F.coalesce("_rows", F.lit(1))).select(per_line["_id"].alias("_id"), per_line["_th"].alias("_th"), "_line")
+    by_doc = cut(told.groupBy("_id", "_th").agg(F.sort_array(F.collect_list("_line")).alias("_gone")), "lines-by-document")
+    side = _side(by_doc)
+    joined = source.join(side, source[id_col].eqNullSafe(by_doc["_id"]) & (source["__th"] == by_doc["_th"]), "left")
+    lines, gone_at = F.split(F.col(text_col), "\n"), F.col("_gone")
+    since = F.concat(F.array(F.lit(-1)), F.slice(gone_at, F.lit(1), F.size(gone_at) - 1))
+    runs = F.zip_with(gone_at, since, lambda g, p: F.concat(F.array_repeat(F.lit(True), g - p - 1), F.array(F.lit(False))))
+    stays = F.concat(F.flatten(runs), F.array_repeat(F.lit(True), F.size("__all") - F.element_at(gone_at, -1) - 1))
+    kept = F.array_join(F.zip_with(F.col("__all"), stays, lambda line, stay: F.when(stay, line)), "\n")
+    text = F.when(gone_at.isNull(), F.col(text_col)).otherwise(kept)
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    n_lines = F.coalesce(F.size("__all"), F.lit(0))
     some = F.col(text_col).isNotNull()
-    return cleaned.select(*columns, F.when(some, F.size("__all")).otherwise(0).alias("n_lines"), F.when(some, F.size("__all") - F.size("__keep")).otherwise(0).alias("n_removed"))
+    return joined.withColumn("__all", lines).select(*columns, F.when(some, n_lines).otherwise(0).alias("n_lines"), F.when(some & gone_at.isNotNull(), F.size(gone_at)).otherwise(0).alias("n_removed"))
