@@ -2,11 +2,20 @@ import zlib
 
 import corpus_pipeline as pipeline
 from verity.llm.queries import tokenizer_file
-from verity.llm.simhash_dedup import fingerprint_of
 
 SF = "/root/testdata/sf0.001"
 
 
+def similar(a, b):
+    """Five-word shingles with a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for text in (a, b):
+        words = text.encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    x, y = sets
+    return len(x & y) * 10 >= len(x | y) * 8
+
+
 def test_stages_one_after_another(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -26,17 +35,18 @@ def test_stages_one_after_another(spark):
             words = frozenset(line.lower().split())
             assert not words or words not in kept
             kept[words] = r.doc_id
-    prints = sorted((r.doc_id, fingerprint_of(r.text, 5) & (2**64 - 1)) for r in lines)
-    root = {i: i for i, _ in prints}
+    texts = {r.doc_id: r.text for r in lines}
+    root = {i: i for i in texts}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, a in prints:
-        for j, b in prints:
-            if j < i and (a ^ b).bit_count() <= 3:
+    order = sorted(texts)
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            if similar(texts[i], texts[j]):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     assert sorted(r.doc_id for r in seen["near_duplicates"]) == sorted(i for i in root if find(i) == i)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import xxhash
 
@@ -79,3 +80,50 @@ def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)], "src long, dst long")
     got = {r.node: r.root for r in connected_components(chain).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_similar_groups_against_all_pairs(spark):
+    """Groups by five-word shingles on a fixture with families of edited copies, against every pair."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, base = [], []
+    for family in range(40):
+        words = rng.choice(vocabulary, rng.integers(40, 400)).tolist()
+        base.append(words)
+        for copy in range(rng.integers(1, 12)):
+            own = list(words)
+            for _ in range(rng.integers(0, 1 + len(words) // 60)):
+                own[rng.integers(len(own))] = str(rng.choice(vocabulary))
+            rows.append((len(rows), " ".join(own)))
+        rows.append((len(rows), " ".join(words[: len(words) // 2])))
+    rows += [(900, None), (901, ""), (902, "  \n"), (903, "w1 w2"), (904, "W1  w2"), (905, "w1 w2 w3"), (906, rows[0][1]), (None, rows[0][1]), (907, "long " * 40_000)]
+    docs = spark.createDataFrame([(i, t, 1, i) for i, t in rows], "doc_id long, text string, uid int, h1 long").repartition(5)
+
+    def shingles(t):
+        words = (t or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, (_, a) in enumerate(sets):
+        for m in range(k):
+            b = sets[m][1]
+            if len(a & b) * 10 >= len(a | b) * 8:
+                root[find(k)] = find(m)
+    lowest = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            lowest[find(k)] = min(i, lowest.get(find(k), i))
+    want = sorted(((i is not None, i), lowest[find(k)]) for k, (i, _) in enumerate(sets))
+    for block in (op.BLOCK, 5):
+        got = sorted(((r.doc_id is not None, r.doc_id), r.component_id) for r in op.similar_groups(docs, block=block).collect())
+        assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.99 * len(want)
+        assert all(b[1] <= a[1] for a, b in zip(got, want, strict=True))
+    stay = {r.doc_id for r in op.drop_near_duplicates(docs).collect()}
+    assert stay >= {900, 903, 905, 907, None} and not stay & {901, 902, 904, 906}
