@@ -20,7 +20,7 @@ RARITY_BITS, LEVELS_AN_OCTAVE = 18, 4
 HASH_BITS = 55
 SHARED = 1 << HASH_BITS
 #: Rarest shared tokens by which a line finds the one earlier line that is tried first.
-TRIED = 4
+TRIED = 3
 #: Rows up to which a side (of a few whole numbers) is broadcast after it was counted; beyond it
 #: Spark shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -110,13 +110,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     line that has a token of their prefix. First each line is compared with one line alone, of those
     directly before it in its buckets the one that is so most often; if they match it is done, so a
     group of many variants of a line costs one pair per variant. Those left are compared with all
-    earlier members of their buckets that pass the length and positional filters, so nothing is left
-    out. Sets too small to match a different set are in no bucket.
+    earlier members of their buckets that pass the length, positional and bitmap filters, so nothing is
+    left out. Sets too small to match a different set are in no bucket.
     """
     sets = _sets(docs, id_col, text_col, percent).where("n > 0")
     firsts = cut(sets.groupBy("h1", "h2").agg(F.min("lid").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "lines-firsts")
     equal = cut(sets.select("h1", "h2", "lid").join(firsts, ["h1", "h2"]).where("lid > first").select("lid"), "lines-equal")
-    unique = sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).join(_side(equal), "lid", "left_anti").select("lid", "n", "prefix")
+    unique = sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).join(_side(equal), "lid", "left_anti").select("lid", "n", "bits", "prefix")
 
     heads = unique.select("lid", F.explode(F.slice(F.filter("prefix", lambda k: k >= SHARED), 1, TRIED)).alias("key"))
     before = F.lag("lid").over(Window.partitionBy("key").orderBy("lid"))
@@ -124,13 +124,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = tried.groupBy("late").agg(F.max(F.struct("c", "early")).alias("m")).select("late", "m.early")
     done = cut(_matched(cut(one, "lines-tried"), sets, docs, id_col, text_col, percent), "lines-done")
 
-    entries = lambda rows: rows.select("lid", "n", F.posexplode("prefix").alias("pos", "key")).where(F.col("key") >= SHARED)
+    entries = lambda rows: rows.select("lid", "n", "bits", F.posexplode("prefix").alias("pos", "key")).where(F.col("key") >= SHARED)
     late = entries(unique.join(_side(done), "lid", "left_anti")).alias("s")
     early = entries(unique).alias("t")
     ns, nt = F.col("s.n"), F.col("t.n")
     length = (ns * 100 >= nt * percent) & (nt * 100 >= ns * percent)
     position = F.least(ns - F.col("s.pos"), nt - F.col("t.pos")) >= _least(ns, nt, percent)
-    pairs = late.join(early, (F.col("s.key") == F.col("t.key")) & (F.col("s.lid") > F.col("t.lid")) & length & position)
+    apart = F.bit_count(F.col("s.bits").bitwiseXOR(F.col("t.bits")))
+    bitmap = ns + nt - apart >= 2 * _least(ns, nt, percent)
+    pairs = late.join(early, (F.col("s.key") == F.col("t.key")) & (F.col("s.lid") > F.col("t.lid")) & length & position & bitmap)
     pairs = cut(pairs.select(F.col("s.lid").alias("late"), F.col("t.lid").alias("early")).distinct(), "lines-candidates")
     found = _matched(pairs, sets, docs, id_col, text_col, percent)
     gone = cut(equal.unionByName(done).unionByName(found), "lines-gone")
