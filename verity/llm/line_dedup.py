@@ -58,7 +58,8 @@ def _tokens(line: Column, levels: Column) -> Column:
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """One row per line: number in the order of the corpus, place, size and hashes of its token set,
-    64-bit bitmap, and prefix. Documents are sorted by range of their ids first."""
+    64 bits of which each tells if an odd number of tokens fell on it, and prefix. Two sets differ in
+    as many tokens as their bits differ, or more. Documents are sorted by range of their ids first."""
     levels = _levels(docs, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text")).where("_text is not null")
     ordered = rows.repartitionByRange("_id", "_th").sortWithinPartitions("_id", "_th")
@@ -70,7 +71,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFram
         tokens.select(
             "lid", "_id", "_th", "_line", n.alias("n"),
             F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"),
-            F.aggregate("t", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(bit(k))).alias("bits"),
+            F.aggregate("t", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(bit(k))).alias("bits"),
             F.slice("t", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1).alias("prefix"),
         ),
         "lines-sets",
