@@ -110,9 +110,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Lines of one token set are merged first: the later ones go. The others share a bucket with every
     line that has a token of their prefix. First each line is compared with one line alone, of those
     directly before it in its buckets the one that is so most often; if they match it is done, so a
-    group of many variants of a line costs one pair per variant. Those left are compared with all
-    earlier members of their buckets that pass the length, positional and bitmap filters, so nothing is
-    left out. Sets too small to match a different set are in no bucket.
+    group of many variants of a line costs one pair per variant. Those left meet all earlier members of
+    their buckets that pass the length, positional and bitmap filters: the one with the nearest bitmap
+    first, then, where that is no match, all others, so nothing is left out. Sets too small to match a different set are in no bucket.
     """
     sets = _sets(docs, id_col, text_col, percent).where("n > 0")
     firsts = cut(sets.groupBy("h1", "h2").agg(F.min("lid").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "lines-firsts")
@@ -134,8 +134,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart = F.bit_count(F.col("s.bits").bitwiseXOR(F.col("t.bits")))
     bitmap = ns + nt - apart >= 2 * _least(ns, nt, percent)
     pairs = late.join(early, (F.col("s.key") == F.col("t.key")) & (F.col("s.lid") > F.col("t.lid")) & length & position & bitmap)
-    pairs = cut(pairs.select(F.col("s.lid").alias("late"), F.col("t.lid").alias("early")).distinct(), "lines-candidates")
-    found = _matched(pairs, sets, docs, id_col, text_col, percent)
+    share = apart / (ns + nt)
+    pairs = cut(pairs.select(F.col("s.lid").alias("late"), F.col("t.lid").alias("early"), share.alias("apart")).distinct(), "lines-candidates")
+    best = cut(pairs.groupBy("late").agg(F.min(F.struct("apart", "early")).alias("m")).select("late", "m.early"), "lines-best")
+    near = cut(_matched(best, sets, docs, id_col, text_col, percent), "lines-near")
+    left = pairs.select("late", "early").join(_side(near.withColumnRenamed("lid", "late")), "late", "left_anti").join(best, ["late", "early"], "left_anti")
+    found = near.unionByName(_matched(left, sets, docs, id_col, text_col, percent))
     gone = cut(equal.unionByName(done).unionByName(found), "lines-gone")
     return sets.select("lid", "_id", "_th", "_line").join(_side(gone), "lid", "left_semi").drop("lid")
 
