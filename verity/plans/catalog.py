@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verity.functions import text as tx
 from verity.functions.scores import log_mean_exp, vote
-from verity.operators import audit, graphs, metrics, propagate, quality, reports, trajectory
+from verity.operators import audit, graph_edit, graphs, metrics, propagate, quality, reports, trajectory
 from verity.operators.calibration import fit_temperature
 from verity.plans import runner
 from verity.plans.views import view, with_views
@@ -453,3 +453,74 @@ register("audit_report", f"""{R} SELECT code, severity, n FROM (
         view(s, d, "results").selectExpr("instance_id", "model", "if(ord % 7 = 0, estimated_confidence + 2, estimated_confidence) as confidence"),
     ).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
 )
+
+
+# ---------------------------------------------------------------- renderings, edits, spans, usage
+
+
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers' trees as graphs of their own, with names and claims, and their roots."""
+    nodes, edges = trees(spark, sf_dir)
+    own = edges.select(F.col("target").alias("gid"), "source", "target", "relationship_type", "pos")
+    kids = own.select("gid", F.col("source").alias("id"))
+    tops = own.select("gid", F.col("gid").alias("id")).distinct()
+    told = kids.unionByName(tops).join(nodes.drop("gid"), "id")
+    named = told.select("gid", "id", "kind", F.concat(F.lit("goal "), "id").alias("goal_name"), F.concat(F.lit("claim "), "id").alias("auditable_claim"), F.lit("").alias("reasoning"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("array<int>").alias("step_numbers"), F.lit(None).cast("string").alias("contribution"))
+    return named, own, tops.select("gid", F.col("id").alias("root"))
+
+
+register("render_compact", f"""{T}, kids AS (SELECT target AS gid, string_agg('Node: goal ' || source || chr(10) || 'Claim: claim ' || source || chr(10) || 'Parents: goal ' || target, chr(10) || chr(10) ORDER BY pos) AS k FROM te GROUP BY target)
+SELECT gid, sha256('Node: goal ' || gid || chr(10) || 'Claim: claim ' || gid || chr(10) || 'Parents: None' || chr(10) || chr(10) || k) AS digest FROM kids""")(
+    lambda s, d: graphs.render_compact(*_named(s, d)).select("gid", F.sha2("text", 256).alias("digest"))
+)
+register("render_nested", f"""{T}, kids AS (SELECT target AS gid, string_agg('  - Connection: ' || relationship_type || chr(10) || '    GOAL' || chr(10) || '      Name: goal ' || source || chr(10) || '      Claim: claim ' || source || chr(10) || '      Reasoning: (empty)', chr(10) ORDER BY pos, source) AS k FROM te GROUP BY target)
+SELECT gid, sha256('ROOT GOAL' || chr(10) || '  Name: goal ' || gid || chr(10) || '  Claim: claim ' || gid || chr(10) || '  Reasoning: (empty)' || chr(10) || '  SUBGOALS' || chr(10) || k) AS digest FROM kids""")(
+    lambda s, d: graphs.render_nested(*_named(s, d)).select("gid", F.sha2("text", 256).alias("digest"))
+)
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of a customer built anew: each order is a sub-goal of one strategy of the root."""
+    orders = view(spark, sf_dir, "orders")
+    root = orders.select(F.col("o_custkey").alias("gid")).distinct()
+    start = root.select("gid", F.concat(F.lit("r"), F.col("gid").cast("string")).alias("id"), F.lit(graphs.GOAL).alias("kind"), F.lit("root").alias("goal_name"), F.lit(-1.0).alias("confidence"), F.lit(-1.0).alias("confidence_in_children"))
+    none = spark.createDataFrame([], "gid long, source string, target string, relationship_type string, pos int")
+    goal = F.struct(F.col("o_orderkey").cast("string").alias("identifier"), F.col("o_orderstatus").alias("auditable_claim"), F.lit("").alias("reasoning"))
+    actions = orders.groupBy(F.col("o_custkey").alias("gid")).agg(F.sort_array(F.collect_list(goal)).alias("sub_goals"))
+    kind = F.when(F.size("sub_goals") > 1, graph_edit.DIVIDE).otherwise(graph_edit.PARTICULARIZE)
+    log = actions.select("gid", F.lit(0).alias("seq"), kind.alias("kind"), F.lit("root").alias("target"), "sub_goals", F.lit(0.75).alias("weight"))
+    nodes, edges = graph_edit.apply_actions(start, none, log)
+    ends = edges.join(nodes.select("gid", F.col("id").alias("source"), "goal_name"), ["gid", "source"])
+    top = nodes.where("goal_name = 'root'").select("gid", "confidence_in_children")
+    return ends.join(top, "gid").select("gid", "goal_name", "target", "relationship_type", F.col("pos").cast("long").alias("pos"), "confidence_in_children")
+
+
+register("graph_edits", """SELECT o_custkey AS gid, CAST(o_orderkey AS VARCHAR) AS goal_name, 'r' || o_custkey AS target, CASE WHEN count(*) OVER (PARTITION BY o_custkey) > 1 THEN 'decomposes_from' ELSE 'particularizes' END AS relationship_type,
+row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS pos, CAST(0.75 AS DOUBLE) AS confidence_in_children FROM orders""")(_edited)
+register("token_spans", f"""{V}, t AS (SELECT traj, idx, length(event_type) AS n, sum(length(event_type)) OVER (PARTITION BY traj ORDER BY idx) AS e FROM steps)
+SELECT traj, count(*) AS tokens, sum(n)::BIGINT AS chars FROM t WHERE e > 20 AND e - n < 60 GROUP BY traj""")(
+    lambda s, d: trajectory.overlapping(trajectory.token_spans(view(s, d, "steps").select("traj", F.col("idx").alias("pos"), F.col("event_type").alias("token"))), view(s, d, "steps").select("traj").distinct().select("traj", F.lit(0).alias("region"), F.lit(20).alias("rs"), F.lit(60).alias("re"))).groupBy("traj").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.length("token")).alias("chars"))
+)
+register("usage_labels", f"""{with_views("results_runs")} SELECT run, printf('%.1fK', avg(nullif(total_tokens, -1)) / 1000) AS total_tokens, printf('%.1fK', avg(nullif(generated_tokens, -1)) / 1000) AS gen_tokens,
+printf('$%.2f', ((avg(nullif(total_tokens, -1)) - avg(nullif(generated_tokens, -1))) * CAST(0.289 AS DOUBLE) + avg(nullif(generated_tokens, -1)) * CAST(2.4 AS DOUBLE)) / CAST(1000000 AS DOUBLE)) AS cost FROM results_runs GROUP BY run""")(
+    lambda s, d: reports.usage_labels(reports.with_cost(reports.mean_usage(runs(s, d)).withColumn("model", F.lit("openai/qwen36-27b")), "model").drop("model"))
+)
+register("merged_usage", f"""{with_views("results_runs")} SELECT run, model AS usage_model, count(*) AS calls, sum(total_tokens)::BIGINT AS total_tokens FROM results_runs GROUP BY run, model""")(
+    lambda s, d: reports.merge_usage(runs(s, d).withColumn("usage_by_model", F.create_map("model", F.struct(F.lit(1).cast("long").alias("calls"), F.col("total_tokens").cast("long").alias("total_tokens")))), ["run"])
+)
+register("usage_delta", f"""{R} SELECT instance_id, model, CAST(total_tokens - CASE WHEN ord % 2 = 0 THEN total_tokens ELSE 0 END AS BIGINT) AS total_tokens FROM results WHERE ord % 2 = 1""")(
+    lambda s, d: reports.usage_delta(view(s, d, "results"), view(s, d, "results").where("ord % 2 = 0"), ["instance_id", "model"], ["total_tokens"]).withColumn("total_tokens", F.col("total_tokens").cast("long"))
+)
+register("benchmark_texts", f"""{R} SELECT ord, CASE benchmark WHEN '1-URGENT' THEN 'now' WHEN '2-HIGH' THEN 'soon' ELSE 'later' END AS criteria FROM results""")(
+    lambda s, d: reports.by_benchmark(view(s, d, "results").withColumn("benchmark", F.expr("if(benchmark in ('1-URGENT', '2-HIGH'), benchmark, null)")), "later", {"1-URGENT": "now", "2-HIGH": "soon"}).select("ord", "criteria")
+)
+register("populated_nodes", f"""{T} SELECT gid, id, round(CASE WHEN id LIKE 'c%' THEN CAST(1 AS DOUBLE) / (1 + length(id)) ELSE confidence END, 6) AS confidence FROM tn""")(
+    lambda s, d: _populated(*trees(s, d))
+)
+
+
+def _populated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Inner goals are unset and scored by their names once their children are set."""
+    unset = nodes.withColumn("confidence", F.when(F.col("id").startswith("c"), -1.0).otherwise(F.col("confidence")))
+    done = propagate.populate(unset, edges, lambda rows: rows.select("gid", "id", (1.0 / (1 + F.length("id"))).alias("confidence")))
+    return done.select("gid", "id", "confidence")
