@@ -183,14 +183,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # ---------------------------------------------------------------- by similarity of shingle sets
 
 
-#: 64-bit words of the wide fingerprint, segments of a word, and the width of the shingles it is made of.
-WIDE, CUTS, FINE_WIDTH = 3, (0, 21, 42, 64), 2
+#: 64-bit parts of the wide fingerprint, the segments of a part, and the width of the shingles it is
+#: made of: similar texts share more of their words than of their longer shingles, so their bits are
+#: nearer, and a segment of 32 bits hardly ever agrees by chance.
+WIDE, CUTS, FINE_WIDTH = 4, (0, 32, 64), 1
 #: Share of bits in which candidates may differ.
 FAR = 0.2
 
 
 def wide_fingerprint_of(text: str) -> list[int]:
-    """WIDE signed 64-bit words: the SimHash of the different pairs of neighbouring words."""
+    """WIDE signed 64-bit parts: the SimHash of the different words."""
     words = text.encode().lower().split()
     if not words:
         return [0] * WIDE
@@ -320,7 +322,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents link if the Jaccard similarity of their ``width``-word shingles is ``similarity`` or more;
     every link was verified on the whole texts. Candidates come from SimHash signatures of WIDE times
-    64 bits, cut into segments of 21 or 22 of which one may differ in one bit. Found this way are nearly
+    64 bits, cut into segments of 32 of which one may differ in one bit. Found this way are nearly
     all similar pairs, not provably all: see the README for the measured share.
 
     * Null texts count as empty; texts without a word are one group.
