@@ -91,17 +91,17 @@ def _matched(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
     ns, nt = F.col("late_n"), F.col("early_n")
     apart = F.bit_count(F.col("late_bits").bitwiseXOR(F.col("early_bits")))
     fits = (ns * 100 >= nt * percent) & (nt * 100 >= ns * percent) & (ns + nt - apart >= 2 * _least(ns, nt, percent))
-    close = cut(sized.where(fits).select("late", "early"), "lines-pairs")
+    close = cut(sized.where(fits).select("late", "early", (ns + nt).alias("sizes")), "lines-pairs")
     wanted = cut(close.select(F.col("late").alias("lid")).unionByName(close.select(F.col("early").alias("lid"))).distinct(), "lines-wanted")
     places = cut(sets.select("lid", F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("_line").alias("l")).join(_side(wanted), "lid"), "lines-places")
     lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode(F.split(text_col, "\n")).alias("_line", "_text"))
     same = lines["_id"].eqNullSafe(F.col("i")) & (lines["_th"] == F.col("t")) & (lines["_line"] == F.col("l"))
     texts = cut(lines.join(_side(places), same).select("lid", "_text").dropDuplicates(["lid"]), "lines-texts")
     of = lambda name, text: texts.select(F.col("lid").alias(name), F.col("_text").alias(text))
-    words = lambda text: F.array_distinct(F.array_remove(_words(F.col(text)), "")).alias(text)
-    both = close.join(of("late", "a"), "late").join(of("early", "b"), "early").select("late", words("a"), words("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared * 100 >= (F.size("a") + F.size("b") - shared) * percent).select(F.col("late").alias("lid")).distinct()
+    both = close.join(of("late", "a"), "late").join(of("early", "b"), "early")
+    # shared / (sizes - shared) >= percent / 100, with what is shared worked out once
+    shared = F.size(F.array_intersect(F.array_remove(_words(F.col("a")), ""), _words(F.col("b"))))
+    return both.where(shared * (100 + percent) >= F.col("sizes") * percent).select(F.col("late").alias("lid")).distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
