@@ -127,3 +127,22 @@ def test_similar_groups_against_all_pairs(spark):
         assert all(b[1] <= a[1] for a, b in zip(got, want, strict=True))
     stay = {r.doc_id for r in op.drop_near_duplicates(docs).collect()}
     assert stay >= {900, 903, 905, 907, None} and not stay & {901, 902, 904, 906}
+
+
+def groups_of(spark, texts, block=op.BLOCK):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.component_id for r in op.similar_groups(docs, block=block).collect()}
+
+
+def test_passages_appended_removed_and_replaced(spark):
+    """Pairs at a similarity of 0.80 to 0.90 and just below it: each is told by its similarity, none by luck."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(120):
+        words = [f"v{i}" for i in rng.integers(0, 50_000, 204)]
+        more = [f"v{i}" for i in rng.integers(0, 50_000, 60)]
+        texts += [" ".join(words), " ".join([words + more[: 25 + k % 30], words[: 195 - k % 40], words[:90] + more[: 8 + k % 20] + words[98 + k % 20 :]][k % 3])]
+    near = [op.jaccard(a, b, 5) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert sum(0.8 <= x < 0.9 for x in near) > 60 and sum(x < 0.8 for x in near) > 5
+    got = groups_of(spark, texts)
+    assert [got[2 * k + 1] == 2 * k for k in range(120)] == [x >= 0.8 for x in near]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,26 +184,31 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # ---------------------------------------------------------------- by similarity of shingle sets
 
 
-#: 64-bit parts of the wide fingerprint, the segments of a part, and the width of the shingles it is
-#: made of: similar texts share more of their words than of their longer shingles, so their bits are
-#: nearer, and a segment of 32 bits hardly ever agrees by chance.
-WIDE, CUTS, FINE_WIDTH = 4, (0, 32, 64), 1
-#: Share of bits in which candidates may differ.
-FAR = 0.2
+#: Copies of a shingle from which it counts as common, and the common shingles that are told apart. They
+#: only set the order of shingles, and any fixed order gives the same result: a better one fewer candidates.
+COMMON, COMMON_KEYS = 64, 200_000
+#: Shingles that are counted at once, and words whose hashes a task keeps.
+COUNTED_AT_ONCE, CACHED_WORDS = 1 << 20, 300_000
 
 
-def wide_fingerprint_of(text: str) -> list[int]:
-    """WIDE signed 64-bit parts: the SimHash of the different words."""
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+def shingle_hashes(text: str, width: int, hashes: dict[bytes, int]) -> np.ndarray:
+    """Sorted 64-bit hashes of the different ``width``-word shingles; fewer words make one shingle."""
     words = text.encode().lower().split()
-    if not words:
-        return [0] * WIDE
-    shingles = {b" ".join(p) for p in zip(*(words[i:] for i in range(FINE_WIDTH)), strict=False)} or {b" ".join(words)}
-    out = []
-    for seed in range(WIDE):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in shingles), "<u8", len(shingles))
-        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
-    return out
+    of = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    short = min(width, len(words))
+    mixed = np.full(max(1, len(words) - width + 1), short, np.uint64)
+    for k in range(short):
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + of[k : k + len(mixed)]
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(mixed ^ (mixed >> np.uint64(27)))
 
 
 def jaccard(a: str, b: str, width: int) -> float:
@@ -216,21 +222,60 @@ def jaccard(a: str, b: str, width: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def _wide_signatures(nodes: DataFrame) -> DataFrame:
-    """(kind, value, uid): every segment of every word once with each of its bits as wildcard."""
-    keys = []
-    for word in range(WIDE):
-        for start, end in zip(CUTS, CUTS[1:], strict=False):
-            for wild in range(start, end):
-                mask = ((1 << end) - (1 << start)) & ~(1 << wild)
-                signed = mask - (1 << 64) if mask >> 63 else mask
-                keys.append(F.struct(F.lit(64 * word + wild).alias("kind"), F.col(f"f{word}").bitwiseAND(F.lit(signed)).alias("value")))
-    return nodes.select("uid", F.explode(F.array(*keys)).alias("key")).select("key.kind", "key.value", "uid")
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles in the order of their hashes, and for each its rank by count."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = _WordHashes(), [], 0
+
+        def counted() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(shingle_hashes(text, width, words))
+                size += len(held[-1])
+                if size >= COUNTED_AT_ONCE:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
 
-def _runs(batches: Iterator[pa.RecordBatch], width: int, keys: int, held_rows: int):
-    """Sorted rows as (columns, is a row the first of its bucket, rows that were yielded before): batches
-    overlap by at most ``held_rows``, so no bucket is gathered."""
+    total = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    top = total.orderBy(F.desc("n"), "key").limit(COMMON_KEYS).collect()
+    keys = np.array([r["key"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], (len(top) - np.arange(len(top)))[order]
+
+
+def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
+    """``rows`` (_id, h1, h2, text) with the size of the shingle set and its prefix in place of the text:
+    in the order from rare to common, so many shingles that similar sets share one of them."""
+    keys, ranks = common
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _WordHashes()
+        for batch in batches:
+            sizes, own = [], []
+            for text in batch.column(3).to_pylist():
+                found = shingle_hashes(text, width, words)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                    found = found[np.argsort(np.where(keys[at] == found, ranks[at], 0), kind="stable")]
+                sizes.append(len(found))
+                own.append(found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1].view(np.int64))
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), prefix], names=["_id", "h1", "h2", "n", "prefix"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(over, f"_id {kind}, h1 long, h2 long, n int, prefix array<bigint>")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int, keys: int):
+    """Sorted rows as (columns, is a row the first of its bucket, rows that were yielded before): a bucket
+    that may go on is held whole, as large as it is."""
     held: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -244,107 +289,136 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int, keys: int, held_rows: i
         for column in now[:keys]:
             fresh[1:] |= column[1:] != column[:-1]
         yield now, fresh, before
-        held = [x[-held_rows:] for x in now]
+        held = [x[np.flatnonzero(fresh)[-1] :] for x in now]
+
+
+ENTRY = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of buckets with more than one member; a row is settled when the next one is seen."""
-    last: list[np.ndarray] = []
-    for now, fresh, before in _runs(batches, 3, 2, 2):
-        alone = fresh & np.r_[fresh[1:], True]
-        # the last row is open until the next batch, and so was the last one of the batch before
-        keep = ~alone
-        settled = slice(max(before - 1, 0), len(alone) - 1)
-        rows = [x[settled][keep[settled]] for x in now]
-        last = [x[-1:] for x in now] if keep[-1] else []
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["kind", "value", "uid"])
-    if last:
-        yield pa.RecordBatch.from_arrays([pa.array(last[0], pa.int32()), pa.array(last[1], pa.int64()), pa.array(last[2], pa.int64())], names=["kind", "value", "uid"])
-
-
-def _nearest_before(block: int):
-    """Each member of a bucket (of two blocks at most) with the nearest of those before it, if near enough."""
-    limit = int(FAR * 64 * WIDE)
+    last: list[np.ndarray] = []  # the row before, and if its bucket has others
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        known = np.zeros(len(now[0]), bool)
+        if last:
+            now, known = [np.concatenate([x[:1], y]) for x, y in zip(last[:4], now, strict=True)], np.r_[last[4], known]
+        same = now[0][1:] == now[0][:-1]
+        keep = known | np.r_[same, False] | np.r_[False, same]
+        last = [*(x[-1:] for x in now), keep[-1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]], f.type) for x, f in zip(now, ENTRY, strict=True)], schema=ENTRY)
+    if last and last[4][0]:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(last[:4], ENTRY, strict=True)], schema=ENTRY)
+
+
+def _bucket_pairs(similarity: float, tried: bool):
+    """Pairs of the members of a bucket part (key, part, uid, n, pos, root) that sizes and positions allow
+    and no link joins yet: all of them, or (``tried``) those of a member with the one before it and with
+    the first one."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now, fresh, before in _runs(batches, 4 + WIDE, 3, 2 * block):
-            uid, words = now[3], np.stack([x.astype(np.int64).view(np.uint64) for x in now[4:]])
+        for now, fresh, before in _runs(batches, 6, 2):
+            uid, n, pos, root = (x.astype(np.int64) for x in now[2:])
             place = np.arange(len(fresh))
-            depth = place - np.maximum.accumulate(np.where(fresh, place, 0))
+            first = np.maximum.accumulate(np.where(fresh, place, 0))
+            depth = place - first
             depth[:before] = 0  # done with the batch before
-            best, near = np.full(len(uid), limit + 1, np.int16), np.zeros(len(uid), np.int64)
             rows, back = np.flatnonzero(depth), 0
             while len(rows):
                 back += 1
                 rows = rows[depth[rows] >= back]
-                apart = sum(np.bitwise_count(w[rows] ^ w[rows - back]).astype(np.int16) for w in words)
-                closer = apart < best[rows]
-                best[rows[closer]], near[rows[closer]] = apart[closer], rows[closer] - back
-            found = np.flatnonzero(best <= limit)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[found].astype(np.int64)), pa.array(uid[near[found]].astype(np.int64))], names=["src", "dst"])
+                for other in (rows - back, first[rows]) if tried else (rows - back,):
+                    small, large = np.minimum(n[rows], n[other]), np.maximum(n[rows], n[other])
+                    least = np.ceil((small + large) * (similarity / (1 + similarity)) - 1e-9)
+                    fits = (small >= similarity * large - 1e-9) & (np.minimum(n[rows] - pos[rows], n[other] - pos[other]) >= least)
+                    fits &= (root[rows] != root[other]) & (uid[rows] != uid[other])
+                    if fits.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(uid[rows[fits]]), pa.array(uid[other[fits]])], names=["src", "dst"])
+                if tried:
+                    break
 
     return over
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(src, dst) between ``nodes`` (uid, h1, h2 and the words of the wide fingerprint): candidates from
-    shared signatures, of which the Jaccard similarity of the texts (h1, h2, text) is high enough.
-
-    Buckets of one member go first. A bucket of more than ``block`` members is cut into blocks, and
-    every two blocks meet in a task of their own, so no task holds a whole bucket and no pair is left
-    out. A member is linked to the nearest one before it, not to all.
+    """(src, dst) between ``nodes`` (uid, h1, h2, n, prefix): links of enough Jaccard similarity of the
+    texts (h1, h2, text) that connect all that such links connect.
+
+    Similar sets have a shingle of their prefixes in common, so they meet in its bucket. Buckets of one
+    member go first. A bucket of more than ``block`` members is cut into blocks, and every two blocks
+    meet in a task of their own, so no task holds a whole bucket and no pair is left out. Each member is
+    first compared with one earlier member, of those next to it in its buckets the one that is so most
+    often; then all pairs that verified links do not join yet are compared, the likeliest one of each
+    member before the others.
     """
-    sigs = _wide_signatures(nodes).repartition("kind", "value").sortWithinPartitions("kind", "value", "uid")
-    shared = cut(sigs.mapInArrow(_shared_only, "kind int, value long, uid long"), "similar-shared")
-    hot = cut(shared.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "similar-hot")
-    side = F.broadcast(hot) if hot.count() <= 100_000 else hot
-    cuts, own = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("long"), F.pmod(F.xxhash64("uid"), F.col("cuts"))
-    split = shared.join(side, ["kind", "value"], "left").select("kind", "value", "uid", cuts.alias("cuts"))
-    split = split.select("kind", "value", "uid", "cuts", own.alias("own"), F.explode(F.expr("sequence(0L, cuts - 1)")).alias("other"))
-    dealt = split.select("kind", "value", (F.least("own", "other") * F.col("cuts") + F.greatest("own", "other")).alias("part"), "uid")
-    prints = nodes.select("uid", *[f"f{w}" for w in range(WIDE)])
-    placed = dealt.join(prints, "uid").select("kind", "value", "part", "uid", *[f"f{w}" for w in range(WIDE)]).repartition("kind", "value", "part").sortWithinPartitions("kind", "value", "part", "uid")
-    pairs = cut(placed.mapInArrow(_nearest_before(block), "src long, dst long").distinct(), "similar-pairs")
-    wanted = cut(pairs.select(F.col("src").alias("uid")).unionByName(pairs.select(F.col("dst").alias("uid"))).distinct().join(nodes.select("uid", "h1", "h2"), "uid"), "similar-wanted")
-    found = cut(texts.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, ["h1", "h2"]).select("uid", "text").dropDuplicates(["uid"]), "similar-texts")
+    entries = nodes.select("uid", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "uid", "n", "pos")
+    shared = cut(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_only, "key long, uid long, n int, pos int"), "similar-shared")
+    hot = cut(shared.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block), "similar-hot")
+    n_hot = hot.count()
+    if n_hot:
+        side = F.broadcast(hot) if n_hot <= 100_000 else hot
+        cuts, own = F.coalesce(F.ceil(F.col("c") / block), F.lit(1)).cast("long"), F.pmod(F.xxhash64("uid"), F.col("cuts"))
+        split = shared.join(side, "key", "left").select("key", "uid", "n", "pos", cuts.alias("cuts"))
+        split = split.select("key", "uid", "n", "pos", "cuts", own.alias("own"), F.explode(F.expr("sequence(0L, cuts - 1)")).alias("other"))
+        dealt = split.select("key", (F.least("own", "other") * F.col("cuts") + F.greatest("own", "other")).alias("part"), "uid", "n", "pos")
+    else:
+        dealt = shared.select("key", F.lit(0).cast("long").alias("part"), "uid", "n", "pos")
+
+    def pairs_of(rows: DataFrame, tried: bool, name: str) -> DataFrame:
+        placed = rows.select("key", "part", "uid", "n", "pos", "root").repartition("key", "part").sortWithinPartitions("key", "part", "uid")
+        return cut(placed.mapInArrow(_bucket_pairs(similarity, tried), "src long, dst long").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")), name)
+
+    def likeliest(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.groupBy("src").agg(F.max(F.struct("c", "dst")).alias("m")).select("src", "m.dst"), "similar-likeliest")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [jaccard(a, b, width) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
-    both = pairs.join(found.select(F.col("uid").alias("src"), F.col("text").alias("a")), "src").join(found.select(F.col("uid").alias("dst"), F.col("text").alias("b")), "dst")
-    return both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = cut(pairs.select(F.col("src").alias("uid")).unionByName(pairs.select(F.col("dst").alias("uid"))).distinct().join(nodes.select("uid", "h1", "h2"), "uid"), "similar-wanted")
+        found = cut(texts.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, ["h1", "h2"]).select("uid", "text").dropDuplicates(["uid"]), "similar-texts")
+        both = pairs.join(found.select(F.col("uid").alias("src"), F.col("text").alias("a")), "src").join(found.select(F.col("uid").alias("dst"), F.col("text").alias("b")), "dst")
+        return cut(both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long"), "similar-links")
+
+    links = verified(likeliest(pairs_of(dealt.withColumn("root", F.col("uid")), True, "similar-tried")))
+    roots = connected_components(links).withColumnRenamed("node", "uid")
+    pairs = pairs_of(dealt.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")), False, "similar-pairs")
+    best = likeliest(pairs)
+    links = links.unionByName(verified(best))
+    roots = connected_components(links)
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    left = pairs.select("src", "dst").join(best, ["src", "dst"], "left_anti").join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    left = cut(left.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst"), "similar-left")
+    return links if left.isEmpty() else links.unionByName(verified(left))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """One row per document: the id and ``component_id``, the smallest id of its group.
 
     Documents link if the Jaccard similarity of their ``width``-word shingles is ``similarity`` or more;
-    every link was verified on the whole texts. Candidates come from SimHash signatures of WIDE times
-    64 bits, cut into segments of 32 of which one may differ in one bit. Found this way are nearly
-    all similar pairs, not provably all: see the README for the measured share.
+    every link was verified on the whole texts. Candidates come from an exact prefix, length and
+    positional filter over the sets of 64-bit shingle hashes, so no similar pair is missed.
 
     * Null texts count as empty; texts without a word are one group.
     * Equal texts are one node, however many rows share it. Null ids are ignored when the smallest is taken.
     * Other columns are not looked at; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-
-    @pandas_udf(", ".join(f"f{w} long" for w in range(WIDE)))
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_fingerprint_of(t) for t in texts], columns=[f"f{w}" for w in range(WIDE)], dtype="int64")
-
     hashed = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
-    rows = cut(docs.select(F.col(id_col).alias("_id"), *hashed, prints(text).alias("f")).select("_id", "h1", "h2", "f.*"), "similar-rows")
-    merged = rows.groupBy("h1", "h2").agg(F.min("_id").alias("low"), *[F.first(f"f{w}").alias(f"f{w}") for w in range(WIDE)])
+    common = _common(docs.select(text.alias("text")), width)
+    rows = cut(_prefixes(docs.select(F.col(id_col).alias("_id"), *hashed, text.alias("text")), common, width, similarity), "similar-rows")
+    merged = rows.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = cut(merged.withColumn("uid", F.monotonically_increasing_id()), "similar-nodes")
     links = similar_links(nodes, docs.select(*hashed, text.alias("text")), width, similarity, block)
     roots = connected_components(links).withColumnRenamed("node", "uid")
     rooted = cut(nodes.select("uid", "h1", "h2", "low").join(roots, "uid", "left").select("h1", "h2", "low", F.coalesce("root", "uid").alias("root")), "similar-rooted")
     lowest = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "similar-lowest")
     classes = cut(rooted.join(lowest, "root").select("h1", "h2", "component_id"), "similar-classes")
-    return rows.join(classes, ["h1", "h2"]).select(F.col("_id").alias(id_col), "component_id")
+    return rows.select("_id", "h1", "h2").join(classes, ["h1", "h2"]).select(F.col("_id").alias(id_col), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
