@@ -146,3 +146,32 @@ def test_passages_appended_removed_and_replaced(spark):
     assert sum(0.8 <= x < 0.9 for x in near) > 60 and sum(x < 0.8 for x in near) > 5
     got = groups_of(spark, texts)
     assert [got[2 * k + 1] == 2 * k for k in range(120)] == [x >= 0.8 for x in near]
+
+
+def test_a_nearer_earlier_document_hides_no_similar_one(spark):
+    """D has the words of B in another order, and comes between B and the document B was edited from."""
+    rng = np.random.default_rng(9)
+    words = [f"v{i}" for i in rng.permutation(50_000)[:400]]
+    edited = [*words[:200], "edit", *words[201:]]
+    texts = [" ".join(words), *(" ".join(rng.permutation(edited)) for _ in range(30)), " ".join(edited)]
+    texts += [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(10, 390, 9)]
+    for block in (op.BLOCK, 5):
+        got = groups_of(spark, texts, block)
+        assert got == {**{k: k for k in range(31)}, **dict.fromkeys(range(31, len(texts)), 0)}
+
+
+def test_links_to_all_candidates_not_only_to_the_likeliest(spark):
+    """A shares more of its prefix with B than with C, but only C is similar to it."""
+    rng = np.random.default_rng(10)
+    texts = []
+    for _ in range(60):
+        words = [f"v{i}" for i in rng.integers(0, 50_000, 150)]
+        texts += [" ".join([*words[:k], f"x{k}", *words[k + 4 :]]) for k in rng.integers(1, 140, 3)]
+        texts += [" ".join(words[: rng.integers(90, 150)]) for _ in range(3)]
+    root = list(range(len(texts)))
+    for k in range(len(texts)):
+        for m in range(6 * (k // 6), k):
+            if op.jaccard(texts[k], texts[m], 5) >= 0.8:
+                root = [min(root[k], root[m]) if r in (root[k], root[m]) else r for r in root]
+    for block in (op.BLOCK, 2):
+        assert groups_of(spark, texts, block) == dict(enumerate(root))
