@@ -141,3 +141,23 @@ def test_thresholds_and_temperature():
     assert ((moved >= 0.5) == (labels == 1)).all() and (np.diff(moved) < 0).all()
     logits = np.array([4.0, 4.0, 4.0, -4.0, -4.0, -4.0])
     assert nets.temperature(logits, np.array([1, 1, 0, 0, 0, 1]), np.ones(6)) > 3
+
+
+def test_language_rejects_by_distance_and_keeps_clean_short_texts(tables):
+    docs, _ = tables
+    docs = docs[[bool(t and language_id.LETTER.search(t)) for t in docs.text]]
+    learn = docs[docs.doc_id % 2 == 0]
+    model = language_id.fit(np.stack([language_id.gram_counts(t) for t in learn.text]), learn.lang.tolist())
+    rng = np.random.default_rng(6)
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı",
+        "def unit(x: np.ndarray) -> np.ndarray:\n    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)\n" * 3,
+        " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(200)),
+        "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"), 2000)),
+    ]
+    assert model.predict(foreign)[2] == [False] * len(foreign)
+    rest = docs[docs.doc_id % 2 == 1]
+    short = [" ".join(t.split()[:6]) for t in rest.text]
+    for texts, share in ((rest.text.tolist(), 0.98), (short, 0.95)):
+        assert np.mean(model.predict(texts)[2]) > share

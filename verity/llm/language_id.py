@@ -17,8 +17,12 @@ COLUMNS, GRAMS = 4096, (2, 3)
 PER_LANGUAGE, MAX_LANGUAGES = 600, 200
 #: Centroids of a language.
 CLUSTERS = 4
-#: A text is rejected when its cosine is below this share of the least cosine seen in training.
-SLACK = 0.25
+#: A text is rejected when its cosine, or its margin to the second language, is below this share of the
+#: low percentile that held-out texts of its language and length reach.
+SHARE, PERCENTILE = 0.5, 1.0
+#: Levels of length, each four times the one before (in n-grams), rows of a language that are thinned to
+#: every level below their own, and values from which a level has bounds of its own.
+LENGTHS, THINNED, LEAST_VALUES = 12, 200, 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -45,7 +49,7 @@ class LanguageModel:
     names: list[str]  # by centroid
     idf: np.ndarray
     centroids: np.ndarray  # unit rows
-    least_cosine: np.ndarray  # by centroid; below it a text is rejected
+    bounds: np.ndarray  # by language, level of length: least cosine and least margin
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return unit(np.log1p(counts).astype(np.float32) * self.idf)
@@ -55,19 +59,42 @@ class LanguageModel:
         live = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
         if not live or not self.names:
             return pick, score, accepted
-        near = self.vectors(np.stack([gram_counts(texts[i]) for i in live])) @ self.centroids.T
+        counts = np.stack([gram_counts(texts[i]) for i in live])
         languages = sorted(set(self.names))
-        by = np.stack([near[:, [k for k, n in enumerate(self.names) if n == name]].max(axis=1) for name in languages], axis=1)
+        by = by_language(self.vectors(counts) @ self.centroids.T, self.names)
         shares = np.exp(20 * (by - by.max(axis=1, keepdims=True)))
         shares /= shares.sum(axis=1, keepdims=True)
-        best, centroid = by.argmax(axis=1), near.argmax(axis=1)
+        best = by.argmax(axis=1)
+        cosine, ahead = nearness(by, best)
+        least = self.bounds[best, level(counts)]
+        stays = (cosine >= least[:, 0]) & (ahead >= least[:, 1])
         for row, i in enumerate(live):
             pick[i] = languages[best[row]]
             score[i] = float(shares[row, best[row]])
-            accepted[i] = bool(near[row, centroid[row]] >= self.least_cosine[centroid[row]])
+            accepted[i] = bool(stays[row])
         return pick, score, accepted
 
 
+def level(counts: np.ndarray) -> np.ndarray:
+    """The level of length of each row of counts."""
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)) / 2, LENGTHS - 1).astype(int)
+
+
+def by_language(near: np.ndarray, names: list[str]) -> np.ndarray:
+    """The greatest cosine of each row (of cosines to centroids) by language, in order of the names."""
+    own = np.array(names)
+    return np.stack([near[:, own == name].max(axis=1) for name in sorted(set(names))], axis=1)
+
+
+def nearness(by: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cosine of each row to its language, and by how much it exceeds that to any other."""
+    rows = np.arange(len(by))
+    cosine = by[rows, language]
+    others = np.c_[by, np.zeros(len(by))]
+    others[rows, language] = -1
+    return cosine, cosine - others.max(axis=1)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
@@ -84,22 +111,62 @@ def cluster(rows: np.ndarray, k: int, seed: int = 3, rounds: int = 12) -> np.nda
 
 def fit(counts: np.ndarray, languages: list[str], clusters: int = CLUSTERS) -> LanguageModel:
     if not len(languages):
-        return LanguageModel([], np.ones(COLUMNS, np.float32), np.zeros((0, COLUMNS), np.float32), np.zeros(0, np.float32))
+        return LanguageModel([], np.ones(COLUMNS, np.float32), np.zeros((0, COLUMNS), np.float32), np.zeros((0, LENGTHS, 2)))
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    model = LanguageModel([], idf, np.zeros((0, COLUMNS), np.float32), np.zeros(0, np.float32))
+    model = LanguageModel([], idf, np.zeros((0, COLUMNS), np.float32), np.zeros((0, LENGTHS, 2)))
     rows, names = model.vectors(counts), np.array(languages)
-    centroids, least = [], []
-    for name in sorted(set(languages)):
-        own = rows[names == name]
-        centres = cluster(own, min(clusters, len(own)))
-        floor = float((own @ centres.T).max(axis=1).min())
-        centroids.append(centres)
-        least += [SLACK * floor] * len(centres)
-        model.names += [name] * len(centres)
-    model.centroids, model.least_cosine = np.vstack(centroids), np.array(least, np.float32)
+    model.names, model.centroids = centroids_of(rows, names, clusters)
+    model.bounds = bounds_of(model, counts, rows, names, clusters)
     return model
 
 
+def centroids_of(rows: np.ndarray, names: np.ndarray, clusters: int) -> tuple[list[str], np.ndarray]:
+    found, whose = [], []
+    for name in sorted(set(names)):
+        own = rows[names == name]
+        found.append(cluster(own, min(clusters, len(own))))
+        whose += [str(name)] * len(found[-1])
+    return whose, np.vstack(found)
+
+
+def bounds_of(model: LanguageModel, counts: np.ndarray, rows: np.ndarray, names: np.ndarray, clusters: int) -> np.ndarray:
+    """Bounds from both halves of the rows, each held against centroids of the other one. Few texts
+    are short, so rows are also thinned to the least length of each level below their own. A level
+    with few values takes the bounds of the one below it."""
+    rng = np.random.default_rng(5)
+    languages = sorted(set(names))
+    place = np.zeros(len(names), int)
+    for name in languages:
+        place[names == name] = np.arange((names == name).sum())
+    single = np.array([(names == name).sum() < 2 for name in languages])
+    whose = np.searchsorted(languages, names)
+    got: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    for half in (0, 1):
+        held = (place % 2 == half) | single[whose]
+        other = (place % 2 != half) | single[whose]
+        their_names, centroids = centroids_of(rows[other], names[other], clusters)
+        for at in range(LENGTHS):
+            size = 4**at
+            longer = held & (place < THINNED) & (counts.sum(axis=1) > size)
+            thin = [rng.multivariate_hypergeometric(c, size, method="marginals") for c in counts[longer]]
+            vectors = np.vstack([rows[held & (level(counts) == at)], *([model.vectors(np.stack(thin))] if thin else [])])
+            told = np.r_[whose[held & (level(counts) == at)], whose[longer]]
+            if len(told):
+                cosine, ahead = nearness(by_language(vectors @ centroids.T, their_names), told)
+                for language in set(told.tolist()):
+                    got.setdefault((language, at), []).append((cosine[told == language], ahead[told == language]))
+    out = np.zeros((len(languages), LENGTHS, 2))
+    for language in range(len(languages)):
+        for at in range(LENGTHS):
+            own = got.get((language, at), [])
+            if sum(len(c) for c, _ in own) >= LEAST_VALUES:
+                low = [np.percentile(np.concatenate(values), PERCENTILE) for values in zip(*own, strict=True)]
+                out[language, at] = SHARE * np.maximum(low, 0)
+            elif at:
+                out[language, at] = out[language, at - 1]
+    return out
+
+
 def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
     """Fit on at most ``max_languages`` times about ``per_language`` rows, taken by a hash of the id.
     Rows without id, language, text or letter teach nothing. The executors turn whole texts into
@@ -129,8 +196,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", pref
 
     The nearest centroid (cosine) of the whole text names the language. Null texts and texts without
     a letter are ``und`` with score 0 and not accepted; so is all if nothing was learned. Texts
-    further from every centroid than training texts were (by SLACK) keep their name but are not
-    accepted. Other columns pass through; the three columns replace columns of those names.
+    further from the centroids of their language, or nearer to another language, than held-out texts
+    of that language and length (by SHARE) keep their name but are not accepted; of a few letters
+    hardly any can be told. Other columns pass through; the three columns replace columns of those names.
     """
     told = docs.sparkSession.sparkContext.broadcast(model)
     made = [f"{prefix}pred", f"{prefix}score", f"{prefix}accepted"]
