@@ -10,19 +10,47 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where unset (tests), one of our own under /tmp."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, one of our own under /tmp, on a
+    single machine only: on a cluster other machines would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or "file:///tmp/verity-checkpoints").rstrip("/")
 
 
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path, schema = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, so that later steps (and a
     retry after a lost executor) start from the table and not from the work that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return _write(df, name)[0]
+
+
+class Scratch:
+    """Tables that an operator needs while it runs: ``cut`` writes one, the end of the ``with`` block
+    deletes them all. What the operator returns must not read them: it is cut by the function above."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = _write(df, name)
+        self.paths.append(path)
+        return table
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

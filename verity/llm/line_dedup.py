@@ -11,24 +11,32 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verity.llm.common import cut
-
-#: Words are counted over the whole corpus in so many bins; the logarithm of its bin's count is a
-#: word's level. Any fixed order gives the same result, a better one gives fewer candidates.
-RARITY_BITS, LEVELS_AN_OCTAVE = 18, 4
+from verity.llm.common import Scratch, cut
+
+#: Words are counted over the whole corpus in so many bins: shares of the corpus of a millionth are
+#: told apart, and the words at the end of a prefix are more frequent than that in any language. The
+#: logarithm of its bin's count is a word's level. Any fixed order gives the same result, a better one
+#: gives fewer candidates.
+RARITY_BITS, LEVELS_AN_OCTAVE = 20, 4
+#: Bins that travel to the driver as one row.
+BINS_A_ROW = 1024
 #: A token is its level in the upper 8 bits and 55 bits of its hash; of level 0, it is in no other line.
 HASH_BITS = 55
 SHARED = 1 << HASH_BITS
-#: Rarest shared tokens by which a line finds the one earlier line that is tried first.
-TRIED = 3
-#: Rows up to which a side (of a few whole numbers) is broadcast after it was counted; beyond it
-#: Spark shuffles.
+#: Sizes of sets from which a second bitmap tells apart what fills the first one.
+WIDE = 96
+#: Rarest shared tokens by which a line finds the lines that are tried first, and how many lines of each.
+TRIED, BACK = 2, 3
+#: Logarithm of the partitions of the input whose lines are tried together.
+PARTS = 4
+#: Rows (of at most five whole numbers, so 64 MB) up to which a side is broadcast after it was counted;
+#: beyond it Spark shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
-def _side(df: DataFrame) -> DataFrame:
+def _side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A written table, broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def _words(text: Column, blanks: str = "\t\x0b\f\r") -> Column:
@@ -39,42 +47,52 @@ def _words(text: Column, blanks: str = "\t\x0b\f\r") -> Column:
     return F.split(plain, " ")
 
 
+def _bin(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1))
+
+
 def _levels(docs: DataFrame, text_col: str) -> Column:
     """The levels of all bins as a constant array; its size does not depend on the data."""
-    words = docs.select(F.explode(_words(F.col(text_col), "\n\t\x0b\f\r")).alias("word")).where("word <> ''")
-    bins = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    level = ["0"] * (1 << RARITY_BITS)
-    for r in bins.collect():
-        level[r["b"]] = str(int(LEVELS_AN_OCTAVE * math.log2(r["n"])))
-    return F.split(F.lit(",".join(level)), ",").cast("array<smallint>")
+    words = docs.select(F.explode(_words(F.col(text_col), "\n\t\x0b\f\r")).alias("w")).where("w <> ''")
+    words = words.select(_bin(F.xxhash64("w")).alias("b"), F.lit(1).cast("long").alias("n"))
+    none = docs.sparkSession.range(1 << RARITY_BITS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
+    bins = words.unionByName(none).groupBy("b").agg(F.sum("n").alias("n"))
+    level = F.when(F.col("n") > 1, F.floor(LEVELS_AN_OCTAVE * F.log2("n"))).otherwise(0).cast("int").cast("string")
+    told = bins.groupBy(F.floor(F.col("b") / BINS_A_ROW).alias("row")).agg(F.sort_array(F.collect_list(F.struct("b", level.alias("level")))).alias("own"))
+    rows = told.select("row", F.array_join(F.transform("own", lambda x: x["level"]), ",").alias("levels")).collect()
+    return F.split(F.lit(",".join(r["levels"] for r in sorted(rows))), ",").cast("array<smallint>")
 
 
 def _tokens(line: Column, levels: Column) -> Column:
     """The line's different tokens, rarest first."""
     hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
-    at = lambda h: F.element_at(levels, (h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)) + 1).cast("int")).cast("long")
+    at = lambda h: F.get(levels, _bin(h).cast("int")).cast("long")
     return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(at(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS)))))
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """One row per line: number in the order of the corpus, place, size and hashes of its token set,
-    64 bits of which each tells if an odd number of tokens fell on it, and prefix. Two sets differ in
-    as many tokens as their bits differ, or more. Documents are sorted by range of their ids first."""
+    """One row per line with a word: any number of its own (``lid``), place, size and two hashes of its
+    token set, and the part of its prefix that is in other lines: 31 bits of each token, and how many
+    tokens come before. 64 bits of ``bits`` each tell if an odd number of tokens fell on it; ``half`` has
+    those of one half of all tokens, for large sets. Two sets differ in as many tokens as their bits
+    differ, or more."""
     levels = _levels(docs, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text")).where("_text is not null")
-    ordered = rows.repartitionByRange("_id", "_th").sortWithinPartitions("_id", "_th")
-    lines = ordered.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_line", "_text"))
-    tokens = lines.select(F.monotonically_increasing_id().alias("lid"), "_id", "_th", "_line", _tokens(F.col("_text"), levels).alias("t"))
+    lines = rows.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_line", "_text"))
+    tokens = lines.select("_id", "_th", "_line", _tokens(F.col("_text"), levels).alias("t"))
     n = F.size("t")
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    return cut(
-        tokens.select(
-            "lid", "_id", "_th", "_line", n.alias("n"),
-            F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"),
-            F.aggregate("t", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(bit(k))).alias("bits"),
-            F.slice("t", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1).alias("prefix"),
-        ),
-        "lines-sets",
+    parity = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(bit(k)))
+    prefix = F.slice("t", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
+    told = tokens.select(
+        "_id", "_th", "_line", n.alias("n"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), parity(F.col("t")).alias("bits"),
+        F.when(n >= WIDE, parity(F.filter("t", lambda k: k.bitwiseAND(F.lit(64)) > 0))).alias("half"),
+        F.size(prefix).alias("size"), F.filter(prefix, lambda k: k >= SHARED).alias("shared"),
+    )
+    return told.select(
+        F.monotonically_increasing_id().alias("lid"), "_id", "_th", "_line", "n", "h1", "h2", "bits", "half",
+        (F.col("size") - F.size("shared")).alias("alone"),
+        F.transform("shared", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
     )
 
 
@@ -83,65 +101,99 @@ def _least(ns: Column, nt: Column, percent: int) -> Column:
     return F.floor(((ns + nt) * percent + 99 + percent) / (100 + percent))
 
 
-def _matched(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The later lines (``lid``) of those pairs (late, early) whose word sets are similar. Sizes and
-    bitmaps are compared first, the words of what is left come from the documents."""
-    own = lambda name: sets.select(F.col("lid").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
-    sized = pairs.join(own("late"), "late").join(own("early"), "early")
-    ns, nt = F.col("late_n"), F.col("early_n")
-    apart = F.bit_count(F.col("late_bits").bitwiseXOR(F.col("early_bits")))
-    fits = (ns * 100 >= nt * percent) & (nt * 100 >= ns * percent) & (ns + nt - apart >= 2 * _least(ns, nt, percent))
-    close = cut(sized.where(fits).select("late", "early", (ns + nt).alias("sizes")), "lines-pairs")
-    wanted = cut(close.select(F.col("late").alias("lid")).unionByName(close.select(F.col("early").alias("lid"))).distinct(), "lines-wanted")
-    places = cut(sets.select("lid", F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("_line").alias("l")).join(_side(wanted), "lid"), "lines-places")
-    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode(F.split(text_col, "\n")).alias("_line", "_text"))
-    same = lines["_id"].eqNullSafe(F.col("i")) & (lines["_th"] == F.col("t")) & (lines["_line"] == F.col("l"))
-    texts = cut(lines.join(_side(places), same).select("lid", "_text").dropDuplicates(["lid"]), "lines-texts")
-    of = lambda name, text: texts.select(F.col("lid").alias(name), F.col("_text").alias(text))
-    both = close.join(of("late", "a"), "late").join(of("early", "b"), "early")
-    # shared / (sizes - shared) >= percent / 100, with what is shared worked out once
-    shared = F.size(F.array_intersect(F.array_remove(_words(F.col("a")), ""), _words(F.col("b"))))
-    return both.where(shared * (100 + percent) >= F.col("sizes") * percent).select(F.col("late").alias("lid")).distinct()
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def _apart(s: str, t: str) -> Column:
+    """Bits in which the bitmaps of two sets differ."""
+    bits, half = F.col(f"{s}bits").bitwiseXOR(F.col(f"{t}bits")), F.col(f"{s}half").bitwiseXOR(F.col(f"{t}half"))
+    return F.coalesce(F.bit_count(half) + F.bit_count(bits.bitwiseXOR(half)), F.bit_count(bits))
+
+
+def _near(s: str, t: str, percent: int) -> Column:
+    """Sizes and bitmaps allow that the sets are similar."""
+    ns, nt = F.col(f"{s}n"), F.col(f"{t}n")
+    return (ns * 100 >= nt * percent) & (nt * 100 >= ns * percent) & (ns + nt - _apart(s, t) >= 2 * _least(ns, nt, percent))
+
+
+def _matched(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
+    """(lid) of the later lines of those pairs (a, b) whose sets of words are similar, told from the texts."""
+    wanted = scratch.cut(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct(), "lines-wanted")
+    places = scratch.cut(sets.select("lid", "_id", "_th", "_line").join(_side(wanted), "lid"), "lines-places")
+    by_doc = scratch.cut(places.groupBy(F.col("_id").alias("i"), F.col("_th").alias("t")).agg(F.collect_list(F.struct("lid", "_line")).alias("at")), "lines-by-place")
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text")).where("_text is not null")
+    found = own.join(_side(by_doc, places.count()), own["_id"].eqNullSafe(F.col("i")) & (own["_th"] == F.col("t")))
+    lines = found.select("_id", "_th", "at", F.split("_text", "\n").alias("lines"))
+    placed = lines.select("_id", "_th", F.explode(F.transform("at", lambda p: F.struct(p["lid"].alias("lid"), p["_line"].alias("line"), F.get("lines", p["_line"]).alias("text")))).alias("p"))
+    texts = scratch.cut(placed.select("p.lid", F.struct("_id", "_th", "p.line", "p.lid").alias("o"), F.array_distinct(F.array_remove(_words(F.col("p.text")), "")).alias("w")), "lines-texts")
+    of = lambda k: texts.select(F.col("lid").alias(k), F.col("o").alias(f"o{k}"), F.col("w").alias(f"w{k}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("wa", "wb")))
+    # shared / (sizes - shared) >= percent / 100
+    similar = both.where(F.col("shared") * (100 + percent) >= (F.size("wa") + F.size("wb")) * percent)
+    return scratch.cut(similar.select(F.when(F.col("oa") > F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct(), "lines-matched")
+
+
+def _tried(unique: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each line, of the lines just before it among those that have one of its rarest shared
+    tokens, the one with the nearest bitmap, if it may be similar. A token's lines are taken by the part of
+    the corpus they came from, so none is too many for a task."""
+    kept = ["lid", "n", "bits", "half"]
+    heads = unique.select(*kept, "_id", "_line", F.shiftright("lid", 33 + PARTS).alias("part"), F.explode(F.slice("prefix", 1, TRIED)).alias("key"))
+    order = Window.partitionBy("key", "part").orderBy("_id", "_line", "lid")
+    before = [F.lag(F.struct(*kept), k).over(order) for k in range(1, BACK + 1)] + [F.first(F.struct(*kept)).over(order)]
+    seen = heads.select(F.struct(*kept).alias("s"), F.array(*before).alias("before"))
+    pairs = seen.select("s", F.explode("before").alias("t")).where("t.lid <> s.lid")
+    likely = pairs.where(_near("s.", "t.", percent)).groupBy(F.col("s.lid").alias("a")).agg(F.min(F.struct(_apart("s.", "t.").alias("apart"), F.col("t.lid").alias("b"))).alias("m"))
+    return likely.select("a", "m.b")
+
+
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
     """(_id, _th, _line) of the lines that match an earlier line.
 
     Lines of one token set are merged first: the later ones go. The others share a bucket with every
-    line that has a token of their prefix. First each line is compared with one line alone, of those
-    directly before it in its buckets the one that is so most often; if they match it is done, so a
-    group of many variants of a line costs one pair per variant. Those left meet all earlier members of
-    their buckets that pass the length, positional and bitmap filters: the one with the nearest bitmap
-    first, then, where that is no match, all others, so nothing is left out. Sets too small to match a different set are in no bucket.
+    line that has a token of their prefix. Each line is first compared with one line that is likely to be
+    similar; the later one of a similar pair is done, so a group of many variants of a line costs a few
+    pairs per variant. Then all pairs of a bucket that pass the length, positional and bitmap filters are
+    compared, but for those of two lines that are done, so nothing is left out. Sets too small to match a
+    different set are in no bucket.
     """
-    sets = _sets(docs, id_col, text_col, percent).where("n > 0")
-    firsts = cut(sets.groupBy("h1", "h2").agg(F.min("lid").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "lines-firsts")
-    equal = cut(sets.select("h1", "h2", "lid").join(firsts, ["h1", "h2"]).where("lid > first").select("lid"), "lines-equal")
-    unique = sets.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).join(_side(equal), "lid", "left_anti").select("lid", "n", "bits", "prefix")
-
-    heads = unique.select("lid", F.explode(F.slice(F.filter("prefix", lambda k: k >= SHARED), 1, TRIED)).alias("key"))
-    before = F.lag("lid").over(Window.partitionBy("key").orderBy("lid"))
-    tried = heads.select(F.col("lid").alias("late"), before.alias("early")).where("early is not null").groupBy("late", "early").agg(F.count(F.lit(1)).alias("c"))
-    one = tried.groupBy("late").agg(F.max(F.struct("c", "early")).alias("m")).select("late", "m.early")
-    done = cut(_matched(cut(one, "lines-tried"), sets, docs, id_col, text_col, percent), "lines-done")
-
-    entries = lambda rows: rows.select("lid", "n", "bits", F.posexplode("prefix").alias("pos", "key")).where(F.col("key") >= SHARED)
-    late = entries(unique.join(_side(done), "lid", "left_anti")).alias("s")
-    early = entries(unique).alias("t")
-    ns, nt = F.col("s.n"), F.col("t.n")
-    length = (ns * 100 >= nt * percent) & (nt * 100 >= ns * percent)
-    position = F.least(ns - F.col("s.pos"), nt - F.col("t.pos")) >= _least(ns, nt, percent)
-    apart = F.bit_count(F.col("s.bits").bitwiseXOR(F.col("t.bits")))
-    bitmap = ns + nt - apart >= 2 * _least(ns, nt, percent)
-    pairs = late.join(early, (F.col("s.key") == F.col("t.key")) & (F.col("s.lid") > F.col("t.lid")) & length & position & bitmap)
-    share = apart / (ns + nt)
-    pairs = cut(pairs.select(F.col("s.lid").alias("late"), F.col("t.lid").alias("early"), share.alias("apart")).distinct(), "lines-candidates")
-    best = cut(pairs.groupBy("late").agg(F.min(F.struct("apart", "early")).alias("m")).select("late", "m.early"), "lines-best")
-    near = cut(_matched(best, sets, docs, id_col, text_col, percent), "lines-near")
-    left = pairs.select("late", "early").join(_side(near.withColumnRenamed("lid", "late")), "late", "left_anti").join(best, ["late", "early"], "left_anti")
-    found = near.unionByName(_matched(left, sets, docs, id_col, text_col, percent))
-    gone = cut(equal.unionByName(done).unionByName(found), "lines-gone")
-    return sets.select("lid", "_id", "_th", "_line").join(_side(gone), "lid", "left_semi").drop("lid")
+    sets = scratch.cut(_sets(docs, id_col, text_col, percent), "lines-sets").where("n > 0")
+    many = scratch.cut(sets.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2"), "lines-many")
+    own = scratch.cut(sets.select("h1", "h2", F.struct("_id", "_th", "_line", "lid").alias("at")).join(_side(many), ["h1", "h2"]), "lines-equal-places")
+    firsts = own.groupBy("h1", "h2").agg(F.min("at").alias("first")).select(F.col("first.lid").alias("lid"))
+    equal = scratch.cut(own.select("at.lid").join(_side(scratch.cut(firsts, "lines-firsts")), "lid", "left_anti"), "lines-equal")
+    able = sets.where((F.col("n") * 100 >= (F.col("n") + 1) * percent) & (F.size("prefix") > 0))
+    unique = able.join(_side(equal), "lid", "left_anti").drop("h1", "h2", "_th")
+    matched = lambda pairs: _matched(pairs, sets, docs, id_col, text_col, percent, scratch)
+    done = matched(scratch.cut(_tried(unique, percent), "lines-tried"))
+
+    flagged = unique.join(_side(done.withColumn("_done", F.lit(1))), "lid", "left")
+    sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("alone").cast("long"))
+    entry = flagged.select("lid", F.coalesce("_done", F.lit(0)).alias("done"), sizes.alias("sizes"), "bits", "half", F.posexplode("prefix").alias("pos", "key"))
+    # size, place and if it is done in one number: both sides of the join are then one shuffled table
+    code = F.col("sizes") * 2 + F.col("pos") * 2 + F.col("done")
+    entries = entry.select("key", "lid", code.alias("code"), "bits", "half").where("lid is not null and code is not null and bits is not null and key is not null")
+    told = lambda k: {f"{k}n": F.shiftright(f"{k}.code", 33).cast("int"), f"{k}pos": F.shiftright(F.col(f"{k}.code").bitwiseAND(F.lit((1 << 33) - 1)), 1).cast("int"), f"{k}done": F.col(f"{k}.code").bitwiseAND(F.lit(1))}
+    s, t = told("s"), told("t")
+    ns, nt = s["sn"], t["tn"]
+    least = _least(ns, nt, percent)
+    fits = (ns * 100 >= nt * percent) & (nt * 100 >= ns * percent) & (F.least(ns - s["spos"], nt - t["tpos"]) >= least) & (ns + nt - _apart("s.", "t.") >= 2 * least)
+    joined = entries.alias("s").join(entries.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.lid") > F.col("t.lid")) & (s["sdone"] + t["tdone"] < 2) & fits)
+    pairs = scratch.cut(joined.select(F.col("s.lid").alias("a"), F.col("t.lid").alias("b")).distinct(), "lines-candidates")
+    found = matched(pairs)
+    every = scratch.cut(equal.unionByName(done).unionByName(found).distinct(), "lines-gone")
+    return sets.select("lid", "_id", "_th", "_line").join(_side(every), "lid", "left_semi").drop("lid")
+
+
+def _gone_by_document(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(_id, _th, _gone): of each document that loses lines, their numbers in order."""
+    with Scratch(docs.sparkSession) as scratch:
+        gone = repeated_lines(docs.select(id_col, text_col), id_col, text_col, percent, scratch)
+        # rows that repeat: their second copy is all repeated lines, but they take the answer of the first
+        per_line = gone.groupBy("_id", "_th", "_line").agg(F.count(F.lit(1)).alias("_n"))
+        rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th")).groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("_rows"))
+        many = scratch.cut(rows.where("_rows > 1"), "lines-repeated-rows")
+        told = per_line.join(_side(many), per_line["_id"].eqNullSafe(many["_id"]) & (per_line["_th"] == many["_th"]), "left")
+        told = told.where(F.col("_n") >= F.coalesce("_rows", F.lit(1))).select(per_line["_id"].alias("_id"), per_line["_th"].alias("_th"), "_line")
+        return cut(told.groupBy("_id", "_th").agg(F.sort_array(F.collect_list("_line")).alias("_gone")), "lines-by-document")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -158,16 +210,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     source = docs.select(*[f"`{c}`" for c in names]).withColumn("__th", F.xxhash64(text_col))
-    gone = repeated_lines(docs.select(id_col, text_col), id_col, text_col, percent)
-    # rows that repeat: their second copy is all repeated lines, but they take the answer of the first
-    copies = F.count(F.lit(1)).alias("_n")
-    per_line = gone.groupBy("_id", "_th", "_line").agg(copies)
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th")).groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("_rows"))
-    many = cut(rows.where("_rows > 1"), "lines-repeated-rows")
-    told = per_line.join(_side(many), per_line["_id"].eqNullSafe(many["_id"]) & (per_line["_th"] == many["_th"]), "left")
-    told = told.where(F.col("_n") >= F.coalesce("_rows", F.lit(1))).select(per_line["_id"].alias("_id"), per_line["_th"].alias("_th"), "_line")
-    by_doc = cut(told.groupBy("_id", "_th").agg(F.sort_array(F.collect_list("_line")).alias("_gone")), "lines-by-document")
-    side = _side(by_doc)
+    by_doc = _gone_by_document(docs, id_col, text_col, percent)
+    lines_gone = by_doc.agg(F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()[0]
+    side = _side(by_doc, lines_gone)
     joined = source.join(side, source[id_col].eqNullSafe(by_doc["_id"]) & (source["__th"] == by_doc["_th"]), "left")
     lines, gone_at = F.split(F.col(text_col), "\n"), F.col("_gone")
     since = F.concat(F.array(F.lit(-1)), F.slice(gone_at, F.lit(1), F.size(gone_at) - 1))
