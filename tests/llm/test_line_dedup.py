@@ -66,3 +66,21 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted(tuple(r) for r in line_dedup(docs).collect())
     assert got == [(1, "a b", 2, 1), (1, "a b", 2, 1), (2, "", 1, 1)]
     assert line_dedup(docs.limit(0)).count() == 0
+
+
+def test_a_large_group_of_variants(spark):
+    """2,000 variants of a line, some far from the first ones, under ids in another order than the rows."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for i in range(2000):
+        own = list(base)
+        for _ in range(rng.randrange(9)):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(40, 90)}"
+        rows.append((rng.randrange(10**6), " ".join(own)))
+    rows = list(dict(rows).items())
+    for kind in ("long", "string"):
+        own = [(i, t) if kind == "long" else (f"{i:07d}", t) for i, t in rows]
+        docs = spark.createDataFrame(own, f"doc_id {kind}, text string").repartition(40)
+        got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup(docs).collect()), key=str)
+        assert got == brute(own, 80)

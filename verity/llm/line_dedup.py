@@ -25,10 +25,11 @@ HASH_BITS = 55
 SHARED = 1 << HASH_BITS
 #: Sizes of sets from which a second bitmap tells apart what fills the first one.
 WIDE = 96
-#: Rarest shared tokens by which a line finds the lines that are tried first, and how many lines of each.
-TRIED, BACK = 2, 3
-#: Logarithm of the partitions of the input whose lines are tried together.
-PARTS = 4
+#: Lines before a line that are looked at first, of each of the three tokens by which it finds them.
+BACK = 5
+#: Logarithm of the partitions of the input whose lines are tried together, and of those whose first
+#: lines of a group are.
+PARTS, FIRST_PARTS = 4, 10
 #: Rows (of at most five whole numbers, so 64 MB) up to which a side is broadcast after it was counted;
 #: beyond it Spark shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -114,7 +115,7 @@ def _near(s: str, t: str, percent: int) -> Column:
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
-    """(lid) of the later lines of those pairs (a, b) whose sets of words are similar, told from the texts."""
+    """(late, early): those of the pairs (a, b) whose sets of words are similar, told from the texts."""
     wanted = scratch.cut(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct(), "lines-wanted")
     places = scratch.cut(sets.select("lid", "_id", "_th", "_line").join(_side(wanted), "lid"), "lines-places")
     by_doc = scratch.cut(places.groupBy(F.col("_id").alias("i"), F.col("_th").alias("t")).agg(F.collect_list(F.struct("lid", "_line")).alias("at")), "lines-by-place")
@@ -128,15 +129,17 @@ def _matched(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, te
     both = both.withColumn("shared", F.size(F.array_intersect("wa", "wb")))
     # shared / (sizes - shared) >= percent / 100
     similar = both.where(F.col("shared") * (100 + percent) >= (F.size("wa") + F.size("wb")) * percent)
-    return scratch.cut(similar.select(F.when(F.col("oa") > F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct(), "lines-matched")
+    later = F.col("oa") > F.col("ob")
+    return scratch.cut(similar.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("early")), "lines-matched")
 
 
-def _tried(unique: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each line, of the lines just before it among those that have one of its rarest shared
-    tokens, the one with the nearest bitmap, if it may be similar. A token's lines are taken by the part of
-    the corpus they came from, so none is too many for a task."""
+def _tried(unique: DataFrame, percent: int, part: Column) -> DataFrame:
+    """(a, b): for each line, of the lines just before it among those that agree with it in the least or
+    the greatest hash of the prefix, in either of two orders, the one with the nearest bitmap, if it may be similar. Lines are
+    taken by their ``part``, so none is too many for a task."""
     kept = ["lid", "n", "bits", "half"]
-    heads = unique.select(*kept, "_id", "_line", F.shiftright("lid", 33 + PARTS).alias("part"), F.explode(F.slice("prefix", 1, TRIED)).alias("key"))
+    other = F.transform("prefix", lambda k: k.bitwiseXOR(F.lit(0x2AAAAAAA)))
+    heads = unique.select(*kept, "_id", "_line", part.alias("part"), F.explode(F.array(F.array_min("prefix"), -F.array_max("prefix"), -F.array_min(other))).alias("key"))
     order = Window.partitionBy("key", "part").orderBy("_id", "_line", "lid")
     before = [F.lag(F.struct(*kept), k).over(order) for k in range(1, BACK + 1)] + [F.first(F.struct(*kept)).over(order)]
     seen = heads.select(F.struct(*kept).alias("s"), F.array(*before).alias("before"))
@@ -149,9 +152,10 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, sc
     """(_id, _th, _line) of the lines that match an earlier line.
 
     Lines of one token set are merged first: the later ones go. The others share a bucket with every
-    line that has a token of their prefix. Each line is first compared with one line that is likely to be
-    similar; the later one of a similar pair is done, so a group of many variants of a line costs a few
-    pairs per variant. Then all pairs of a bucket that pass the length, positional and bitmap filters are
+    line that has a token of their prefix. Each line is first compared with one line of its part of the
+    corpus that is likely to be similar; the later one of a similar pair is done. So are then the first
+    lines of each part's groups with one another, so a group of many variants of a line costs a few pairs
+    per variant. Then all pairs of a bucket that pass the length, positional and bitmap filters are
     compared, but for those of two lines that are done, so nothing is left out. Sets too small to match a
     different set are in no bucket.
     """
@@ -163,22 +167,31 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, sc
     able = sets.where((F.col("n") * 100 >= (F.col("n") + 1) * percent) & (F.size("prefix") > 0))
     unique = able.join(_side(equal), "lid", "left_anti").drop("h1", "h2", "_th")
     matched = lambda pairs: _matched(pairs, sets, docs, id_col, text_col, percent, scratch)
-    done = matched(scratch.cut(_tried(unique, percent), "lines-tried"))
+    told = matched(scratch.cut(_tried(unique, percent, F.shiftright("lid", 33 + PARTS)), "lines-tried"))
+    done = scratch.cut(told.select(F.col("late").alias("lid")).distinct(), "lines-done")
+    heads = told.select(F.col("early").alias("lid")).distinct().join(_side(done), "lid", "left_anti")
+    among = unique.join(_side(scratch.cut(heads, "lines-heads")), "lid", "left_semi")
+    more = matched(scratch.cut(_tried(among, percent, F.shiftright("lid", 33 + FIRST_PARTS)), "lines-tried"))
+    done = scratch.cut(done.unionByName(more.select(F.col("late").alias("lid"))).distinct(), "lines-done")
 
     flagged = unique.join(_side(done.withColumn("_done", F.lit(1))), "lid", "left")
     sizes = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("alone").cast("long"))
-    entry = flagged.select("lid", F.coalesce("_done", F.lit(0)).alias("done"), sizes.alias("sizes"), "bits", "half", F.posexplode("prefix").alias("pos", "key"))
+    # where ids are whole numbers they tell the later line of two documents, which alone counts
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    place = F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))) if whole else F.lit(0).cast("long")
+    entry = flagged.select("lid", place.alias("at"), F.coalesce("_done", F.lit(0)).alias("done"), sizes.alias("sizes"), "bits", "half", F.posexplode("prefix").alias("pos", "key"))
     # size, place and if it is done in one number: both sides of the join are then one shuffled table
     code = F.col("sizes") * 2 + F.col("pos") * 2 + F.col("done")
-    entries = entry.select("key", "lid", code.alias("code"), "bits", "half").where("lid is not null and code is not null and bits is not null and key is not null")
-    told = lambda k: {f"{k}n": F.shiftright(f"{k}.code", 33).cast("int"), f"{k}pos": F.shiftright(F.col(f"{k}.code").bitwiseAND(F.lit((1 << 33) - 1)), 1).cast("int"), f"{k}done": F.col(f"{k}.code").bitwiseAND(F.lit(1))}
-    s, t = told("s"), told("t")
+    entries = entry.select("key", "lid", "at", code.alias("code"), "bits", "half").where("lid is not null and code is not null and bits is not null and key is not null")
+    parts = lambda k: {f"{k}n": F.shiftright(f"{k}.code", 33).cast("int"), f"{k}pos": F.shiftright(F.col(f"{k}.code").bitwiseAND(F.lit((1 << 33) - 1)), 1).cast("int"), f"{k}done": F.col(f"{k}.code").bitwiseAND(F.lit(1))}
+    s, t = parts("s"), parts("t")
     ns, nt = s["sn"], t["tn"]
     least = _least(ns, nt, percent)
     fits = (ns * 100 >= nt * percent) & (nt * 100 >= ns * percent) & (F.least(ns - s["spos"], nt - t["tpos"]) >= least) & (ns + nt - _apart("s.", "t.") >= 2 * least)
-    joined = entries.alias("s").join(entries.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.lid") > F.col("t.lid")) & (s["sdone"] + t["tdone"] < 2) & fits)
+    asked = F.when(F.col("s.at") > F.col("t.at"), s["sdone"] == 0).when(F.col("s.at") < F.col("t.at"), t["tdone"] == 0).otherwise(s["sdone"] + t["tdone"] < 2)
+    joined = entries.alias("s").join(entries.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.lid") > F.col("t.lid")) & asked & fits)
     pairs = scratch.cut(joined.select(F.col("s.lid").alias("a"), F.col("t.lid").alias("b")).distinct(), "lines-candidates")
-    found = matched(pairs)
+    found = matched(pairs).select(F.col("late").alias("lid"))
     every = scratch.cut(equal.unionByName(done).unionByName(found).distinct(), "lines-gone")
     return sets.select("lid", "_id", "_th", "_line").join(_side(every), "lid", "left_semi").drop("lid")
 
