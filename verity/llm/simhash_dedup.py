@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from verity.llm.common import cut
+from verity.llm.common import Scratch, cut
 from verity.llm.components import connected_components
 
 BITS = 64
@@ -134,11 +134,11 @@ def _links(max_distance: int):
     return over
 
 
-def near_links(prints: DataFrame, max_distance: int, block: int = BLOCK) -> DataFrame:
+def near_links(prints: DataFrame, max_distance: int, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """(src, dst) between distinct fingerprints (column ``fp``): links of at most ``max_distance``
     bits that connect all that such links connect."""
     keys = signatures(prints, max_distance)
-    hot = cut(keys.groupBy("kind", "value").count().where(F.col("count") > block), "simhash-hot")
+    hot = (scratch.cut if scratch else cut)(keys.groupBy("kind", "value").count().where(F.col("count") > block), "simhash-hot")
     n_hot = hot.count()
     if n_hot:
         side = F.broadcast(hot) if n_hot <= 100_000 else hot
@@ -169,11 +169,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     * Other columns are not looked at; an empty table gives an empty result.
     """
     rows = cut(docs.select(F.col(id_col).alias("_id"), fingerprint(F.col(text_col), width).alias("fp")), "simhash-prints")
-    prints = cut(rows.groupBy("fp").agg(F.min("_id").alias("low")), "simhash-distinct")
-    roots = connected_components(near_links(prints.select("fp"), max_distance)).withColumnRenamed("node", "fp")
-    rooted = cut(prints.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
-    lowest = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lowest")
-    classes = cut(rooted.join(lowest, "root").select("fp", "component_id"), "simhash-classes")
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.cut(rows.groupBy("fp").agg(F.min("_id").alias("low")), "simhash-distinct")
+        roots = connected_components(near_links(prints.select("fp"), max_distance, scratch=scratch), scratch=scratch).withColumnRenamed("node", "fp")
+        rooted = scratch.cut(prints.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+        lowest = scratch.cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lowest")
+        classes = cut(rooted.join(lowest, "root").select("fp", "component_id"), "simhash-classes")
     return rows.join(classes, "fp").select(
         F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -342,7 +343,7 @@ def _bucket_pairs(similarity: float, tried: bool):
     return over
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, block: int = BLOCK) -> DataFrame:
+def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(src, dst) between ``nodes`` (uid, h1, h2, n, prefix): links of enough Jaccard similarity of the
     texts (h1, h2, text) that connect all that such links connect.
 
@@ -354,8 +355,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
     member before the others.
     """
     entries = nodes.select("uid", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "uid", "n", "pos")
-    shared = cut(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_only, "key long, uid long, n int, pos int"), "similar-shared")
-    hot = cut(shared.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block), "similar-hot")
+    shared = scratch.cut(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_only, "key long, uid long, n int, pos int"), "similar-shared")
+    hot = scratch.cut(shared.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block), "similar-hot")
     n_hot = hot.count()
     if n_hot:
         side = F.broadcast(hot) if n_hot <= 100_000 else hot
@@ -368,10 +369,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
 
     def pairs_of(rows: DataFrame, tried: bool, name: str) -> DataFrame:
         placed = rows.select("key", "part", "uid", "n", "pos", "root").repartition("key", "part").sortWithinPartitions("key", "part", "uid")
-        return cut(placed.mapInArrow(_bucket_pairs(similarity, tried), "src long, dst long").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")), name)
+        return scratch.cut(placed.mapInArrow(_bucket_pairs(similarity, tried), "src long, dst long").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")), name)
 
     def likeliest(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.groupBy("src").agg(F.max(F.struct("c", "dst")).alias("m")).select("src", "m.dst"), "similar-likeliest")
+        return scratch.cut(pairs.groupBy("src").agg(F.max(F.struct("c", "dst")).alias("m")).select("src", "m.dst"), "similar-likeliest")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,20 +380,20 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = cut(pairs.select(F.col("src").alias("uid")).unionByName(pairs.select(F.col("dst").alias("uid"))).distinct().join(nodes.select("uid", "h1", "h2"), "uid"), "similar-wanted")
-        found = cut(texts.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, ["h1", "h2"]).select("uid", "text").dropDuplicates(["uid"]), "similar-texts")
+        wanted = scratch.cut(pairs.select(F.col("src").alias("uid")).unionByName(pairs.select(F.col("dst").alias("uid"))).distinct().join(nodes.select("uid", "h1", "h2"), "uid"), "similar-wanted")
+        found = scratch.cut(texts.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, ["h1", "h2"]).select("uid", "text").dropDuplicates(["uid"]), "similar-texts")
         both = pairs.join(found.select(F.col("uid").alias("src"), F.col("text").alias("a")), "src").join(found.select(F.col("uid").alias("dst"), F.col("text").alias("b")), "dst")
-        return cut(both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long"), "similar-links")
+        return scratch.cut(both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long"), "similar-links")
 
     links = verified(likeliest(pairs_of(dealt.withColumn("root", F.col("uid")), True, "similar-tried")))
-    roots = connected_components(links).withColumnRenamed("node", "uid")
+    roots = connected_components(links, scratch=scratch).withColumnRenamed("node", "uid")
     pairs = pairs_of(dealt.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")), False, "similar-pairs")
     best = likeliest(pairs)
     links = links.unionByName(verified(best))
-    roots = connected_components(links)
+    roots = connected_components(links, scratch=scratch)
     of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     left = pairs.select("src", "dst").join(best, ["src", "dst"], "left_anti").join(of("src"), "src", "left").join(of("dst"), "dst", "left")
-    left = cut(left.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst"), "similar-left")
+    left = scratch.cut(left.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst"), "similar-left")
     return links if left.isEmpty() else links.unionByName(verified(left))
 
 
@@ -410,15 +411,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashed = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
     common = _common(docs.select(text.alias("text")), width)
-    rows = cut(_prefixes(docs.select(F.col(id_col).alias("_id"), *hashed, text.alias("text")), common, width, similarity), "similar-rows")
-    merged = rows.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = cut(merged.withColumn("uid", F.monotonically_increasing_id()), "similar-nodes")
-    links = similar_links(nodes, docs.select(*hashed, text.alias("text")), width, similarity, block)
-    roots = connected_components(links).withColumnRenamed("node", "uid")
-    rooted = cut(nodes.select("uid", "h1", "h2", "low").join(roots, "uid", "left").select("h1", "h2", "low", F.coalesce("root", "uid").alias("root")), "similar-rooted")
-    lowest = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "similar-lowest")
-    classes = cut(rooted.join(lowest, "root").select("h1", "h2", "component_id"), "similar-classes")
-    return rows.select("_id", "h1", "h2").join(classes, ["h1", "h2"]).select(F.col("_id").alias(id_col), "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.cut(_prefixes(docs.select(F.col(id_col).alias("_id"), *hashed, text.alias("text")), common, width, similarity), "similar-rows")
+        merged = rows.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        nodes = scratch.cut(merged.withColumn("uid", F.monotonically_increasing_id()), "similar-nodes")
+        links = similar_links(nodes, docs.select(*hashed, text.alias("text")), width, similarity, scratch, block)
+        roots = connected_components(links, scratch=scratch).withColumnRenamed("node", "uid")
+        rooted = scratch.cut(nodes.select("uid", "h1", "h2", "low").join(roots, "uid", "left").select("h1", "h2", "low", F.coalesce("root", "uid").alias("root")), "similar-rooted")
+        lowest = scratch.cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "similar-lowest")
+        classes = scratch.cut(rooted.join(lowest, "root").select("h1", "h2", "component_id"), "similar-classes")
+        return cut(rows.select("_id", "h1", "h2").join(classes, ["h1", "h2"]).select(F.col("_id").alias(id_col), "component_id"), "similar-groups")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
