@@ -16,8 +16,8 @@ from verity.llm.nets import WORD, Adam, HashedIds
 #: Hashed word columns of the classifier and the bound of its sample: labelled rows.
 BUCKETS, SAMPLE = 1 << 12, 4000
 EPOCHS, BATCH = 25, 64
-#: Steps of the descent at most, and the relative error at which it ends.
-STEPS, TOLERANCE = 40, 1e-6
+#: Steps of the descent at most, the relative error at which it ends, and how much rates are drawn to one.
+STEPS, TOLERANCE, PULL = 60, 1e-6, 1e-8
 
 
 @dataclass
@@ -32,6 +32,8 @@ class DomainModel:
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
         z = 4 * x @ self.weights
+        if not self.domains:
+            return z
         p = np.exp(z - z.max(axis=-1, keepdims=True))
         return p / p.sum(axis=-1, keepdims=True)
 
@@ -83,43 +85,66 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(over, f"doc_id {kind}, tokens long, posterior array<double>").withColumnRenamed("doc_id", id_col)
 
 
-def _dot(posterior: str, row: np.ndarray) -> Column:
-    out = F.lit(0.0)
-    for j, g in enumerate(row):
-        out = out + F.element_at(posterior, j + 1) * F.lit(float(g))
-    return out
+def _rate(numbers: np.ndarray) -> Column:
+    out = F.lit(1.0)
+    for j, x in enumerate(numbers):
+        out = out - F.element_at("posterior", j + 1) * F.lit(float(x))
+    return F.greatest(F.lit(0.0), out)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[Column, np.ndarray]:
-    """(rate as an expression over ``posterior``, expected domain tokens reached).
+def fit_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE, pull: float = PULL) -> tuple[Column, np.ndarray]:
+    """(rate as an expression over ``posterior``, expected domain tokens that these rates reach).
 
-    Minimises the weighted squared error of the expected domain tokens over nonnegative rates, from
-    all ones. A step needs one distributed sum of as many numbers as there are domains; the rates are
-    an expression of the residuals so far, so nothing that grows is kept. In the metric of the
-    domains' second moments the gradient's Lipschitz constant is one, and so is the step.
+    Minimises the squared error of the expected domain tokens, in the metric of the domains' second
+    moments, over nonnegative rates; of the rates that do, those nearest to one (``pull``). Projected
+    gradient in its lazy form: steps add up in one number per domain, and a document's rate is the
+    projection max(0, 1 - posterior . numbers), so nothing that grows with the corpus is kept. A
+    step is the gradient in the metric of the second moments of the documents that are not at zero,
+    halved until the (concave) dual objective grows enough. Each trial is one distributed sum.
     """
     k = len(targets)
-    cell = lambda i, j: F.sum(F.col("tokens") * F.element_at("posterior", i + 1) * F.element_at("posterior", j + 1))
-    got = members.agg(*[cell(i, j).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    moments = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    inverse = np.linalg.pinv(moments, rcond=1e-9)
-    rate, reached = F.lit(1.0), np.zeros(k)
+    at = lambda j: F.element_at("posterior", j + 1)
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(numbers: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Of these numbers: tokens times squared rates, expected domain tokens, second moments."""
+        own = members.select(F.col("tokens").cast("double").alias("tokens"), "posterior", _rate(numbers).alias("_r"))
+        inside = F.when(F.col("_r") > 0, F.col("tokens")).otherwise(0.0)
+        asked = [F.sum(F.col("tokens") * F.col("_r") * F.col("_r")).alias("s")]
+        asked += [F.sum(F.col("tokens") * F.col("_r") * at(j)).alias(f"t{j}") for j in range(k)]
+        asked += [F.sum(inside * at(i) * at(j)).alias(f"m{i}_{j}") for i, j in cells]
+        got = own.agg(*asked).first()
+        return got["s"] or 0.0, np.array([got[f"t{j}"] or 0.0 for j in range(k)]), np.array([[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+
+    numbers = np.zeros(k)
+    squares, reached, inside = sums(numbers)
+    moments = inside
+    value = lambda n, squares: -squares / 2 - n @ targets - pull / 2 * n @ moments @ n
+    size = tolerance * max(1.0, float(targets.sum()))
     for _ in range(steps):
-        totals = members.agg(*[F.sum(rate * F.col("tokens") * F.element_at("posterior", j + 1)).alias(f"t{j}") for j in range(k)]).first()
-        reached = np.array([x or 0.0 for x in totals])
-        gap = reached - targets
-        if np.abs(gap).sum() <= tolerance * max(1.0, float(targets.sum())):
+        gradient = reached - targets - pull * moments @ numbers
+        if np.abs(gradient).sum() <= size:
             break
-        rate = F.greatest(F.lit(0.0), rate - _dot("posterior", inverse @ gap))
-    return rate, reached
+        metric = inside + pull * moments + 1e-12 * max(float(np.trace(moments)), 1e-9) / k * np.eye(k)
+        step, now, share = np.linalg.solve(metric, gradient), value(numbers, squares), 1.0
+        while True:
+            tried = sums(numbers + share * step)
+            if share < 1e-6 or value(numbers + share * step, tried[0]) >= now + 1e-4 * share * step @ gradient - 1e-12 * abs(now):
+                break
+            share /= 2
+        numbers = numbers + share * step
+        squares, reached, inside = tried
+    return _rate(numbers), reached
 
 
 def mix(members: DataFrame, model: DomainModel, weights: dict[str, float], budget: float | None = None, steps: int = STEPS) -> DataFrame:
-    """``members`` with ``domain`` (likeliest), ``share`` (its posterior) and ``rate``.
+    """``members`` with ``domain`` (likeliest), ``share`` (its posterior), ``rate``, and ``target_gap``:
+    by how much of their sum the expected domain tokens miss their targets (one number for all rows; it
+    is above zero where no nonnegative rates meet them).
 
     ``weights`` are the wanted shares of expected tokens; domains that were not learned are left out
     and the rest made to sum to one. ``budget`` is the expected tokens in all; by default the domain of
-    the greatest weight keeps what it has. Without domains or tokens every rate is one.
+    the greatest weight keeps what it has. Without domains or tokens every rate is one and the gap null.
 
     * Empty and null texts have no tokens; their rate follows from their posterior like any other.
     * Repeated rows repeat; null ids are kept; an empty table gives an empty result.
@@ -130,15 +155,16 @@ def mix(members: DataFrame, model: DomainModel, weights: dict[str, float], budge
     sums = table.agg(*[F.sum(F.col("tokens") * F.element_at("posterior", j + 1)).alias(f"t{j}") for j in range(k)]).first() if k else []
     have = np.array([x or 0.0 for x in sums])
     if not k or not wanted.sum() or not have.sum():
-        rate = F.lit(1.0)
+        rate, gap = F.lit(1.0), None
     else:
         wanted = wanted / wanted.sum()
         top = int(wanted.argmax())
         total = budget if budget is not None else float(have[top] / wanted[top])
-        rate, _ = fit_rates(table, wanted * total, steps)
+        rate, reached = fit_rates(table, wanted * total, steps)
+        gap = float(np.abs(reached - wanted * total).sum() / max(total, 1e-9))
     names = F.array(*map(F.lit, model.domains)).cast("array<string>")
     best = F.array_max("posterior")
-    return table.select("*", F.element_at(names, F.array_position("posterior", best).cast("int")).alias("domain") if k else F.lit(None).cast("string").alias("domain"), best.alias("share"), rate.alias("rate"))
+    return table.select("*", F.element_at(names, F.array_position("posterior", best).cast("int")).alias("domain") if k else F.lit(None).cast("string").alias("domain"), best.alias("share"), rate.alias("rate"), F.lit(gap).cast("double").alias("target_gap"))
 
 
 def copies(rate: Column, *seed: Column) -> Column:

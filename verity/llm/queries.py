@@ -68,7 +68,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn_domains(docs, domains_of(table(spark, sf_dir, "labels")))
-    return mix(memberships(docs, model), model, TARGET_WEIGHTS).select("doc_id", "tokens", "posterior", "domain", "share", "rate")
+    return mix(memberships(docs, model), model, TARGET_WEIGHTS).select("doc_id", "tokens", "posterior", "domain", "share", "rate", "target_gap")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
