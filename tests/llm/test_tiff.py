@@ -38,7 +38,7 @@ def test_pages_round_trip(order, codec, predictor):
 
 def planar_16_bit():
     """Two planes of 16-bit samples in a big-endian file, written by hand."""
-    image = np.arange(2 * 3 * 2, dtype=">u2").reshape(2, 3, 2) * 1000
+    image = (np.arange(2 * 3 * 2).reshape(2, 3, 2) * 1000).astype(">u2")
     planes = [image[:, :, k].tobytes() for k in range(2)]
     head = b"MM" + struct.pack(">HL", 42, 8 + 24)
     tags = [(256, 3, 3), (257, 3, 2), (258, 3, (16, 16)), (259, 3, 1), (273, 4, None), (277, 3, 2), (278, 3, 2), (279, 4, None), (284, 3, 2)]
@@ -76,6 +76,40 @@ def test_pages_of_a_table(spark):
     assert [r.error is None for r in by[None]] == [True, False]
 
 
+def broken_files():
+    """LZW code 258 after a clear code, no width, more pixels than any block can hold, and a field that ends nowhere."""
+    good = tiff.encode(bytes(range(96)) * 6, tiff.LZW)
+    ((_, tags),) = tiff.directories(good)
+    at = tags[tiff.STRIP_OFFSETS][0]
+    bits = f"{256:09b}{258:09b}".ljust(24, "0")
+    yield good[:at] + int(bits, 2).to_bytes(3, "big") + good[at + 3 :]
+    for tag, value in ((tiff.WIDTH, 0), (tiff.LENGTH, 0), (tiff.WIDTH, 1 << 20), (tiff.LENGTH, 1 << 24), (tiff.ROWS_PER_STRIP, 0), (tiff.SAMPLES_PER_PIXEL, 0), (tiff.STRIP_OFFSETS, 1 << 31)):
+        entry = good.index(struct.pack("<HHL", tag, 3 if tag == tiff.SAMPLES_PER_PIXEL else 4, 1)) + 8
+        yield good[:entry] + struct.pack("<L", value) + good[entry + 4 :]
+    entry = good.index(struct.pack("<HHL", tiff.WIDTH, 4, 1)) + 4
+    yield good[:entry] + struct.pack("<L", 1 << 31) + good[entry + 4 :]
+
+
+def test_broken_files_give_error_rows(spark):
+    files = list(broken_files())
+    two = bytearray(tiff.encode(bytes(96) * (tiff.PAGE_ROWS + 5), tiff.NONE))
+    first = two.index(struct.pack("<HHL", tiff.COMPRESSION, 3, 1)) + 8
+    two[first : first + 2] = struct.pack("<H", 7)  # an unknown codec of the first page alone
+    rows = [(k, bytes(x)) for k, x in enumerate([*files, two])]
+    got = {}
+    for r in tiff.tiff_pages(spark.createDataFrame(rows, "doc_id long, media binary"), "doc_id", "media").collect():
+        got.setdefault(r.doc_id, []).append((r.page, r.error is None))
+    odd = [k for k in range(len(files)) if got.get(k) and got[k] != [(0, False)]]
+    assert len(got) == len(rows) and set(odd) <= {5}  # a strip without a number of rows is read as one row at a time, or is an error
+    assert sorted(got[len(files)]) == [(0, False), (1, True)]
+
+
+def test_every_codec_is_used_at_every_size():
+    for size in (1, 30, 400):
+        used = {tuple((t[tiff.COMPRESSION][0], t[tiff.PREDICTOR][0], o, tiff.TILE_OFFSETS in t) for o, t in tiff.directories(tiff.pack(bytes([k]) * 576 * size))) for k in range(256)}
+        assert {x[0][0] for x in used} == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE} and len(used) > 15
+
+
 def test_text_media_against_the_contract(spark):
     texts = [(1, None), (2, ""), (3, "ä" * 288), (4, "b" * 577), (5, "c" * 1500), (6, "word " * 100_000), (7, "word " * 100_000), (None, "x")]
     docs = spark.createDataFrame([(i, t, 5) for i, t in texts], "doc_id long, text string, feature int")

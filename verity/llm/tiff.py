@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,29 +27,34 @@ UNIT = 576
 #: Pixels in a row of the pages that are written, and rows in a page at most.
 ROW, PAGE_ROWS = 96, 4096
 STRIP_ROWS, TILE_ROWS = 512, 256
-#: The slow byte-wise codecs are used for the smallest payloads only.
-LZW_BELOW, PACKBITS_BELOW = 577, 1153
+#: A block of n bytes holds at most so many times n bytes of samples, whatever its codec.
+GREATEST_RATIO = 2048
+#: What broken bytes can raise while a page is read.
+BROKEN = (ValueError, LookupError, ArithmeticError, TypeError, MemoryError, struct.error)
 
 
 class TiffError(ValueError):
     """The bytes are no TIFF file that can be read whole."""
 
 
+RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
 def packbits_encode(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        run = 1
-        while run < 128 and i + run < len(data) and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        start = i
-        while i < len(data) and i - start < 128 and not (i + 2 < len(data) and data[i] == data[i + 1] == data[i + 2]):
-            i += 1
-        out.append(i - start - 1)
-        out += data[start:i]
+    """Runs of three bytes or more as a count and the byte, all else as literals of 128 bytes at most."""
+    out, at = bytearray(), 0
+
+    def literals(stop: int) -> None:
+        for i in range(at, stop, 128):
+            own = data[i : min(i + 128, stop)]
+            out.append(len(own) - 1)
+            out.extend(own)
+
+    for run in RUN.finditer(data):
+        literals(run.start())
+        out += bytes((257 - (run.end() - run.start()), data[run.start()]))
+        at = run.end()
+    literals(len(data))
     return bytes(out)
 
 
@@ -68,34 +75,41 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 CLEAR, END = 256, 257
 
 
+@cache
+def _digits(width: int) -> list[str]:
+    return [f"{code:0{width}b}" for code in range(1 << width)]
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bit first, wider one code early."""
-    bits, n_bits, width = CLEAR, 9, 9
-    table = {bytes((i,)): i for i in range(256)}
-    following, have = 258, b""
-    for i in range(len(data)):
-        longer = have + data[i : i + 1]
-        if longer in table:
-            have = longer
+    digits = _digits(9)
+    out, table, following = [digits[CLEAR]], {}, 258
+    have = -1
+    for byte in data:
+        if have < 0:
+            have = byte
+            continue
+        longer = have << 8 | byte
+        if (known := table.get(longer)) is not None:
+            have = known
             continue
-        bits, n_bits = bits << width | table[have], n_bits + width
+        out.append(digits[have])
         table[longer] = following
         following += 1
         if following == 4095:
-            bits, n_bits, width = bits << 12 | CLEAR, n_bits + 12, 9
-            table = {bytes((k,)): k for k in range(256)}
-            following = 258
+            out.append(digits[CLEAR])
+            table, following, digits = {}, 258, _digits(9)
         elif following in (512, 1024, 2048):
-            width += 1
-        have = data[i : i + 1]
-    if have:
-        bits, n_bits = bits << width | table[have], n_bits + width
-        following += 1
-        if following in (512, 1024, 2048):
-            width += 1
-    bits, n_bits = bits << width | END, n_bits + width
-    pad = -n_bits % 8
-    return (bits << pad).to_bytes((n_bits + pad) // 8, "big")
+            digits = _digits(following.bit_length())
+        have = byte
+    if have >= 0:
+        out.append(digits[have])
+        if following + 1 in (512, 1024, 2048):
+            digits = _digits((following + 1).bit_length())
+    out.append(digits[END])
+    bits = "".join(out)
+    pad = -len(bits) % 8
+    return int(bits + "0" * pad, 2).to_bytes((len(bits) + pad) // 8, "big")
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
@@ -116,6 +130,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if not table or code > len(table):
             raise TiffError("LZW code out of order")
         if not last:
+            if code >= CLEAR:
+                raise TiffError("LZW code out of order")
             last = table[code]
             out += last
             continue
@@ -139,15 +155,15 @@ def _squeeze(block: np.ndarray, codec: int, predictor: int) -> bytes:
     return zlib.compress(raw, 6) if codec in (DEFLATE, OLD_DEFLATE) else raw
 
 
-def encode(payload: bytes, codec: int, predictor: int = 1, order: str = "<") -> bytes:
+def encode(payload: bytes, codec: int, predictor: int = 1, order: str = "<", first_tiled: bool = False) -> bytes:
     """A TIFF file whose grey 8-bit samples, page by page, are ``payload`` (a multiple of ROW bytes).
-    Even pages are cut into strips, odd pages into tiles."""
+    Pages are cut into strips and into tiles by turns."""
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HL", 42, 0))
     link = 4
     for page, top in enumerate(range(0, len(pixels), PAGE_ROWS)):
         image = pixels[top : top + PAGE_ROWS]
-        tiled = page % 2 == 1
+        tiled = page % 2 != first_tiled
         height = TILE_ROWS if tiled else STRIP_ROWS
         offsets, sizes = [], []
         for at in range(0, len(image), height):
@@ -211,7 +227,7 @@ def _expand(data: bytes, codec: int, size: int) -> bytes:
         return packbits_decode(data, size)
     if codec in (DEFLATE, OLD_DEFLATE):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, size)
         except zlib.error as e:
             raise TiffError(str(e)) from None
     raise TiffError(f"compression {codec}")
@@ -232,19 +248,28 @@ def decode_page(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
     each = samples // planes
     if predictor not in (1, 2):
         raise TiffError(f"predictor {predictor}")
+    if not width or not length or not samples:
+        raise TiffError("no pixels")
     tiled = TILE_OFFSETS in tags
     wide = tags[TILE_WIDTH][0] if tiled else width
     high = tags[TILE_LENGTH][0] if tiled else min(tags.get(ROWS_PER_STRIP, (length,))[0], length) or 1
     offsets, sizes = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS), tags.get(TILE_BYTES if tiled else STRIP_BYTES)
+    if not wide or not high:
+        raise TiffError("blocks without pixels")
     across, down = -(-width // wide), -(-length // high)
     if not offsets or not sizes or len(offsets) < across * down * planes or len(sizes) < len(offsets):
         raise TiffError("blocks are missing")
+    held = sum(min(n, max(0, len(data) - at)) for at, n in zip(offsets, sizes, strict=False))
+    if max(length * width * samples, across * down * planes * wide * each) * depth.itemsize > GREATEST_RATIO * held:
+        raise TiffError("more pixels than the blocks can hold")
     image = np.zeros((length, width, samples), depth)
     for k in range(across * down * planes):
         plane, at = divmod(k, across * down)
         top, left = at // across * high, at % across * wide
         rows = high if tiled else min(high, length - top)
         need = rows * wide * each * depth.itemsize
+        if need > GREATEST_RATIO * sizes[k]:
+            raise TiffError("more pixels than a block can hold")
         raw = _expand(data[offsets[k] : offsets[k] + sizes[k]], codec, need)
         if len(raw) < need:
             raise TiffError("a block is too short")
@@ -259,32 +284,61 @@ def decode_page(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
 PAGES = "page int, width int, length int, samples int, bits int, compression int, pixels binary, error string"
 
 
+def read_pages(data: bytes) -> Iterator[tuple[np.ndarray | None, int | None, str | None]]:
+    """(samples, compression, error) of each page. A page that cannot be decoded gives an error, and the
+    next one follows; a chain of directories that breaks off gives an error and ends."""
+    chain = directories(data)
+    while True:
+        try:
+            order, tags = next(chain)
+        except StopIteration:
+            return
+        except BROKEN as e:
+            yield None, None, str(e) or type(e).__name__
+            return
+        try:
+            yield decode_page(data, order, tags), tags.get(COMPRESSION, (NONE,))[0], None
+        except BROKEN as e:
+            yield None, None, str(e) or type(e).__name__
+
+
+#: Rows, and bytes of pixels, from which a batch of pages is handed on.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+
+
 def tiff_pages(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row per page of every file: the id, ``page`` (from 0), its size, ``pixels`` (row by row,
     the file's byte order for 16 bits) and ``error``.
 
-    Null or empty media gives no row. A file that breaks off gives the pages before, then one row
-    with ``error`` and without pixels. Other columns are not looked at; repeated rows repeat.
+    Null or empty media gives no row. A page that cannot be decoded gives a row with ``error`` and
+    without pixels, and the next pages follow; a file that breaks off gives the pages before, then such
+    a row. Other columns are not looked at; repeated rows repeat.
     """
     ids = media.schema[id_col]
     schema = pa.schema([(id_col, _arrow(ids.dataType)), ("page", pa.int32()), ("width", pa.int32()), ("length", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())])
 
-    def read(one: object, data: bytes) -> Iterator[tuple]:
-        page = 0
-        try:
-            for order, tags in directories(data):
-                image = decode_page(data, order, tags)
-                yield one, page, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, tags.get(COMPRESSION, (NONE,))[0], image.tobytes(), None
-                page += 1
-        except (TiffError, struct.error, KeyError, ValueError) as e:
-            yield one, page, None, None, None, None, None, None, str(e)
+    def rows_of(one: object, data: bytes) -> Iterator[tuple]:
+        for page, (image, codec, error) in enumerate(read_pages(data)):
+            if image is None:
+                yield one, page, None, None, None, None, None, None, error
+            else:
+                yield one, page, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, codec, image.tobytes(), None
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for one, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if data.is_valid and len(data.as_py()):
-                    for row in read(one, data.as_py()):
-                        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+                for row in rows_of(one, data.as_py()) if data.is_valid and len(data.as_py()) else ():
+                    held.append(row)
+                    size += len(row[7] or b"")
+                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield batch_of(held)
+                        held, size = [], 0
+        if held:
+            yield batch_of(held)
 
     return media.select(id_col, media_col).mapInArrow(over, f"`{id_col}` {ids.dataType.simpleString()}, {PAGES}")
 
@@ -301,11 +355,9 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def pack(payload: bytes) -> bytes:
-    if len(payload) < LZW_BELOW:
-        return encode(payload, LZW, 1)
-    if len(payload) < PACKBITS_BELOW:
-        return encode(payload, PACKBITS, 1)
-    return encode(payload, DEFLATE, 2)
+    """Codec, predictor, byte order and layout follow from a hash of the payload, whatever its size."""
+    h = zlib.crc32(payload)
+    return encode(payload, (LZW, PACKBITS, DEFLATE, DEFLATE)[h % 4], 1 + (h >> 2) % 2, "<>"[(h >> 3) % 2], bool((h >> 4) % 2))
 
 
 def features(pages: list[np.ndarray]) -> str:
@@ -339,7 +391,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def one(text: str | None) -> tuple:
         payload, n = padded(text)
         media = pack(payload)
-        pages = [decode_page(media, order, tags) for order, tags in directories(media)]
+        pages = [image for image, _, _ in read_pages(media)]
         back = b"".join(p.tobytes() for p in pages)
         row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(pages))
         return (*row, media) if keep_media else row
