@@ -13,7 +13,6 @@ SF = "/root/testdata/sf0.001"
 def check(rows, docs, capacity=2048):
     """Every document's ids against the tokenizer itself, and the sequences against the contract."""
     tok = Tokenizer.from_file(tokenizer_file())
-    tok.encode_special_tokens = True
     want = []
     for i, t in docs:
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
@@ -42,7 +41,7 @@ def test_whole_table(spark):
 
 
 def test_edges_of_the_input(spark):
-    texts = [(1, None), (2, ""), (2, ""), (None, "a ½ Ⅷ x1²\x1cb"), (None, "word " * 9000), (5, "it's  we'll \n\n <|endoftext|> 日本 ٣٤"), (6, " the" * 2047), (7, " the" * 2048), (7, " the" * 4095)]
+    texts = [(1, None), (2, ""), (2, ""), (None, "a ½ Ⅷ x1²\x1cb"), (None, "word " * 9000), (5, "it's  we'll \n\n <|endoftext|> 日本 ٣٤"), (6, " the" * 2047), (7, " the" * 2048), (7, " the" * 4095), (8, "<|endoftext|>"), (9, "a <|endoftext|> b<|endoftext|><|endoftext"), (10, "\u17ab\u27e6\U0001429a\u96b4\U00017031\U000159dc \u0378x")]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, length int, sequence_id int").repartition(3)
     used, least = check(packing.pack_documents(docs, tokenizer_file()).collect(), texts)
     assert used <= least + 1
@@ -71,3 +70,12 @@ def test_operators_keep_every_item_once(seed):
         assert sorted(i for _, own in child for i in own) == list(range(80))
         assert all(fill == sum(lengths[i] for i in own) <= 2048 for fill, own in child)
     assert packing.fitness(people[0], 2048) >= max(packing.fitness(p, 2048) for p in people)
+
+
+def test_random_texts_over_all_planes():
+    rng = np.random.default_rng(3)
+    tok, encode = Tokenizer.from_file(tokenizer_file()), packing.token_bytes(tokenizer_file())
+    for k in range(1500):
+        top = (128, 256, 0x3000, 0x20000)[k % 4]
+        text = "".join(chr(c) for c in rng.integers(0, top, rng.integers(1, 30)) if not 0xD800 <= c < 0xE000)
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, ascii(text)
