@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hashed n-gram columns, and the lengths (in UTF-8 bytes) of the n-grams.
@@ -168,16 +168,18 @@ def bounds_of(model: LanguageModel, counts: np.ndarray, rows: np.ndarray, names:
 
 
 def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
-    """Fit on at most ``max_languages`` times about ``per_language`` rows, taken by a hash of the id.
-    Rows without id, language, text or letter teach nothing. The executors turn whole texts into
+    """Fit on at most ``per_language`` rows of each of ``max_languages``: those of the least hashes of the
+    id. Rows without id, language, text or letter teach nothing. The executors turn whole texts into
     counts; only those (of a fixed size) come to the driver."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where("i is not null and t is not null and l is not null")
     totals = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()}
     if not totals:
         return fit(np.zeros((0, COLUMNS)), [])
-    share = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, min(1.0, per_language / n))])
-    some = rows.where(F.col("l").isin(*totals) & (F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share[F.col("l")] * 1_000_000))
+    share = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, min(1.0, 2 * (per_language + 50) / n))])
+    place = (F.xxhash64("i").cast("double") / 2.0**63 + 1) / 2  # from 0 to 1; twice the rows wanted are ordered
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "i", F.xxhash64("t")))
+    some = rows.withColumn("h", place).where(F.col("l").isin(*totals) & (F.col("h") < share[F.col("l")])).withColumn("k", first).where(F.col("k") <= per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +187,7 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
             packed = [np.minimum(gram_counts(t), 65535).astype("<u2").tobytes() for t, _ in pairs]
             yield pa.RecordBatch.from_arrays([pa.array([n for _, n in pairs], pa.string()), pa.array(packed, pa.binary())], names=["l", "c"])
 
-    got = some.select("t", "l").mapInArrow(count, "l string, c binary").limit(2 * per_language * len(totals)).collect()
+    got = some.select("t", "l").mapInArrow(count, "l string, c binary").collect()
     got.sort(key=lambda r: (r["l"], bytes(r["c"])))
     counts = np.stack([np.frombuffer(bytes(r["c"]), "<u2") for r in got]).astype(np.int64) if got else np.zeros((0, COLUMNS))
     return fit(counts, [r["l"] for r in got])
