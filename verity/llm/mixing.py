@@ -40,7 +40,7 @@ class DomainModel:
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 17) -> DomainModel:
     """Softmax regression on a bounded sample of ``labelled`` (id, ``domain``), taken by a hash of the
-    id. Null ids and domains teach nothing; of an id with several domains the smallest counts."""
+    id. Null ids and domains teach nothing; of an id with several domains or texts the smallest counts."""
     known = labelled.where(F.col(id_col).isNotNull() & F.col("domain").isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min("domain").alias("domain"))
     some = known.orderBy(F.xxhash64("i"), "i").limit(sample)
     empty = DomainModel([], np.zeros((BUCKETS + 1, 0), np.float32))
@@ -51,8 +51,8 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
             x = [empty.features(WORD.findall((t or "").lower()), ids_of).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(0)], names=["x", "domain"])
 
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i").select("domain", "t")
-    rows = sorted(((r["domain"], bytes(r["x"])) for r in texts.mapInArrow(read, "x binary, domain string").limit(2 * sample).collect()))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i").groupBy("i", "domain").agg(F.min("t").alias("t")).select("domain", "t")
+    rows = sorted(((r["domain"], bytes(r["x"])) for r in texts.mapInArrow(read, "x binary, domain string").collect()))
     if not rows:
         return empty
     domains = sorted({d for d, _ in rows})
