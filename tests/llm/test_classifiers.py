@@ -110,7 +110,7 @@ def test_convolution_gradient_against_differences():
     model.embed *= 5  # away from the kinks of the maxima
     model.bias += 0.01
     reader = toxicity.Reader()
-    docs = [reader(t)[0] for t in ("a b c d e", "f", "", "g h a b")]
+    docs = [reader(t) for t in ("a b c d e", "f", "", "g h a b")]
     labels, weights = np.array([1, 0, 1, 0]), np.ones(4, np.float32)
     for name in ("embed", "filters", "bias", "out"):
         setattr(model, name, getattr(model, name).astype(np.float64))
@@ -161,3 +161,87 @@ def test_language_rejects_by_distance_and_keeps_clean_short_texts(tables):
     short = [" ".join(t.split()[:6]) for t in rest.text]
     for texts, share in ((rest.text.tolist(), 0.98), (short, 0.95)):
         assert np.mean(model.predict(texts)[2]) > share
+
+
+def some_texts(tables, n):
+    docs, _ = tables
+    return [*(t[:3000] if t else t for t in docs.text[:n]), None, "", "12 !!", "Ä ß", "a"]
+
+
+def test_languages_against_brute_force(tables):
+    """TF-IDF vectors and cosines to every centroid, n-gram by n-gram."""
+    docs, _ = tables
+    learn = docs[docs.doc_id % 3 == 0]
+    model = language_id.fit(np.stack([language_id.gram_counts(t or "") for t in learn.text]), learn.lang.tolist())
+    for text in some_texts(tables, 60):
+        pick, score, accepted = (x[0] for x in model.predict([text]))
+        if not text or not any(c.isalpha() for c in text):
+            assert (pick, score, accepted) == ("und", 0.0, False)
+            continue
+        raw = " " + " ".join("".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower()).split()) + " "
+        counts = {}
+        for n in (2, 3):
+            for k in range(len(raw.encode()) - n + 1):
+                code = int.from_bytes(raw.encode()[k : k + n], "big")
+                column = ((code * 2654435761 + n * 40503) % 2**32) >> 20
+                counts[column] = counts.get(column, 0) + 1
+        vector = {c: np.log1p(n) * float(model.idf[c]) for c, n in counts.items()}
+        size = sum(x * x for x in vector.values()) ** 0.5
+        near = {}
+        for name, centroid in zip(model.names, model.centroids, strict=True):
+            near[name] = max(near.get(name, -1), sum(x * float(centroid[c]) for c, x in vector.items()) / size)
+        best = max(sorted(near), key=near.get)
+        assert pick == best
+        share = 1 / sum(np.exp(20 * (x - near[best])) for x in near.values())
+        assert abs(score - share) < 1e-4
+        ahead = near[best] - max([0.0, *(x for name, x in near.items() if name != best)])
+        least = model.bounds[sorted(near).index(best), min(int(np.log2(sum(counts.values())) / 2), language_id.LENGTHS - 1)]
+        if abs(near[best] - least[0]) > 1e-5 and abs(ahead - least[1]) > 1e-5:
+            assert accepted == (near[best] >= least[0] and ahead >= least[1])
+
+
+def test_convolution_against_brute_force(tables):
+    """Every filter at every place of a text, one after the other."""
+    model = toxicity.ToxicityModel.new(3)
+    model.cuts = {"": 0.4}
+    reader = toxicity.Reader()
+    for text in some_texts(tables, 25):
+        words = nets.WORD.findall((text or "").lower())
+        vectors = [sum(model.embed[row].astype(float) for row in toxicity._ids(w)) for w in words] or [np.zeros(toxicity.DIM)]
+        vectors += [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+        top, k = [], 0
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                top.append(max(sum(float(vectors[at + j] @ model.filters[:, k + j, f]) for j in range(width)) for at in range(max(1, len(words)))))
+            k += width
+        logit = float(np.maximum(np.array(top) + model.bias, 0) @ model.out + model.out_bias[0])
+        raw = 1 / (1 + np.exp(-logit))
+        want = 0.5 * raw / 0.4 if raw < 0.4 else 0.5 + 0.5 * (raw - 0.4) / 0.6
+        assert abs(model.score([(reader(text), "xx")])[0] - want) < 1e-4
+
+
+def test_quality_score_against_brute_force(tables):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(0, 1, (quality.BUCKETS, quality.DIM)).astype(np.float32)
+    weights = rng.uniform(0.1, 1, quality.BUCKETS).astype(np.float32)
+    layers = [rng.normal(0, 0.2, s).astype(np.float32) for s in ((quality.FEATURES, quality.HIDDEN), quality.HIDDEN, quality.HIDDEN, 1)]
+    model = quality.QualityModel(vectors, weights, rng.normal(0, 1, quality.FEATURES).astype(np.float32), rng.uniform(0.5, 2, quality.FEATURES).astype(np.float32), layers, 1.7)
+    ids = nets.HashedIds(quality.BUCKETS)
+    for text in some_texts(tables, 25):
+        own = [ids[w] for w in nets.WORD.findall(text or "")]
+        features = np.zeros(quality.FEATURES)
+        for d in range(quality.DIM):
+            column = [float(vectors[i][d]) for i in own]
+            if own:
+                features[d] = sum(float(weights[i]) * x for i, x in zip(own, column, strict=True)) / sum(float(weights[i]) for i in own)
+                features[quality.DIM + d] = (sum((x - sum(column) / len(own)) ** 2 for x in column) / len(own)) ** 0.5
+            if len(own) > 1:
+                features[2 * quality.DIM + d] = sum(abs(a - b) for a, b in zip(column, column[1:], strict=False)) / (len(own) - 1)
+        if own:
+            features[-2] = np.log(1 + len(own))
+        if len(own) > 1:
+            features[-1] = sum(a == b for a, b in zip(own, own[1:], strict=False)) / (len(own) - 1)
+        w1, b1, w2, b2 = layers
+        hidden = [np.tanh(sum((features[i] - model.centre[i]) / model.scale[i] * w1[i, h] for i in range(quality.FEATURES)) + b1[h]) for h in range(quality.HIDDEN)]
+        want = 1 / (1 + np.exp(-(sum(x * w for x, w in zip(hidden, w2, strict=True)) + b2[0]) / 1.7))
+        assert abs(model.score(model.pooled([text], ids))[0] - want) < 1e-4

@@ -72,7 +72,7 @@ def letters(text: str) -> bool:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, label, weight): at most ``per_class`` labelled ids of each class, by hash order,
-    with their whole texts; ``weight`` makes up for the sampling. Ids in the hold-out fold, null ids
+    with their whole texts (of an id with several texts the smallest); ``weight`` makes up for the sampling. Ids in the hold-out fold, null ids
     and labels other than 0 and 1 are left out; of an id with both labels, 1 counts."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -85,4 +85,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         some = some.withColumn("weight", F.lit(n / max(1, min(n, per_class))))
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").limit(8 * per_class)
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text")).select("doc_id", "text", "label", "weight")

@@ -48,7 +48,8 @@ def quarter_held_out():
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.PER_CLASS, fifth_held_out())
-    scored = toxicity.score_toxicity(docs, toxicity.learn_toxicity(sample))
+    languages = learn_languages(docs.where(~fifth_held_out()))
+    scored = toxicity.score_toxicity(docs, toxicity.learn_toxicity(sample, languages))
     return scored.select("doc_id", fifth_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
