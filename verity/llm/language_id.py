@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 #: Hashed n-gram columns, and the lengths (in UTF-8 bytes) of the n-grams.
 COLUMNS, GRAMS = 4096, (2, 3)
@@ -205,16 +206,15 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", pref
     told = docs.sparkSession.sparkContext.broadcast(model)
     made = [f"{prefix}pred", f"{prefix}score", f"{prefix}accepted"]
     rest = [c for c in docs.columns if c not in made]
-    fields = {f.name: f for f in docs.schema.fields}
-    at = rest.index(text_col)
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                pick, score, accepted = told.value.predict(part.column(at).to_pylist())
-                arrays = [*part.columns, pa.array(pick, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *made])
-
-    schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in rest) + f", `{made[0]}` string, `{made[1]}` double, `{made[2]}` boolean"
-    return docs.select(*[f"`{c}`" for c in rest]).mapInArrow(over, schema)
+    @arrow_udf("pred string, score double, accepted boolean")
+    def tell(texts: pa.Array) -> pa.Array:
+        pick, score, accepted = [], [], []
+        for start in range(0, len(texts), 256):
+            for found, own in zip((pick, score, accepted), told.value.predict(texts.slice(start, 256).to_pylist()), strict=True):
+                found += own
+        return pa.StructArray.from_arrays([pa.array(pick, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=["pred", "score", "accepted"])
+
+    # told once a row: a filter on it is not worked out a second time
+    rows = docs.select(*[f"`{c}`" for c in rest], tell.asNondeterministic()(F.col(text_col)).alias("__told"))
+    return rows.select(*[f"`{c}`" for c in rest], *[F.col(f"__told.{c}").alias(name) for c, name in zip(("pred", "score", "accepted"), made, strict=True)])
