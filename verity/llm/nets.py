@@ -9,7 +9,7 @@ import numpy as np
 
 WORD = re.compile(r"\w+|[^\w\s]+")
 #: Words that a task remembers before its memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class HashedIds(dict):

@@ -6,12 +6,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from verity.llm.common import Scratch, cut
 from verity.llm.components import connected_components
@@ -39,9 +38,9 @@ def fingerprint_of(text: str | None, width: int) -> int:
 
 
 def fingerprint(text: Column, width: int) -> Column:
-    @pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(t, width) for t in texts], dtype="int64")
+    @arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint_of(t.as_py(), width) for t in texts], pa.int64())
 
     return of(text)
 
@@ -189,7 +188,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: only set the order of shingles, and any fixed order gives the same result: a better one fewer candidates.
 COMMON, COMMON_KEYS = 64, 200_000
 #: Shingles that are counted at once, and words whose hashes a task keeps.
-COUNTED_AT_ONCE, CACHED_WORDS = 1 << 20, 300_000
+COUNTED_AT_ONCE, CACHED_WORDS = 1 << 19, 1 << 17
 
 
 class _WordHashes(dict):
@@ -234,8 +233,8 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingle_hashes(text, width, words))
+            for text in batch.column(0):
+                held.append(shingle_hashes(text.as_py(), width, words))
                 size += len(held[-1])
                 if size >= COUNTED_AT_ONCE:
                     yield counted()
@@ -259,13 +258,13 @@ def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int
         words = _WordHashes()
         for batch in batches:
             sizes, own = [], []
-            for text in batch.column(3).to_pylist():
-                found = shingle_hashes(text, width, words)
+            for text in batch.column(3):
+                found = shingle_hashes(text.as_py(), width, words)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                     found = found[np.argsort(np.where(keys[at] == found, ranks[at], 0), kind="stable")]
                 sizes.append(len(found))
-                own.append(found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1].view(np.int64))
+                own.append(found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1].view(np.int64).copy())
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), prefix], names=["_id", "h1", "h2", "n", "prefix"])
@@ -376,7 +375,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [jaccard(a, b, width) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            near = [jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
