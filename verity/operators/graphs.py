@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verity.operators.reports import nearest_percentile
-from verity.plans.tables import cut
+from verity.plans.tables import cut, cut_counted
 
 GOAL, EVIDENCE = "GSNGoalNode", "EvidenceNodeV2"
 # The relation labels of goal edges and of evidence edges with what they mean, the name
@@ -98,12 +98,12 @@ def top_goals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def bfs_levels(start: DataFrame, links: DataFrame, max_levels: int = 10_000) -> DataFrame:
     """(gid, origin, id, depth) of all that ``start`` (gid, origin, id) reaches over ``links`` (gid,
     here, there); the first visit sets the depth. Levels and seen nodes are written between rounds."""
-    level = cut(start.select("gid", "origin", "id").distinct().withColumn("depth", F.lit(0)), "bfs")
+    level, n = cut_counted(start.select("gid", "origin", "id").distinct().withColumn("depth", F.lit(0)), "bfs")
     seen = level
     for depth in range(1, max_levels):
         step = level.select("gid", "origin", F.col("id").alias("here")).join(links, ["gid", "here"]).select("gid", "origin", F.col("there").alias("id")).distinct()
-        level = cut(step.join(seen.select("gid", "origin", "id"), ["gid", "origin", "id"], "left_anti").withColumn("depth", F.lit(depth)), "bfs")
-        if level.isEmpty():
+        level, n = cut_counted(step.join(seen.select("gid", "origin", "id"), ["gid", "origin", "id"], "left_anti").withColumn("depth", F.lit(depth)), "bfs")
+        if not n:
             return seen
         seen = seen.unionByName(level)
     raise RuntimeError("more levels than max_levels")
@@ -130,9 +130,17 @@ def cited_steps(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     return targets.select("gid", "id").join(sets, ["gid", "id"], "left").select("gid", "id", F.coalesce("steps", F.array().cast("array<int>")).alias("steps"))
 
 
-def node_depths(nodes: DataFrame, edges: DataFrame, root: DataFrame) -> DataFrame:
-    """(gid, id, depth): shortest distance from the root (gid, root), edges taken both ways. Nodes
-    that are not reached are absent; see ``unreachable``."""
+def node_depths(nodes: DataFrame, edges: DataFrame, root: DataFrame, strict: bool = True) -> DataFrame:
+    """(gid, id, depth): shortest distance from the root (gid, root), edges taken both ways. A node that
+    is not reached is an error, or (not ``strict``) absent; see ``unreachable``."""
+    found = _distances(edges, root)
+    if not strict:
+        return found
+    lost = F.raise_error(F.concat(F.lit("not reached from the root of graph "), F.col("gid").cast("string"), F.lit(": "), F.col("id"))).cast("int")
+    return nodes.select("gid", "id").join(found, ["gid", "id"], "left").select("gid", "id", F.coalesce("depth", lost).alias("depth"))
+
+
+def _distances(edges: DataFrame, root: DataFrame) -> DataFrame:
     ways = edges.select("gid", F.col("source").alias("here"), F.col("target").alias("there"))
     both = ways.unionByName(ways.select("gid", F.col("there").alias("here"), F.col("here").alias("there")))
     return bfs_levels(root.select("gid", F.col("root").alias("origin"), F.col("root").alias("id")), both).select("gid", "id", "depth")
@@ -149,19 +157,24 @@ def layers(depths: DataFrame) -> DataFrame:
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, root: DataFrame) -> DataFrame:
     """One row per graph: counts of nodes, goals, evidence, edges and goal leaves, mean confidences
-    (NaN where none is set), the greatest depth over goals, and counts and means by layer."""
+    (NaN where none is set), the greatest depth over goals (of the graph of goals alone), and counts and
+    means by layer over all nodes. A node that is not reached from the root is an error."""
     mean = lambda c: F.coalesce(F.avg(F.expr(f"nullif({c}, -1D)")), F.lit(float("nan")))
-    goals = nodes.where(F.col("kind") == GOAL)
-    inner = goal_edges(nodes, edges)
-    placed = layers(node_depths(goals, inner, root)).join(nodes.select("gid", "id", "confidence"), ["gid", "id"])
+    # both graphs are walked at once, told apart by a part of their key
+    scoped = lambda df, goals, *columns: df.select(F.struct("gid", F.lit(goals).alias("goals")).alias("gid"), *columns)
+    ends = lambda goals, e: scoped(e, goals, "source", "target")
+    found = _distances(ends(False, edges).unionByName(ends(True, goal_edges(nodes, edges))), scoped(root, False, "root").unionByName(scoped(root, True, "root")))
+    wanted = scoped(nodes, False, "id", "confidence").unionByName(scoped(nodes.where(F.col("kind") == GOAL), True, "id", "confidence"))
+    lost = F.raise_error(F.concat(F.lit("not reached from the root of graph "), F.col("gid.gid").cast("string"), F.lit(": "), F.col("id"))).cast("int")
+    placed = layers(wanted.join(found, ["gid", "id"], "left").select(F.col("gid.gid").alias("gid"), F.col("gid.goals").alias("goals"), "confidence", F.coalesce("depth", lost).alias("depth")))
     per_node = nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind") == GOAL).alias("goals"), F.count_if(F.col("kind") == EVIDENCE).alias("evidence"), mean("confidence").alias("confidence"))
     per_edge = edges.groupBy("gid").agg(F.count(F.lit(1)).alias("edges"), *[F.count_if(F.col("relationship_type") == r).alias(r) for r in (*GOAL_RELATIONS, *EVIDENCE_RELATIONS)])
     per_leaf = goal_leaves(nodes, edges).groupBy("gid").agg(F.count(F.lit(1)).alias("goal_leaves"), mean("confidence").alias("goal_leaves_conf"))
-    at = lambda k: F.when(F.col("layer") == k, F.col("confidence"))
+    at = lambda k: ~F.col("goals") & (F.col("layer") == k)
     per_layer = placed.groupBy("gid").agg(
-        F.max("depth").alias("max_depth"),
-        *[F.count_if(F.col("layer") == k).alias(f"layer_{k}") for k in range(4)],
-        *[F.coalesce(F.avg(F.nullif(at(k), F.lit(-1.0))), F.lit(float("nan"))).alias(f"layer_{k}_conf") for k in range(4)],
+        F.max(F.when(F.col("goals"), F.col("depth"))).alias("max_depth"),
+        *[F.count_if(at(k)).alias(f"layer_{k}") for k in range(4)],
+        *[F.coalesce(F.avg(F.nullif(F.when(at(k), F.col("confidence")), F.lit(-1.0))), F.lit(float("nan"))).alias(f"layer_{k}_conf") for k in range(4)],
     )
     out = per_node.join(per_edge, "gid", "left").join(per_leaf, "gid", "left").join(per_layer, "gid", "left")
     return out.fillna(0, [c for c in out.columns if c != "gid" and not c.endswith("conf") and c != "confidence"])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verity.functions.scores import EPSILON, bin_index
+from verity.plans.tables import eq_join, running
 
 NAN = float("nan")
 METRICS = ["n", "auroc", "auarc", "beh_align_score", "ece", "adaptive_ece", "brier", "brier_skill", "nll", "mean_confidence", "std_confidence", "mean_accuracy"]
@@ -18,37 +19,32 @@ def _base(df: DataFrame, keys: Sequence[str], confidence: str, label: str, order
     return df.select(*named, F.col(confidence).cast("double").alias("_c"), F.col(label).cast("double").alias("_y"), F.col(order).alias("_ord")).where("_c is not null and _y is not null")
 
 
-def _join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join on keys that may be null."""
-    if not keys:
-        return a.crossJoin(b)  # one row on the right: a total
-    renamed = b.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in b.columns])
-    on = [a[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]
-    return a.join(renamed, on).drop(*[f"__{k}" for k in keys])
-
-
 def ranked(df: DataFrame, keys: Sequence[str], confidence: str, label: str, order: str) -> DataFrame:
-    """Each row with its place from the top and from the bottom (ties by input order) and the hits so far.
+    """Each row with its place from the top and from the bottom (ties by input order), the hits so far,
+    and the misses below it and level with it.
 
-    Rows are placed inside their (key, confidence) group; groups are offset by the counts of the
-    other groups, of which there are as many as different confidences. No task holds a whole run.
+    Places come from running sums over the rows sorted by (key, confidence, order), those of a group of
+    one confidence from its totals: no task holds a run or such a group.
     """
     base = _base(df, keys, confidence, label, order)
-    groups = base.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_m"), F.sum("_y").alias("_p"))
-    everything = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    up = everything.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    down = everything.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select(
-        *keys,
-        "_c",
-        F.coalesce(F.sum("_m").over(up), F.lit(0)).alias("_below"),
-        F.coalesce(F.sum("_m").over(down), F.lit(0)).alias("_above"),
-        F.coalesce(F.sum("_p").over(down), F.lit(0.0)).alias("_won"),
-        F.sum("_m").over(everything).alias("_n"),
-    )
-    inside = Window.partitionBy(*keys, "_c").orderBy("_ord")
-    placed = base.withColumn("_i", F.row_number().over(inside)).withColumn("_hits", F.sum("_y").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return _join(placed, offsets, [*keys, "_c"])
+    placed = running(base, keys, ["_c", "_ord"], {"_rank": F.lit(1), "_upto": F.col("_y")})
+    groups = placed.groupBy(*keys, "_c").agg((F.min("_rank") - 1).alias("_below"), F.count(F.lit(1)).alias("_m"), F.sum("_y").alias("_p"), F.min(F.col("_upto") - F.col("_y")).alias("_lost"))
+    joined = eq_join(placed, groups, [*keys, "_c"])
+    return joined.select(
+        *keys, "_c", "_y", "_ord", "_below",
+        F.col("_rank_all").alias("_n"),
+        (F.col("_rank_all") - F.col("_below") - F.col("_m")).alias("_above"),
+        (F.col("_upto_all") - F.col("_lost") - F.col("_p")).alias("_won"),
+        (F.col("_rank") - F.col("_below")).alias("_i"),
+        (F.col("_upto") - F.col("_lost")).alias("_hits"),
+        (F.col("_below") - F.col("_lost")).alias("_under"),
+        (F.col("_m") - F.col("_p")).alias("_level"),
+    )
+
+
+def _auroc(won: Column, hits: Column, n: Column) -> Column:
+    total = hits * (n - hits)
+    return F.when(total > 0, won / total).otherwise(F.lit(NAN))
 
 
 def auroc(df: DataFrame, keys: Sequence[str], confidence: str = "estimated_confidence", label: str = "resolved") -> DataFrame:
@@ -56,10 +52,9 @@ def auroc(df: DataFrame, keys: Sequence[str], confidence: str = "estimated_confi
     where one class is missing."""
     base = _base(df, keys, confidence, label, label)
     groups = base.groupBy(*keys, "_c").agg(F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_q"))
-    below = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.sum(F.col("_p") * (F.coalesce("_under", F.lit(0.0)) + F.col("_q") / 2))
-    total = F.sum("_p") * F.sum("_q")
-    return groups.withColumn("_under", F.sum("_q").over(below)).groupBy(*keys).agg(F.when(total > 0, won / total).otherwise(F.lit(NAN)).alias("auroc"))
+    below = running(groups, keys, ["_c"], {"_upto": F.col("_q")})
+    won = F.sum(F.col("_p") * (F.col("_upto") - F.col("_q") / 2))
+    return below.groupBy(*keys).agg(_auroc(won, F.sum("_p"), F.sum(F.col("_p") + F.col("_q"))).alias("auroc"))
 
 
 def auarc(df: DataFrame, keys: Sequence[str], confidence: str = "estimated_confidence", label: str = "resolved", order: str = "ord") -> DataFrame:
@@ -134,11 +129,26 @@ def adaptive_calibration_error(df: DataFrame, keys: Sequence[str], bins: int = 1
     return by_chunk.groupBy(*keys).agg((F.sum("_gap") / F.sum("_m")).alias(name))
 
 
+def calibration_sweep(df: DataFrame, keys: Sequence[str], bins: Sequence[int], confidence: str = "estimated_confidence", label: str = "resolved", order: str = "ord") -> DataFrame:
+    """One row per key: ``ece_k`` and ``adaptive_ece_k`` for each number of bins. The places are worked
+    out once, and one grouping has the sums of the cells of every number of bins."""
+    rows = ranked(df, keys, confidence, label, order)
+    cells = [F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), cell.cast("long").alias("cell")) for k in bins for kind, cell in (("", bin_index("_c", k)), ("adaptive_", chunk_index(F.col("_below") + F.col("_i") - 1, F.col("_n"), k)))]
+    each = rows.select(*keys, "_c", "_y", F.explode(F.array(*cells)).alias("x"))
+    sums = each.groupBy(*keys, "x").agg(F.abs(F.sum("_y") - F.sum("_c")).alias("gap"), F.count(F.lit(1)).alias("m"))
+
+    def error(k: int, kind: str) -> Column:
+        own = (F.col("x.k") == k) & (F.col("x.kind") == kind)
+        return (F.coalesce(F.sum(F.when(own & F.col("x.cell").isNotNull(), F.col("gap"))), F.lit(0.0)) / F.sum(F.when(own, F.col("m")))).alias(f"{kind}ece_{k}")
+
+    return sums.groupBy(*keys).agg(*[error(k, kind) for k in bins for kind in ("", "adaptive_")])
+
+
 def run_metrics(df: DataFrame, keys: Sequence[str] = ("run",), confidence: str = "estimated_confidence", label: str = "resolved", order: str = "ord", bins: int = 10) -> DataFrame:
     """All of METRICS by key. Rows without confidence or outcome are left out.
 
-    The places are worked out once. One grouping by (key, bin, chunk) makes sums of fixed number;
-    every metric but AUROC is an expression of those sums, and AUROC needs counts by confidence.
+    The places are worked out once. One grouping by (key, bin, chunk) makes sums of fixed number, and
+    every metric is an expression of those sums.
     """
     keys = list(keys)
     rows = ranked(df, keys, confidence, label, order)
@@ -155,11 +165,13 @@ def run_metrics(df: DataFrame, keys: Sequence[str] = ("run",), confidence: str =
         F.sum(F.pow(c - y, 2)).alias("sb"),
         F.sum(F.when(y == 1, c).otherwise(c + F.log(1 - F.least(c, F.lit(1 - EPSILON))))).alias("ss"),
         F.sum(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("sl"),
+        F.sum(y * (F.col("_under") + F.col("_level") / 2)).alias("sw"),
     )
     n, p = F.sum("m"), F.sum("sy") / F.sum("m")
     brier = F.sum("sb") / n
     whole = sums.groupBy(*keys).agg(
         n.alias("n"),
+        _auroc(F.sum("sw"), F.sum("sy"), n).alias("auroc"),
         F.when(n == 1, 0.0).otherwise((F.sum("sa") - (F.max("first") + p) / 2) / n).alias("auarc"),
         (F.sum("ss") / n).alias("beh_align_score"),
         brier.alias("brier"),
@@ -174,8 +186,6 @@ def run_metrics(df: DataFrame, keys: Sequence[str] = ("run",), confidence: str =
         per = sums.where(F.col(cell).isNotNull()).groupBy(*keys, cell).agg(F.abs(F.sum("sy") - F.sum("sc")).alias("gap"))
         return per.groupBy(*keys).agg(F.sum("gap").alias(name))
 
-    out = _join(whole, error("_chunk", "_adaptive"), keys)
-    out = _join(out, auroc(df, keys, confidence, label), keys)
-    equal = error("_bin", "_equal")
-    out = _join(out, equal, keys)
+    out = eq_join(whole, error("_chunk", "_adaptive"), keys)
+    out = eq_join(out, error("_bin", "_equal"), keys)
     return out.select(*keys, "n", "auroc", "auarc", "beh_align_score", (F.col("_equal") / F.col("n")).alias("ece"), (F.col("_adaptive") / F.col("n")).alias("adaptive_ece"), "brier", "brier_skill", "nll", "mean_confidence", "std_confidence", "mean_accuracy")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verity.functions.scores import claim_dropout, geometric_mean, product, require, temperature_scale
 from verity.functions.text import outdated
 from verity.operators.graphs import GOAL, confidence_leaves, goal_edges, goal_leaves, leaves
-from verity.plans.tables import cut
+from verity.plans.tables import cut, cut_counted
 
 Combine = Callable[[Column], Column]
 
@@ -41,8 +41,8 @@ def bottom_up(nodes: DataFrame, edges: DataFrame, combine: Combine, finish: Call
         child = done.select("gid", F.col("id").alias("source"), F.col("confidence").alias("_c"))
         ready = inner.join(child, ["gid", "source"]).groupBy("gid", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("_r"), combine(F.col("_c")).alias("derived"))
         fresh = waiting.join(ready, ["gid", "id"]).where("_r = _k").join(done.select("gid", "id"), ["gid", "id"], "left_anti")
-        fresh = cut(fresh.select("gid", "id", finish(F.col("derived")).alias("confidence")), "propagate-level")
-        if fresh.isEmpty():
+        fresh, n = cut_counted(fresh.select("gid", "id", finish(F.col("derived")).alias("confidence")), "propagate-level")
+        if not n:
             break
         derived = fresh if derived is None else derived.unionByName(fresh)
         done = done.unionByName(fresh)
@@ -268,8 +268,8 @@ def belief_propagation(nodes: DataFrame, edges: DataFrame, version: int = 1, max
         both = kinds.join(got, ["gid", "id"]).where("r = k").join(up.select("gid", "id"), ["gid", "id"], "left_anti")
         all_true = F.when(F.col("zeros") > 0, 0.0).otherwise(F.exp("logs"))
         rest = (1 - all_true) / (F.pow(F.lit(2.0), F.col("k")) - 1)
-        fresh = cut(both.select("gid", "id", F.when(F.col("equal"), F.col("only")).otherwise(all_true / (all_true + rest)).alias("up")), "bp-up")
-        if fresh.isEmpty():
+        fresh, n = cut_counted(both.select("gid", "id", F.when(F.col("equal"), F.col("only")).otherwise(all_true / (all_true + rest)).alias("up")), "bp-up")
+        if not n:
             break
         up = up.unionByName(fresh)
         levels += 1
@@ -286,8 +286,8 @@ def belief_propagation(nodes: DataFrame, edges: DataFrame, version: int = 1, max
         parent = level.select("gid", F.col("id").alias("target"), "down")
         share = (1 - F.col("down")) / (F.pow(F.lit(2.0), F.col("k")) - 1)
         true = F.col("down") * F.col("without") + share * (1 - F.col("without"))
-        level = cut(links.join(parent, ["gid", "target"]).select("gid", "id", F.when(F.col("equal"), F.col("down")).otherwise(true / (true + share)).alias("down")), "bp-down")
-        if level.isEmpty():
+        level, n = cut_counted(links.join(parent, ["gid", "target"]).select("gid", "id", F.when(F.col("equal"), F.col("down")).otherwise(true / (true + share)).alias("down")), "bp-down")
+        if not n:
             break
         down = down.unionByName(level)
     yes, no = F.col("down") * F.col("up"), (1 - F.col("down")) * (1 - F.col("up"))

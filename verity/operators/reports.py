@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verity.operators.metrics import adaptive_calibration_error, expected_calibration_error, run_metrics
+from verity.operators.metrics import calibration_sweep, run_metrics
 
 KEY = ("instance_id", "model")
 
@@ -56,11 +56,7 @@ def ece_sweep(df: DataFrame, bins: Sequence[int] = (5, 10, 15, 20), keys: Sequen
     """Both calibration errors for each number of bins: one row per key, two columns per number."""
     if not bins or len(set(bins)) != len(bins) or min(bins) < 1:
         raise ValueError("bins are different positive numbers")
-    out = None
-    for k in bins:
-        for part in (expected_calibration_error(df, keys, k, name=f"ece_{k}"), adaptive_calibration_error(df, keys, k, order=order, name=f"adaptive_ece_{k}")):
-            out = part if out is None else out.join(part, list(keys))
-    return out
+    return calibration_sweep(df, keys, bins, order=order)
 
 
 def breakdown(df: DataFrame, by: str, keys: Sequence[str] = ("run",), order: str = "ord") -> DataFrame:
@@ -121,10 +117,22 @@ def by_benchmark(df: DataFrame, default: str, texts: dict[str, str], column: str
     return df.withColumn(name, F.when(F.col(column).isNull(), F.lit(default)).otherwise(F.coalesce(known, lost)))
 
 
-def delimited(rows: DataFrame, decimals: int = 2, mark: str = "\t") -> str:
-    """A summary table (few rows by nature: one per run) as CSV or TSV text."""
+#: Rows of a table that is rendered as one text; larger ones belong in a sink.
+MOST_SHOWN = 10_000
+
+
+def _shown(rows: DataFrame, most: int) -> list:
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows to render: write the table with a sink")
+    return got
+
+
+def delimited(rows: DataFrame, decimals: int = 2, mark: str = "\t", most: int = MOST_SHOWN) -> str:
+    """A summary table (few rows by nature: one per run) as CSV or TSV text; more than ``most`` rows are
+    an error."""
     show = lambda v: "" if v is None else f"{v:.{decimals}f}" if isinstance(v, float) else str(v)
-    return "\n".join([mark.join(rows.columns), *(mark.join(map(show, r)) for r in rows.limit(10_000).collect())])
+    return "\n".join([mark.join(rows.columns), *(mark.join(map(show, r)) for r in _shown(rows, most))])
 
 
 def merge_usage(df: DataFrame, keys: Sequence[str], column: str = "usage_by_model") -> DataFrame:
@@ -152,9 +160,9 @@ def nearest_percentile(df: DataFrame, keys: Sequence[str], column: str, q: float
     return placed.where(F.col("_upto") > F.rint(q * (F.col("_n") - 1))).groupBy(*keys).agg(F.min(column).alias(name))
 
 
-def markdown(rows: DataFrame, decimals: int = 2) -> str:
-    """A summary table (few rows by nature: one per run) as Markdown."""
-    got = rows.limit(10_000).collect()
+def markdown(rows: DataFrame, decimals: int = 2, most: int = MOST_SHOWN) -> str:
+    """A summary table (few rows by nature: one per run) as Markdown; more than ``most`` rows are an error."""
+    got = _shown(rows, most)
     show = lambda v: "N/A" if v is None else f"{v:.{decimals}f}" if isinstance(v, float) else str(v)
     head = "| " + " | ".join(rows.columns) + " |\n|" + " --- |" * len(rows.columns)
     return "\n".join([head, *("| " + " | ".join(map(show, r)) + " |" for r in got)])

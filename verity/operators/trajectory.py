@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verity.functions.summaries import action_summary, call_action_summary, call_observation_summary, observation_summary
 from verity.functions.text import call_parts, content, json_object, rstrip, strip, without_result_header
-from verity.plans.tables import cut
+from verity.plans.tables import cut, cut_counted
 
 TERMINAL = ("completed", "failed")
 
@@ -67,14 +67,15 @@ def active_branch(events: DataFrame, leaf: DataFrame, key: str = "traj", max_lev
     of n events takes log2 n rounds of joins.
     """
     up = cut(events.select(key, F.col("event_id").alias("at"), F.col("parent_id").alias("above")), "branch-up")
-    reach = cut(leaf.select(key, F.col("event_id").alias("at"), F.lit(0).cast("long").alias("depth")), "branch-reach")
+    reach, n = cut_counted(leaf.select(key, F.col("event_id").alias("at"), F.lit(0).cast("long").alias("depth")), "branch-reach")
     step = 1
     while step < max_levels:
         jump = up.where("above is not null").withColumnRenamed("at", "_at")
         new = reach.join(jump, (reach[key] == jump[key]) & (reach["at"] == jump["_at"])).select(reach[key], F.col("above").alias("at"), (F.col("depth") + step).alias("depth"))
-        if new.isEmpty():
+        before = n
+        reach, n = cut_counted(reach.unionByName(new), "branch-reach")
+        if n == before:
             break
-        reach = cut(reach.unionByName(new), "branch-reach")
         twice = up.select(F.col(key).alias("_k"), F.col("at").alias("_at"), F.col("above").alias("_above"))
         up = cut(up.join(twice, (up[key] == twice["_k"]) & (up["above"] == twice["_at"]), "left").select(key, "at", F.col("_above").alias("above")), "branch-up")
         step *= 2

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from verity.functions import text as tx
 from verity.functions.scores import log_mean_exp, vote
 from verity.operators import audit, graph_edit, graphs, metrics, propagate, quality, reports, trajectory
-from verity.operators.calibration import fit_temperature
+from verity.operators.calibration import Calibration, calibrate, fit_temperature, resolve
 from verity.plans import runner
 from verity.plans.views import view, with_views
 from verity.sources.runs import parse_slice, row_slice
+from verity.streaming import snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,14 +174,49 @@ register("goal_depths", f"{_DEPTHS} SELECT gid, id, depth FROM depths")(lambda s
 register("graph_layers", f"{_DEPTHS} SELECT gid, least(depth, 3) AS layer, count(*) AS nodes FROM depths GROUP BY ALL")(
     lambda s, d: graphs.layers(graphs.node_depths(*graph(s, d), nation_roots(s, d))).groupBy("gid", "layer").agg(F.count(F.lit(1)).alias("nodes"))
 )
-register("graph_stats", f"""{_DEPTHS}, l AS (SELECT gid, count(*) AS goal_leaves, round(avg(nullif(confidence, -1)), 6) AS goal_leaves_conf FROM gnodes WHERE id NOT IN (SELECT target FROM gedges) GROUP BY gid),
-p AS (SELECT d.gid, max(depth) AS max_depth, count(*) FILTER (WHERE depth = 1) AS layer_1, count(*) FILTER (WHERE depth = 2) AS layer_2, round(avg(nullif(confidence, -1)) FILTER (WHERE depth = 1), 6) AS layer_1_conf FROM depths d JOIN gnodes n ON n.id = d.id GROUP BY d.gid),
-e AS (SELECT gid, count(*) AS edges, count(*) FILTER (WHERE relationship_type = 'decomposes_from') AS decomposes_from, count(*) FILTER (WHERE relationship_type = 'particularizes') AS particularizes FROM gedges GROUP BY gid)
-SELECT n.gid, count(*) AS nodes, count(*) AS goals, round(avg(nullif(confidence, -1)), 6) AS confidence, any_value(edges) AS edges, any_value(decomposes_from) AS decomposes_from, any_value(particularizes) AS particularizes,
-       any_value(goal_leaves) AS goal_leaves, any_value(goal_leaves_conf) AS goal_leaves_conf, any_value(max_depth) AS max_depth, any_value(layer_1) AS layer_1, any_value(layer_2) AS layer_2, any_value(layer_1_conf) AS layer_1_conf
-FROM gnodes n JOIN e USING (gid) JOIN l USING (gid) JOIN p USING (gid) GROUP BY n.gid""")(
-    lambda s, d: graphs.graph_stats(*graph(s, d), nation_roots(s, d)).select("gid", "nodes", "goals", "confidence", "edges", "decomposes_from", "particularizes", "goal_leaves", "goal_leaves_conf", "max_depth", "layer_1", "layer_2", "layer_1_conf")
+GE = with_views("enodes", "eedges")
+_ALL_DEPTHS = f"""{GE}, depths AS (
+  SELECT gid, id, 0 AS depth FROM enodes WHERE id LIKE 'n%'
+  UNION ALL SELECT e.gid, e.source, p.depth + 1 FROM eedges e JOIN depths p ON p.id = e.target
+)"""
+_NAN = "CAST('nan' AS DOUBLE)"
+_LAYERS = ", ".join(f"count(*) FILTER (WHERE least(depth, 3) = {k}) AS layer_{k}, round(coalesce(avg(nullif(confidence, -1)) FILTER (WHERE least(depth, 3) = {k}), {_NAN}), 6) AS layer_{k}_conf" for k in range(4))
+_RELATIONS = (*graphs.GOAL_RELATIONS, *graphs.EVIDENCE_RELATIONS)
+_STATS_SQL = f"""{_ALL_DEPTHS}, per_leaf AS (SELECT gid, count(*) AS goal_leaves, round(coalesce(avg(nullif(confidence, -1)), {_NAN}), 6) AS goal_leaves_conf FROM enodes WHERE kind = 'GSNGoalNode' AND id NOT IN (SELECT target FROM eedges WHERE source NOT LIKE 'e%') GROUP BY gid),
+per_layer AS (SELECT d.gid, max(depth) FILTER (WHERE kind = 'GSNGoalNode') AS max_depth, {_LAYERS} FROM depths d JOIN enodes n ON n.id = d.id GROUP BY d.gid),
+per_edge AS (SELECT gid, count(*) AS edges, {", ".join(f"count(*) FILTER (WHERE relationship_type = '{r}') AS {r}" for r in _RELATIONS)} FROM eedges GROUP BY gid),
+per_node AS (SELECT gid, count(*) AS nodes, count(*) FILTER (WHERE kind = 'GSNGoalNode') AS goals, count(*) FILTER (WHERE kind <> 'GSNGoalNode') AS evidence, round(coalesce(avg(nullif(confidence, -1)), {_NAN}), 6) AS confidence FROM enodes GROUP BY gid),
+stats AS (SELECT * FROM per_node JOIN per_edge USING (gid) JOIN per_leaf USING (gid) JOIN per_layer USING (gid))"""
+
+
+def evident(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return view(spark, sf_dir, "enodes"), view(spark, sf_dir, "eedges")
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.graph_stats(*evident(spark, sf_dir), nation_roots(spark, sf_dir))
+
+
+register("graph_stats", f"{_STATS_SQL} SELECT * FROM stats")(_stats)
+_MEANS = [c for c in ("nodes", "goals", "evidence", "confidence", "edges", *_RELATIONS, "goal_leaves", "goal_leaves_conf", "max_depth", *(f"layer_{k}" for k in range(4)), *(f"layer_{k}_conf" for k in range(4)))]
+register("graph_stats_summary", f"""{_STATS_SQL} SELECT {", ".join(f"round(avg(CASE WHEN NOT isnan(CAST({c} AS DOUBLE)) THEN {c} END), 4) AS mean_{c}" for c in _MEANS)}, max(max_depth) AS max_max_depth, list_sort(list(max_depth))[CAST(round_even(0.95 * (count(*) - 1), 0) AS INT) + 1] AS p95_depth FROM stats""")(
+    lambda s, d: rounded(graphs.stats_summary(rounded(_stats(s, d))), 4)
 )
+_CLOSURE = f"""{GE}, reach AS (
+  SELECT gid, id AS origin, id FROM enodes WHERE id LIKE 'c%'
+  UNION ALL SELECT e.gid, r.origin, e.source FROM eedges e JOIN reach r ON r.id = e.target
+), cited AS (SELECT r.origin, unnest([n.s1, n.s2]) AS step FROM reach r JOIN enodes n ON n.id = r.id WHERE n.s1 >= 0)"""
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, edges = evident(spark, sf_dir)
+    told = nodes.withColumn("step_numbers", F.when(F.col("s1") >= 0, F.array("s1", "s2")))
+    return told.where("id like 'c%'"), told, edges
+
+
+register("max_cited_step", f"{_CLOSURE} SELECT n.gid, n.id, coalesce(max(c.step), -1) AS max_step FROM enodes n LEFT JOIN cited c ON c.origin = n.id WHERE n.id LIKE 'c%' GROUP BY n.gid, n.id")(lambda s, d: graphs.max_cited_step(*_cited(s, d)))
+register("cited_steps", f"{_CLOSURE} SELECT n.gid, n.id, coalesce(list_sort(list(DISTINCT c.step) FILTER (WHERE c.step IS NOT NULL)), []) AS steps FROM enodes n LEFT JOIN cited c ON c.origin = n.id WHERE n.id LIKE 'c%' GROUP BY n.gid, n.id")(lambda s, d: graphs.cited_steps(*_cited(s, d)))
+register("evidence_leaves", f"{GE} SELECT gid, id FROM enodes WHERE id NOT IN (SELECT target FROM eedges)")(lambda s, d: graphs.leaves(*evident(s, d)).select("gid", "id"))
 register("predecessor_levels", f"""{G}, reach AS (
   SELECT gid, id AS origin, id, 0 AS depth FROM gnodes WHERE id LIKE 'c%'
   UNION ALL SELECT e.gid, r.origin, e.source, r.depth + 1 FROM gedges e JOIN reach r ON r.id = e.target
@@ -260,9 +296,14 @@ def _class_sql(values: Sequence[float]) -> str:
 
 register("agg_bp_v1", _bp_sql(("1 - n.confidence", "n.confidence")))(lambda s, d: propagate.belief_propagation(*trees(s, d), 1).select(*NODE))
 register("agg_bp_v2", _bp_sql((_class_sql(propagate.GIVEN_FALSE), _class_sql(propagate.GIVEN_TRUE))))(lambda s, d: propagate.belief_propagation(*trees(s, d), 2).select(*NODE))
-register("tree_errors", f"""{G}, t AS (SELECT * FROM gedges WHERE target LIKE 'n%'), x AS (SELECT gid, target AS id, count(*) AS k, max(relationship_type) AS r, count(DISTINCT relationship_type) AS m FROM gedges GROUP BY gid, target)
+def _bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "badedges")
+
+
+register("tree_errors", f"""{with_views("badedges")}, x AS (SELECT gid, target AS id, count(*) AS k, max(relationship_type) AS r, count(DISTINCT relationship_type) AS m FROM badedges GROUP BY gid, target)
 SELECT gid, id, 'mixed relations' AS error FROM x WHERE m > 1 UNION ALL SELECT gid, id, 'particularization with several children' FROM x WHERE m = 1 AND r = 'particularizes' AND k > 1
-UNION ALL SELECT gid, source, 'several parents' FROM gedges GROUP BY gid, source HAVING count(*) > 1""")(lambda s, d: propagate.tree_errors(*graph(s, d)))
+UNION ALL SELECT gid, source, 'several parents' FROM badedges GROUP BY gid, source HAVING count(*) > 1
+UNION ALL SELECT gid, min(id), 'several roots' FROM (SELECT DISTINCT gid, target AS id FROM badedges WHERE (gid, target) NOT IN (SELECT (gid, source) FROM badedges)) GROUP BY gid HAVING count(*) > 1""")(lambda s, d: propagate.tree_errors(_bad(s, d).select("gid", F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("kind", F.lit(graphs.GOAL)), _bad(s, d)))
 
 
 # ---------------------------------------------------------------- calibration
@@ -278,6 +319,8 @@ SELECT round(1 / ((lo + hi) / 2), 6) AS temperature FROM s WHERE i = 60"""
 
 
 def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results without certain confidences that are wrong: with such a row no temperature is best, and
+    a fit is an error by contract. The SQL leaves all certain rows out, as a fit does."""
     return view(spark, sf_dir, "results").where("not (estimated_confidence <= 0 and resolved = 1) and not (estimated_confidence >= 1 and resolved = 0)")
 
 
@@ -286,7 +329,18 @@ def _fit(objective: str) -> Query:
 
 
 register("temperature_fit_nll", _fit_sql(""))(_fit("nll"))
-register("temperature_fit_brier")(_fit("brier"))
+_SIG = "(1 / (1 + exp(-(lo + hi) / 2 * h.z)))"
+register("temperature_fit_brier", _fit_sql(f" * {_SIG} * (1 - {_SIG})"))(_fit("brier"))
+_CALIBRATED = _scaled("estimated_confidence", "2.5")
+register("calibrated_outputs", f"{with_views('results')} SELECT ord, round({_CALIBRATED}, 6) AS estimated_confidence, round(estimated_confidence, 6) AS raw_confidence FROM results")(
+    lambda s, d: _calibrated(view(s, d, "results").select("ord", "estimated_confidence"))
+)
+
+
+def _calibrated(rows: DataFrame) -> DataFrame:
+    """Scaled twice by a configuration that was written and read: the second time starts from the raw ones."""
+    config = Calibration.from_json(Calibration("temperature", temperature=2.5).to_json())
+    return calibrate(calibrate(rows, 1.7), resolve(config, rows))
 
 
 # ---------------------------------------------------------------- graph quality
@@ -524,3 +578,75 @@ def _populated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     unset = nodes.withColumn("confidence", F.when(F.col("id").startswith("c"), -1.0).otherwise(F.col("confidence")))
     done = propagate.populate(unset, edges, lambda rows: rows.select("gid", "id", (1.0 / (1 + F.length("id"))).alias("confidence")))
     return done.select("gid", "id", "confidence")
+
+
+# ---------------------------------------------------------------- evidence, configurations, titles, windows
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's tree with its orders' priorities as evidence of the order that they are of; those of
+    odd orders are in the catalog alone."""
+    nodes, edges, _ = _named(spark, sf_dir)
+    orders = view(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("gid"), F.col("o_orderkey"), F.col("o_orderpriority"))
+    catalog = orders.select("gid", F.col("o_orderkey").cast("string").alias("evidence_key"), F.col("o_orderpriority").alias("evidence"), F.array(F.col("o_orderkey").cast("int")).alias("step_numbers"), F.lit("seen").alias("auditable_claim"), F.lit(None).cast("string").alias("contribution"))
+    links = orders.where("o_orderkey % 2 = 0").select("gid", F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("evidence_key"), F.concat(F.lit("goal o"), F.col("o_orderkey").cast("string")).alias("target"), F.lit("supports").alias("relationship_type"))
+    all_nodes, all_edges = graph_edit.apply_evidence(nodes.withColumn("confidence", F.lit(-1.0)), edges, catalog, links)
+    told = all_nodes.where(F.col("kind") == graphs.EVIDENCE).select("gid", F.col("id").alias("source"), "evidence", "step_numbers", "confidence")
+    return all_edges.join(told, ["gid", "source"]).select("gid", "target", "relationship_type", "evidence", F.col("step_numbers")[0].alias("step"), "confidence")
+
+
+register("evidence_links", f"""{T} SELECT e.target AS gid, e.source AS target, 'supports' AS relationship_type, o_orderpriority AS evidence, CAST(o_orderkey AS INT) AS step, CAST(-1 AS DOUBLE) AS confidence
+FROM te e JOIN orders ON e.source = 'o' || o_orderkey WHERE o_orderkey % 2 = 0""")(_evidence)
+register("config_differences", """WITH a AS (SELECT 'part.' || p_partkey AS path, p_brand AS v, 'str' AS t FROM part WHERE p_partkey % 5 <> 0),
+b AS (SELECT 'part.' || p_partkey AS path, CASE WHEN p_partkey % 7 = 0 THEN upper(p_type) WHEN p_partkey % 11 = 0 THEN NULL ELSE p_brand END AS v, CASE WHEN p_partkey % 11 = 0 THEN 'NoneType' ELSE 'str' END AS t FROM part WHERE p_partkey % 3 <> 0)
+SELECT coalesce(a.path, b.path) AS path, a.v AS left_value, a.t AS left_type, b.v AS right_value, b.t AS right_type FROM a FULL JOIN b ON a.path = b.path WHERE a.v IS DISTINCT FROM b.v OR a.t IS DISTINCT FROM b.t""")(
+    lambda s, d: audit.config_difference(
+        view(s, d, "part").where("p_partkey % 5 <> 0").selectExpr("concat('part.', p_partkey) as path", "p_brand as value", "'str' as type"),
+        view(s, d, "part").where("p_partkey % 3 <> 0").selectExpr("concat('part.', p_partkey) as path", "case when p_partkey % 7 = 0 then upper(p_type) when p_partkey % 11 = 0 then null else p_brand end as value", "if(p_partkey % 11 = 0, 'NoneType', 'str') as type"),
+    )
+)
+_CALLS = """event_id, CASE event_id % 5 WHEN 0 THEN 'read' WHEN 1 THEN 'edit' WHEN 2 THEN 'execute' WHEN 3 THEN 'skill' ELSE 'other' END AS kind,
+CASE event_id % 5 WHEN 0 THEN concat(event_type, ': Reading a/', CAST(event_id AS STRING)) WHEN 1 THEN concat('Editing b/', CAST(event_id AS STRING)) WHEN 2 THEN concat(event_type, ': $ ls ', CAST(event_id AS STRING)) ELSE event_type END AS title,
+CASE event_id % 5 WHEN 3 THEN concat('Tool: invoke_skill', {newline}, 'Result:', {newline}, '[skill: ', event_type, '] done') ELSE 'done' END AS output FROM {events}"""
+register("call_titles", f"""WITH c AS (SELECT {_CALLS.replace("{newline}", "chr(10)").replace("{events}", "events")})
+SELECT event_id, CASE kind WHEN 'read' THEN 'file_editor' WHEN 'edit' THEN 'file_editor' WHEN 'execute' THEN 'terminal' WHEN 'skill' THEN 'invoke_skill' ELSE 'unknown_acp_tool' END AS tool,
+CASE WHEN kind = 'read' THEN split_part(title, ': Reading ', 1) WHEN kind = 'edit' THEN '' WHEN kind = 'execute' THEN split_part(title, ': $ ', 1) ELSE title END AS summary,
+CASE WHEN kind = 'execute' THEN split_part(title, ': $ ', 2) END AS command, CASE WHEN kind = 'read' THEN split_part(title, ': Reading ', 2) WHEN kind = 'edit' THEN substr(title, 9) END AS path,
+CASE kind WHEN 'read' THEN 'view' WHEN 'edit' THEN 'edit' END AS operation, CASE WHEN kind = 'skill' THEN regexp_extract(output, 'skill: ([^]]+)', 1) END AS skill FROM c""")(
+    lambda s, d: s.sql("SELECT " + _CALLS.replace("{newline}", "char(10)"), events=view(s, d, "events")).select("event_id", tx.call_parts(F.col("output"), F.col("kind"), F.col("title")).alias("c")).select("event_id", "c.*")
+)
+_ACP = """user_id AS traj, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, CASE event_id % 4 WHEN 0 THEN 'user_message' WHEN 1 THEN 'agent_thought' WHEN 2 THEN 'tool_call' ELSE 'agent_message' END AS type,
+event_type AS text, concat('c', CAST(event_id AS STRING)) AS tool_call_id, 'execute' AS kind, concat('run: $ ', event_type) AS title, CASE WHEN event_id % 8 = 2 THEN 'failed' ELSE 'completed' END AS status, 'ok' AS output"""
+register("acp_events", f"""WITH r AS (SELECT {_ACP} FROM events), t AS (SELECT *, sum(CASE WHEN type = 'agent_thought' THEN 1 ELSE 0 END) OVER (PARTITION BY traj ORDER BY idx) AS thoughts FROM r),
+e AS (SELECT *, unnest(CASE WHEN type IN ('agent_thought', 'tool_call') THEN [0, 1] ELSE [0] END) AS half FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY idx, half) - 1 AS place FROM e)
+SELECT traj, place::BIGINT AS idx, printf('event-%06d', place) AS event_id, CASE WHEN place > 0 THEN printf('event-%06d', place - 1) END AS parent_id, CASE WHEN type = 'user_message' THEN 'message' WHEN half = 0 THEN 'action' ELSE 'observation' END AS kind,
+CASE type WHEN 'agent_thought' THEN printf('acp-think-%04d', thoughts) WHEN 'tool_call' THEN tool_call_id WHEN 'agent_message' THEN printf('acp-finish-%04d', idx) END AS tool_call_id,
+CASE type WHEN 'agent_thought' THEN 'think' WHEN 'tool_call' THEN 'terminal' WHEN 'agent_message' THEN 'finish' END AS tool_name,
+CASE WHEN type = 'user_message' OR type = 'agent_message' THEN text WHEN half = 0 THEN '' WHEN type = 'tool_call' THEN output ELSE 'Your thought has been logged.' END AS text,
+CASE WHEN type = 'tool_call' AND half = 0 THEN text END AS command, type = 'tool_call' AND half = 1 AND status = 'failed' AS is_error FROM p""")(
+    lambda s, d: trajectory.acp_to_events(s.sql(f"SELECT {_ACP} FROM {{events}}", events=view(s, d, "events"))).select("traj", F.col("idx").cast("long").alias("idx"), "event_id", "parent_id", "kind", "tool_call_id", "tool_name", "text", "command", "is_error")
+)
+register("event_windows", """SELECT time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2""")(
+    lambda s, d: snapshots.event_windows(view(s, d, "events")).select("start", "event_type", "n", "value")
+)
+register("event_sessions", """WITH g AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS t, CASE WHEN CAST(ts AS TIMESTAMP) < lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(t) AS start, max(t) + INTERVAL 5 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")(
+    lambda s, d: snapshots.event_sessions(view(s, d, "events")).select("user_id", "start", "end", "n")
+)
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by parity of the graph; each graph's scores from the offline evaluator."""
+    scores = quality.graph_scores(assessed(quality.claim_pairs(*_claims(spark, sf_dir))), ["gid"]).withColumn("run", F.col("gid") % 2)
+    results = view(spark, sf_dir, "nation").select((F.col("n_nationkey") % 2).alias("run"), F.col("n_nationkey").alias("gid"), F.lit("judge").alias("evaluator_model"), (F.col("n_nationkey") * 10).alias("total_tokens"), F.col("n_nationkey").alias("generated_tokens"), (F.col("n_nationkey") / F.lit(7.0)).alias("cost"))
+    lost = view(spark, sf_dir, "nation").where("n_nationkey < 5").select((F.col("n_nationkey") % 2).alias("run"))
+    return quality.quality_summary(results, scores, lost).select("run", "evaluator_model", "n", "avg_total_tokens", "sum_total_tokens", "avg_cost", "joint_sufficiency", "child_necessity", "quality_of_particularization", "observed_entailments", "expected_entailments", "total_entailments", "failed")
+
+
+register("quality_summary", f"""{_PAIRS}, a AS (SELECT *, {_LABEL.format(p="premise", h="hypothesis")} AS l FROM pairs),
+checks AS (SELECT gid, metric, parent, pair, bool_and(l = 'entailment') AS ok FROM a GROUP BY ALL), shares AS (SELECT gid, metric, avg(CAST(ok AS DOUBLE)) AS share FROM checks GROUP BY ALL),
+g AS (SELECT gid, metric, count(*) AS predictions, count(*) FILTER (WHERE l = 'entailment') AS entailment, CASE WHEN metric = 'quality_of_particularization' THEN max(share) ELSE CAST(count(*) FILTER (WHERE l = 'entailment') AS DOUBLE) / count(*) END AS score FROM a JOIN shares USING (gid, metric) GROUP BY gid, metric),
+c AS (SELECT gid % 2 AS run, round(avg(score) FILTER (WHERE metric = 'joint_sufficiency'), 6) AS joint_sufficiency, round(avg(score) FILTER (WHERE metric = 'child_necessity'), 6) AS child_necessity, round(avg(score) FILTER (WHERE metric = 'quality_of_particularization'), 6) AS quality_of_particularization, sum(entailment)::BIGINT AS observed_entailments, sum(predictions)::BIGINT AS expected_entailments, round(CAST(sum(entailment) AS DOUBLE) / sum(predictions), 6) AS total_entailments FROM g GROUP BY 1),
+r AS (SELECT n_nationkey % 2 AS run, 'judge' AS evaluator_model, count(*) AS n, round(avg(n_nationkey * 10), 6) AS avg_total_tokens, sum(n_nationkey * 10)::BIGINT AS sum_total_tokens, round(avg(n_nationkey / CAST(7 AS DOUBLE)), 6) AS avg_cost, count(*) FILTER (WHERE n_nationkey < 5) AS failed FROM nation GROUP BY 1)
+SELECT * FROM r JOIN c USING (run)""")(_quality)

@@ -26,12 +26,29 @@ WHERE (s.ord + r.k) % 13 <> 0
 GNODES = """
 SELECT n_nationkey AS gid, concat('n', CAST(n_nationkey AS STRING)) AS id, 'GSNGoalNode' AS kind, CAST(-1 AS DOUBLE) AS confidence, CAST(0.8 AS DOUBLE) AS confidence_in_children FROM {nation}
 UNION ALL SELECT c_nationkey, concat('c', CAST(c_custkey AS STRING)), 'GSNGoalNode', CAST(50 + c_custkey % 50 AS DOUBLE) / CAST(100 AS DOUBLE), CAST(0.9 AS DOUBLE) FROM {customer}
-UNION ALL SELECT c_nationkey, concat('o', CAST(o_orderkey AS STRING)), 'GSNGoalNode', CAST(9990000 + (o_orderkey * 37) % 10001 AS DOUBLE) / CAST(10000000 AS DOUBLE), CAST(-1 AS DOUBLE) FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+UNION ALL SELECT c_nationkey, concat('o', CAST(o_orderkey AS STRING)), 'GSNGoalNode', CAST(9990000 + (o_orderkey * 37) % 10001 AS DOUBLE) / CAST(10007003 AS DOUBLE), CAST(-1 AS DOUBLE) FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 """
 GEDGES = """
 SELECT c_nationkey AS gid, concat('c', CAST(c_custkey AS STRING)) AS source, concat('n', CAST(c_nationkey AS STRING)) AS target, 'decomposes_from' AS relationship_type, c_custkey AS pos FROM {customer}
 UNION ALL SELECT c_nationkey, concat('o', CAST(o_orderkey AS STRING)), concat('c', CAST(c_custkey AS STRING)), CASE WHEN count(*) OVER (PARTITION BY c_custkey) = 1 THEN 'particularizes' ELSE 'decomposes_from' END, o_orderkey FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 """
+#: The same graphs with evidence: below customers, and below some of the orders.
+ENODES = """
+SELECT gid, id, kind, confidence, CAST(-1 AS INT) AS s1, CAST(-1 AS INT) AS s2 FROM {gnodes}
+UNION ALL SELECT c_nationkey, concat('e', CAST(o_orderkey AS STRING)), 'EvidenceNodeV2', CASE WHEN o_orderkey % 3 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(o_orderkey % 89 AS DOUBLE) / CAST(89 AS DOUBLE) END, CAST(o_orderkey % 50 AS INT), CAST((o_orderkey * 7) % 61 AS INT) FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderkey % 4 = 0
+"""
+EEDGES = """
+SELECT gid, source, target, relationship_type FROM {gedges}
+UNION ALL SELECT c_nationkey, concat('e', CAST(o_orderkey AS STRING)), CASE WHEN o_orderkey % 8 = 0 THEN concat('o', CAST(o_orderkey AS STRING)) ELSE concat('c', CAST(c_custkey AS STRING)) END,
+  CASE o_orderkey % 5 WHEN 0 THEN 'proves' WHEN 1 THEN 'supports' WHEN 2 THEN 'refutes' WHEN 3 THEN 'undermines' ELSE 'unverified' END FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderkey % 4 = 0
+"""
+#: Edges that no tree may have: a second parent for some orders, which also mixes relations.
+BADEDGES = """
+SELECT gid, source, target, relationship_type FROM {gedges}
+UNION ALL SELECT c_nationkey, concat('o', CAST(o_orderkey AS STRING)), concat('n', CAST(c_nationkey AS STRING)), 'particularizes' FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderkey % 25 = 0
+UNION ALL SELECT c_nationkey, concat('x', CAST(c_custkey AS STRING)), concat('y', CAST(c_custkey AS STRING)), 'particularizes' FROM {customer} WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_nationkey, concat('z', CAST(c_custkey AS STRING)), concat('y', CAST(c_custkey AS STRING)), 'particularizes' FROM {customer} WHERE c_custkey % 6 = 0
+"""
 STEPS = """
 SELECT user_id AS traj, event_id, ts, event_type, value,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx,
@@ -43,7 +60,7 @@ CONV = """
 SELECT conv_id, turn, role, text, concat(text, {newline}, 'Confidence: ', CAST((conv_id * 17 + turn * 5) % 130 AS STRING), '%') AS response
 FROM {conversations}
 """
-TABLES = {"results": (RESULTS, ["orders"]), "results_runs": (RESULTS_RUNS, ["results"]), "gnodes": (GNODES, ["nation", "customer", "orders"]), "gedges": (GEDGES, ["customer", "orders"]), "steps": (STEPS, ["events"]), "conv": (CONV, ["conversations"])}
+TABLES = {"results": (RESULTS, ["orders"]), "results_runs": (RESULTS_RUNS, ["results"]), "gnodes": (GNODES, ["nation", "customer", "orders"]), "gedges": (GEDGES, ["customer", "orders"]), "enodes": (ENODES, ["gnodes", "orders", "customer"]), "eedges": (EEDGES, ["gedges", "orders", "customer"]), "badedges": (BADEDGES, ["gedges", "orders", "customer"]), "steps": (STEPS, ["events"]), "conv": (CONV, ["conversations"])}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

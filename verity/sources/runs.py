@@ -8,11 +8,12 @@ import re
 import tarfile
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verity.plans.tables import running
+
 EXECUTION = "instance_id STRING, patch STRING, FAIL_TO_PASS ARRAY<STRING>, PASS_TO_PASS ARRAY<STRING>, image_name STRING, repo STRING, model STRING, problem_statement STRING, instruction STRING, num_actions INT, conversation_archive_path STRING, benchmark_run_name STRING, model_pred_patch STRING, eval_report STRING, eval_test_output STRING, resolved BOOLEAN, benchmark STRING, trajectory_type STRING"
 RESULTS = "instance_id STRING, model STRING, benchmark STRING, difficulty STRING, resolved INT, estimated_confidence DOUBLE, total_tokens BIGINT, generated_tokens BIGINT, cost DOUBLE"
 NODE = "STRUCT<id STRING, kind STRING, confidence DOUBLE, confidence_rationale STRING, goal_name STRING, auditable_claim STRING, reasoning STRING, confidence_in_children DOUBLE, evidence STRING, step_numbers ARRAY<INT>, contribution STRING>"
@@ -143,27 +144,18 @@ def row_slice(df: DataFrame, part: slice, n: int, order: str = "ord") -> DataFra
 
 
 def numbered(df: DataFrame, order: str = "ord") -> DataFrame:
-    """``df`` with ``_at``, the 0-based place in ``order``: sorted by range, counted by partition, and
-    numbered inside each partition."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    base = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_low"))
-    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
-    return ranged.join(F.broadcast(base.withColumn("_off", offset)), "_part").withColumn("_at", F.col("_off") + F.col("_m") - F.col("_low")).drop("_part", "_m", "_n", "_low", "_off")
+    """``df`` with ``_at``, the 0-based place in ``order``."""
+    return running(df, [], [order], {"_place": F.lit(1)}).withColumn("_at", F.col("_place") - 1).drop("_place", "_place_all")
 
 
-def shuffled(df: DataFrame, n: int, seed: int = 42, order: str = "ord", most: int = 5_000_000) -> DataFrame:
-    """``df`` with ``_perm``: the place of each row in a seeded permutation of n rows. Up to ``most``
-    rows the permutation is numpy's; larger tables take the order of a seeded hash."""
-    if n > most:
-        return df.withColumn("_perm", F.xxhash64(F.lit(seed), F.col(order)))
-    place = np.empty(n, np.int64)
-    place[np.random.default_rng(seed).permutation(n)] = np.arange(n)
-    perm = df.sparkSession.createDataFrame(pd.DataFrame({"_at": np.arange(n), "_perm": place}))
-    return numbered(df, order).join(perm, "_at").drop("_at")
+def shuffled(df: DataFrame, seed: int = 42, order: str = "ord") -> DataFrame:
+    """``df`` with ``_perm``, the place of each row in a seeded order: that of a hash of its ``order``
+    and the seed, at any size."""
+    return df.withColumn("_perm", F.xxhash64(F.lit(seed), F.col(order)))
 
 
 def sample(df: DataFrame, size: int, n: int, seed: int = 42, order: str = "ord") -> DataFrame:
-    """The first ``size`` rows of the seeded permutation; more than there are is an error."""
+    """The first ``size`` rows of the seeded order; more than there are is an error."""
     if size > n:
         raise ValueError(f"a sample of {size} from {n} rows")
-    return shuffled(df, n, seed, order).orderBy("_perm").limit(size).drop("_perm")
+    return shuffled(df, seed, order).orderBy("_perm", order).limit(size).drop("_perm")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+from verity.plans.tables import cut
 
 
 def results_csv(df: DataFrame, path: str) -> None:
@@ -18,9 +21,10 @@ def metrics_json(df: DataFrame, path: str) -> None:
 
 
 def keyed_outputs(new: DataFrame, saved: DataFrame | None, key: Sequence[str], path: str) -> None:
-    """The store that runs resume from: saved rows whose key is not new, and the new ones, by run."""
+    """The store that runs resume from: saved rows whose key is not new, and the new ones, by run. They
+    are written beside first, since ``saved`` is usually read from ``path``."""
     kept = new if saved is None else saved.join(new.select(*key), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
-    kept.write.mode("overwrite").partitionBy("run").parquet(path)
+    cut(kept, "outputs").write.mode("overwrite").partitionBy("run").parquet(path)
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -31,14 +35,14 @@ def graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def flat_csv(df: DataFrame, path: str) -> None:
-    """Structs spread to columns named by their path; arrays and maps as JSON."""
-    columns = []
-    for f in df.schema.fields:
-        kind = f.dataType.typeName()
-        if kind == "struct":
-            columns += [F.col(f"{f.name}.{g}").alias(f"{f.name}_{g}") for g in f.dataType.fieldNames()]
-        else:
-            columns.append(F.to_json(f.name).alias(f.name) if kind in ("array", "map") else F.col(f.name))
+    """Structs spread, at any depth, to columns named by their path; arrays and maps as JSON."""
+
+    def spread(value: Column, kind: DataType, name: str) -> list[Column]:
+        if isinstance(kind, StructType):
+            return [c for f in kind.fields for c in spread(value[f.name], f.dataType, f"{name}_{f.name}" if name else f.name)]
+        return [(F.to_json(value) if isinstance(kind, (ArrayType, MapType)) else value).alias(name)]
+
+    columns = [c for f in df.schema.fields for c in spread(F.col(f"`{f.name}`"), f.dataType, f.name)]
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
