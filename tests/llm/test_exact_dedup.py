@@ -25,3 +25,13 @@ def test_against_brute_force(spark, keep):
 
 def test_empty_table(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_class_of_a_third_of_all_rows_over_many_tasks(spark):
+    rows = [(i, "hot text " * 20 if i % 3 == 0 else f"text {i % 500}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(37)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs, keep="largest").collect()}
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert got == {i: (max(groups[t]), len(groups[t]), i == max(groups[t])) for i, t in rows}

@@ -23,7 +23,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Equal texts that one task reads are merged before the text is shuffled, so a class that holds
     a third of all rows sends one row per task. What is left is range-partitioned by the sampled
-    beginnings of the texts, sorted, and equal neighbours (whole texts compared) become a class.
+    beginnings of the texts and a hash (so that texts of one beginning are spread), sorted, and equal
+    neighbours (whole texts compared) become a class.
     The rows then find their class by the digest of the text in a join that Spark may split.
     """
     if keep not in ("smallest", "largest"):

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from verity.llm.common import Scratch, cut
 
-#: Words are counted over the whole corpus in so many bins: shares of the corpus of a millionth are
-#: told apart, and the words at the end of a prefix are more frequent than that in any language. The
+#: Words are counted over the whole corpus in so many bins: shares of the corpus of less than a millionth
+#: are told apart, and the words at the end of a prefix are more frequent than that in any language. The
 #: logarithm of its bin's count is a word's level. Any fixed order gives the same result, a better one
 #: gives fewer candidates.
-RARITY_BITS, LEVELS_AN_OCTAVE = 20, 4
-#: Bins that travel to the driver as one row.
-BINS_A_ROW = 1024
+RARITY_BITS, LEVELS_AN_OCTAVE = 21, 4
+#: Bins that are gathered in one row before all are.
+BINS_A_ROW = 2048
 #: A token is its level in the upper 8 bits and 55 bits of its hash; of level 0, it is in no other line.
 HASH_BITS = 55
 SHARED = 1 << HASH_BITS
@@ -52,16 +52,16 @@ def _bin(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1))
 
 
-def _levels(docs: DataFrame, text_col: str) -> Column:
-    """The levels of all bins as a constant array; its size does not depend on the data."""
+def _levels(docs: DataFrame, text_col: str, scratch: Scratch) -> Column:
+    """The levels of all bins as one array of bytes, a scalar; its size does not depend on the data."""
     words = docs.select(F.explode(_words(F.col(text_col), "\n\t\x0b\f\r")).alias("w")).where("w <> ''")
     words = words.select(_bin(F.xxhash64("w")).alias("b"), F.lit(1).cast("long").alias("n"))
     none = docs.sparkSession.range(1 << RARITY_BITS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
     bins = words.unionByName(none).groupBy("b").agg(F.sum("n").alias("n"))
-    level = F.when(F.col("n") > 1, F.floor(LEVELS_AN_OCTAVE * F.log2("n"))).otherwise(0).cast("int").cast("string")
-    told = bins.groupBy(F.floor(F.col("b") / BINS_A_ROW).alias("row")).agg(F.sort_array(F.collect_list(F.struct("b", level.alias("level")))).alias("own"))
-    rows = told.select("row", F.array_join(F.transform("own", lambda x: x["level"]), ",").alias("levels")).collect()
-    return F.split(F.lit(",".join(r["levels"] for r in sorted(rows))), ",").cast("array<smallint>")
+    level = F.when(F.col("n") > 1, F.least(F.floor(LEVELS_AN_OCTAVE * F.log2("n")), F.lit(127))).otherwise(0).cast("tinyint")
+    parts = bins.groupBy(F.floor(F.col("b") / BINS_A_ROW).alias("row")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", level.alias("level")))), lambda x: x["level"]).alias("own"))
+    told = parts.groupBy().agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("row", "own"))), lambda x: x["own"])).alias("levels"))
+    return scratch.cut(told, "lines-levels").scalar()
 
 
 def _tokens(line: Column, levels: Column) -> Column:
@@ -71,16 +71,17 @@ def _tokens(line: Column, levels: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(at(h), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS)))))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str, percent: int, scratch: Scratch) -> DataFrame:
     """One row per line with a word: any number of its own (``lid``), place, size and two hashes of its
     token set, and the part of its prefix that is in other lines: 31 bits of each token, and how many
     tokens come before. 64 bits of ``bits`` each tell if an odd number of tokens fell on it; ``half`` has
     those of one half of all tokens, for large sets. Two sets differ in as many tokens as their bits
     differ, or more."""
-    levels = _levels(docs, text_col)
+    levels = _levels(docs, text_col, scratch)
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text")).where("_text is not null")
     lines = rows.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_line", "_text"))
-    tokens = lines.select("_id", "_th", "_line", _tokens(F.col("_text"), levels).alias("t"))
+    levelled = lines.select("_id", "_th", "_line", "_text", levels.alias("levels"))
+    tokens = levelled.select("_id", "_th", "_line", _tokens(F.col("_text"), F.col("levels")).alias("t"))
     n = F.size("t")
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     parity = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(bit(k)))
@@ -159,7 +160,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, percent: int, sc
     compared, but for those of two lines that are done, so nothing is left out. Sets too small to match a
     different set are in no bucket.
     """
-    sets = scratch.cut(_sets(docs, id_col, text_col, percent), "lines-sets").where("n > 0")
+    sets = scratch.cut(_sets(docs, id_col, text_col, percent, scratch), "lines-sets").where("n > 0")
     many = scratch.cut(sets.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2"), "lines-many")
     own = scratch.cut(sets.select("h1", "h2", F.struct("_id", "_th", "_line", "lid").alias("at")).join(_side(many), ["h1", "h2"]), "lines-equal-places")
     firsts = own.groupBy("h1", "h2").agg(F.min("at").alias("first")).select(F.col("first.lid").alias("lid"))
