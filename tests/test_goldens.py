@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from verity.functions import scores, text
 from verity.functions.summaries import observation_summary
 from verity.operators import audit, calibration, graph_edit, graphs, metrics, propagate, quality, reports, trajectory
-from verity.plans import runner
+from verity.plans import runner, tables
 from verity.sources import runs as sources
 
 GOAL, EVIDENCE = graphs.GOAL, graphs.EVIDENCE
@@ -559,3 +560,49 @@ def test_trajectory_audit(spark):
     rows = [("a", "m", "p", "x.tar.gz", "b", True, None, full, short, 1), ("b", "m", "p", "../x", None, None, "acp", "<action step=1>", short, 0)]
     found = {(r["instance_id"], r["severity"], r["code"]) for r in audit.audit_trajectories(spark.createDataFrame(rows, kind)).collect()}
     assert found == {("b", "error", "unsafe_path"), ("b", "error", "unpaired_actions"), ("b", "error", "condensed_observations"), ("b", "warning", "missing_benchmark"), ("b", "warning", "missing_label"), ("b", "warning", "finish_count")}
+
+
+def test_outputs_and_inputs_of_calls(spark):
+    kind = "cmd boolean, f string, b array<struct<type:string,content:struct<type:string,text:string>,path:string,old_text:string,new_text:string>>, c string, r string, k string"
+    words, diff = lambda t: ("content", ("text", t), None, None, None), lambda p, a, b: ("diff", None, p, a, b)
+    rows = [
+        (True, "ok", [], None, None, "execute"),
+        (True, "", [], None, "{}", "execute"),
+        (False, None, [words("a  \nb "), words("c")], "[]", "x", "read"),
+        (False, None, [diff("p", None, "n"), diff("q", "o", "n")], "[]", None, "edit"),
+        (False, None, [words("a"), diff("p", None, "n")], '[{"b": 1, "a": 2}]', None, "edit"),
+        (False, None, [], None, '{"b": 1, "a": [2]}', "read"),
+        (False, None, None, None, None, "fetch"),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    got = [r[0] for r in df.select(text.resolved_output(*[F.col(x) for x in ("cmd", "f", "b", "c", "r", "k")])).collect()]
+    assert got[:4] == ["ok", "<empty>", "a\nb\nc", "Path: p\nNew text:\nn\n\nPath: q\nOld text:\no\nNew text:\nn"]
+    assert got[4:] == ['[\n  {\n    "a": 2,\n    "b": 1\n  }\n]', '{\n  "a": [\n    2\n  ],\n  "b": 1\n}', text.WEB_NOTE]
+    for odd in ((True, None, [], None, None, "execute"), (False, None, [], None, None, "read")):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([odd], kind).select(text.resolved_output(*[F.col(x) for x in ("cmd", "f", "b", "c", "r", "k")])).collect()
+    asked = spark.createDataFrame([('{"call_id": 1, "path": "p", "description": "d"}', "t"), ("[1]", "t"), (None, "t")], "i string, t string")
+    assert [json.loads(r[0]) for r in asked.select(text.call_input("i", "t")).collect()] == [{"path": "p", "summary": "d"}, {"input": [1], "summary": "t"}, {"summary": "t"}]
+
+
+def test_graph_stats_with_evidence_and_nodes_that_are_not_reached(spark):
+    n, e, root = claims(spark)
+    n = n.withColumn("confidence", F.when(F.col("kind") == GOAL, 0.5).otherwise(-1.0))
+    stats = graphs.graph_stats(n, e, root).first().asDict()
+    assert stats["nodes"] == 4 and stats["goals"] == 3 and stats["evidence"] == 1
+    assert [stats[f"layer_{k}"] for k in range(4)] == [1, 2, 1, 0] and stats["max_depth"] == 1
+    with pytest.raises(PySparkException):
+        graphs.graph_stats(n, e.where("pos < 2"), root).collect()
+
+
+def test_tables_too_large_to_render(spark):
+    with pytest.raises(ValueError):
+        reports.markdown(spark.range(11), most=10)
+    assert reports.delimited(spark.range(2)).count("\n") == 2
+
+
+def test_running_sums_of_keys_with_ties_and_nulls(spark):
+    rows = [(k, o, o % 3) for k in (None, "a", "b") for o in range(200)]
+    df = spark.createDataFrame(rows, "k string, o int, x int").repartition(7)
+    got = {(r["k"], r["o"]): (r["s"], r["s_all"]) for r in tables.running(df, ["k"], ["o"], {"s": F.col("x")}).collect()}
+    assert got == {(k, o): (sum(i % 3 for i in range(o + 1)), sum(i % 3 for i in range(200))) for k, o, _ in rows}
