@@ -184,9 +184,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # ---------------------------------------------------------------- by similarity of shingle sets
 
 
-#: Copies of a shingle from which it counts as common, and the common shingles that are told apart. They
-#: only set the order of shingles, and any fixed order gives the same result: a better one fewer candidates.
-COMMON, COMMON_KEYS = 64, 200_000
+#: Copies of a shingle from which it counts as common, and the common shingles that are told apart (with
+#: their counts 6 MB). They only set the order of shingles, and any fixed order gives the same result: a
+#: better one fewer candidates. Shingles are counted whose hash is so low that a prefix may hold them: REACH
+#: times the share of a set that its prefix is.
+COMMON, COMMON_KEYS, REACH = 8, 400_000, 1.5
+#: Bits of a sketch.
+SKETCH = 1024
 #: Shingles that are counted at once, and words whose hashes a task keeps.
 COUNTED_AT_ONCE, CACHED_WORDS = 1 << 19, 1 << 17
 
@@ -211,6 +215,13 @@ def shingle_hashes(text: str, width: int, hashes: dict[bytes, int]) -> np.ndarra
     return np.unique(mixed ^ (mixed >> np.uint64(27)))
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """SKETCH bits, each of which tells if an odd number of shingles fell on it. Two sets differ in as many
+    shingles as their sketches differ in bits, or more."""
+    counts = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def jaccard(a: str, b: str, width: int) -> float:
     """Of the sets of ``width``-word shingles; fewer words make one shingle."""
 
@@ -222,19 +233,21 @@ def jaccard(a: str, b: str, width: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The common shingles in the order of their hashes, and for each its rank by count."""
+def _common(texts: DataFrame, width: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles in the order of their hashes, and for each its rank by count over all texts."""
+    low = np.uint64(min(1.0, REACH * (1 - similarity)) * (2**64 - 2**11))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = _WordHashes(), [], 0
 
         def counted() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                held.append(shingle_hashes(text.as_py(), width, words))
+                found = shingle_hashes(text.as_py(), width, words)
+                held.append(found[: np.searchsorted(found, low)].copy())
                 size += len(held[-1])
                 if size >= COUNTED_AT_ONCE:
                     yield counted()
@@ -243,23 +256,23 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             yield counted()
 
     total = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    top = total.orderBy(F.desc("n"), "key").limit(COMMON_KEYS).collect()
-    keys = np.array([r["key"] for r in top], np.int64).view(np.uint64)
+    keys = total.orderBy(F.desc("n"), "key").limit(COMMON_KEYS).select("key").toArrow()["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], (len(top) - np.arange(len(top)))[order]
+    return keys[order], (len(keys) - np.arange(len(keys)))[order]
 
 
 def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
-    """``rows`` (_id, h1, h2, text) with the size of the shingle set and its prefix in place of the text:
-    in the order from rare to common, so many shingles that similar sets share one of them."""
+    """``rows`` (_id, h1, h2, text) with the size of the shingle set, its sketch and its prefix in place of
+    the text: in the order from rare to common, so many shingles that similar sets share one of them."""
     keys, ranks = common
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHashes()
         for batch in batches:
-            sizes, own = [], []
+            sizes, own, sketches = [], [], []
             for text in batch.column(3):
                 found = shingle_hashes(text.as_py(), width, words)
+                sketches.append(sketch_of(found))
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                     found = found[np.argsort(np.where(keys[at] == found, ranks[at], 0), kind="stable")]
@@ -267,10 +280,10 @@ def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int
                 own.append(found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1].view(np.int64).copy())
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), prefix], names=["_id", "h1", "h2", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), prefix], names=["_id", "h1", "h2", "n", "sketch", "prefix"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(over, f"_id {kind}, h1 long, h2 long, n int, prefix array<bigint>")
+    return rows.mapInArrow(over, f"_id {kind}, h1 long, h2 long, n int, sketch binary, prefix array<bigint>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int, keys: int):
@@ -343,7 +356,7 @@ def _bucket_pairs(similarity: float, tried: bool):
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """(src, dst) between ``nodes`` (uid, h1, h2, n, prefix): links of enough Jaccard similarity of the
+    """(src, dst) between ``nodes`` (uid, h1, h2, n, sketch, prefix): links of enough Jaccard similarity of the
     texts (h1, h2, text) that connect all that such links connect.
 
     Similar sets have a shingle of their prefixes in common, so they meet in its bucket. Buckets of one
@@ -351,7 +364,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
     meet in a task of their own, so no task holds a whole bucket and no pair is left out. Each member is
     first compared with one earlier member, of those next to it in its buckets the one that is so most
     often; then all pairs that verified links do not join yet are compared, the likeliest one of each
-    member before the others.
+    member before the others. Pairs whose sketches differ too much are left out before texts are fetched.
     """
     entries = nodes.select("uid", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "uid", "n", "pos")
     shared = scratch.cut(entries.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_only, "key long, uid long, n int, pos int"), "similar-shared")
@@ -378,7 +391,17 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
             near = [jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(near, pa.bool_()))
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for k in (4, 5))
+            sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            fits = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= sizes - 2 * np.ceil(sizes * (similarity / (1 + similarity)) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(fits, pa.bool_()))
+
     def verified(pairs: DataFrame) -> DataFrame:
+        of = lambda name: nodes.select(F.col("uid").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
+        told = pairs.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", "src_n", "dst_n", "src_sketch", "dst_sketch")
+        pairs = scratch.cut(told.mapInArrow(close, "src long, dst long"), "similar-close")
         wanted = scratch.cut(pairs.select(F.col("src").alias("uid")).unionByName(pairs.select(F.col("dst").alias("uid"))).distinct().join(nodes.select("uid", "h1", "h2"), "uid"), "similar-wanted")
         found = scratch.cut(texts.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, ["h1", "h2"]).select("uid", "text").dropDuplicates(["uid"]), "similar-texts")
         both = pairs.join(found.select(F.col("uid").alias("src"), F.col("text").alias("a")), "src").join(found.select(F.col("uid").alias("dst"), F.col("text").alias("b")), "dst")
@@ -409,10 +432,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashed = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
-    common = _common(docs.select(text.alias("text")), width)
+    common = _common(docs.select(text.alias("text")), width, similarity)
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.cut(_prefixes(docs.select(F.col(id_col).alias("_id"), *hashed, text.alias("text")), common, width, similarity), "similar-rows")
-        merged = rows.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        merged = rows.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
         nodes = scratch.cut(merged.withColumn("uid", F.monotonically_increasing_id()), "similar-nodes")
         links = similar_links(nodes, docs.select(*hashed, text.alias("text")), width, similarity, scratch, block)
         roots = connected_components(links, scratch=scratch).withColumnRenamed("node", "uid")
