@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from verity.plans.runner import stub_scorer
 from verity.streaming import snapshots as streams
 
 
@@ -32,3 +34,30 @@ def test_windows_and_sessions(spark, tmp_path):
     assert sorted((r["n"], r["value"]) for r in windows if r["event_type"] == "click") == [(10, 10.0)] * 3
     sessions = drained(streams.event_sessions(source()), tmp_path)
     assert sorted((r["user_id"], r["n"]) for r in sessions if r["user_id"] < 9) == [(0, 15), (1, 15)]
+
+
+def test_scoring_goes_on_where_it_stopped(spark, tmp_path):
+    kind = "instance_id string, model string, ord int"
+    source = lambda: spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for n, rows in enumerate(([("a", "m", 0), ("b", "m", 1)], [("c", "m", 2)], None)):
+        if rows:
+            spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "in" / str(n)))
+        streams.score_increments(source(), lambda: stub_scorer, out, state).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert sorted(r["instance_id"] for r in got) == ["a", "b", "c"] and all(r["error"] is None and 0 <= r["confidence"] <= 1 for r in got)
+
+
+def test_calls_without_an_end_are_given_up(spark, tmp_path):
+    kind = "traj string, tool_call_id string, idx int, title string, status string"
+    spark.createDataFrame([("t", "a", 0, "Run", "pending"), ("u", "b", 0, "", "completed")], kind).write.parquet(str(tmp_path / "in"))
+    stream = streams.finished_calls(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), idle_ms=1)
+    query = stream.writeStream.format("memory").queryName("given_up").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            if spark.table("given_up").count() == 2:
+                break
+    finally:
+        query.stop()
+    assert sorted((r["traj"], r["title"], r["status"]) for r in spark.table("given_up").collect()) == [("t", "Run", "unfinished"), ("u", "", "completed")]

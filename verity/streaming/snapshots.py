@@ -7,19 +7,29 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from verity.plans.runner import Scorer, score
+
 TERMINAL = ("completed", "failed")
 CALL = "traj string, tool_call_id string, title string, status string, snapshots long"
 
 
-def finished_calls(snapshots: DataFrame) -> DataFrame:
+def finished_calls(snapshots: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """One row per call when its terminal snapshot arrives: the newest non-empty title, the status and
     how many snapshots there were. ``snapshots``: traj, tool_call_id, idx, title, status. State is
-    kept by call and dropped at the end of it; snapshots after the end begin a new call."""
+    kept by call and dropped at the end of it; snapshots after the end begin a new call. With
+    ``idle_ms`` a call without a snapshot for so long (of processing time) is given up with status
+    ``unfinished``, so calls that never end keep no state; such a stream has a batch at every trigger and
+    does not end by itself."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         title, n = state.get if state.exists else ("", 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, title, "unfinished", n)], columns=["traj", "tool_call_id", "title", "status", "snapshots"])
+            return
         done: list[tuple] = []
         rows = pd.concat(list(batches)).sort_values("idx")
         for one in rows.itertuples():
@@ -29,11 +39,13 @@ def finished_calls(snapshots: DataFrame) -> DataFrame:
                 title, n = "", 0
         if n:
             state.update((title, n))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(done, columns=["traj", "tool_call_id", "title", "status", "snapshots"])
 
-    return snapshots.groupBy("traj", "tool_call_id").applyInPandasWithState(step, CALL, "title string, n long", "append", GroupStateTimeout.NoTimeout)
+    return snapshots.groupBy("traj", "tool_call_id").applyInPandasWithState(step, CALL, "title string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def event_windows(events: DataFrame, size: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -48,6 +60,9 @@ def event_sessions(events: DataFrame, gap: str = "5 minutes", late: str = "10 mi
     return timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("session_window.start", "session_window.end", "user_id", "n")
 
 
-def score_increments(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Score whatever has arrived and stop: ``sink`` gets each batch (resume is the checkpoint's)."""
-    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def score_increments(rows: DataFrame, make: Callable[[], Scorer], path: str, checkpoint: str) -> StreamingQuery:
+    """Score the rows that have arrived since the last call, add outputs and failures (``error``) to the
+    Parquet files under ``path``, and stop. The checkpoint knows what was scored, so a call that is
+    repeated or was broken off scores nothing twice."""
+    scored = score(rows, make)
+    return scored.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
