@@ -179,13 +179,12 @@ _ALL_DEPTHS = f"""{GE}, depths AS (
   SELECT gid, id, 0 AS depth FROM enodes WHERE id LIKE 'n%'
   UNION ALL SELECT e.gid, e.source, p.depth + 1 FROM eedges e JOIN depths p ON p.id = e.target
 )"""
-_NAN = "CAST('nan' AS DOUBLE)"
-_LAYERS = ", ".join(f"count(*) FILTER (WHERE least(depth, 3) = {k}) AS layer_{k}, round(coalesce(avg(nullif(confidence, -1)) FILTER (WHERE least(depth, 3) = {k}), {_NAN}), 6) AS layer_{k}_conf" for k in range(4))
+_LAYERS = ", ".join(f"count(*) FILTER (WHERE least(depth, 3) = {k}) AS layer_{k}, round(avg(nullif(confidence, -1)) FILTER (WHERE least(depth, 3) = {k}), 6) AS layer_{k}_conf" for k in range(4))
 _RELATIONS = (*graphs.GOAL_RELATIONS, *graphs.EVIDENCE_RELATIONS)
-_STATS_SQL = f"""{_ALL_DEPTHS}, per_leaf AS (SELECT gid, count(*) AS goal_leaves, round(coalesce(avg(nullif(confidence, -1)), {_NAN}), 6) AS goal_leaves_conf FROM enodes WHERE kind = 'GSNGoalNode' AND id NOT IN (SELECT target FROM eedges WHERE source NOT LIKE 'e%') GROUP BY gid),
+_STATS_SQL = f"""{_ALL_DEPTHS}, per_leaf AS (SELECT gid, count(*) AS goal_leaves, round(avg(nullif(confidence, -1)), 6) AS goal_leaves_conf FROM enodes WHERE kind = 'GSNGoalNode' AND id NOT IN (SELECT target FROM eedges WHERE source NOT LIKE 'e%') GROUP BY gid),
 per_layer AS (SELECT d.gid, max(depth) FILTER (WHERE kind = 'GSNGoalNode') AS max_depth, {_LAYERS} FROM depths d JOIN enodes n ON n.id = d.id GROUP BY d.gid),
 per_edge AS (SELECT gid, count(*) AS edges, {", ".join(f"count(*) FILTER (WHERE relationship_type = '{r}') AS {r}" for r in _RELATIONS)} FROM eedges GROUP BY gid),
-per_node AS (SELECT gid, count(*) AS nodes, count(*) FILTER (WHERE kind = 'GSNGoalNode') AS goals, count(*) FILTER (WHERE kind <> 'GSNGoalNode') AS evidence, round(coalesce(avg(nullif(confidence, -1)), {_NAN}), 6) AS confidence FROM enodes GROUP BY gid),
+per_node AS (SELECT gid, count(*) AS nodes, count(*) FILTER (WHERE kind = 'GSNGoalNode') AS goals, count(*) FILTER (WHERE kind <> 'GSNGoalNode') AS evidence, round(avg(nullif(confidence, -1)), 6) AS confidence FROM enodes GROUP BY gid),
 stats AS (SELECT * FROM per_node JOIN per_edge USING (gid) JOIN per_leaf USING (gid) JOIN per_layer USING (gid))"""
 
 
@@ -197,9 +196,14 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.graph_stats(*evident(spark, sf_dir), nation_roots(spark, sf_dir))
 
 
-register("graph_stats", f"{_STATS_SQL} SELECT * FROM stats")(_stats)
+def _told(df: DataFrame) -> DataFrame:
+    """Means of nothing as null, as SQL has them."""
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+register("graph_stats", f"{_STATS_SQL} SELECT * FROM stats")(lambda s, d: _told(_stats(s, d)))
 _MEANS = [c for c in ("nodes", "goals", "evidence", "confidence", "edges", *_RELATIONS, "goal_leaves", "goal_leaves_conf", "max_depth", *(f"layer_{k}" for k in range(4)), *(f"layer_{k}_conf" for k in range(4)))]
-register("graph_stats_summary", f"""{_STATS_SQL} SELECT {", ".join(f"round(avg(CASE WHEN NOT isnan(CAST({c} AS DOUBLE)) THEN {c} END), 4) AS mean_{c}" for c in _MEANS)}, max(max_depth) AS max_max_depth, list_sort(list(max_depth))[CAST(round_even(0.95 * (count(*) - 1), 0) AS INT) + 1] AS p95_depth FROM stats""")(
+register("graph_stats_summary", f"""{_STATS_SQL} SELECT {", ".join(f"round(avg({c}), 4) AS mean_{c}" for c in _MEANS)}, max(max_depth) AS max_max_depth, list_sort(list(max_depth))[CAST(round_even(0.95 * (count(*) - 1), 0) AS INT) + 1] AS p95_depth FROM stats""")(
     lambda s, d: rounded(graphs.stats_summary(rounded(_stats(s, d))), 4)
 )
 _CLOSURE = f"""{GE}, reach AS (
@@ -215,7 +219,7 @@ def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 register("max_cited_step", f"{_CLOSURE} SELECT n.gid, n.id, coalesce(max(c.step), -1) AS max_step FROM enodes n LEFT JOIN cited c ON c.origin = n.id WHERE n.id LIKE 'c%' GROUP BY n.gid, n.id")(lambda s, d: graphs.max_cited_step(*_cited(s, d)))
-register("cited_steps", f"{_CLOSURE} SELECT n.gid, n.id, coalesce(list_sort(list(DISTINCT c.step) FILTER (WHERE c.step IS NOT NULL)), []) AS steps FROM enodes n LEFT JOIN cited c ON c.origin = n.id WHERE n.id LIKE 'c%' GROUP BY n.gid, n.id")(lambda s, d: graphs.cited_steps(*_cited(s, d)))
+register("cited_steps", f"{_CLOSURE} SELECT n.gid, n.id, coalesce(array_to_string(list_sort(list(DISTINCT c.step) FILTER (WHERE c.step IS NOT NULL)), ','), '') AS steps FROM enodes n LEFT JOIN cited c ON c.origin = n.id WHERE n.id LIKE 'c%' GROUP BY n.gid, n.id")(lambda s, d: graphs.cited_steps(*_cited(s, d)).withColumn("steps", F.array_join("steps", ",")))
 register("evidence_leaves", f"{GE} SELECT gid, id FROM enodes WHERE id NOT IN (SELECT target FROM eedges)")(lambda s, d: graphs.leaves(*evident(s, d)).select("gid", "id"))
 register("predecessor_levels", f"""{G}, reach AS (
   SELECT gid, id AS origin, id, 0 AS depth FROM gnodes WHERE id LIKE 'c%'
@@ -627,12 +631,12 @@ CASE WHEN type = 'user_message' OR type = 'agent_message' THEN text WHEN half =
 CASE WHEN type = 'tool_call' AND half = 0 THEN text END AS command, type = 'tool_call' AND half = 1 AND status = 'failed' AS is_error FROM p""")(
     lambda s, d: trajectory.acp_to_events(s.sql(f"SELECT {_ACP} FROM {{events}}", events=view(s, d, "events"))).select("traj", F.col("idx").cast("long").alias("idx"), "event_id", "parent_id", "kind", "tool_call_id", "tool_name", "text", "command", "is_error")
 )
-register("event_windows", """SELECT time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2""")(
-    lambda s, d: snapshots.event_windows(view(s, d, "events")).select("start", "event_type", "n", "value")
+register("event_windows", """SELECT strftime(time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2""")(
+    lambda s, d: snapshots.event_windows(view(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "value")
 )
 register("event_sessions", """WITH g AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS t, CASE WHEN CAST(ts AS TIMESTAMP) < lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(t) AS start, max(t) + INTERVAL 5 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")(
-    lambda s, d: snapshots.event_sessions(view(s, d, "events")).select("user_id", "start", "end", "n")
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(t) + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM s GROUP BY user_id, k""")(
+    lambda s, d: snapshots.event_sessions(view(s, d, "events")).select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "n")
 )
 
 
