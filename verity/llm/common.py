@@ -36,20 +36,45 @@ class Scratch:
     deletes them all. What the operator returns must not read them: it is cut by the function above."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.parts = spark, [], {}
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         table, path = _write(df, name)
         self.paths.append(path)
         return table
 
+    def split(self, df: DataFrame, column: str, values: tuple[str, ...], name: str) -> tuple[DataFrame, ...]:
+        """One written pass, a table for each value of ``column``; columns that are null in it are read as such."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.partitionBy(column).parquet(path)
+        self.paths.append(path)
+        kept = df.drop(column).schema
+        found = []
+        for value in values:
+            own = f"{path}/{column}={value}"
+            there = self._folder(own)
+            filled = there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there)
+            found.append(self.spark.read.schema(kept).parquet(own) if filled else self.spark.createDataFrame([], kept))
+            self.parts[id(found[-1])] = own
+        return tuple(found)
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes the files of a table of ``split`` that is needed no more."""
+        self._delete(self.parts.pop(id(df)))
+
+    def _folder(self, path: str) -> object:
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _delete(self, path: str) -> None:
+        folder = self._folder(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
         for path in self.paths:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+            self._delete(path)
         self.paths.clear()
 
 
