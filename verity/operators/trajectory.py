@@ -22,36 +22,79 @@ def action_steps(events: DataFrame, key: str = "traj") -> DataFrame:
     return events.withColumn("step", F.coalesce(F.sum((F.col("kind") == "action").cast("int")).over(upto), F.lit(0)))
 
 
-def observations_with_action(events: DataFrame, key: str = "traj", on: str = "action_id", id_col: str = "event_id") -> DataFrame:
-    """Observations and errors joined to their action's step; see ``orphan_observations``."""
-    steps = action_steps(events, key)
-    actions = steps.where("kind = 'action'").select(key, F.col(id_col).alias("_a"), F.col("step").alias("action_step"))
-    seen = events.where(F.col("kind").isin("observation", "error"))
-    return seen.join(actions, (seen[key] == actions[key]) & (seen[on] == actions["_a"])).select(*[seen[c] for c in seen.columns], "action_step")
+def with_action(events: DataFrame, key: str = "traj") -> DataFrame:
+    """Observations and errors with ``of_step``, the number of the action that they answer, null where
+    they answer none that came before.
 
+    An observation names its action by ``action_id``; an error names a ``tool_call_id`` and answers the
+    latest action with it. Both kinds of names are found in one pass: the events that speak of one name
+    are laid out in order, and each takes the last action before it.
+    """
+    is_action, is_seen = F.col("kind") == "action", F.col("kind") == "observation"
+    name = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("name"))
+    names = F.when(is_action, F.array(name("id", "event_id"), name("call", "tool_call_id"))).when(is_seen, F.array(name("id", "action_id"))).when(F.col("kind") == "error", F.array(name("call", "tool_call_id")))
+    spoken = action_steps(events, key).select("*", F.explode(names).alias("_name"))
+    upto = Window.partitionBy(key, "_name").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    named = F.col("_name.name").isNotNull()
+    of = F.when(named, F.last(F.when(is_action, F.col("step")), ignorenulls=True).over(upto))
+    return spoken.withColumn("of_step", of).where(~is_action).drop("_name", "step")
 
-def orphan_observations(events: DataFrame, key: str = "traj", on: str = "action_id", id_col: str = "event_id") -> DataFrame:
-    actions = events.where("kind = 'action'").select(F.col(key).alias("_k"), F.col(id_col).alias("_a"))
-    seen = events.where(F.col("kind").isin("observation", "error"))
-    return seen.join(actions, (seen[key] == actions["_k"]) & (seen[on] == actions["_a"]), "left_anti")
 
+def observations_with_action(events: DataFrame, key: str = "traj") -> DataFrame:
+    """Observations with the step of their action (``of_step``); none is an error."""
+    lost = F.raise_error(F.concat(F.lit("an observation is of no action before it: "), F.col("event_id").cast("string"))).cast("long")
+    return with_action(events, key).where("kind = 'observation'").withColumn("of_step", F.coalesce(F.col("of_step").cast("long"), lost))
 
-def prefix_after_actions(events: DataFrame, k: int, key: str = "traj") -> DataFrame:
-    """Events up to the last observation or error of the first ``k`` actions; -1 keeps all, 0 stops
-    before the first action, and runs with fewer actions stay whole. An observation belongs to the
-    action before it."""
+
+def errors_with_action(events: DataFrame, key: str = "traj") -> DataFrame:
+    """Errors with the step of the latest action of their call (``of_step``); none is an error."""
+    lost = F.raise_error(F.concat(F.lit("an error is of no call before it: "), F.col("event_id").cast("string"))).cast("long")
+    return with_action(events, key).where("kind = 'error'").withColumn("of_step", F.coalesce(F.col("of_step").cast("long"), lost))
+
+
+UNKNOWN_ACTION, UNKNOWN_CALL, MISSING = "an observation is of no action before it", "an error is of no call before it", "an action has no observation"
+
+
+def prefix_cuts(events: DataFrame, k: int, key: str = "traj") -> DataFrame:
+    """(key, cut, problem) of each log for its prefix of ``k`` actions: the greatest index that stays
+    (null: all of it) and what stands against a prefix (null: nothing).
+
+    Actions may overlap: each spans from itself to the last of its observations and errors, and the
+    prefix ends with the longest span of the first ``k`` actions. Without ``k`` actions a log stays
+    whole. For k = 0 it ends before the first action, for -1 all stays and nothing is checked.
+    """
     if k < -1:
         raise ValueError("k is -1 or more")
+    if k == -1:
+        return events.select(key).distinct().select(key, F.lit(None).cast("long").alias("cut"), F.lit(None).cast("string").alias("problem"))
+    is_action = F.col("kind") == "action"
+    if k == 0:
+        first, early = F.min(F.when(is_action, F.col("idx"))), F.min(F.when(F.col("kind") == "observation", F.col("idx")))
+        found = events.groupBy(key).agg(first.alias("_first"), early.alias("_early"))
+        problem = F.when(F.col("_early") < F.coalesce("_first", F.col("_early") + 1), F.lit(UNKNOWN_ACTION))
+        return found.select(key, (F.col("_first") - 1).cast("long").alias("cut"), problem.alias("problem"))
+    seen = with_action(events, key)
+    chosen = F.col("of_step").between(1, k)
+    spans = seen.groupBy(key).agg(
+        F.max(F.when(chosen, F.col("idx"))).cast("long").alias("_end"), F.countDistinct(F.when(chosen, F.col("of_step"))).alias("_answered"),
+        F.max(F.col("of_step").isNull() & (F.col("kind") == "observation")).alias("_no_action"), F.max(F.col("of_step").isNull() & (F.col("kind") == "error")).alias("_no_call"),
+    )
+    logs = events.groupBy(key).agg(F.count_if(is_action).alias("_actions")).withColumnRenamed(key, "_key")
+    both = logs.join(spans, logs["_key"].eqNullSafe(spans[key]), "left")
+    short = F.col("_actions") < k
+    problem = F.when(F.col("_no_action"), F.lit(UNKNOWN_ACTION)).when(F.col("_no_call"), F.lit(UNKNOWN_CALL)).when(~short & (F.coalesce("_answered", F.lit(0)) < k), F.lit(MISSING))
+    return both.select(F.col("_key").alias(key), F.when(~short, F.col("_end")).alias("cut"), problem.alias("problem"))
+
+
+def prefix_after_actions(events: DataFrame, k: int, key: str = "traj") -> DataFrame:
+    """Events up to the last observation or error of the first ``k`` actions, see ``prefix_cuts``; what
+    stands against it is an error. ``events``: key, idx, event_id, kind, action_id, tool_call_id."""
     if k == -1:
         return events
-    steps = action_steps(events, key)
-    whole = Window.partitionBy(key)
-    actions = F.max("step").over(whole)
-    last = F.max(F.when((F.col("step") <= k) & ((F.col("step") > 0) | (F.lit(k) == 0)) & F.col("kind").isin("observation", "error", "action"), F.col("idx"))).over(whole)
-    first_action = F.min(F.when(F.col("kind") == "action", F.col("idx"))).over(whole)
-    marked = steps.withColumn("_n", actions).withColumn("_last", last).withColumn("_first", first_action)
-    keep = F.col("_first").isNull() | ((F.col("idx") < F.col("_first")) if k == 0 else ((F.col("_n") < k) | (F.col("idx") <= F.col("_last"))))
-    return marked.where(keep).drop("_n", "_last", "_first", "step")
+    cuts = prefix_cuts(events, k, key).withColumnRenamed(key, "_key")
+    joined = events.join(cuts, events[key].eqNullSafe(cuts["_key"]))
+    told = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("boolean")).otherwise(F.coalesce(F.col("idx") <= F.col("cut"), F.lit(True)))
+    return joined.where(told).select(*[events[c] for c in events.columns])
 
 
 def from_first_action(events: DataFrame, key: str = "traj") -> DataFrame:

@@ -408,8 +408,21 @@ register("action_steps", f"{V} SELECT traj, event_id, idx::BIGINT AS idx, kind,
 register("active_branch", f"{V} SELECT traj, event_id, (idx - 1)::BIGINT AS place FROM steps")(
     lambda s, d: trajectory.active_branch(view(s, d, "steps"), view(s, d, "steps").groupBy("traj").agg(F.max_by("event_id", "idx").alias("event_id"))).select("traj", "event_id", "place")
 )
-register("prefix_k", f"""{V}, st AS (SELECT *, {_STEP} AS step FROM steps), m AS (SELECT traj, max(step) AS n, max(idx) FILTER (WHERE step BETWEEN 1 AND 3) AS last_ FROM st GROUP BY traj)
-SELECT s.traj, s.event_id FROM st s JOIN m USING (traj) WHERE m.n < 3 OR s.idx <= m.last_""")(lambda s, d: trajectory.prefix_after_actions(view(s, d, "steps"), 3).select("traj", "event_id"))
+#: Each observation and error with the place of the action that it names, if that came before.
+_ANSWERS = """a AS (SELECT traj, event_id, tool_call_id, idx, row_number() OVER (PARTITION BY traj ORDER BY idx) AS n FROM {0} WHERE kind = 'action'),
+named AS (SELECT p.traj, p.event_id, p.kind, p.idx, max(a.n) AS n FROM {0} p LEFT JOIN a ON a.traj = p.traj AND a.idx < p.idx AND CASE WHEN p.kind = 'observation' THEN a.event_id = p.action_id ELSE a.tool_call_id = p.tool_call_id END
+  WHERE p.kind IN ('observation', 'error') GROUP BY p.traj, p.event_id, p.kind, p.idx),
+logs AS (SELECT traj, count(*) FILTER (WHERE kind = 'action') AS actions FROM {0} GROUP BY traj)"""
+VC, VB = with_views("calls"), with_views("calls_broken")
+register("prefix_k", f"""{VC}, {_ANSWERS.format("calls")}, cuts AS (SELECT l.traj, CASE WHEN l.actions >= 3 THEN (SELECT max(idx) FROM named WHERE named.traj = l.traj AND n <= 3) END AS last_ FROM logs l)
+SELECT c.traj, c.event_id FROM calls c JOIN cuts USING (traj) WHERE last_ IS NULL OR c.idx <= last_""")(lambda s, d: trajectory.prefix_after_actions(view(s, d, "calls"), 3).select("traj", "event_id"))
+register("prefix_problems", f"""{VB}, {_ANSWERS.format("calls_broken")}, told AS (SELECT l.traj, l.actions, count(DISTINCT n) FILTER (WHERE n <= 2) AS answered, max(idx) FILTER (WHERE n <= 2) AS last_,
+  count(*) FILTER (WHERE n IS NULL AND kind = 'observation') AS no_action, count(*) FILTER (WHERE n IS NULL AND kind = 'error') AS no_call FROM logs l LEFT JOIN named USING (traj) GROUP BY l.traj, l.actions)
+SELECT traj, CASE WHEN actions >= 2 THEN last_ END::BIGINT AS cut, CASE WHEN no_action > 0 THEN '{trajectory.UNKNOWN_ACTION}' WHEN no_call > 0 THEN '{trajectory.UNKNOWN_CALL}' WHEN actions >= 2 AND answered < 2 THEN '{trajectory.MISSING}' END AS problem FROM told""")(
+    lambda s, d: trajectory.prefix_cuts(view(s, d, "calls_broken"), 2)
+)
+register("observation_actions", f"{VC}, {_ANSWERS.format('calls')} SELECT traj, event_id, n::BIGINT AS of_step FROM named WHERE kind = 'observation'")(lambda s, d: trajectory.observations_with_action(view(s, d, "calls")).select("traj", "event_id", "of_step"))
+register("error_actions", f"{VC}, {_ANSWERS.format('calls')} SELECT traj, event_id, n::BIGINT AS of_step FROM named WHERE kind = 'error'")(lambda s, d: trajectory.errors_with_action(view(s, d, "calls")).select("traj", "event_id", "of_step"))
 register("from_first_action", f"{V} SELECT s.traj, s.event_id FROM steps s JOIN (SELECT traj, min(idx) AS f FROM steps WHERE kind = 'action' GROUP BY traj) USING (traj) WHERE s.idx >= f")(lambda s, d: trajectory.from_first_action(view(s, d, "steps")).select("traj", "event_id"))
 register("tool_ids", f"""{V}, f AS (SELECT *, min(idx) OVER (PARTITION BY traj, event_type) AS f FROM steps)
 SELECT traj, event_id, 'tool_call_' || lpad(CAST(dense_rank() OVER (PARTITION BY traj ORDER BY f) AS VARCHAR), 4, '0') AS stable_id FROM f""")(lambda s, d: trajectory.first_seen_ids(view(s, d, "steps"), "event_type").select("traj", "event_id", "stable_id"))

@@ -56,11 +56,27 @@ SELECT user_id AS traj, event_id, ts, event_type, value,
        CASE WHEN event_type IN ('click','purchase') THEN 'action' WHEN event_type = 'error' THEN 'error' ELSE 'observation' END AS kind
 FROM {events}
 """
+#: Logs in which two calls run at a time, group by group: two actions, what they give in either order
+#: (or an error that names the call), then a message or a late error. Calls are named anew every fourth
+#: group. ``calls_broken`` has names that nothing bears, and groups that end too soon.
+CALLS_BROKEN = """
+SELECT traj, event_id, ts, idx, CASE WHEN r IN (0, 1) THEN 'action' WHEN r = 2 AND event_id % 5 = 0 THEN 'error' WHEN r IN (2, 3) THEN 'observation' WHEN event_id % 3 = 0 THEN 'error' ELSE 'message' END AS kind,
+       CASE WHEN event_id % 97 = 0 THEN -1 WHEN r = 2 AND event_id % 5 <> 0 THEN CASE WHEN g % 2 = 0 THEN lag(event_id, 1) OVER w ELSE lag(event_id, 2) OVER w END WHEN r = 3 THEN CASE WHEN g % 2 = 0 THEN lag(event_id, 3) OVER w ELSE lag(event_id, 2) OVER w END END AS action_id,
+       CASE WHEN r IN (0, 1) THEN concat('c', CAST(g % 4 AS STRING), '-', CAST(r AS STRING)) WHEN event_id % 89 = 0 THEN 'lost' WHEN r = 2 AND event_id % 5 = 0 THEN concat('c', CAST(g % 4 AS STRING), '-', CASE WHEN g % 2 = 0 THEN '1' ELSE '0' END) WHEN r = 4 AND event_id % 3 = 0 THEN concat('c', CAST(g % 4 AS STRING), '-0') END AS tool_call_id
+FROM (SELECT user_id AS traj, event_id, ts, idx, CAST(floor((idx - 1) / 5) AS BIGINT) AS g, (idx - 1) % 5 AS r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx FROM {events}) s) t
+WINDOW w AS (PARTITION BY traj ORDER BY idx)
+"""
+#: The same without what is broken: whole groups whose names are all borne.
+CALLS = """
+SELECT traj, event_id, ts, row_number() OVER (PARTITION BY traj ORDER BY idx) AS idx, kind, action_id, tool_call_id
+FROM (SELECT *, count(*) OVER (PARTITION BY traj, floor((idx - 1) / 5)) AS members, max(CASE WHEN action_id = -1 OR tool_call_id = 'lost' THEN 1 ELSE 0 END) OVER (PARTITION BY traj, floor((idx - 1) / 5)) AS broken FROM {calls_broken}) s
+WHERE members = 5 AND broken = 0
+"""
 CONV = """
 SELECT conv_id, turn, role, text, concat(text, {newline}, 'Confidence: ', CAST((conv_id * 17 + turn * 5) % 130 AS STRING), '%') AS response
 FROM {conversations}
 """
-TABLES = {"results": (RESULTS, ["orders"]), "results_runs": (RESULTS_RUNS, ["results"]), "gnodes": (GNODES, ["nation", "customer", "orders"]), "gedges": (GEDGES, ["customer", "orders"]), "enodes": (ENODES, ["gnodes", "orders", "customer"]), "eedges": (EEDGES, ["gedges", "orders", "customer"]), "badedges": (BADEDGES, ["gedges", "orders", "customer"]), "steps": (STEPS, ["events"]), "conv": (CONV, ["conversations"])}
+TABLES = {"results": (RESULTS, ["orders"]), "results_runs": (RESULTS_RUNS, ["results"]), "gnodes": (GNODES, ["nation", "customer", "orders"]), "gedges": (GEDGES, ["customer", "orders"]), "enodes": (ENODES, ["gnodes", "orders", "customer"]), "eedges": (EEDGES, ["gedges", "orders", "customer"]), "badedges": (BADEDGES, ["gedges", "orders", "customer"]), "steps": (STEPS, ["events"]), "calls_broken": (CALLS_BROKEN, ["events"]), "calls": (CALLS, ["calls_broken"]), "conv": (CONV, ["conversations"])}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
