@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verity.llm.blocks import END, START, Shard, Texts, answers, code, levels, pack, shards_for
+from verity.llm.blocks import START, Block, Shard, code, entries, pack, shards_for
 from verity.llm.common import Scratch, cut
 
 #: Pseudo-counts that a history takes from its suffix (a Dirichlet prior), by the words of the history;
@@ -31,10 +31,10 @@ def _counter(frame: pd.DataFrame) -> pd.DataFrame:
     """The counts of every entry of a shard's rows, and of its words: how many tokens and different ones."""
     shard = Shard(frame)
     total = shard.total(frame["counts"].tolist(), [True] * len(frame))
-    rows = [(block, places, pack(total[at], "<i8"), None, None) for block, places, at in zip(frame["block"], frame["places"], shard.rows, strict=True)]
+    rows = [(block, own, pack(total[at], "<i8"), None, None) for block, own, at in zip(frame["block"], frame["shard"], shard.rows, strict=True)]
     single = np.fromiter((b" " not in s and s != START for s in shard.strings), dtype=bool, count=len(shard.strings))
     rows.append((None, None, None, int(total[single].sum()), int((total[single] > 0).sum())))
-    return pd.DataFrame(rows, columns=["block", "places", "told", "tokens", "types"]).astype({"block": "Int64", "tokens": "Int64", "types": "Int64"})
+    return pd.DataFrame(rows, columns=["block", "shard", "told", "tokens", "types"]).astype({"block": "Int64", "shard": "Int32", "tokens": "Int64", "types": "Int64"})
 
 
 class Automaton:
@@ -103,18 +103,19 @@ class Automaton:
         return self.goes[self.arcs[word]]
 
 
-def _scorer(order: int, tokens: int, types: int, prior: tuple[float, ...]):
-    def score(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        block = Texts(texts)
-        found = levels(block.codes, block.first, order, block.size)
-        machine = Automaton(found, answers(told["places"].tolist(), told["told"].tolist(), "<i8"), block.size, tokens, types, prior)
-        out = block.frame[["doc_id", "learns"]].copy()
-        token = ~block.first
-        out["n_tokens"] = block.lengths - 1
-        out["n_known"] = block.sums((machine.known[block.codes] & token).astype(np.int64))
-        out["base_score"] = [float(machine.base[c[1:]].sum()) for c in block.coded]
-        out["score"] = [machine.walk(c[1:].tolist(), machine.start(int(c[0]))) for c in block.coded]
-        return out
+def _scorer(order: int, shards: int, tokens: int, types: int, prior: tuple[float, ...]):
+    def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        block = Block(next(rows.itertuples()), order, shards)
+        machine = Automaton(block.found, block.answers(told, "<i8"), len(block.words), tokens, types, prior)
+        texts = block.coded()
+        return pd.DataFrame(
+            {
+                "doc_id": pd.Series(block.ids, dtype=object), "learns": block.learns, "n_tokens": block.lengths - 1,
+                "n_known": block.sums((machine.known[block.codes] & ~block.first).astype(np.int64)),
+                "base_score": [float(machine.base[c[1:]].sum()) for c in texts],
+                "score": [machine.walk(c[1:].tolist(), machine.start(int(c[0]))) for c in texts],
+            }
+        )
 
     return score
 
@@ -132,13 +133,13 @@ def score_texts(docs: DataFrame, learns: str = "learns", order: int = 2, prior:
     """
     with Scratch(docs.sparkSession) as scratch:
         own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(learns).alias("learns"))
-        texts, grams = code(own, words, order, shards_for(own), scratch, "backoff-blocks", marks=True)
-        merged = scratch.cut(grams.select("shard", "block", "places", "grams", "counts").groupBy("shard").applyInPandas(_counter, "block long, places binary, told binary, tokens long, types long"), "backoff-counts")
-        scratch.drop(grams)
+        shards = shards_for(own)
+        blocks = scratch.cut(code(own, words, marks=True), "backoff-blocks")
+        merged = scratch.cut(entries(blocks, order, shards).groupBy("shard").applyInPandas(_counter, "block long, shard int, told binary, tokens long, types long"), "backoff-counts")
         sums = merged.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
-        told = merged.where("block is not null").select("block", "places", "told")
+        told = merged.where("block is not null").select("block", "shard", "told")
         kind = docs.schema[id_col].dataType.simpleString()
-        scored = texts.select("block", "place", "doc_id", "learns", "codes").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-            _scorer(order, sums["tokens"], sums["types"], prior), f"doc_id {kind}, learns boolean, n_tokens long, n_known long, base_score double, score double"
+        scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
+            _scorer(order, shards, sums["tokens"], sums["types"], prior), f"doc_id {kind}, learns boolean, n_tokens long, n_known long, base_score double, score double"
         )
         return cut(scored.select("doc_id", "learns", "n_tokens", "n_known", F.lit(sums["tokens"]).cast("long").alias("train_tokens"), "base_score", "score"), "backoff-scores")

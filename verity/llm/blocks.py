@@ -1,9 +1,10 @@
 """Texts as coded blocks, and dictionaries of the n-grams of a corpus.
 
-Documents are gathered in blocks of bounded size, as they come from the input. Within a block words are
-numbers, so n-grams are found by sorting whole numbers, and every different n-gram is written out once.
-It goes to the shard that its words name, where the blocks' entries of a string meet; what the shard
-tells about the string goes back to the block. One row holds what a block sends to a shard, packed, so
+Documents are gathered in blocks of bounded size, as they come from the input, one row each. Within a
+block words are numbers in the order of their bytes, so n-grams are found by sorting whole numbers, and
+every different n-gram is written out once. It goes to the shard that its words name, where the blocks'
+entries of a string meet; what the shard tells about the string goes back to the block. One row holds
+what a block sends to a shard, in order and without what each string shares with the one before, so
 there are never more rows than different n-grams of a block.
 """
 
@@ -22,26 +23,58 @@ from pyspark.sql import functions as F
 from verity.llm.common import Scratch
 
 #: UTF-8 bytes of the texts of a block, and of the corpus for each shard of the dictionary.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 2 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 6 << 20
 #: Words before the first and after the last of a text, where they are asked for; no word holds these.
 START, END = b"\t", b"\r"
-GRAMS = "block long, shard int, places binary, grams binary, counts binary"
+GRAMS = "block long, shard int, grams binary, counts binary"
+#: Bytes of a string up to which a row's strings are laid out side by side.
+SIDE = 128
 
 
 def pack(values: np.ndarray, kind: str) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values, dtype=kind).tobytes(), 1)
+    """The bytes of the numbers, all first bytes first, compressed."""
+    own = np.ascontiguousarray(values, dtype=kind)
+    return zlib.compress(own.view("u1").reshape(-1, own.dtype.itemsize).T.tobytes(), 1)
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype=kind)
+    raw, size = zlib.decompress(data), np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def pack_strings(strings: list[bytes]) -> bytes:
+    """Strings in order, each as the length that it shares with the one before and the rest."""
+    lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    width = int(lengths.max()) if len(strings) else 0
+    if not 0 < width <= SIDE:
+        return b"L" + zlib.compress(b"\n".join(strings), 1)
+    table = np.array(strings, dtype=f"S{width}").view("u1").reshape(-1, width)
+    shared = np.zeros(len(strings), dtype=np.int64)
+    shared[1:] = np.minimum.accumulate(table[1:] == table[:-1], axis=1).sum(axis=1)
+    shared[1:] = np.minimum(shared[1:], np.minimum(lengths[1:], lengths[:-1]))
+    column = np.arange(width)
+    rest = table[(column >= shared[:, None]) & (column < lengths[:, None])]
+    sizes = np.stack([shared, lengths - shared]).astype("u1").tobytes()
+    return b"S" + len(strings).to_bytes(4, "little") + zlib.compress(sizes + rest.tobytes(), 1)
+
+
+def unpack_strings(data: bytes) -> list[bytes]:
+    if data[:1] == b"L":
+        return zlib.decompress(data[1:]).split(b"\n")
+    n, raw = int.from_bytes(data[1:5], "little"), zlib.decompress(data[5:])
+    found, before, at = [], b"", 2 * n
+    for shared, more in zip(raw[:n], raw[n : 2 * n], strict=True):
+        before = before[:shared] + raw[at : at + more]
+        at += more
+        found.append(before)
+    return found
 
 
 def levels(codes: np.ndarray, first: np.ndarray, order: int, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each order from 1: (the number of the n-gram that ends at each place, or -1; of each n-gram
     the number of the one without its last word; its last word). ``first``: places where a text begins;
-    ``size``: different words. Equal inputs give equal numbers."""
-    own = np.arange(size)
-    found = [(codes, np.zeros(size, dtype=np.int64), own)]
+    ``size``: different words. Numbers are in the order of the words."""
+    found = [(codes, np.zeros(size, dtype=np.int64), np.arange(size))]
     for _ in range(1, order):
         before = np.full(len(codes), -1, dtype=np.int64)
         before[1:] = found[-1][0][:-1]
@@ -59,82 +92,114 @@ def _scattered(route: np.ndarray) -> np.ndarray:
     return route ^ (route >> np.uint64(15))
 
 
-def _block(number: int, texts: list[list[bytes]], learns: list[bool], order: int, shards: int) -> tuple[list[np.ndarray], list[tuple]]:
-    """The texts as numbers of words, and the rows of GRAMS of this block."""
-    known: defaultdict[bytes, int] = defaultdict()
-    known.default_factory = known.__len__
-    coded = [np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)) for words in texts]
-    lengths = np.array([len(c) for c in coded])
-    codes = np.concatenate(coded) if coded else np.zeros(0, dtype=np.int64)
-    if not len(codes):
-        return coded, []
-    first = np.zeros(len(codes), dtype=bool)
-    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    counted = np.repeat(np.array(learns), lengths)
-    words = list(known)
-    names, routes, counts = [], [], []
-    word_route = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
-    for k, (at, head, last) in enumerate(levels(codes, first, order, len(words))):
-        if k == 0:
-            name, route = words, word_route
-        else:
-            name = [before[h] + b" " + words[w] for before in (names[-1],) for h, w in zip(head.tolist(), last.tolist(), strict=True)]
-            route = _scattered(routes[-1][head] * np.uint64(31) + word_route[last])
-        names.append(name)
-        routes.append(route)
-        counts.append(np.bincount(at[counted & (at >= 0)], minlength=len(name)))
-    every, shard, count = [x for name in names for x in name], _scattered(np.concatenate(routes)) % np.uint64(shards), np.concatenate(counts)
-    by_shard = np.argsort(shard, kind="stable")
-    ends = np.append(np.flatnonzero(np.diff(shard[by_shard])) + 1, len(by_shard))
-    rows, begin = [], 0
-    for end in ends.tolist():
-        own = by_shard[begin:end]
-        grams = b"\n".join([every[i] for i in own.tolist()])
-        rows.append((number, int(shard[own[0]]), pack(np.diff(own, prepend=0), "<i4"), zlib.compress(grams, 1), pack(count[own], "<i4")))
-        begin = end
-    return coded, rows
-
-
-def code(docs: DataFrame, words: Callable[[bytes], list[bytes]], order: int, shards: int, scratch: Scratch, name: str, marks: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(texts, grams) of ``docs`` (doc_id, text, learns): the texts with their ``block``, ``place`` in it
-    and packed ``codes``, and the rows of GRAMS. ``words`` splits the bytes of a text; ``marks`` puts START
-    before and END after its words; only texts with ``learns`` are counted. Both come from one pass."""
-    id_field = docs.schema["doc_id"]
-    schema = f"kind string, {GRAMS}, place int, doc_id {id_field.dataType.simpleString()}, learns boolean, codes binary"
-    columns = ["kind", "block", "shard", "places", "grams", "counts", "place", "doc_id", "learns", "codes"]
+class Block:
+    """A row of ``code``: the texts laid end to end as numbers of words. ``found`` has the n-grams of each
+    order, and ``by_shard`` all of them in the order in which they are sent, shard by shard."""
+
+    def __init__(self, row: object, order: int, shards: int):
+        self.ids, self.learns = list(row.ids), np.array(row.learns, dtype=bool)
+        self.lengths, self.codes = unpack(row.lengths, "<i4").astype(np.int64), unpack(row.codes, "<i4").astype(np.int64)
+        self.words = unpack_strings(row.words) if len(self.codes) else []
+        self.first = np.zeros(len(self.codes), dtype=bool)
+        self.first[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = True
+        self.found = levels(self.codes, self.first, order, len(self.words)) if len(self.codes) else []
+        own = np.fromiter(map(zlib.crc32, self.words), dtype=np.uint64, count=len(self.words))
+        routes = [own]
+        for _, head, last in self.found[1:]:
+            routes.append(_scattered(routes[-1][head] * np.uint64(31) + own[last]))
+        self.shard = (_scattered(np.concatenate(routes)) % np.uint64(shards)).astype(np.int64)
+        self.by_shard = np.argsort(self.shard, kind="stable")
+
+    def counts(self) -> np.ndarray:
+        """How often each n-gram is in the texts that are learned from."""
+        counted = np.repeat(self.learns, self.lengths)
+        return np.concatenate([np.bincount(at[counted & (at >= 0)], minlength=len(head)) for at, head, _ in self.found])
+
+    def rows(self, number: int) -> list[tuple]:
+        """The rows of GRAMS."""
+        if not self.found:
+            return []
+        every = names = self.words
+        for _, head, last in self.found[1:]:
+            names = [names[h] + b" " + self.words[w] for h, w in zip(head.tolist(), last.tolist(), strict=True)]
+            every = every + names
+        count, ordered = self.counts()[self.by_shard], self.shard[self.by_shard]
+        ends = np.append(np.flatnonzero(np.diff(ordered)) + 1, len(ordered)).tolist()
+        return [
+            (number, int(ordered[begin]), pack_strings([every[i] for i in self.by_shard[begin:end].tolist()]), pack(count[begin:end], "<i4"))
+            for begin, end in zip([0, *ends[:-1]], ends, strict=True)
+        ]
+
+    def answers(self, told: pd.DataFrame, kind: str) -> np.ndarray:
+        """What the shards have told (shard, told), by the numbers of the n-grams."""
+        out = np.zeros(len(self.by_shard), dtype=kind)
+        if len(told):
+            out[self.by_shard] = np.concatenate([unpack(x, kind) for x in told.sort_values("shard")["told"]])
+        return out
+
+    def coded(self) -> list[np.ndarray]:
+        """The codes of each text."""
+        return np.split(self.codes, np.cumsum(self.lengths)[:-1])
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of a value of each place over the texts."""
+        upto = np.concatenate([[0], np.cumsum(values)])
+        ends = np.cumsum(self.lengths)
+        return upto[ends] - upto[ends - self.lengths]
+
+
+def code(docs: DataFrame, words: Callable[[bytes], list[bytes]], marks: bool = False) -> DataFrame:
+    """The blocks of ``docs`` (doc_id, text, learns), one row each. ``words`` splits the bytes of a text;
+    ``marks`` puts START before and END after its words; only texts with ``learns`` are counted."""
+    schema = f"block long, ids array<{docs.schema['doc_id'].dataType.simpleString()}>, learns array<boolean>, lengths binary, codes binary, words binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seen = TaskContext.get().partitionId(), 0
-        ids, texts, learns, held = [], [], [], 0
+        known: defaultdict[bytes, int] = defaultdict()
+        ids, coded, learns, held = [], [], [], 0
 
         def told() -> pd.DataFrame:
-            number = (part << 32) + seen
-            coded, grams = _block(number, texts, learns, order, shards)
-            rows = [("grams", *g, None, None, None, None) for g in grams]
-            rows += [("texts", number, None, None, None, None, i, own, learn, pack(c, "<i4")) for i, (own, learn, c) in enumerate(zip(ids, learns, coded, strict=True))]
-            frame = pd.DataFrame(rows, columns=columns)
-            return frame.astype({"shard": "Int32", "place": "Int32", "learns": "boolean"})
+            names = list(known)
+            ordered = sorted(range(len(names)), key=names.__getitem__)
+            place = np.empty(len(names), dtype=np.int64)
+            place[ordered] = np.arange(len(names))
+            row = ((part << 32) + seen, ids, learns, pack(np.array([len(c) for c in coded]), "<i4"), pack(place[np.concatenate(coded)], "<i4"), pack_strings([names[i] for i in ordered]))
+            return pd.DataFrame([row], columns=["block", "ids", "learns", "lengths", "codes", "words"])
 
         for batch in batches:
             for own, text, learn in zip(batch["doc_id"].astype(object), batch["text"], batch["learns"], strict=True):
-                if texts and held + len(text) > BLOCK_BYTES:
+                if ids and held + len(text) > BLOCK_BYTES:
                     yield told()
                     seen += 1
-                    ids, texts, learns, held = [], [], [], 0
-                found = words(text)
+                    ids, coded, learns, held = [], [], [], 0
+                if not ids:
+                    known = defaultdict()
+                    known.default_factory = known.__len__
+                found = [START, *words(text), END] if marks else words(text)
                 ids.append(None if own is pd.NA or own != own else own)
-                texts.append([START, *found, END] if marks else found)
+                coded.append(np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found)))
                 learns.append(bool(learn))
                 held += len(text)
-        if texts:
+        if ids:
             yield told()
 
     source = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.coalesce("learns", F.lit(False)).alias("learns"))
-    return scratch.split(source.mapInPandas(run, schema), "kind", ("texts", "grams"), name)
+    return source.mapInPandas(run, schema)
+
+
+def entries(blocks: DataFrame, order: int, shards: int) -> DataFrame:
+    """The rows of GRAMS of the blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                yield pd.DataFrame(Block(row, order, shards).rows(row.block), columns=["block", "shard", "grams", "counts"])
+
+    return blocks.mapInPandas(run, GRAMS)
 
 
 def shards_for(docs: DataFrame, text_col: str = "text") -> int:
-    """Shards for a dictionary of these texts: as many as their bytes ask for, none is made for all."""
+    """Shards for a dictionary of these texts: as many as their bytes ask for."""
     held = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // SHARD_BYTES))
 
@@ -147,7 +212,7 @@ class Shard:
         known.default_factory = known.__len__
         self.rows: list[np.ndarray] = []
         for grams in frame["grams"]:
-            listed = zlib.decompress(grams).split(b"\n")
+            listed = unpack_strings(grams)
             self.rows.append(np.fromiter(map(known.__getitem__, listed), dtype=np.int32, count=len(listed)))
         self.strings = list(known)
 
@@ -160,34 +225,6 @@ class Shard:
         return sums
 
 
-def answers(places: list[bytes], values: list[bytes], kind: str) -> np.ndarray:
-    """What the shards have told of a block's n-grams, in the order of their numbers."""
-    at = [np.cumsum(unpack(p, "<i4")) for p in places]
-    told = np.zeros(sum(map(len, at)), dtype=kind)
-    for own, value in zip(at, values, strict=True):
-        told[own] = unpack(value, kind)
-    return told
-
-
-class Texts:
-    """The texts of a block in their order, laid end to end."""
-
-    def __init__(self, frame: pd.DataFrame):
-        self.frame = frame.sort_values("place")
-        self.coded = [unpack(c, "<i4").astype(np.int64) for c in self.frame["codes"]]
-        self.lengths = np.array([len(c) for c in self.coded])
-        self.codes = np.concatenate(self.coded)
-        self.first = np.zeros(len(self.codes), dtype=bool)
-        self.first[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = True
-        self.size = int(self.codes.max()) + 1 if len(self.codes) else 0
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Sums of a value of each place over the texts."""
-        upto = np.concatenate([[0], np.cumsum(values)])
-        ends = np.cumsum(self.lengths)
-        return upto[ends] - upto[ends - self.lengths]
-
-
 def placed(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
     """``df`` with ``_rank``, its place from 1 in ``order``: rows are sorted by range, numbered in their
     part and moved by the sizes of the parts before. No task holds more than its range."""

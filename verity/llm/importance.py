@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verity.llm.blocks import Shard, Texts, answers, code, levels, pack, placed, shards_for
+from verity.llm.blocks import Block, Shard, code, entries, pack, placed, shards_for
 from verity.llm.common import Scratch, cut
 
 #: Letters and digits; any byte beyond ASCII is part of a word. A-Z become a-z, all else a blank.
@@ -38,10 +38,10 @@ def _dictionary(buckets: int):
         own, theirs = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
         np.add.at(own, hashed, shard.total(counts, [not t for t in target]))
         np.add.at(theirs, hashed, shard.total(counts, target))
-        rows = [(block, places, pack(hashed[at], "<i4"), None, None, None) for block, places, at, t in zip(frame["block"], frame["places"], shard.rows, target, strict=True) if not t]
+        rows = [(block, own_shard, pack(hashed[at], "<i4"), None, None, None) for block, own_shard, at, t in zip(frame["block"], frame["shard"], shard.rows, target, strict=True) if not t]
         used = np.flatnonzero(own + theirs)
         rows += [(None, None, None, int(b), int(own[b]), int(theirs[b])) for b in used]
-        return pd.DataFrame(rows, columns=["block", "places", "told", "bucket", "s", "t"]).astype({"block": "Int64", "bucket": "Int32", "s": "Int64", "t": "Int64"})
+        return pd.DataFrame(rows, columns=["block", "shard", "told", "bucket", "s", "t"]).astype({"block": "Int64", "shard": "Int32", "bucket": "Int32", "s": "Int64", "t": "Int64"})
 
     return merge
 
@@ -54,19 +54,18 @@ def gains(counts: DataFrame, buckets: int) -> list[int]:
     return [math.floor(1000 * math.log(float(t + 1) * float(s_all + buckets) / (float(s + 1) * float(t_all + buckets)))) for s, t in each]
 
 
-def _weigher(order: int, gain: list[int]):
-    def weigh(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        block = Texts(texts)
-        by_feature = np.array(gain, dtype=np.int64)[answers(told["places"].tolist(), told["told"].tolist(), "<i4")]
+def _weigher(order: int, shards: int, gain: list[int]):
+    def weigh(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        block = Block(next(rows.itertuples()), order, shards)
+        by_feature = np.array(gain, dtype=np.int64)[block.answers(told, "<i4")]
         value, features, offset = np.zeros(len(block.codes), dtype=np.int64), np.zeros(len(block.codes), dtype=np.int64), 0
-        for at, head, _ in levels(block.codes, block.first, order, block.size) if len(block.codes) else []:
+        for at, head, _ in block.found:
             value += np.where(at >= 0, by_feature[offset + at], 0)
             features += at >= 0
             offset += len(head)
-        out = block.frame[["doc_id"]].copy()
         n = block.sums(features)
-        out["n_words"], out["n_features"], out["weight"] = block.lengths, n, np.where(n > 0, block.sums(value) // np.maximum(n, 1), 0)
-        return out
+        weight = np.where(n > 0, block.sums(value) // np.maximum(n, 1), 0)
+        return pd.DataFrame({"doc_id": pd.Series(block.ids, dtype=object), "n_words": block.lengths, "n_features": n, "weight": weight})
 
     return weigh
 
@@ -92,16 +91,14 @@ def resample(docs: DataFrame, target: DataFrame, order: int = 2, buckets: int =
         own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(True).alias("learns"))
         wanted = target.select(F.lit(None).cast("long").alias("doc_id"), F.col(target_col).alias("text"), F.lit(True).alias("learns"))
         shards = shards_for(own)
-        texts, grams = code(own, words, order, shards, scratch, "importance-blocks")
-        unread, target_grams = code(wanted, words, order, shards, scratch, "importance-target")
-        entries = grams.withColumn("target", F.lit(False)).unionByName(target_grams.withColumn("target", F.lit(True)))
-        merged = entries.select("shard", "block", "places", "grams", "counts", "target").groupBy("shard").applyInPandas(_dictionary(buckets), "block long, places binary, told binary, bucket int, s long, t long")
+        blocks = scratch.cut(code(own, words), "importance-blocks")
+        sent = entries(blocks, order, shards).withColumn("target", F.lit(False)).unionByName(entries(code(wanted, words), order, shards).withColumn("target", F.lit(True)))
+        merged = sent.groupBy("shard").applyInPandas(_dictionary(buckets), "block long, shard int, told binary, bucket int, s long, t long")
         merged = scratch.cut(merged, "importance-dictionary")
-        scratch.drop(grams)
         gain = gains(merged.where("bucket is not null").select("bucket", "s", "t"), buckets)
-        told = merged.where("block is not null").select("block", "places", "told")
+        told = merged.where("block is not null").select("block", "shard", "told")
         kind = docs.schema[id_col].dataType.simpleString()
-        weighed = texts.select("block", "place", "doc_id", "codes").groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_weigher(order, gain), f"doc_id {kind}, n_words long, n_features long, weight long")
+        weighed = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_weigher(order, shards, gain), f"doc_id {kind}, n_words long, n_features long, weight long")
         scored = scratch.cut(weighed.withColumn("score", F.col("weight") + _noise(seed)).withColumn("_short", F.col("n_words") < min_words), "importance-scores")
         drawn = scored.where("not _short").count() * percent // 100
         ordered = placed(scored, [F.col("_short"), -F.col("score"), F.col("doc_id")], scratch, "importance-places")
