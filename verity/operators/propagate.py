@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from verity.functions.scores import claim_dropout, geometric_mean, product, require, temperature_scale
 from verity.functions.text import outdated
+from verity.operators.contract import MATRIX, RULES, Columns, Rule, along_ancestors, evaluate, interpolated
 from verity.operators.graphs import GOAL, confidence_leaves, goal_edges, goal_leaves, leaves
-from verity.plans.tables import cut, cut_counted
+from verity.plans.tables import Scratch, cut
 
 Combine = Callable[[Column], Column]
 
@@ -24,38 +25,61 @@ COMBINE: dict[str, Combine] = {
 }
 
 
+#: Tables of levels that are read side by side before they are written as one.
+SIDE_BY_SIDE = 6
+
+
 def bottom_up(nodes: DataFrame, edges: DataFrame, combine: Combine, finish: Callable[[Column], Column] = lambda derived: derived, max_levels: int = 10_000) -> DataFrame:
-    """``nodes`` with the confidence of every goal whose goal children are all resolved and set.
+    """``nodes`` with the confidence of every goal whose goal children are all resolved and set, for any
+    rule; see ``contracted`` for those whose rounds do not grow with the depth.
 
     A leaf is resolved as it is; ``combine`` is an aggregate over children and ``finish`` an expression
     over its result (``derived``) and the node's own columns. Goals that never resolve (a cycle or an
     unset leaf below) keep what they had; evidence does not count. Each level of all graphs is one
     join and one partial aggregation, and only goals that wait take part.
     """
-    inner = cut(goal_edges(nodes, edges).select("gid", "source", "target"), "propagate-edges")
-    waiting = inner.groupBy("gid", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("_k"))
-    waiting = cut(waiting.join(nodes, ["gid", "id"]), "propagate-waiting")
-    done = cut(goal_leaves(nodes, edges).where("confidence >= 0").select("gid", "id", "confidence"), "propagate-done")
-    derived = None
-    for _ in range(max_levels):
-        child = done.select("gid", F.col("id").alias("source"), F.col("confidence").alias("_c"))
-        ready = inner.join(child, ["gid", "source"]).groupBy("gid", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("_r"), combine(F.col("_c")).alias("derived"))
-        fresh = waiting.join(ready, ["gid", "id"]).where("_r = _k").join(done.select("gid", "id"), ["gid", "id"], "left_anti")
-        fresh, n = cut_counted(fresh.select("gid", "id", finish(F.col("derived")).alias("confidence")), "propagate-level")
-        if not n:
-            break
-        derived = fresh if derived is None else derived.unionByName(fresh)
-        done = done.unionByName(fresh)
-    if derived is None:
-        return nodes
-    new = derived.select("gid", "id", F.col("confidence").alias("_new"))
+    with Scratch(nodes.sparkSession) as scratch:
+        inner = scratch.cut(goal_edges(nodes, edges).select("gid", "source", "target"), "propagate-edges")
+        waiting = inner.groupBy("gid", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("_k"))
+        waiting = scratch.cut(waiting.join(nodes, ["gid", "id"]), "propagate-waiting")
+        levels = [scratch.cut(goal_leaves(nodes, edges).where("confidence >= 0").select("gid", "id", "confidence", F.lit(False).alias("derived")), "propagate-done")]
+        for _ in range(max_levels):
+            done = levels[0]
+            for level in levels[1:]:
+                done = done.unionByName(level)
+            if len(levels) > SIDE_BY_SIDE:
+                done = scratch.cut(done, "propagate-done")
+                for level in levels:
+                    scratch.drop(level)
+                levels = [done]
+            child = done.select("gid", F.col("id").alias("source"), F.col("confidence").alias("_c"))
+            ready = inner.join(child, ["gid", "source"]).groupBy("gid", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("_r"), combine(F.col("_c")).alias("derived"))
+            fresh = waiting.join(ready, ["gid", "id"]).where("_r = _k").join(done.select("gid", "id"), ["gid", "id"], "left_anti")
+            fresh, counts = scratch.cut_counted(fresh.select("gid", "id", finish(F.col("derived")).alias("confidence"), F.lit(True).alias("derived")), "propagate-level", n=F.lit(1))
+            if not counts["n"]:
+                break
+            levels.append(fresh)
+        new = cut(done.where("derived").select("gid", "id", F.col("confidence").alias("_new")), "propagate-derived")
+    return _renewed(nodes, new)
+
+
+def _renewed(nodes: DataFrame, new: DataFrame, checked: Callable[[Column], Column] = lambda new: new) -> DataFrame:
+    """``nodes`` with the confidences of ``new`` (gid, id, _new)."""
     joined = nodes.join(new, ["gid", "id"], "left")
-    return joined.select(*[F.coalesce("_new", "confidence").alias("confidence") if c == "confidence" else F.col(c) for c in nodes.columns])
+    found = F.when(F.col("_new").isNotNull(), checked(F.col("_new"))).otherwise(F.col("confidence"))
+    return joined.select(*[found.alias(c) if c == "confidence" else F.col(c) for c in nodes.columns])
+
+
+def contracted(nodes: DataFrame, edges: DataFrame, rule: Rule, checked: Callable[[Column], Column] = lambda new: new) -> DataFrame:
+    """As ``bottom_up``, for a rule of ``contract``: rounds grow with the logarithm of the depth."""
+    inner = goal_edges(nodes, edges).select("gid", "source", "target")
+    known = goal_leaves(nodes, edges).where("confidence >= 0").select("gid", "id", F.col("confidence").alias("value"))
+    return _renewed(nodes, evaluate(nodes, inner, known, rule).withColumnRenamed("value", "_new"), checked)
 
 
 def aggregate(nodes: DataFrame, edges: DataFrame, method: str) -> DataFrame:
     """One of COMBINE at every level."""
-    return bottom_up(nodes, edges, COMBINE[method])
+    return contracted(nodes, edges, RULES[method])
 
 
 def _on_leaves(nodes: DataFrame, edges: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
@@ -68,7 +92,7 @@ def _on_leaves(nodes: DataFrame, edges: DataFrame, change: Callable[[Column], Co
 
 
 def product_claim_dropout(nodes: DataFrame, edges: DataFrame, dropout: float) -> DataFrame:
-    return bottom_up(_on_leaves(nodes, edges, lambda c: claim_dropout(c, dropout)), edges, F.product)
+    return contracted(_on_leaves(nodes, edges, lambda c: claim_dropout(c, dropout)), edges, RULES["product"])
 
 
 def product_adaptive_dropout(nodes: DataFrame, edges: DataFrame, expected_leaves: float) -> DataFrame:
@@ -76,11 +100,11 @@ def product_adaptive_dropout(nodes: DataFrame, edges: DataFrame, expected_leaves
     count = goal_leaves(nodes, edges).groupBy("gid").agg(F.count(F.lit(1)).alias("_leaves"))
     with_count = nodes.join(count, "gid", "left")
     d = F.greatest(F.lit(0.0), 1 - expected_leaves / F.col("_leaves"))
-    return bottom_up(_on_leaves(with_count, edges, lambda c: claim_dropout(c, d)).drop("_leaves"), edges, F.product)
+    return contracted(_on_leaves(with_count, edges, lambda c: claim_dropout(c, d)).drop("_leaves"), edges, RULES["product"])
 
 
 def product_leaf_temperature(nodes: DataFrame, edges: DataFrame, temperature: float) -> DataFrame:
-    return bottom_up(_on_leaves(nodes, edges, lambda c: temperature_scale(c, temperature)), edges, product)
+    return contracted(_on_leaves(nodes, edges, lambda c: temperature_scale(c, temperature)), edges, RULES["product"])
 
 
 def product_all_temperature(nodes: DataFrame, edges: DataFrame, temperature: float) -> DataFrame:
@@ -114,7 +138,9 @@ def product_interpolated(nodes: DataFrame, edges: DataFrame, prior: float | None
     if prior is not None and not 0 <= prior <= 1:
         raise ValueError("the prior is in [0, 1]")
     w, own = F.col("confidence_in_children"), F.lit(float(prior)) if prior is not None else F.col("confidence")
-    return bottom_up(nodes, edges, product, lambda p: require((w >= 0) & (own >= 0), "a weight or a confidence is unset", w * p + (1 - w) * own))
+    mean: Callable[[Columns], Column] = (lambda p: F.lit(float(prior))) if prior is not None else (lambda p: p["confidence"])
+    rule = interpolated("confidence_in_children", mean, ("confidence_in_children", "confidence"))
+    return contracted(nodes, edges, rule, lambda new: require((w >= 0) & (own >= 0), "a weight or a confidence is unset", new))
 
 
 #: What each aggregation type takes besides the graph, by the name of the parameter.
@@ -216,7 +242,7 @@ def populate(nodes: DataFrame, edges: DataFrame, score: Score, mode: str = "all_
     leaf = goal_leaves(nodes, edges)
     now = fill(nodes, leaf.where(unset))
     if mode == "goal_leaves_product":
-        return settled(bottom_up(now, edges, product), goal)
+        return settled(contracted(now, edges, RULES["product"]), goal)
     if mode == "product_interp_verbalized":
         now = fill(now, now.where(goal).join(leaf.select("gid", "id"), ["gid", "id"], "left_anti"))
         return product_interpolated(now, edges)
@@ -246,54 +272,61 @@ def leaf_likelihood(confidence: Column, version: int) -> tuple[Column, Column]:
     return pick(GIVEN_FALSE), pick(GIVEN_TRUE)
 
 
-def belief_propagation(nodes: DataFrame, edges: DataFrame, version: int = 1, max_levels: int = 10_000) -> DataFrame:
+def _all_true(p: Columns) -> Column:
+    return F.when(p["zeros"] > 0, 0.0).otherwise(F.exp(p["logs"]))
+
+
+def _conjunction(p: Columns) -> Column:
+    all_true = _all_true(p)
+    return F.when(p["equal"], p["only"]).otherwise(all_true / (all_true + (1 - all_true) / _others(p["k"])))
+
+
+def _others(k: Column) -> Column:
+    """Child states besides the one in which all hold."""
+    return F.pow(F.lit(2.0), k) - 1
+
+
+def _given_one(p: Columns) -> list[Column]:
+    """The message as a matrix over (true, false) of the one child that is open."""
+    rest, n = _all_true(p), _others(p["k"])
+    return [F.when(p["equal"], same).otherwise(x) for same, x in ((1.0, rest), (0.0, F.lit(0.0)), (0.0, (1 - rest) / n), (1.0, 1 / n))]
+
+
+UPWARD = Rule(RULES["product"].parts | {"only": (lambda x: x, "max", 0.0)}, _conjunction, _given_one, MATRIX, ("equal",))
+
+
+def belief_propagation(nodes: DataFrame, edges: DataFrame, version: int = 1) -> DataFrame:
     """``nodes`` with every goal's confidence replaced by its marginal in the tree.
 
     A decomposition with k children is a conjunction whose other 2^k - 1 child states are equally
     likely when the parent is false; a particularization is an equality. Messages are kept
     normalised, so a parent's message is a function of the product of its children's and a child's of
-    that product without the child: sums of logs and a count of zeros, never a list of siblings.
-    The root's prior is one half. Trees are taken as valid; see ``tree_errors``.
+    that product without the child: sums of logs and a count of zeros, never a list of siblings. Both
+    are matrices over true and false, which compose, so messages go up and down in rounds that grow
+    with the logarithm of the depth. The root's prior is one half. Trees are taken as valid; see
+    ``tree_errors``.
     """
-    inner = cut(goal_edges(nodes, edges).select("gid", "source", "target", "relationship_type"), "bp-edges")
-    given_false, given_true = leaf_likelihood(F.col("confidence"), version)
-    leaf = goal_leaves(nodes, edges).select("gid", "id", require(F.col("confidence") >= 0, "a leaf has no confidence", given_true / (given_true + given_false)).alias("up"))
-    up = cut(leaf, "bp-up")
-    kinds = cut(inner.groupBy("gid", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("k"), F.max(F.col("relationship_type") == "particularizes").alias("equal")), "bp-kinds")
-    fresh, levels = up, 0
-    while levels < max_levels:
-        child = up.select("gid", F.col("id").alias("source"), "up")
+    with Scratch(nodes.sparkSession) as scratch:
+        inner = scratch.cut(goal_edges(nodes, edges).select("gid", "source", "target", "relationship_type"), "bp-edges")
+        given_false, given_true = leaf_likelihood(F.col("confidence"), version)
+        leaf = goal_leaves(nodes, edges).select("gid", "id", require(F.col("confidence") >= 0, "a leaf has no confidence", given_true / (given_true + given_false)).alias("value"))
+        leaf = scratch.cut(leaf, "bp-leaves")
+        kinds = inner.groupBy("gid", F.col("target").alias("id")).agg(F.max(F.col("relationship_type") == "particularizes").alias("equal"))
+        up = leaf.unionByName(evaluate(kinds, inner, leaf, UPWARD, keep=scratch.cut)).withColumnRenamed("value", "up")
+        sums = inner.join(up.select("gid", F.col("id").alias("source"), F.col("up")), ["gid", "source"])
         zero = F.col("up") <= 0
-        got = inner.join(child, ["gid", "source"]).groupBy("gid", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("r"), F.count_if(zero).alias("zeros"), F.sum(F.when(~zero, F.log("up"))).alias("logs"), F.max("up").alias("only"))
-        both = kinds.join(got, ["gid", "id"]).where("r = k").join(up.select("gid", "id"), ["gid", "id"], "left_anti")
-        all_true = F.when(F.col("zeros") > 0, 0.0).otherwise(F.exp("logs"))
-        rest = (1 - all_true) / (F.pow(F.lit(2.0), F.col("k")) - 1)
-        fresh, n = cut_counted(both.select("gid", "id", F.when(F.col("equal"), F.col("only")).otherwise(all_true / (all_true + rest)).alias("up")), "bp-up")
-        if not n:
-            break
-        up = up.unionByName(fresh)
-        levels += 1
-    up = cut(up, "bp-up")
-    sums = inner.join(up.select("gid", F.col("id").alias("source"), F.col("up")), ["gid", "source"])
-    zero = F.col("up") <= 0
-    per_parent = cut(sums.groupBy("gid", "target").agg(F.count(F.lit(1)).alias("k"), F.count_if(zero).alias("zeros"), F.coalesce(F.sum(F.when(~zero, F.log("up"))), F.lit(0.0)).alias("logs")), "bp-sums")
-    others_zero = F.col("zeros") - zero.cast("int") > 0
-    without = F.when(others_zero, 0.0).otherwise(F.exp(F.col("logs") - F.when(zero, 0.0).otherwise(F.log("up"))))
-    links = cut(sums.join(per_parent, ["gid", "target"]).select("gid", "target", F.col("source").alias("id"), (F.col("relationship_type") == "particularizes").alias("equal"), "k", without.alias("without")), "bp-links")
-    down = cut(up.join(inner.select("gid", F.col("source").alias("id")), ["gid", "id"], "left_anti").select("gid", "id", F.lit(0.5).alias("down")), "bp-down")
-    level = down
-    for _ in range(max_levels):
-        parent = level.select("gid", F.col("id").alias("target"), "down")
-        share = (1 - F.col("down")) / (F.pow(F.lit(2.0), F.col("k")) - 1)
-        true = F.col("down") * F.col("without") + share * (1 - F.col("without"))
-        level, n = cut_counted(links.join(parent, ["gid", "target"]).select("gid", "id", F.when(F.col("equal"), F.col("down")).otherwise(true / (true + share)).alias("down")), "bp-down")
-        if not n:
-            break
-        down = down.unionByName(level)
-    yes, no = F.col("down") * F.col("up"), (1 - F.col("down")) * (1 - F.col("up"))
-    marginal = up.join(down, ["gid", "id"]).select("gid", "id", F.when(yes + no > 0, yes / (yes + no)).otherwise(F.lit(float("nan"))).alias("_m"))
-    joined = nodes.join(marginal, ["gid", "id"], "left")
-    return joined.select(*[F.coalesce("_m", "confidence").alias("confidence") if c == "confidence" else F.col(c) for c in nodes.columns])
+        per_parent = scratch.cut(sums.groupBy("gid", "target").agg(F.count(F.lit(1)).alias("k"), F.count_if(zero).alias("zeros"), F.coalesce(F.sum(F.when(~zero, F.log("up"))), F.lit(0.0)).alias("logs")), "bp-sums")
+        others_zero = F.col("zeros") - zero.cast("int") > 0
+        without = F.when(others_zero, 0.0).otherwise(F.exp(F.col("logs") - F.when(zero, 0.0).otherwise(F.log("up"))))
+        equal, n = F.col("relationship_type") == "particularizes", _others(F.col("k"))
+        down = F.array(*[F.when(equal, same).otherwise(x) for same, x in ((1.0, without), (0.0, (1 - without) / n), (0.0, F.lit(0.0)), (1.0, 1 / n))])
+        links = sums.join(per_parent, ["gid", "target"]).select("gid", F.col("source").alias("id"), F.col("target").alias("above"), down.alias("f"))
+        tops = up.join(inner.select("gid", F.col("source").alias("id")), ["gid", "id"], "left_anti").select("gid", "id", F.lit(0.5).alias("value"))
+        down = along_ancestors(tops, links, MATRIX, keep=scratch.cut).withColumnRenamed("value", "down")
+        yes, no = F.col("down") * F.col("up"), (1 - F.col("down")) * (1 - F.col("up"))
+        marginal = up.join(down, ["gid", "id"]).select("gid", "id", F.when(yes + no > 0, yes / (yes + no)).otherwise(F.lit(float("nan"))).alias("_new"))
+        marginal = cut(marginal, "bp-marginals")
+    return _renewed(nodes, marginal)
 
 
 def tree_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -38,6 +38,38 @@ def cut_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return done, seen.get["n"]
 
 
+class Scratch:
+    """Tables that an iteration needs while it runs: ``cut`` and ``cut_counted`` write one, ``drop`` deletes
+    one, the end of the ``with`` block those that are left. What is returned must not read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path, schema = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}", df.schema
+        df.write.parquet(path)
+        table = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def cut_counted(self, df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """``cut``, and sums over the rows, made while they are written."""
+        seen = Observation()
+        done = self.cut(df.observe(seen, *[F.coalesce(F.sum(x), F.lit(0)).alias(k) for k, x in counts.items()]), name)
+        return done, seen.get
+
+    def drop(self, table: DataFrame) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[1])
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for table, _ in list(self.paths.values()):
+            self.drop(table)
+
+
 def eq_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join on keys that may be null; without keys ``b`` is one row."""
     if not keys:
