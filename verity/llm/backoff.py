@@ -38,82 +38,74 @@ def _counter(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 class Automaton:
-    """The states and arcs that a block's texts can visit. ``counts``: of each n-gram, in the order of
-    ``levels``; ``tokens`` and ``types`` of the training texts."""
+    """The part of the automaton that a block's texts can visit. ``counts``: of each n-gram, in the order
+    of ``levels``; ``tokens`` and ``types`` of the training texts.
+
+    States are the known n-grams of fewer than ``order`` words and the empty one. Of every n-gram it has
+    the weight of its arc (from the state of its words but the last; NaN if it is none) and, for a state,
+    the weight of its failure arc to the state of its words but the first. All parts of a known n-gram
+    are known, so a state is told by how many of the last words it holds, and an arc by the n-gram that
+    ends with the next word.
+    """
 
     def __init__(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], counts: np.ndarray, size: int, tokens: int, types: int, prior: tuple[float, ...]):
-        sizes = [len(head) for _, head, _ in found]
-        begin = np.concatenate([[0], np.cumsum(sizes)])
+        begin = np.concatenate([[0], np.cumsum([len(head) for _, head, _ in found])])
         count = [counts[a:b].astype(np.float64) for a, b in zip(begin, begin[1:], strict=False)]
-        self.size, order = size, len(found)
-        self.base = np.log10((count[0] + 0.5) / (tokens + 0.5 * (types + 1)))
+        self.found, self.order = found, len(found)
+        self.base = np.log10((count[0] + 0.5) / (tokens + 0.5 * (types + 1))) if size else np.zeros(0)
         self.known = count[0] > 0
-        # the n-gram without its first word, told from any place where it ends
-        suffix = [np.zeros(size, dtype=np.int64)]
-        for k in range(1, order):
-            own = np.zeros(sizes[k], dtype=np.int64)
-            there = found[k][0] >= 0
-            own[found[k][0][there]] = found[k - 1][0][there]
-            suffix.append(own)
-        # state 0 has no history; known n-grams below the order are states
-        states, self.fail, self.fail_weight, n = [], [0], [0.0], 1
-        for k in range(order - 1):
-            number = np.full(sizes[k], -1, dtype=np.int64)
-            is_state = count[k] > 0
-            number[is_state] = n + np.arange(int(is_state.sum()))
-            n += int(is_state.sum())
-            mass = prior[min(k, len(prior) - 1)]
-            self.fail += (np.zeros(int(is_state.sum()), dtype=np.int64) if k == 0 else states[k - 1][suffix[k][is_state]]).tolist()
-            self.fail_weight += np.log10(mass / (count[k][is_state] + mass)).tolist()
-            states.append(number)
-        # arcs of state 0 for every word of the block, unknown ones included
+        self.arcs, self.fails = [self.base], []
         chance = 10.0**self.base
-        keys, weights, goes = [np.arange(size)], [self.base], [np.maximum(states[0], 0) if states else np.zeros(size, dtype=np.int64)]
-        below = chance
-        for k in range(1, order):
-            _, head, last = found[k]
-            mass = prior[min(k - 1, len(prior) - 1)]
-            history = count[k - 1][head]
-            lower = below[suffix[k]]
-            p = np.where(history > 0, (count[k] + mass * lower) / (history + mass), lower)
-            is_arc = count[k] > 0
-            keys.append(states[k - 1][head[is_arc]] * size + last[is_arc])
-            weights.append(np.log10(p[is_arc]))
-            # the longest suffix that is a state: the n-gram itself, or below the order what its suffix leads to
-            goes.append((states[k] if k < order - 1 else states[k - 1][suffix[k]])[is_arc])
-            below = p
-        self.weight, self.goes = np.concatenate(weights).tolist(), np.concatenate(goes).tolist()
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(len(self.weight)), strict=True))
-
-    def walk(self, codes: list[int], state: int) -> float:
-        """The log10-probability of the words from this state on."""
-        arcs, weight, goes, fail, fail_weight, size, total = self.arcs.get, self.weight, self.goes, self.fail, self.fail_weight, self.size, 0.0
-        for word in codes:
-            arc = arcs(state * size + word)
-            while arc is None:
-                total += fail_weight[state]
-                state = fail[state]
-                arc = arcs(state * size + word)
-            total += weight[arc]
-            state = goes[arc]
+        for k in range(1, self.order):
+            at, head, _ = found[k]
+            suffix = np.zeros(len(head), dtype=np.int64)  # the n-gram without its first word
+            suffix[at[at >= 0]] = found[k - 1][0][at >= 0]
+            mass, history = prior[min(k - 1, len(prior) - 1)], count[k - 1]
+            self.fails.append(np.log10(mass / (history + mass)))
+            own = history[head]
+            chance = np.where(own > 0, (count[k] + mass * chance[suffix]) / (own + mass), chance[suffix])
+            self.arcs.append(np.where(count[k] > 0, np.log10(chance), np.nan))
+
+    def along(self) -> tuple[list[list[float]], list[list[float]], list[bool]]:
+        """Place by place, by the number of words of the state before: the weight of the arc (NaN where
+        there is none), that of the failure arc, and whether the word is known."""
+        arcs, fails = [], []
+        for k, (at, _, _) in enumerate(self.found):
+            arcs.append(np.where(at >= 0, self.arcs[k][at], np.nan).tolist())
+            if k + 1 < self.order:
+                before = np.full(len(at), -1, dtype=np.int64)
+                before[1:] = at[:-1]
+                fails.append(np.where(before >= 0, self.fails[k][before], np.nan).tolist())
+        return arcs, fails, self.known[self.found[0][0]].tolist()
+
+    def walk(self, arcs: list[list[float]], fails: list[list[float]], known: list[bool], begin: int, end: int) -> float:
+        """The log10-probability of the words at these places; the one at ``begin`` is START, which is
+        no token but the first state. The state is carried from word to word."""
+        top, total = self.order - 1, 0.0
+        held = 1 if top and known[begin] else 0
+        for at in range(begin + 1, end):
+            weight = arcs[held][at]
+            while weight != weight:  # no arc: to the state of one word less
+                total += fails[held - 1][at]
+                held -= 1
+                weight = arcs[held][at]
+            total += weight
+            held = (held + 1 if held < top else top) if held or known[at] else 0
         return total
 
-    def start(self, word: int) -> int:
-        """The state after START, which is no token."""
-        return self.goes[self.arcs[word]]
-
 
 def _scorer(order: int, shards: int, tokens: int, types: int, prior: tuple[float, ...]):
     def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         block = Block(next(rows.itertuples()), order, shards)
         machine = Automaton(block.found, block.answers(told, "<i8"), len(block.words), tokens, types, prior)
-        texts = block.coded()
+        arcs, fails, known = machine.along()
+        ends = np.cumsum(block.lengths)
         return pd.DataFrame(
             {
                 "doc_id": pd.Series(block.ids, dtype=object), "learns": block.learns, "n_tokens": block.lengths - 1,
                 "n_known": block.sums((machine.known[block.codes] & ~block.first).astype(np.int64)),
-                "base_score": [float(machine.base[c[1:]].sum()) for c in texts],
-                "score": [machine.walk(c[1:].tolist(), machine.start(int(c[0]))) for c in texts],
+                "base_score": [float(machine.base[c[1:]].sum()) for c in block.coded()],
+                "score": [machine.walk(arcs, fails, known, begin, end) for begin, end in zip((ends - block.lengths).tolist(), ends.tolist(), strict=True)],
             }
         )
 

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,50 +24,70 @@ from pyspark.sql import functions as F
 from verity.llm.common import Scratch
 
 #: UTF-8 bytes of the texts of a block, and of the corpus for each shard of the dictionary.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 6 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 6 << 20
 #: Words before the first and after the last of a text, where they are asked for; no word holds these.
 START, END = b"\t", b"\r"
 GRAMS = "block long, shard int, grams binary, counts binary"
-#: Bytes of a string up to which a row's strings are laid out side by side.
-SIDE = 128
+#: Bytes at the beginning of strings that are laid out side by side to find what they share.
+SIDE = 32
+
+
+def _small(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _whole(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def pack(values: np.ndarray, kind: str) -> bytes:
     """The bytes of the numbers, all first bytes first, compressed."""
     own = np.ascontiguousarray(values, dtype=kind)
-    return zlib.compress(own.view("u1").reshape(-1, own.dtype.itemsize).T.tobytes(), 1)
+    return _small(own.view("u1").reshape(-1, own.dtype.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
-    raw, size = zlib.decompress(data), np.dtype(kind).itemsize
+    raw, size = _whole(data), np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def pack_strings(strings: list[bytes]) -> bytes:
-    """Strings in order, each as the length that it shares with the one before and the rest."""
-    lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
-    width = int(lengths.max()) if len(strings) else 0
-    if not 0 < width <= SIDE:
-        return b"L" + zlib.compress(b"\n".join(strings), 1)
-    table = np.array(strings, dtype=f"S{width}").view("u1").reshape(-1, width)
-    shared = np.zeros(len(strings), dtype=np.int64)
-    shared[1:] = np.minimum.accumulate(table[1:] == table[:-1], axis=1).sum(axis=1)
-    shared[1:] = np.minimum(shared[1:], np.minimum(lengths[1:], lengths[:-1]))
-    column = np.arange(width)
-    rest = table[(column >= shared[:, None]) & (column < lengths[:, None])]
-    sizes = np.stack([shared, lengths - shared]).astype("u1").tobytes()
-    return b"S" + len(strings).to_bytes(4, "little") + zlib.compress(sizes + rest.tobytes(), 1)
+    """Strings in order, each as the length that it shares with the one before and the rest; what is
+    beyond SIDE bytes stands apart."""
+    n = len(strings)
+    lengths = np.fromiter(map(len, strings), dtype=np.int64, count=n)
+    table = np.array(strings, dtype=f"S{SIDE}").view("u1").reshape(n, SIDE)
+    size = np.minimum(lengths, SIDE).astype("u1")
+    shared = np.zeros(n, dtype="u1")
+    if n > 1:
+        apart = table[1:] != table[:-1]
+        shared[1:] = np.where(apart.any(axis=1), apart.argmax(axis=1), SIDE)
+        shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
+    column = np.arange(SIDE, dtype="u1")
+    rest = table[(column >= shared[:, None]) & (column < size[:, None])]
+    long = np.flatnonzero(lengths > SIDE)
+    beyond = [strings[i][SIDE:] for i in long.tolist()]
+    heads = np.array([n, len(long), len(rest)], dtype="<i8").tobytes()
+    return _small(heads + shared.tobytes() + (size - shared).tobytes() + long.astype("<i8").tobytes() + (lengths[long] - SIDE).astype("<i8").tobytes() + rest.tobytes() + b"".join(beyond))
 
 
 def unpack_strings(data: bytes) -> list[bytes]:
-    if data[:1] == b"L":
-        return zlib.decompress(data[1:]).split(b"\n")
-    n, raw = int.from_bytes(data[1:5], "little"), zlib.decompress(data[5:])
-    found, before, at = [], b"", 2 * n
-    for shared, more in zip(raw[:n], raw[n : 2 * n], strict=True):
-        before = before[:shared] + raw[at : at + more]
-        at += more
+    raw = _whole(data)
+    n, n_long, n_rest = np.frombuffer(raw[:24], "<i8").tolist()
+    at = 24 + 2 * n
+    long, more = np.frombuffer(raw[at : at + 16 * n_long], "<i8").reshape(2, n_long).tolist()
+    at += 16 * n_long
+    found, before, rest = [], b"", raw[at : at + n_rest]
+    begin = 0
+    for shared, own in zip(raw[24 : 24 + n], raw[24 + n : 24 + 2 * n], strict=True):
+        end = begin + own
+        before = before[:shared] + rest[begin:end]
+        begin = end
         found.append(before)
+    at += n_rest
+    for i, size in zip(long, more, strict=True):
+        found[i] += raw[at : at + size]
+        at += size
     return found
 
 
