@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from verity.llm import language_id, nets, quality, queries, toxicity
-from verity.llm.common import labelled_sample
+from verity.llm.common import labelled_sample, letters
 
 SF = "/root/testdata/sf0.01"
 
@@ -145,7 +145,7 @@ def test_thresholds_and_temperature():
 
 def test_language_rejects_by_distance_and_keeps_clean_short_texts(tables):
     docs, _ = tables
-    docs = docs[[bool(t and language_id.LETTER.search(t)) for t in docs.text]]
+    docs = docs[[bool(t and letters(t)) for t in docs.text]]
     learn = docs[docs.doc_id % 2 == 0]
     model = language_id.fit(np.stack([language_id.gram_counts(t) for t in learn.text]), learn.lang.tolist())
     rng = np.random.default_rng(6)
@@ -165,7 +165,7 @@ def test_language_rejects_by_distance_and_keeps_clean_short_texts(tables):
 
 def some_texts(tables, n):
     docs, _ = tables
-    return [*(t[:3000] if t else t for t in docs.text[:n]), None, "", "12 !!", "Ä ß", "a"]
+    return [*(t[:3000] if t else t for t in docs.text[:n]), None, "", "12 !!", "Ä ß", "a", "½", "② ³", "Ⅷ", "₂ ٣", "½ a"]
 
 
 def test_languages_against_brute_force(tables):

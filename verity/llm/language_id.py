@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from verity.llm.common import letters
+
 #: Hashed n-gram columns, and the lengths (in UTF-8 bytes) of the n-grams.
 COLUMNS, GRAMS = 4096, (2, 3)
-#: Bounds of what is learned from: rows of a language, and languages (the commonest).
-PER_LANGUAGE, MAX_LANGUAGES = 600, 200
+#: Bound of what is learned from: rows of a language.
+PER_LANGUAGE = 600
 #: Centroids of a language.
 CLUSTERS = 4
 #: A text is rejected when its cosine, or its margin to the second language, is below this share of the
@@ -25,7 +27,6 @@ SHARE, PERCENTILE = 0.5, 1.0
 #: every level below their own, and values from which a level has bounds of its own.
 LENGTHS, THINNED, LEAST_VALUES = 12, 200, 20
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -57,7 +58,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         pick, score, accepted = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
-        live = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        live = [i for i, t in enumerate(texts) if t and letters(t)]
         if not live or not self.names:
             return pick, score, accepted
         counts = np.stack([gram_counts(texts[i]) for i in live])
@@ -168,29 +169,30 @@ def bounds_of(model: LanguageModel, counts: np.ndarray, rows: np.ndarray, names:
     return out
 
 
-def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
-    """Fit on at most ``per_language`` rows of each of ``max_languages``: those of the least hashes of the
-    id. Rows without id, language, text or letter teach nothing. The executors turn whole texts into
+def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
+    """Fit on at most ``per_language`` rows of each language, however rare: those of the least hashes of
+    the id. Rows without id, language, text or letter teach nothing. The executors turn whole texts into
     counts; only those (of a fixed size) come to the driver."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.where("i is not null and t is not null and l is not null")
-    totals = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()}
+    totals = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
     if not totals:
         return fit(np.zeros((0, COLUMNS)), [])
-    share = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, min(1.0, 2 * (per_language + 50) / n))])
+    spark = labelled.sparkSession
+    share = F.broadcast(spark.createDataFrame([(name, min(1.0, 2 * (per_language + 50) / n)) for name, n in totals.items()], "l string, share double"))  # a row a language
     place = (F.xxhash64("i").cast("double") / 2.0**63 + 1) / 2  # from 0 to 1; twice the rows wanted are ordered
     first = F.row_number().over(Window.partitionBy("l").orderBy("h", "i", F.xxhash64("t")))
-    some = rows.withColumn("h", place).where(F.col("l").isin(*totals) & (F.col("h") < share[F.col("l")])).withColumn("k", first).where(F.col("k") <= per_language)
+    some = rows.withColumn("h", place).join(share, "l").where(F.col("h") < F.col("share")).withColumn("k", first).where(F.col("k") <= per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(t, n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if LETTER.search(t)]
-            packed = [np.minimum(gram_counts(t), 65535).astype("<u2").tobytes() for t, _ in pairs]
+            pairs = [(t, n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if letters(t)]
+            packed = [zlib.compress(gram_counts(t).astype("<u4").tobytes(), 1) for t, _ in pairs]
             yield pa.RecordBatch.from_arrays([pa.array([n for _, n in pairs], pa.string()), pa.array(packed, pa.binary())], names=["l", "c"])
 
     got = some.select("t", "l").mapInArrow(count, "l string, c binary").collect()
     got.sort(key=lambda r: (r["l"], bytes(r["c"])))
-    counts = np.stack([np.frombuffer(bytes(r["c"]), "<u2") for r in got]).astype(np.int64) if got else np.zeros((0, COLUMNS))
+    counts = np.stack([np.frombuffer(zlib.decompress(bytes(r["c"])), "<u4") for r in got]).astype(np.int64) if got else np.zeros((0, COLUMNS))
     return fit(counts, [r["l"] for r in got])
 
 
