@@ -25,6 +25,7 @@ from verity.llm.common import Scratch
 
 #: UTF-8 bytes of the texts of a block, and of the corpus for each shard of the dictionary.
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 6 << 20
+FEW_SHARDS = 16
 #: Words before the first and after the last of a text, where they are asked for; no word holds these.
 START, END = b"\t", b"\r"
 GRAMS = "block long, shard int, grams binary, counts binary"
@@ -220,9 +221,9 @@ def entries(blocks: DataFrame, order: int, shards: int) -> DataFrame:
 
 
 def shards_for(docs: DataFrame, text_col: str = "text") -> int:
-    """Shards for a dictionary of these texts: as many as their bytes ask for."""
+    """Shards for a dictionary of these texts: as many as their bytes ask for, and some for a few texts."""
     held = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // SHARD_BYTES))
+    return max(FEW_SHARDS, -(-held // SHARD_BYTES))
 
 
 class Shard:

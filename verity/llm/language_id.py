@@ -54,7 +54,7 @@ class LanguageModel:
     bounds: np.ndarray  # by language, level of length: least cosine and least margin
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return unit(np.log1p(counts).astype(np.float32) * self.idf)
+        return unit(np.log1p(counts, dtype=np.float32) * self.idf)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         pick, score, accepted = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
@@ -192,7 +192,7 @@ def learn_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
 
     got = some.select("t", "l").mapInArrow(count, "l string, c binary").collect()
     got.sort(key=lambda r: (r["l"], bytes(r["c"])))
-    counts = np.stack([np.frombuffer(zlib.decompress(bytes(r["c"])), "<u4") for r in got]).astype(np.int64) if got else np.zeros((0, COLUMNS))
+    counts = np.stack([np.frombuffer(zlib.decompress(bytes(r["c"])), "<u4") for r in got]) if got else np.zeros((0, COLUMNS))
     return fit(counts, [r["l"] for r in got])
 
 
