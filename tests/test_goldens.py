@@ -9,9 +9,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from verity.functions import scores, text
+from verity.functions import permute, scores, text
 from verity.functions.summaries import observation_summary
-from verity.operators import audit, calibration, graph_edit, graphs, metrics, propagate, quality, reports, trajectory
+from verity.operators import audit, calibration, contract, graph_edit, graphs, metrics, propagate, quality, reports, trajectory
 from verity.plans import runner, tables
 from verity.sources import runs as sources
 
@@ -125,6 +125,53 @@ def test_product_tree(spark):
     assert got == pytest.approx({"a": 0.36, "b": 0.5, "c": 0.72, "d": 0.9, "e": 0.8, "f": 0.5})
 
 
+def chain(spark, n):
+    """Goals g0 (root) to g(n-1), each with a leaf of its own and the next goal below it."""
+    rows = [("g", f"g{i}", GOAL, -1.0, 0.7) for i in range(n)] + [("g", f"l{i}", GOAL, 0.6 + (i * 37 % 40) / 100, -1.0) for i in range(n)]
+    links = [("g", f"g{i + 1}", f"g{i}", "decomposes_from") for i in range(n - 1)] + [("g", f"l{i}", f"g{i}", "decomposes_from") for i in range(n)]
+    return spark.createDataFrame(rows, "gid string, id string, kind string, confidence double, confidence_in_children double"), spark.createDataFrame(links, "gid string, source string, target string, relationship_type string"), [r[3] for r in rows[n:]]
+
+
+def test_a_chain_of_ten_thousand_goals_in_few_rounds(spark):
+    n = 10_000
+    nodes, edges, leaf = chain(spark, n)
+    known = nodes.where("confidence >= 0").select("gid", "id", F.col("confidence").alias("value"))
+    got = {r["id"]: r["value"] for r in contract.evaluate(nodes, edges, known, contract.RULES["arithmetic_mean"], max_rounds=40).collect()}
+    want, v = {}, leaf[-1]
+    for i in reversed(range(n)):
+        v = want[f"g{i}"] = leaf[-1] if i == n - 1 else (leaf[i] + v) / 2
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("method", sorted(propagate.COMBINE))
+def test_contraction_equals_the_level_loop(spark, method):
+    """Chains, shared children, repeated edges, a cycle, an unset leaf, zeros and ones."""
+    rows = goals(a=-1, b=-1, c=-1, d=-1, e=-1, f=-1, p=-1, q=-1, u=-1, w=-1, x=0.9, y=0.0, z=1.0, t=0.4, unset=-1)
+    links = [*under("a", "b", "x"), *under("b", "c"), *under("c", "d", "t"), *under("d", "e", "x", "x"), *under("e", "f"), *under("f", "y" if method != "union_bound" else "t", "z"), *under("p", "q"), *under("q", "p", "x"), *under("u", "w", "d"), *under("w", "unset")]
+    n, e = tree(spark, rows, links)
+    plain = values(propagate.bottom_up(n, e, propagate.COMBINE[method]))
+    assert values(propagate.aggregate(n, e, method)) == pytest.approx(plain)
+    assert plain["p"] == plain["u"] == -1 and plain["a"] != -1
+
+
+def test_messages_along_a_chain_equal_a_walk(spark):
+    n = 60
+    nodes, edges, leaf = chain(spark, n)
+    got = values(propagate.belief_propagation(nodes, edges, 1))
+    up, others = {}, lambda i: 1.0 if i == n - 1 else 3.0
+    for i in reversed(range(n)):
+        t = leaf[i] * (up[i + 1] if i < n - 1 else 1.0)
+        up[i] = t / (t + (1 - t) / others(i))
+    down = 0.5
+    for i in range(n):
+        assert got[f"g{i}"] == pytest.approx(down * up[i] / (down * up[i] + (1 - down) * (1 - up[i])))
+        share = (1 - down) / others(i)
+        hand = lambda w, d=down, s=share: (d * w + s * (1 - w)) / (d * w + s * (1 - w) + s)
+        below = hand(up[i + 1] if i < n - 1 else 1.0)
+        assert got[f"l{i}"] == pytest.approx(below * leaf[i] / (below * leaf[i] + (1 - below) * (1 - leaf[i])))
+        down = hand(leaf[i])
+
+
 def test_cycles_stay_or_are_unset(spark):
     n, e = tree(spark, goals(a=0.7, b=0.8), [*under("a", "b"), *under("b", "a")])
     assert values(propagate.aggregate(n, e, "product")) == {"a": 0.7, "b": 0.8}
@@ -649,3 +696,79 @@ def test_running_sums_of_keys_with_ties_and_nulls(spark):
     df = spark.createDataFrame(rows, "k string, o int, x int").repartition(7)
     got = {(r["k"], r["o"]): (r["s"], r["s_all"]) for r in tables.running(df, ["k"], ["o"], {"s": F.col("x")}).collect()}
     assert got == {(k, o): (sum(i % 3 for i in range(o + 1)), sum(i % 3 for i in range(200))) for k, o, _ in rows}
+
+
+# ---------------------------------------------------------------- permutations, pairs, regions, closures
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 4097])
+def test_every_place_is_taken_once(spark, n):
+    df = spark.range(n).withColumn("p", permute.permuted(F.col("id"), F.lit(n).cast("long"), 7)).withColumn("q", permute.permuted(F.col("id"), F.lit(n).cast("long"), 8))
+    rows = df.collect()
+    assert sorted(r["p"] for r in rows) == sorted(r["q"] for r in rows) == list(range(n))
+    if n > 50:
+        assert sum(r["p"] == r["q"] for r in rows) < n / 5 and sum(r["p"] == r["id"] for r in rows) < n / 5
+
+
+def test_drawn_rows(spark):
+    df = spark.range(40).select((F.col("id") * 3).alias("ord"))
+    plain = sources.drawn(df, 40, shuffle=False, first=5)
+    assert sorted((r["_place"], r["ord"]) for r in plain.collect()) == [(i, 3 * i) for i in range(5)]
+    once, again = ({r["ord"]: r["_place"] for r in sources.drawn(df, 40, seed=7, **w).collect()} for w in ({"first": 10}, {"again": 10}))
+    assert sorted(once.values()) == sorted(again.values()) == list(range(10)) and set(once) != set(again)
+    assert {r["ord"] for r in sources.sample(sources.numbered(df), 10, 40, 7).collect()} == set(once)
+    for wrong in ({"first": 41}, {"again": -1}, {"first": 1, "again": 1}):
+        with pytest.raises(ValueError):
+            sources.drawn(df, 40, **wrong)
+
+
+def test_pairs_are_told_by_their_place(spark):
+    for n in (2, 3, 7, 50):
+        total = n * (n - 1) // 2
+        i, j = quality.pair_at(F.col("id"), F.lit(n).cast("long"))
+        got = [(r["i"], r["j"]) for r in spark.range(total).select("id", i.alias("i"), j.alias("j")).orderBy("id").collect()]
+        assert got == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    n = 100_000
+    i, j = quality.pair_at(F.col("k"), F.lit(n).cast("long"))
+    places = [0, n - 2, n - 1, n * (n - 1) // 2 - 1, n * (n - 1) // 2 - 2, 2_345_678_901]
+    for r in spark.createDataFrame([(k,) for k in places], "k long").select("k", i.alias("i"), j.alias("j")).collect():
+        assert 0 <= r["i"] < r["j"] < n and r["i"] * (2 * n - r["i"] - 1) // 2 + r["j"] - r["i"] - 1 == r["k"]
+
+
+def test_a_wide_parent_costs_only_its_sample(spark):
+    n = 100_000
+    nodes = spark.range(n).select(F.lit("g").alias("gid"), F.concat(F.lit("c"), F.col("id")).alias("id"), F.lit(GOAL).alias("kind"), F.concat(F.lit("claim "), F.col("id")).alias("auditable_claim"))
+    nodes = nodes.unionByName(spark.createDataFrame([("g", "r", GOAL, "root")], nodes.schema))
+    edges = spark.range(n).select(F.lit("g").alias("gid"), F.concat(F.lit("c"), F.col("id")).alias("source"), F.lit("r").alias("target"), F.lit("decomposes_from").alias("relationship_type"), F.col("id").alias("pos"))
+    got = quality.sampled_sibling_pairs(nodes, edges, 100).collect()
+    assert len(got) == 200 and len({(r["i"], r["j"]) for r in got}) == 100
+    assert all(r["id_a"] == f"c{r['i']}" and r["premise"] == f"claim {r['i' if r['direction'] == 0 else 'j']}" for r in got)
+    # the places that the other library's generator would draw
+    drawn = quality.sample_pairs(spark.createDataFrame([("i", "m", 10)], "instance_id string, model string, n int"), 4).select(F.lit("g").alias("gid"), F.explode("picked").alias("place")).withColumn("place", F.col("place").cast("long"))
+    few, links = nodes.where("id in ('r', 'c0', 'c1', 'c2', 'c3', 'c4')"), edges.where("pos < 5")
+    every = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    want = {every[r["place"]] for r in drawn.collect()}
+    assert {(r["i"], r["j"]) for r in quality.sampled_sibling_pairs(few, links, 4, drawn).collect()} == want
+
+
+def test_regions_meet_only_what_is_near(spark):
+    tokens = [("t", p, "x" * (p % 4)) for p in range(400)] + [("u", 0, "y" * 900), ("u", 1, ""), ("u", 2, "z")]
+    spans = trajectory.token_spans(spark.createDataFrame(tokens, "traj string, pos int, token string"))
+    regions = [("t", k, k * 11, k * 11 + (k % 5) * 7) for k in range(60)] + [("u", 0, 0, 2000), ("u", 1, 899, 901), ("u", 2, 900, 900), ("u", 3, 450, 450)]
+    got = trajectory.overlapping(spans, spark.createDataFrame(regions, "traj string, region int, rs int, re int"), width=16)
+    plain = [(s["traj"], s["pos"], r) for s in spans.collect() for key, r, low, high in regions if key == s["traj"] and s["end"] > low and s["start"] < high]
+    assert sorted((r["traj"], r["pos"], r["region"]) for r in got.collect()) == sorted(plain)
+
+
+def test_closures_above_cycles_and_of_shared_nodes(spark):
+    steps = {"a": [], "b": [3], "c": [40_000, 1], "d": [0], "e": [7, 3], "p": [5], "q": [6], "top": [], "alone": [2], "bare": None}
+    n = spark.createDataFrame([("g", k, v) for k, v in steps.items()], "gid string, id string, step_numbers array<int>")
+    links = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d"), ("e", "d"), ("p", "q"), ("q", "p"), ("q", "top"), ("a", "top"), ("bare", "top")]
+    e = spark.createDataFrame([("g", s, t) for s, t in links], "gid string, source string, target string")
+    below = {k: {k} for k in steps}
+    for _ in steps:
+        for s, t in links:
+            below[t] |= below[s]
+    want = {k: sorted({x for m in v for x in steps[m] or []}) for k, v in below.items()}
+    assert {r["id"]: r["steps"] for r in graphs.cited_steps(n, n, e).collect()} == want
+    assert {r["id"]: r["max_step"] for r in graphs.max_cited_step(n, n, e).collect()} == {k: max(v, default=-1) for k, v in want.items()}

@@ -84,24 +84,24 @@ def _product(p: Columns) -> Column:
     return F.when(p["zeros"] > 0, 0.0).otherwise(F.exp(p["logs"]))
 
 
-def _plain(a: Column, b: Column, low: Column | None = None, high: Column | None = None) -> list[Column]:
+def plain(a: Column, b: Column, low: Column | None = None, high: Column | None = None) -> list[Column]:
     return [a, b, F.lit(-FAR) if low is None else low, F.lit(FAR) if high is None else high]
 
 
 def interpolated(weight: str, own: Callable[[Columns], Column], columns: tuple[str, ...]) -> Rule:
     """weight * product + (1 - weight) * own."""
     value = lambda p: p[weight] * _product(p) + (1 - p[weight]) * own(p)
-    return Rule(_LOG_SUM, value, lambda p: _plain(p[weight] * _product(p), (1 - p[weight]) * own(p)), CLAMPED, columns)
+    return Rule(_LOG_SUM, value, lambda p: plain(p[weight] * _product(p), (1 - p[weight]) * own(p)), CLAMPED, columns)
 
 
 #: The aggregations that are functions of this kind in each child.
 RULES: dict[str, Rule] = {
-    "product": Rule(_LOG_SUM, _product, lambda p: _plain(_product(p), F.lit(0.0)), CLAMPED),
+    "product": Rule(_LOG_SUM, _product, lambda p: plain(_product(p), F.lit(0.0)), CLAMPED),
     "geometric_mean": Rule(_LOG_SUM, lambda p: F.when(p["zeros"] > 0, 0.0).otherwise(F.exp(p["logs"] / p["k"])), lambda p: [1 / p["k"], F.when(p["zeros"] > 0, -FAR).otherwise(p["logs"] / p["k"])], LOGS),
-    "arithmetic_mean": Rule({"all": (lambda x: x, "sum", 0.0)}, lambda p: p["all"] / p["k"], lambda p: _plain(1 / p["k"], p["all"] / p["k"]), CLAMPED),
-    "minimum": Rule({"least": (lambda x: x, "min", FAR)}, lambda p: p["least"], lambda p: _plain(F.lit(1.0), F.lit(0.0), high=p["least"]), CLAMPED),
-    "maximum": Rule({"most": (lambda x: x, "max", -FAR)}, lambda p: p["most"], lambda p: _plain(F.lit(1.0), F.lit(0.0), low=p["most"]), CLAMPED),
-    "union_bound": Rule({"miss": (lambda x: 1 - x, "sum", 0.0)}, lambda p: F.greatest(F.lit(0.0), 1 - p["miss"]), lambda p: _plain(F.lit(1.0), -p["miss"], low=F.lit(0.0)), CLAMPED),
+    "arithmetic_mean": Rule({"all": (lambda x: x, "sum", 0.0)}, lambda p: p["all"] / p["k"], lambda p: plain(1 / p["k"], p["all"] / p["k"]), CLAMPED),
+    "minimum": Rule({"least": (lambda x: x, "min", FAR)}, lambda p: p["least"], lambda p: plain(F.lit(1.0), F.lit(0.0), high=p["least"]), CLAMPED),
+    "maximum": Rule({"most": (lambda x: x, "max", -FAR)}, lambda p: p["most"], lambda p: plain(F.lit(1.0), F.lit(0.0), low=p["most"]), CLAMPED),
+    "union_bound": Rule({"miss": (lambda x: 1 - x, "sum", 0.0)}, lambda p: F.greatest(F.lit(0.0), 1 - p["miss"]), lambda p: plain(F.lit(1.0), -p["miss"], low=F.lit(0.0)), CLAMPED),
 }
 
 
@@ -171,3 +171,44 @@ def along_ancestors(start: DataFrame, links: DataFrame, algebra: Algebra, max_ro
             if not counts["found"]:
                 return keep(state.where("x is not null").select("gid", "id", F.col("x").alias("value")), "down-values")
         raise RuntimeError("more rounds than max_rounds")
+
+
+def gather(own: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """((gid, id, bucket, bits), (gid, id)): of every node its own bitmap (``own``: gid, id, bucket, bits;
+    nodes without one may be absent) united with those of all nodes below it, and the nodes for which
+    that is so; nodes above a cycle are left out.
+
+    The rounds are those of ``evaluate``; since a set may be united twice, what a node has gathered is
+    its function. A bitmap is written for each node and bucket, not for each pair of nodes.
+    """
+    spark = edges.sparkSession
+    with Scratch(spark) as scratch:
+        ids = own.select("gid", "id").unionByName(edges.select("gid", F.col("source").alias("id"))).unionByName(edges.select("gid", F.col("target").alias("id"))).distinct()
+        ids = scratch.cut(ids.withColumn("n", F.monotonically_increasing_id()), "gather-ids")
+        numbered = lambda df, c, n: df.join(ids.select("gid", F.col("id").alias(c), F.col("n").alias(n)), ["gid", c])
+        links = scratch.cut(numbered(numbered(edges.select("gid", "source", "target"), "source", "child"), "target", "parent").select("child", "parent"), "gather-edges")
+        waits = links.groupBy(F.col("parent").alias("n")).agg(F.count(F.lit(1)).alias("k"), F.bit_xor("child").alias("rest"))
+        state = scratch.cut(ids.select("n").join(waits, "n", "left").select("n", F.coalesce("k", F.lit(0)).alias("k"), F.lit(0).cast("long").alias("r"), "rest", F.when(F.col("k").isNull(), 0).alias("born"), F.lit(None).cast("long").alias("at")), "gather-state")
+        sets = scratch.cut(numbered(own, "id", "n").groupBy("n", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")), "gather-sets")
+        for round_ in range(1, max_rounds):
+            fresh = state.where(F.col("born") == round_ - 1).select(F.col("n").alias("child"))
+            raked = links.join(fresh, "child")
+            before = state.where("born is not null or at is not null").select(F.col("n").alias("_n"), F.col("born").alias("_born"), F.col("at").alias("_at"))
+            got = raked.groupBy(F.col("parent").alias("n")).agg(F.count(F.lit(1)).alias("_r"), F.bit_xor("child").alias("_rest"))
+            both = state.join(got, "n", "left").join(before, F.col("at") == F.col("_n"), "left")
+            both = both.select("n", "k", (F.col("r") + F.coalesce("_r", F.lit(0))).alias("r"), F.col("rest").bitwiseXOR(F.coalesce("_rest", F.lit(0))).alias("rest"), "born", "at", "_born", "_at")
+            complete = (F.col("r") == F.col("k")) | F.col("_born").isNotNull()
+            at = F.coalesce("_at", "at", F.when(F.col("r") == F.col("k") - 1, F.col("rest")))
+            jumps = state.where("at is not null and born is null").select("n", F.col("at").alias("child"))
+            moved = raked.select(F.col("parent").alias("n"), "child").unionByName(jumps).join(sets.withColumnRenamed("n", "child"), "child").select("n", "bucket", "bits")
+            old = state, sets
+            sets = scratch.cut(sets.unionByName(moved).groupBy("n", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")), "gather-sets")
+            state, counts = scratch.cut_counted(both.select("n", "k", "r", "rest", F.coalesce("born", F.when(complete, round_)).alias("born"), at.alias("at")), "gather-state", found=(F.coalesce("born", F.lit(0)) == round_).cast("int"))
+            for table in old:
+                scratch.drop(table)
+            if not counts["found"]:
+                break
+        else:
+            raise RuntimeError("more rounds than max_rounds")
+        done = state.where("born is not null").select("n").join(ids, "n")
+        return cut(sets.join(done, "n").select("gid", "id", "bucket", "bits"), "gather-bitmaps"), cut(done.select("gid", "id"), "gather-done")

@@ -6,9 +6,13 @@ relationship_type, pos. Graphs are told apart by ``gid``; levels are found for a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
+from verity.operators.contract import CLAMPED, FAR, Rule, evaluate, gather, plain
 from verity.operators.reports import nearest_percentile
 from verity.plans.tables import cut, cut_counted
 
@@ -115,19 +119,49 @@ def predecessor_levels(targets: DataFrame, edges: DataFrame) -> DataFrame:
     return bfs_levels(targets.select("gid", F.col("id").alias("origin"), "id"), links)
 
 
+def _not_told(targets: DataFrame, told: DataFrame) -> DataFrame:
+    """Targets above a cycle, for which levels are walked one by one."""
+    return targets.select("gid", "id").join(told.select("gid", "id"), ["gid", "id"], "left_anti")
+
+
 def max_cited_step(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(gid, id, max_step): the greatest step number cited in a node's closure; -1 without one."""
+    """(gid, id, max_step): the greatest step number cited in a node's closure; -1 without one.
+
+    The greatest step is carried up the edges once for all nodes, in rounds that grow with the logarithm
+    of the depth; only above cycles are closures walked.
+    """
+    own = nodes.select("gid", "id", F.coalesce(F.array_max("step_numbers").cast("double"), F.lit(-1.0)).alias("value"))
+    bare = own.join(edges.select("gid", F.col("target").alias("id")), ["gid", "id"], "left_anti")
+    greatest = Rule({"most": (lambda x: x, "max", -FAR)}, lambda p: F.greatest(p["most"], p["value"]), lambda p: plain(F.lit(1.0), F.lit(0.0), low=F.greatest(p["most"], p["value"])), CLAMPED, ("value",))
+    told = bare.unionByName(evaluate(own, edges, bare, greatest))
     cited = nodes.select("gid", "id", F.explode("step_numbers").alias("step"))
-    reached = predecessor_levels(targets, edges).join(cited, ["gid", "id"]).groupBy("gid", "origin").agg(F.max("step").alias("step"))
-    return targets.select("gid", "id").join(reached.withColumnRenamed("origin", "id"), ["gid", "id"], "left").select("gid", "id", F.coalesce("step", F.lit(-1)).alias("max_step"))
+    walked = predecessor_levels(_not_told(targets, told), edges).join(cited, ["gid", "id"]).groupBy("gid", F.col("origin").alias("id")).agg(F.max("step").cast("double").alias("value"))
+    return targets.select("gid", "id").join(told.unionByName(walked), ["gid", "id"], "left").select("gid", "id", F.coalesce(F.col("value").cast("int"), F.lit(-1)).alias("max_step"))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _set_bits(bits: pd.Series) -> pd.Series:
+    return bits.map(lambda own: np.flatnonzero(np.unpackbits(np.frombuffer(own, np.uint8), bitorder="little")))
 
 
 def cited_steps(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(gid, id, steps): the sorted set of step numbers cited in a node's closure."""
+    """(gid, id, steps): the sorted set of step numbers cited in a node's closure.
+
+    Sets are bitmaps, united up the edges for all nodes at once (``contract.gather``); steps are whole
+    numbers from 0. Only above cycles are closures walked.
+    """
     cited = nodes.select("gid", "id", F.explode("step_numbers").alias("step"))
-    reached = predecessor_levels(targets, edges).join(cited, ["gid", "id"]).select("gid", "origin", "step").distinct()
-    sets = reached.groupBy("gid", F.col("origin").alias("id")).agg(F.sort_array(F.collect_list("step")).alias("steps"))
-    return targets.select("gid", "id").join(sets, ["gid", "id"], "left").select("gid", "id", F.coalesce("steps", F.array().cast("array<int>")).alias("steps"))
+    at = F.col("step") + 1  # Spark's buckets begin at 1
+    own = cited.groupBy("gid", "id", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    bitmaps, told = gather(own, edges)
+    wanted = bitmaps.join(targets.select("gid", "id").distinct(), ["gid", "id"])
+    steps = F.transform(_set_bits("bits"), lambda bit: (bit + (F.col("bucket") - 1) * 32768).cast("int"))
+    sets = wanted.select("gid", "id", "bucket", steps.alias("own")).groupBy("gid", "id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "own"))), lambda x: x["own"])).alias("steps"))
+    alone = nodes.select("gid", "id").join(edges.select("gid", F.col("source").alias("id")).unionByName(edges.select("gid", F.col("target").alias("id"))), ["gid", "id"], "left_anti")
+    lost = _not_told(targets, told.unionByName(alone))
+    walked = predecessor_levels(lost, edges).join(cited, ["gid", "id"]).select("gid", "origin", "step").distinct()
+    walked = walked.groupBy("gid", F.col("origin").alias("id")).agg(F.sort_array(F.collect_list("step")).alias("steps"))
+    return targets.select("gid", "id").join(sets.unionByName(walked), ["gid", "id"], "left").select("gid", "id", F.coalesce("steps", F.array().cast("array<int>")).alias("steps"))
 
 
 def node_depths(nodes: DataFrame, edges: DataFrame, root: DataFrame, strict: bool = True) -> DataFrame:

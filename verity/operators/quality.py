@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verity.functions.permute import permuted
 from verity.functions.scores import geometric_mean, product
 from verity.operators.graphs import goal_edges
+from verity.plans.tables import running
 
 # The labels of an assessment and the names of the checks.
 LABELS = ("entailment", "contradiction", "neutral")
@@ -55,6 +57,44 @@ def sibling_pairs(nodes: DataFrame, edges: DataFrame, claim: str = "auditable_cl
     return pairs.select("gid", F.lit(SIBLINGS).alias("metric"), "parent", "i", "j", "id_a", "id_b", both.alias("r")).select("gid", "metric", "parent", "i", "j", "id_a", "id_b", "r.*")
 
 
+def pair_at(k: Column, n: Column) -> tuple[Column, Column]:
+    """The ``k``-th (from 0) of the pairs i < j of ``n``, in order of i, then j."""
+    begin = lambda i: (i * (2 * n - i - 1) / 2).cast("long")
+    near = (n - 2 - F.floor((F.sqrt((4 * n * (n - 1) - 8 * k - 7).cast("double")) - 1) / 2)).cast("long")
+    i = F.when(begin(near) > k, near - 1).when(begin(near + 1) <= k, near + 1).otherwise(near)  # a root may be one off
+    return i, k - begin(i) + i + 1
+
+
+def sampled_sibling_pairs(nodes: DataFrame, edges: DataFrame, k: int, picked: DataFrame | None = None, seed: int = 42, claim: str = "auditable_claim") -> DataFrame:
+    """``sibling_pairs`` of ``k`` pairs of each graph (all, if it has fewer), without making the others.
+
+    The pairs of a graph are numbered, parent by parent (in the order of ids) and as they stand in
+    ``sibling_pairs``; a number is turned into its parent and its two children by arithmetic. Which are
+    taken is told by ``picked`` (gid, place; see ``sample_pairs``), or they are those that a permutation
+    of all places by ``seed`` puts first.
+    """
+    claims = nodes.select("gid", "id", F.col(claim).alias("claim"))
+    kids = goal_edges(nodes, edges).where("relationship_type = 'decomposes_from'").select("gid", F.col("target").alias("parent"), "source", "pos")
+    kids = kids.withColumn("at", F.row_number().over(Window.partitionBy("gid", "parent").orderBy("pos", "source")) - 1)
+    sizes = kids.groupBy("gid", "parent").agg(F.count(F.lit(1)).alias("n")).withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
+    placed = running(sizes, ["gid"], ["parent"], {"upto": F.col("pairs")}).withColumn("begin", F.col("upto") - F.col("pairs"))
+    if picked is None:
+        totals = placed.groupBy("gid").agg(F.max("upto").alias("all")).where("all > 0")
+        first = totals.select("gid", "all", F.explode(F.sequence(F.lit(0), F.least(F.lit(k).cast("long"), F.col("all")) - 1)).alias("nth"))
+        picked = first.select("gid", permuted(F.col("nth"), F.col("all"), seed).alias("place"))
+    # each place lies in the parent that begins last before it
+    both = placed.where("pairs > 0").select("gid", F.col("begin").alias("at"), F.struct("parent", "n", "begin").alias("p")).unionByName(picked.select("gid", F.col("place").alias("at"), F.lit(None).cast("struct<parent:string,n:bigint,begin:bigint>").alias("p")))
+    before = Window.partitionBy("gid").orderBy("at", F.col("p").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("in", F.last("p", ignorenulls=True).over(before)).where("p is null")
+    i, j = pair_at(F.col("at") - F.col("in.begin"), F.col("in.n"))
+    chosen = found.select("gid", F.col("in.parent").alias("parent"), i.alias("i"), j.alias("j"))
+    told = kids.join(claims.select("gid", F.col("id").alias("source"), "claim"), ["gid", "source"])
+    side = lambda of, c: told.select("gid", "parent", F.col("at").cast("long").alias(of), F.col("source").alias(f"id_{c}"), F.col("claim").alias(c))
+    pairs = chosen.join(side("i", "a"), ["gid", "parent", "i"]).join(side("j", "b"), ["gid", "parent", "j"])
+    ways = F.explode(F.array(F.struct(F.lit(0).alias("direction"), F.col("a").alias("premise"), F.col("b").alias("hypothesis")), F.struct(F.lit(1).alias("direction"), F.col("b").alias("premise"), F.col("a").alias("hypothesis"))))
+    return pairs.select("gid", F.lit(SIBLINGS).alias("metric"), "parent", "i", "j", "id_a", "id_b", ways.alias("r")).select("gid", "metric", "parent", "i", "j", "id_a", "id_b", "r.*")
+
+
 def sample_pairs(counts: DataFrame, k: int) -> DataFrame:
     """(instance_id, model, picked): sorted places of ``k`` of ``n`` sibling pairs (all if fewer), drawn
     by Python's generator seeded with "<instance>:<model>:non_redundant_siblings"."""

@@ -371,9 +371,21 @@ def token_spans(tokens: DataFrame, key: str = "traj") -> DataFrame:
     return tokens.withColumn("end", end).withColumn("start", F.col("end") - F.length("token"))
 
 
-def overlapping(spans: DataFrame, regions: DataFrame, key: str = "traj") -> DataFrame:
-    """Tokens that touch a region (key, region, rs, re): end > rs and start < re."""
-    return spans.join(regions, key).where((F.col("end") > F.col("rs")) & (F.col("start") < F.col("re")))
+#: Characters of a bin: of the length of regions, so that most lie in one or two.
+BIN = 256
+
+
+def overlapping(spans: DataFrame, regions: DataFrame, key: str = "traj", width: int = BIN) -> DataFrame:
+    """Tokens that touch a region (key, region, rs, re): end > rs and start < re.
+
+    Spans and regions are copied to the bins of ``width`` characters that they reach into, and meet by
+    (key, bin); a pair that shares several bins is told in the first of them. So a token meets the
+    regions around it, however many its log has, and a long log is many keys.
+    """
+    bins = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.greatest(F.col(high) - 1, F.col(low)) / width))).alias("_bin")
+    near = spans.select("*", bins("start", "end")).join(regions.select("*", bins("rs", "re")), [key, "_bin"])
+    first = F.floor(F.greatest("start", "rs") / width) == F.col("_bin")
+    return near.where(first & (F.col("end") > F.col("rs")) & (F.col("start") < F.col("re"))).drop("_bin")
 
 
 TAGS = ("action", "observation", "summarized_action", "summarized_observation")

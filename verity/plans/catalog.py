@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verity.functions import text as tx
+from verity.functions.permute import permuted_sql
 from verity.functions.scores import log_mean_exp, vote
 from verity.operators import audit, graph_edit, graphs, metrics, propagate, quality, reports, trajectory
 from verity.operators.calibration import Calibration, calibrate, fit_temperature, resolve
 from verity.plans import runner
 from verity.plans.views import view, with_views
-from verity.sources.runs import parse_slice, row_slice
+from verity.sources.runs import drawn, parse_slice, row_slice
 from verity.streaming import snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +222,27 @@ def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 register("max_cited_step", f"{_CLOSURE} SELECT n.gid, n.id, coalesce(max(c.step), -1) AS max_step FROM enodes n LEFT JOIN cited c ON c.origin = n.id WHERE n.id LIKE 'c%' GROUP BY n.gid, n.id")(lambda s, d: graphs.max_cited_step(*_cited(s, d)))
 register("cited_steps", f"{_CLOSURE} SELECT n.gid, n.id, coalesce(array_to_string(list_sort(list(DISTINCT c.step) FILTER (WHERE c.step IS NOT NULL)), ','), '') AS steps FROM enodes n LEFT JOIN cited c ON c.origin = n.id WHERE n.id LIKE 'c%' GROUP BY n.gid, n.id")(lambda s, d: graphs.cited_steps(*_cited(s, d)).withColumn("steps", F.array_join("steps", ",")))
 register("evidence_leaves", f"{GE} SELECT gid, id FROM enodes WHERE id NOT IN (SELECT target FROM eedges)")(lambda s, d: graphs.leaves(*evident(s, d)).select("gid", "id"))
+def deep(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return view(spark, sf_dir, "deepnodes"), view(spark, sf_dir, "deepedges")
+
+
+D = with_views("deepnodes", "deepedges")
+_DEEP_CITED = f"""{D}, cited AS (SELECT gid, r, unnest([s1, s2]) AS step FROM deepnodes WHERE id LIKE 'e%'),
+told AS (SELECT DISTINCT d.gid, d.id, c.step FROM deepnodes d JOIN cited c ON c.gid = d.gid AND c.r >= d.r WHERE d.id LIKE 'd%' UNION ALL SELECT d.gid, d.id, c.step FROM deepnodes d JOIN cited c ON c.gid = d.gid AND c.r = d.r WHERE d.id LIKE 'e%')"""
+
+
+def _deep_cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All nodes of the chains as origins, with the steps that they cite."""
+    nodes, edges = deep(spark, sf_dir)
+    nodes = nodes.withColumn("step_numbers", F.array_sort(F.array_distinct(F.filter(F.array("s1", "s2"), lambda s: s >= 0))))
+    return nodes, nodes, edges
+
+
+register("max_cited_step_deep", f"{_DEEP_CITED} SELECT n.gid, n.id, coalesce(max(t.step), -1)::INT AS max_step FROM deepnodes n LEFT JOIN told t USING (gid, id) GROUP BY n.gid, n.id")(lambda s, d: graphs.max_cited_step(*_deep_cited(s, d)))
+register("cited_steps_deep", f"""{_DEEP_CITED} SELECT n.gid, n.id, count(DISTINCT t.step) AS n, coalesce(sum(DISTINCT t.step), 0)::BIGINT AS total, coalesce(array_to_string(list_sort(list(DISTINCT t.step) FILTER (WHERE t.step IS NOT NULL))[:5], ','), '') AS first_steps
+FROM deepnodes n LEFT JOIN told t USING (gid, id) GROUP BY n.gid, n.id""")(
+    lambda s, d: graphs.cited_steps(*_deep_cited(s, d)).select("gid", "id", F.size("steps").cast("long").alias("n"), F.aggregate("steps", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_join(F.slice(F.col("steps").cast("array<string>"), 1, 5), ",").alias("first_steps"))
+)
 register("predecessor_levels", f"""{G}, reach AS (
   SELECT gid, id AS origin, id, 0 AS depth FROM gnodes WHERE id LIKE 'c%'
   UNION ALL SELECT e.gid, r.origin, e.source, r.depth + 1 FROM gedges e JOIN reach r ON r.id = e.target
@@ -300,6 +322,40 @@ def _class_sql(values: Sequence[float]) -> str:
 
 register("agg_bp_v1", _bp_sql(("1 - n.confidence", "n.confidence")))(lambda s, d: propagate.belief_propagation(*trees(s, d), 1).select(*NODE))
 register("agg_bp_v2", _bp_sql((_class_sql(propagate.GIVEN_FALSE), _class_sql(propagate.GIVEN_TRUE))))(lambda s, d: propagate.belief_propagation(*trees(s, d), 2).select(*NODE))
+
+
+#: Goals of the chains with the confidence of their own leaf, walked from the deepest goal up.
+_UP = "own AS (SELECT d.gid, d.r, d.confidence, d.confidence_in_children AS w, l.confidence AS leaf, lead(d.r) OVER (PARTITION BY d.gid ORDER BY d.r) AS below FROM deepnodes d JOIN deepnodes l ON l.gid = d.gid AND l.r = d.r AND l.id LIKE 'l%' WHERE d.id LIKE 'd%')"
+
+
+def _deep_sql(last: str, more: str) -> str:
+    return f"""{D}, {_UP}, up_ AS (SELECT gid, r, {last} AS v FROM own WHERE below IS NULL UNION ALL SELECT o.gid, o.r, {more} FROM own o JOIN up_ u ON u.gid = o.gid AND u.r = o.below)
+SELECT gid, concat('d', CAST(r AS VARCHAR)) AS id, round(v, 6) AS confidence FROM up_ UNION ALL SELECT gid, id, round(confidence, 6) FROM deepnodes WHERE id LIKE 'l%'"""
+
+
+def _goals(df: DataFrame) -> DataFrame:
+    return df.where("kind = 'GSNGoalNode'").select(*NODE)
+
+
+for _name, _method, _last, _more in (
+    ("agg_product_deep", "product", "leaf", "o.leaf * u.v"),
+    ("agg_mean_deep", "arithmetic_mean", "leaf", "(o.leaf + u.v) / 2"),
+    ("agg_gmean_deep", "geometric_mean", "leaf", "sqrt(o.leaf * u.v)"),
+    ("agg_min_deep", "minimum", "leaf", "least(o.leaf, u.v)"),
+    ("agg_union_bound_deep", "union_bound", "leaf", "greatest(CAST(0 AS DOUBLE), o.leaf + u.v - 1)"),
+):
+    register(_name, _deep_sql(_last, _more))(lambda s, d, m=_method: _goals(propagate.aggregate(*deep(s, d), m)))
+register("agg_interp_deep", _deep_sql("w * leaf + (1 - w) * confidence", "o.w * o.leaf * u.v + (1 - o.w) * o.confidence"))(lambda s, d: _goals(propagate.product_interpolated(*deep(s, d))))
+register("agg_bp_deep", f"""{D}, {_UP}, up_ AS (SELECT gid, r, leaf AS v, leaf, below, CAST(1 AS DOUBLE) AS others FROM own WHERE below IS NULL
+  UNION ALL SELECT o.gid, o.r, o.leaf * u.v / (o.leaf * u.v + (1 - o.leaf * u.v) / 3), o.leaf, o.below, CAST(3 AS DOUBLE) FROM own o JOIN up_ u ON u.gid = o.gid AND u.r = o.below),
+down_ AS (SELECT gid, r, CAST(0.5 AS DOUBLE) AS d FROM up_ WHERE r = 1
+  UNION ALL SELECT c.gid, c.r, (p.d * o.leaf + (1 - p.d) / o.others * (1 - o.leaf)) / (p.d * o.leaf + (1 - p.d) / o.others * (1 - o.leaf) + (1 - p.d) / o.others) FROM down_ p JOIN up_ o ON o.gid = p.gid AND o.r = p.r JOIN up_ c ON c.gid = o.gid AND c.r = o.below),
+leafy AS (SELECT o.gid, o.r, o.leaf AS u, o.others, d.d, coalesce(c.v, 1) AS wo FROM up_ o JOIN down_ d USING (gid, r) LEFT JOIN up_ c ON c.gid = o.gid AND c.r = o.below),
+leaf_down AS (SELECT gid, r, u, (d * wo + (1 - d) / others * (1 - wo)) / (d * wo + (1 - d) / others * (1 - wo) + (1 - d) / others) AS d FROM leafy)
+SELECT gid, concat('d', CAST(r AS VARCHAR)) AS id, round(d * v / (d * v + (1 - d) * (1 - v)), 6) AS confidence FROM down_ JOIN up_ USING (gid, r)
+UNION ALL SELECT gid, concat('l', CAST(r AS VARCHAR)), round(d * u / (d * u + (1 - d) * (1 - u)), 6) FROM leaf_down""")(lambda s, d: _goals(propagate.belief_propagation(*deep(s, d), 1)))
+
+
 def _bad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "badedges")
 
@@ -395,11 +451,36 @@ register("aggregation_mse", f"""{T}, x AS (SELECT target AS id, relationship_typ
 SELECT n.gid, round(avg(pow(n.confidence - p, 2)) FILTER (WHERE r = 'decomposes_from'), 6) AS product_mse, round(avg(pow(n.confidence - g, 2)) FILTER (WHERE r = 'decomposes_from'), 6) AS geometric_mse, round(avg(pow(n.confidence - m, 2)) FILTER (WHERE r = 'decomposes_from'), 6) AS arithmetic_mse,
 round(avg(pow(n.confidence - m, 2)) FILTER (WHERE r = 'particularizes'), 6) AS particularization_mse, count(*) FILTER (WHERE r = 'decomposes_from') AS decompositions, count(*) FILTER (WHERE r = 'particularizes') AS particularizations
 FROM x JOIN gnodes n ON n.id = x.id GROUP BY n.gid""")(lambda s, d: quality.aggregation_mse(*trees(s, d), ["gid"]))
+def _sampled_sql(k: int) -> str:
+    return f"""{T}, kids AS (SELECT gid, target AS parent, source, row_number() OVER (PARTITION BY gid, target ORDER BY pos, source) - 1 AS at FROM te WHERE relationship_type = 'decomposes_from'),
+every AS (SELECT a.gid, a.parent, a.at AS i, b.at AS j, a.source AS id_a, b.source AS id_b, row_number() OVER (PARTITION BY a.gid ORDER BY a.parent, a.at, b.at) - 1 AS place, count(*) OVER (PARTITION BY a.gid) AS n FROM kids a JOIN kids b ON b.gid = a.gid AND b.parent = a.parent AND a.at < b.at),
+picked AS (SELECT DISTINCT gid, {permuted_sql("nth", "n", 42)} AS place FROM (SELECT DISTINCT gid, n FROM every) m, range({k}) AS r(nth) WHERE nth < n)
+SELECT e.gid, '{quality.SIBLINGS}' AS metric, e.parent, e.i::BIGINT AS i, e.j::BIGINT AS j, e.id_a, e.id_b, w.direction::INT AS direction FROM every e JOIN picked USING (gid, place), (VALUES (0), (1)) AS w(direction)"""
+
+
+register("sampled_siblings", _sampled_sql(100))(lambda s, d: quality.sampled_sibling_pairs(*_claims(s, d), 100).select("gid", "metric", "parent", "i", "j", "id_a", "id_b", "direction"))
 register("pair_counts", f"{_PAIRS} SELECT metric, count(*) AS pairs, count(*) FILTER (WHERE gid < 10) AS resumed, count(*) FILTER (WHERE gid >= 10) AS to_run FROM pairs GROUP BY metric")(
     lambda s, d: quality.pair_counts(quality.claim_pairs(*_claims(s, d)), view(s, d, "gnodes").where("gid < 10"))
 )
 
 
+# ---------------------------------------------------------------- samples
+
+
+def _placed_sql(places: str, more: str = "") -> str:
+    return f"WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord, (SELECT count(*) FROM documents) AS n FROM documents) SELECT doc_id, place::BIGINT AS place FROM (SELECT doc_id, n, {places} AS place FROM d) p {more}"
+
+
+def _drawn(spark: SparkSession, sf_dir: str, **wanted) -> DataFrame:
+    docs = view(spark, sf_dir, "documents").select("doc_id")
+    return drawn(docs, docs.count(), order="doc_id", **wanted).select("doc_id", F.col("_place").cast("long").alias("place"))
+
+
+register("shuffled_rows", _placed_sql(permuted_sql("ord", "n", 7)))(lambda s, d: _drawn(s, d, seed=7))
+register("sampled_rows", _placed_sql(permuted_sql("ord", "n", 7), "WHERE place < 150"))(lambda s, d: _drawn(s, d, seed=7, first=150))
+register("sampled_again", f"SELECT doc_id, place FROM (SELECT doc_id, {permuted_sql('place', 'n', 42)}::BIGINT AS place FROM ({_placed_sql(permuted_sql('ord', 'n', 7)).replace('SELECT doc_id, place::BIGINT AS place', 'SELECT doc_id, n, place::BIGINT AS place')}) q) z WHERE place < 150")(lambda s, d: _drawn(s, d, seed=7, again=150))
+
+
 # ---------------------------------------------------------------- trajectories
 
 V = with_views("steps")
@@ -568,6 +649,12 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("graph_edits", """SELECT o_custkey AS gid, CAST(o_orderkey AS VARCHAR) AS goal_name, 'r' || o_custkey AS target, CASE WHEN count(*) OVER (PARTITION BY o_custkey) > 1 THEN 'decomposes_from' ELSE 'particularizes' END AS relationship_type,
 row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS pos, CAST(0.75 AS DOUBLE) AS confidence_in_children FROM orders""")(_edited)
+#: Forty characters of every hundred of a log are a region.
+register("token_regions", f"""{V}, t AS (SELECT traj, idx, length(event_type) AS n, sum(length(event_type)) OVER (PARTITION BY traj ORDER BY idx) AS e FROM steps),
+r AS (SELECT traj, idx AS region, (idx - 1) * 25 + traj % 7 AS rs, (idx - 1) * 25 + traj % 7 + CASE WHEN idx % 9 = 0 THEN 700 WHEN idx % 5 = 0 THEN 0 ELSE 10 END AS re FROM steps)
+SELECT traj, region, count(*) AS tokens, sum(idx)::BIGINT AS places FROM t JOIN r USING (traj) WHERE e > rs AND e - n < re GROUP BY traj, region""")(
+    lambda s, d: trajectory.overlapping(trajectory.token_spans(view(s, d, "steps").select("traj", F.col("idx").alias("pos"), F.col("event_type").alias("token"))), view(s, d, "steps").selectExpr("traj", "idx as region", "(idx - 1) * 25 + traj % 7 as rs", "(idx - 1) * 25 + traj % 7 + case when idx % 9 = 0 then 700 when idx % 5 = 0 then 0 else 10 end as re")).groupBy("traj", "region").agg(F.count(F.lit(1)).alias("tokens"), F.sum("pos").cast("long").alias("places"))
+)
 register("token_spans", f"""{V}, t AS (SELECT traj, idx, length(event_type) AS n, sum(length(event_type)) OVER (PARTITION BY traj ORDER BY idx) AS e FROM steps)
 SELECT traj, count(*) AS tokens, sum(n)::BIGINT AS chars FROM t WHERE e > 20 AND e - n < 60 GROUP BY traj""")(
     lambda s, d: trajectory.overlapping(trajectory.token_spans(view(s, d, "steps").select("traj", F.col("idx").alias("pos"), F.col("event_type").alias("token"))), view(s, d, "steps").select("traj").distinct().select("traj", F.lit(0).alias("region"), F.lit(20).alias("rs"), F.lit(60).alias("re"))).groupBy("traj").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.length("token")).alias("chars"))

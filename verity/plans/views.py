@@ -49,6 +49,21 @@ UNION ALL SELECT c_nationkey, concat('o', CAST(o_orderkey AS STRING)), concat('n
 UNION ALL SELECT c_nationkey, concat('x', CAST(c_custkey AS STRING)), concat('y', CAST(c_custkey AS STRING)), 'particularizes' FROM {customer} WHERE c_custkey % 3 = 0
 UNION ALL SELECT c_nationkey, concat('z', CAST(c_custkey AS STRING)), concat('y', CAST(c_custkey AS STRING)), 'particularizes' FROM {customer} WHERE c_custkey % 6 = 0
 """
+#: Deep graphs: the orders of a nation as one chain of goals, each with a leaf and the next order below
+#: it (the last one with its leaf alone), and evidence that cites steps under every third.
+DEEPNODES = """
+SELECT gid, concat('d', CAST(r AS STRING)) AS id, 'GSNGoalNode' AS kind, CAST(40 + ok % 60 AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence, CAST(0.6 AS DOUBLE) AS confidence_in_children, CAST(-1 AS INT) AS s1, CAST(-1 AS INT) AS s2, CAST(r AS BIGINT) AS r FROM {chains}
+UNION ALL SELECT gid, concat('l', CAST(r AS STRING)), 'GSNGoalNode', CAST(9990000 + (ok * 37) % 10001 AS DOUBLE) / CAST(10007003 AS DOUBLE), CAST(-1 AS DOUBLE), CAST(-1 AS INT), CAST(-1 AS INT), CAST(r AS BIGINT) FROM {chains}
+UNION ALL SELECT gid, concat('e', CAST(r AS STRING)), 'EvidenceNodeV2', CAST(-1 AS DOUBLE), CAST(-1 AS DOUBLE), CAST((ok * 7919) % 40000 AS INT), CAST(ok % 61 AS INT), CAST(r AS BIGINT) FROM {chains} WHERE ok % 3 = 0
+"""
+DEEPEDGES = """
+SELECT gid, concat('d', CAST(r + 1 AS STRING)) AS source, concat('d', CAST(r AS STRING)) AS target, 'decomposes_from' AS relationship_type, CAST(r AS BIGINT) AS pos FROM {chains} WHERE r < n
+UNION ALL SELECT gid, concat('l', CAST(r AS STRING)), concat('d', CAST(r AS STRING)), 'decomposes_from', CAST(r AS BIGINT) FROM {chains}
+UNION ALL SELECT gid, concat('e', CAST(r AS STRING)), concat('d', CAST(r AS STRING)), 'supports', CAST(r AS BIGINT) FROM {chains} WHERE ok % 3 = 0
+"""
+CHAINS = """
+SELECT c_nationkey AS gid, o_orderkey AS ok, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+"""
 STEPS = """
 SELECT user_id AS traj, event_id, ts, event_type, value,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx,
@@ -76,7 +91,7 @@ CONV = """
 SELECT conv_id, turn, role, text, concat(text, {newline}, 'Confidence: ', CAST((conv_id * 17 + turn * 5) % 130 AS STRING), '%') AS response
 FROM {conversations}
 """
-TABLES = {"results": (RESULTS, ["orders"]), "results_runs": (RESULTS_RUNS, ["results"]), "gnodes": (GNODES, ["nation", "customer", "orders"]), "gedges": (GEDGES, ["customer", "orders"]), "enodes": (ENODES, ["gnodes", "orders", "customer"]), "eedges": (EEDGES, ["gedges", "orders", "customer"]), "badedges": (BADEDGES, ["gedges", "orders", "customer"]), "steps": (STEPS, ["events"]), "calls_broken": (CALLS_BROKEN, ["events"]), "calls": (CALLS, ["calls_broken"]), "conv": (CONV, ["conversations"])}
+TABLES = {"results": (RESULTS, ["orders"]), "results_runs": (RESULTS_RUNS, ["results"]), "gnodes": (GNODES, ["nation", "customer", "orders"]), "gedges": (GEDGES, ["customer", "orders"]), "enodes": (ENODES, ["gnodes", "orders", "customer"]), "eedges": (EEDGES, ["gedges", "orders", "customer"]), "badedges": (BADEDGES, ["gedges", "orders", "customer"]), "steps": (STEPS, ["events"]), "chains": (CHAINS, ["orders", "customer"]), "deepnodes": (DEEPNODES, ["chains"]), "deepedges": (DEEPEDGES, ["chains"]), "calls_broken": (CALLS_BROKEN, ["events"]), "calls": (CALLS, ["calls_broken"]), "conv": (CONV, ["conversations"])}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verity.functions.permute import permuted
 from verity.plans.tables import running
 
 EXECUTION = "instance_id STRING, patch STRING, FAIL_TO_PASS ARRAY<STRING>, PASS_TO_PASS ARRAY<STRING>, image_name STRING, repo STRING, model STRING, problem_statement STRING, instruction STRING, num_actions INT, conversation_archive_path STRING, benchmark_run_name STRING, model_pred_patch STRING, eval_report STRING, eval_test_output STRING, resolved BOOLEAN, benchmark STRING, trajectory_type STRING"
@@ -148,14 +149,31 @@ def numbered(df: DataFrame, order: str = "ord") -> DataFrame:
     return running(df, [], [order], {"_place": F.lit(1)}).withColumn("_at", F.col("_place") - 1).drop("_place", "_place_all")
 
 
-def shuffled(df: DataFrame, seed: int = 42, order: str = "ord") -> DataFrame:
-    """``df`` with ``_perm``, the place of each row in a seeded order: that of a hash of its ``order``
-    and the seed, at any size."""
-    return df.withColumn("_perm", F.xxhash64(F.lit(seed), F.col(order)))
+def shuffled(df: DataFrame, n: int, seed: int = 42, at: str = "_at") -> DataFrame:
+    """``df`` with ``_perm``, the place of each row in a seeded order, told from its 0-based place ``at``
+    of ``n`` alone: no row has to be sorted or moved. Every place is taken once."""
+    return df.withColumn("_perm", permuted(F.col(at), F.lit(n).cast("long"), seed))
 
 
-def sample(df: DataFrame, size: int, n: int, seed: int = 42, order: str = "ord") -> DataFrame:
-    """The first ``size`` rows of the seeded order; more than there are is an error."""
-    if size > n:
+def sample(df: DataFrame, size: int, n: int, seed: int = 42, at: str = "_at") -> DataFrame:
+    """The ``size`` rows that come first in the seeded order; more than there are is an error."""
+    if not 0 <= size <= n:
         raise ValueError(f"a sample of {size} from {n} rows")
-    return shuffled(df, seed, order).orderBy("_perm", order).limit(size).drop("_perm")
+    return shuffled(df, n, seed, at).where(F.col("_perm") < size)
+
+
+def drawn(df: DataFrame, n: int, shuffle: bool = True, seed: int = 42, first: int | None = None, again: int | None = None, order: str = "ord") -> DataFrame:
+    """Rows as a configuration asks for them, with ``_place``: in the order of ``order`` or shuffled by
+    ``seed``; of those the ``first`` ones, or (``again``) as many after one more shuffle by 42. Both, or
+    more rows than there are, is an error."""
+    if first is not None and again is not None:
+        raise ValueError("a sample and a second sample exclude each other")
+    for size in (first, again):
+        if size is not None and not 0 <= size <= n:
+            raise ValueError(f"a sample of {size} from {n} rows")
+    placed = numbered(df, order)
+    placed = shuffled(placed, n, seed).drop("_at").withColumnRenamed("_perm", "_place") if shuffle else placed.withColumnRenamed("_at", "_place")
+    if again is not None:
+        placed = shuffled(placed, n, 42, "_place").drop("_place").withColumnRenamed("_perm", "_place")
+    size = first if first is not None else again
+    return placed if size is None else placed.where(F.col("_place") < size)
