@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from datetime import UTC, datetime, timedelta
 
 from verity.plans.runner import stub_scorer
 from verity.streaming import snapshots as streams
@@ -61,3 +62,32 @@ def test_calls_without_an_end_are_given_up(spark, tmp_path):
     finally:
         query.stop()
     assert sorted((r["traj"], r["title"], r["status"]) for r in spark.table("given_up").collect()) == [("t", "Run", "unfinished"), ("u", "", "completed")]
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_sessions_of_calls_by_batches(spark, tmp_path):
+    kind = "traj string, tool_call_id string, idx long, title string, status string, ts timestamp"
+    at = lambda minute: datetime(2026, 1, 1, tzinfo=UTC) + timedelta(minutes=minute)
+    batches = [
+        [("t", "a", 0, "Run", "pending", at(0)), ("t", "b", 1, "Never", "pending", at(1)), ("t", "c", 2, "", "pending", at(1))],
+        [("t", "a", 0, "Run", "pending", at(0)), ("t", "a", 3, "", "completed", at(3)), ("t", "c", 4, "C", "failed", at(4))],  # the first is told twice
+        [("t", "a", 5, "Again", "pending", at(5)), ("u", "z", 0, "", "completed", at(60))],
+        [("u", "w", 0, "", "completed", at(61))],
+        [("t", "a", 6, "", "completed", at(6)), ("t", "d", 1, "late", "completed", at(7)), ("u", "y", 0, "", "completed", at(200))],  # beyond the watermark
+        [("u", "x", 0, "", "completed", at(400))],
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        got = sorted((r["traj"], r["tool_call_id"], r["title"], r["status"], r["snapshots"]) for r in drained(streams.call_sessions(source, 600_000, "10 minutes"), tmp_path))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert [g for g in got if g[0] == "t"] == [("t", "a", "Again", "unfinished", 1), ("t", "a", "Run", "completed", 2), ("t", "b", "Never", "unfinished", 1), ("t", "c", "C", "failed", 2)]
+    table = spark.createDataFrame([r for rows in batches[:3] for r in rows], kind)
+    plain = sorted((r["traj"], r["tool_call_id"], r["title"], r["status"], r["snapshots"]) for r in streams.call_sessions_of(table).collect())
+    assert [g for g in plain if g[0] == "t"] == [g for g in got if g[0] == "t"]

@@ -5,6 +5,7 @@ Both sides round doubles to six places, cast literals and name every column.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 from verity.functions import text as tx
 from verity.functions.permute import permuted_sql
 from verity.functions.scores import log_mean_exp, vote
-from verity.operators import audit, graph_edit, graphs, metrics, propagate, quality, reports, trajectory
+from verity.operators import acp, audit, graph_edit, graphs, metrics, propagate, quality, reports, trajectory
 from verity.operators.calibration import Calibration, calibrate, fit_temperature, resolve
 from verity.plans import runner
+from verity.plans.tables import shared_dir
 from verity.plans.views import view, with_views
+from verity.sources import loose
 from verity.sources.runs import drawn, parse_slice, row_slice
 from verity.streaming import snapshots
 
@@ -464,6 +467,55 @@ register("pair_counts", f"{_PAIRS} SELECT metric, count(*) AS pairs, count(*) FI
 )
 
 
+# ---------------------------------------------------------------- raw calls and loose documents
+
+_NAMED = "CASE WHEN json_exists(raw_input, '$.file_path') THEN CASE WHEN json_type(raw_input, '$.file_path') = 'VARCHAR' THEN raw_input ->> '$.file_path' END WHEN json_type(raw_input, '$.path') = 'VARCHAR' THEN raw_input ->> '$.path' END"
+register("file_operations", f"""{with_views("rawcalls")}, e AS (SELECT *, CASE event_id WHEN 1 THEN concat('/x/', CAST(idx AS VARCHAR)) WHEN 4 THEN '/w' END AS one_edit FROM (SELECT *, idx % 7 AS event_id FROM rawcalls) x),
+p AS (SELECT *, CASE WHEN json_type(raw_input) = 'OBJECT' THEN {_NAMED} END AS named, CASE WHEN json_type(raw_input) = 'OBJECT' AND json_type(raw_input, '$.changes') = 'OBJECT' AND len(json_keys(raw_input, '$.changes')) = 1 THEN json_keys(raw_input, '$.changes')[1] END AS changed FROM e),
+q AS (SELECT *, CASE WHEN call_kind IN ('read', 'edit') THEN coalesce(named, changed, one_edit) END AS file, json_type(raw_input) = 'OBJECT' AND json_exists(raw_input, '$.command') AS is_command FROM p)
+SELECT traj, idx, CASE WHEN file IS NOT NULL THEN CASE call_kind WHEN 'read' THEN 'view' ELSE 'edit' END END AS operation, file AS path, CASE WHEN call_kind IN ('read', 'edit') AND file IS NULL AND NOT coalesce(is_command, false) AND status <> 'failed' THEN '{acp.NO_PATH}' END AS problem,
+       CASE idx % 7 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 1 ELSE -1 END::INT AS edits FROM q""")(
+    lambda s, d: view(s, d, "rawcalls").withColumn("e", acp.file_edits(F.col("content"))).select("traj", "idx", acp.file_operation(F.col("call_kind"), F.col("raw_input"), F.col("e"), F.col("status")).alias("f"), F.coalesce(F.size("e"), F.lit(-1)).alias("edits")).select("traj", "idx", "f.*", "edits")
+)
+L = with_views("loose")
+_LISTED = """v AS (SELECT gid, CASE WHEN json_valid(doc) THEN doc END AS j FROM loose),
+n AS (SELECT gid, pos - 1 AS pos, json_extract(j, concat('$.nodes[', CAST(pos - 1 AS VARCHAR), ']')) AS item FROM (SELECT gid, j, unnest(range(1, 1 + CASE WHEN json_type(j, '$.nodes') = 'ARRAY' THEN CAST(json_array_length(j, '$.nodes') AS BIGINT) ELSE 0 END)) AS pos FROM v) x),
+e AS (SELECT gid, pos - 1 AS pos, json_extract(j, concat('$.edges[', CAST(pos - 1 AS VARCHAR), ']')) AS item FROM (SELECT gid, j, unnest(range(1, 1 + CASE WHEN json_type(j, '$.edges') = 'ARRAY' THEN CAST(json_array_length(j, '$.edges') AS BIGINT) ELSE 0 END)) AS pos FROM v) x),
+ids AS (SELECT gid, item ->> '$.id' AS id, count(*) AS n FROM n WHERE json_exists(item, '$.id') GROUP BY gid, item ->> '$.id')"""
+register("loose_problems", f"""{L}, {_LISTED}
+SELECT gid, 'no object' AS problem, '' AS detail FROM v WHERE coalesce(json_type(j), '') <> 'OBJECT'
+UNION ALL SELECT gid, 'no list', w FROM v, (VALUES ('nodes'), ('edges')) AS t(w) WHERE json_type(j) = 'OBJECT' AND coalesce(json_type(j, concat('$.', w)), '') <> 'ARRAY'
+UNION ALL SELECT gid, 'no object', concat('nodes ', CAST(pos AS VARCHAR)) FROM n WHERE json_type(item) <> 'OBJECT' UNION ALL SELECT gid, 'no object', concat('edges ', CAST(pos AS VARCHAR)) FROM e WHERE json_type(item) <> 'OBJECT'
+UNION ALL SELECT gid, 'missing field', concat('nodes ', CAST(pos AS VARCHAR), ' ', w) FROM n, (VALUES ('id'), ('kind')) AS t(w) WHERE json_type(item) = 'OBJECT' AND NOT json_exists(item, concat('$.', w))
+UNION ALL SELECT gid, 'missing field', concat('edges ', CAST(pos AS VARCHAR), ' ', w) FROM e, (VALUES ('source'), ('target'), ('relationship_type')) AS t(w) WHERE json_type(item) = 'OBJECT' AND NOT json_exists(item, concat('$.', w))
+UNION ALL SELECT gid, 'repeated id', id FROM ids WHERE n > 1
+UNION ALL SELECT e.gid, concat('unknown ', w), e.item ->> concat('$.', w) FROM e, (VALUES ('source'), ('target')) AS t(w) WHERE json_exists(e.item, concat('$.', w)) AND NOT EXISTS (SELECT 1 FROM ids WHERE ids.gid = e.gid AND ids.id = e.item ->> concat('$.', w))""")(
+    lambda s, d: loose.problems(loose.parsed(view(s, d, "loose")))
+)
+register("loose_nodes", f"""{L}, {_LISTED} SELECT gid, pos::INT AS pos, item ->> '$.id' AS id, item ->> '$.kind' AS kind, CAST(item ->> '$.weight' AS BIGINT) AS weight FROM n WHERE json_type(item) = 'OBJECT'""")(
+    lambda s, d: loose.loose_nodes(loose.parsed(view(s, d, "loose"))).select("gid", "pos", "id", "kind", F.try_variant_get("item", "$.weight", "bigint").alias("weight"))
+)
+register("loose_fields", f"""{L}, {_LISTED} SELECT 'nodes' AS list, field, count(*) AS n FROM (SELECT unnest(json_keys(item)) AS field FROM n WHERE json_type(item) = 'OBJECT') x WHERE field NOT IN ('id', 'kind') GROUP BY field
+UNION ALL SELECT 'edges', field, count(*) FROM (SELECT unnest(json_keys(item)) AS field FROM e WHERE json_type(item) = 'OBJECT') x WHERE field NOT IN ('source', 'target', 'relationship_type') GROUP BY field""")(lambda s, d: loose.unknown_fields(loose.parsed(view(s, d, "loose"))))
+
+
+# ---------------------------------------------------------------- cohorts
+
+
+def _cohort_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results scored in cohorts of a quarter each: those of no confidence go in the first phase, the
+    others are rescaled in the second."""
+    rows = view(spark, sf_dir, "results").select("ord", "estimated_confidence", "resolved")
+    size, path = max(1, -(-rows.count() // 4)), f"{shared_dir(spark)}/cohort-run-{uuid.uuid4().hex}"
+    phases = [("scored", lambda df: df.where("estimated_confidence > 0.25")), ("scaled", lambda df: df.where("resolved = 1").withColumn("estimated_confidence", F.col("estimated_confidence") / 2))]
+    runner.run_cohorts(rows, phases, size, path)
+    return runner.finished_phases(spark, path)
+
+
+register("cohort_phases", f"""{with_views("results")}, c AS (SELECT *, CAST((row_number() OVER (ORDER BY ord) - 1) // greatest(1, CAST(ceil((SELECT count(*) FROM results) / 4.0) AS BIGINT)) AS BIGINT) AS cohort FROM results)
+SELECT cohort, 'scored' AS phase, count(*) FILTER (WHERE estimated_confidence > 0.25) AS rows FROM c GROUP BY cohort UNION ALL SELECT cohort, 'scaled', count(*) FILTER (WHERE estimated_confidence > 0.25 AND resolved = 1) FROM c GROUP BY cohort""")(_cohort_run)
+
+
 # ---------------------------------------------------------------- samples
 
 
@@ -731,6 +783,11 @@ CASE WHEN type = 'user_message' OR type = 'agent_message' THEN text WHEN half =
 CASE WHEN type = 'tool_call' AND half = 0 THEN text END AS command, type = 'tool_call' AND half = 1 AND status = 'failed' AS is_error FROM p""")(
     lambda s, d: trajectory.acp_to_events(s.sql(f"SELECT {_ACP} FROM {{events}}", events=view(s, d, "events"))).select("traj", F.col("idx").cast("long").alias("idx"), "event_id", "parent_id", "kind", "tool_call_id", "tool_name", "text", "command", "is_error")
 )
+register("call_sessions", f"""{with_views("snapshots")}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY traj, tool_call_id, idx ORDER BY ts) AS again FROM snapshots) x WHERE again = 1),
+b AS (SELECT *, CASE WHEN lag(status) OVER w IS NULL OR lag(status) OVER w IN ('completed', 'failed') OR CAST(ts AS TIMESTAMP) - lag(CAST(ts AS TIMESTAMP)) OVER w > INTERVAL 2 DAY THEN 1 ELSE 0 END AS begins FROM f WINDOW w AS (PARTITION BY traj, tool_call_id ORDER BY idx)),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY traj, tool_call_id ORDER BY idx) AS session_ FROM b)
+SELECT traj, tool_call_id, coalesce(arg_max(title, idx) FILTER (WHERE title <> ''), '') AS title, CASE WHEN arg_max(status, idx) IN ('completed', 'failed') THEN arg_max(status, idx) ELSE 'unfinished' END AS status, count(*) AS snapshots, strftime(min(CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS begun, strftime(max(CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS ended
+FROM n GROUP BY traj, tool_call_id, session_""")(lambda s, d: snapshots.call_sessions_of(view(s, d, "snapshots"), 2 * 86_400_000).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("begun", "ended")}))
 register("event_windows", """SELECT strftime(time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2""")(
     lambda s, d: snapshots.event_windows(view(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "value")
 )

@@ -6,11 +6,12 @@ import traceback
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verity.operators.audit import key_difference
 from verity.plans.tables import cut
+from verity.sources.runs import numbered
 
 KEY = ("instance_id", "model")
 Scorer = Callable[[dict], dict]
@@ -90,3 +91,51 @@ def replay(dataset: DataFrame, other: DataFrame, key: Sequence[str] = KEY) -> Da
     if lost:
         raise ValueError(f"the other run lacks {lost}")
     return dataset.select(*key).join(other, list(key))
+
+
+Phase = tuple[str, Callable[[DataFrame], DataFrame]]
+
+
+def cohorts(rows: DataFrame, size: int, order: str = "ord") -> DataFrame:
+    """``rows`` with ``cohort``, from 0: each ``size`` rows in ``order``."""
+    if size < 1:
+        raise ValueError("a cohort has one row or more")
+    return numbered(rows, order).withColumn("cohort", F.floor(F.col("_at") / size).cast("long")).drop("_at")
+
+
+LEDGER = "cohort long, phase string, rows long"
+
+
+def finished_phases(spark: SparkSession, path: str) -> DataFrame:
+    """(cohort, phase, rows) of what ``run_cohorts`` has finished under ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ledger")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(LEDGER).parquet(f"{path}/ledger") if there else spark.createDataFrame([], LEDGER)
+
+
+def run_cohorts(rows: DataFrame, phases: Sequence[Phase], size: int, path: str, order: str = "ord") -> DataFrame:
+    """Runs each phase over a whole cohort before the next phase, and each cohort before the next one;
+    returns the rows of the last phase.
+
+    A phase takes the rows that the phase before has left and returns its own. Its rows are written,
+    then a line of the ledger says so; a run that was broken off goes on with the first phase that the
+    ledger lacks, whose half-written rows are written anew. ``size`` bounds what is open at a time, so
+    there are as many barriers as cohorts times phases.
+    """
+    spark = rows.sparkSession
+    placed = cut(cohorts(rows, size, order), "cohorts") if phases else None
+    done = {(r["cohort"], r["phase"]) for r in finished_phases(spark, path).collect()}  # a line a cohort and phase
+    n = (placed.agg(F.max("cohort")).first()[0] if phases else None) or 0
+    last = None
+    for cohort in range(n + 1):
+        at = placed.where(F.col("cohort") == cohort)
+        for name, phase in phases:
+            own = f"{path}/{name}/cohort={cohort}"
+            if (cohort, name) not in done:
+                left = phase(at)
+                left.drop("cohort").write.mode("overwrite").parquet(own)
+                told = spark.read.parquet(own).count()
+                spark.createDataFrame([(cohort, name, told)], LEDGER).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+            at = spark.read.parquet(own).withColumn("cohort", F.lit(cohort).cast("long"))
+        last = phases[-1][0]
+    return spark.read.option("basePath", f"{path}/{last}").parquet(f"{path}/{last}")

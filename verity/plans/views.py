@@ -1,6 +1,7 @@
 """Runs, graphs, steps and replies derived from the star-schema test tables.
 
-One SQL text per view serves Spark and DuckDB: both use the same whole-number arithmetic.
+One SQL text per view serves Spark and DuckDB: both use the same whole-number arithmetic. Braces of
+JSON are written << and >>.
 """
 
 from __future__ import annotations
@@ -64,6 +65,29 @@ UNION ALL SELECT gid, concat('e', CAST(r AS STRING)), concat('d', CAST(r AS STRI
 CHAINS = """
 SELECT c_nationkey AS gid, o_orderkey AS ok, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 """
+#: Tool calls with raw inputs and content blocks of every form, right and wrong.
+RAWCALLS = """
+SELECT user_id AS traj, event_id AS idx, concat('c', CAST(event_id AS STRING)) AS tool_call_id, CASE WHEN event_id % 4 = 0 THEN 'failed' ELSE 'completed' END AS status, event_type AS title,
+       CASE event_id % 5 WHEN 0 THEN 'execute' WHEN 1 THEN 'read' WHEN 2 THEN 'read' ELSE 'edit' END AS call_kind,
+       CASE event_id % 11 WHEN 0 THEN concat('<<"file_path":"/a/', CAST(event_id AS STRING), '">>') WHEN 1 THEN concat('<<"path":"/b/', CAST(event_id AS STRING), '">>') WHEN 2 THEN '<<"file_path":7,"path":"/c">>' WHEN 3 THEN concat('<<"changes":<<"/d/', CAST(event_id AS STRING), '":<<"x":1>>>>>>')
+         WHEN 4 THEN '<<"changes":<<"/e":1,"/f":2>>>>' WHEN 5 THEN '<<"command":"ls">>' WHEN 7 THEN '[1,2]' WHEN 8 THEN '<<>>' WHEN 9 THEN '<<"changes":<<"/g":1>>,"path":5>>' WHEN 10 THEN '<<"file_path":null,"path":"/h">>' END AS raw_input,
+       CASE event_id % 7 WHEN 0 THEN '[]' WHEN 1 THEN concat('[<<"type":"diff","path":"/x/', CAST(event_id AS STRING), '","new_text":"n">>]') WHEN 2 THEN '[<<"type":"diff","path":"/y","new_text":"n">>,<<"type":"diff","path":"/z","old_text":"o","new_text":"n">>]'
+         WHEN 3 THEN '[<<"type":"content","content":<<"type":"text","text":"t">>>>]' WHEN 4 THEN '[<<"type":"diff","path":"/w","old_text":null,"new_text":"n">>]' WHEN 5 THEN '[<<"type":"diff","path":"/v","old_text":3,"new_text":"n">>]' END AS content
+FROM {events}
+"""
+#: Graph documents, most of them with something wrong.
+LOOSE = """
+SELECT o_orderkey AS gid, CASE o_orderkey % 13 WHEN 11 THEN '[1]' WHEN 12 THEN 'no json <<' ELSE concat('<<"note":', CAST(o_orderkey AS STRING), CASE o_orderkey % 13 WHEN 1 THEN '' WHEN 2 THEN ',"nodes":<<"id":"a">>' ELSE concat(',"nodes":[<<"id":"a","kind":"GSNGoalNode","weight":', CAST(o_custkey AS STRING), '>>,',
+    CASE o_orderkey % 13 WHEN 3 THEN '<<"kind":"GSNGoalNode">>' WHEN 4 THEN '<<"id":"b">>' WHEN 5 THEN '<<"id":"a","kind":"EvidenceNodeV2","steps":[1]>>' WHEN 10 THEN '17' ELSE '<<"id":"b","kind":"EvidenceNodeV2","steps":[1,2]>>' END, ']') END,
+    CASE o_orderkey % 13 WHEN 9 THEN '' ELSE concat(',"edges":[<<"source":"', CASE o_orderkey % 13 WHEN 7 THEN 'q' ELSE 'b' END, '","target":"', CASE o_orderkey % 13 WHEN 8 THEN 'r' ELSE 'a' END, '"', CASE o_orderkey % 13 WHEN 6 THEN '' ELSE ',"relationship_type":"supports"' END, '>>]') END, '>>') END AS doc
+FROM {orders}
+"""
+#: Snapshots of calls that may begin anew, be told twice, or never end.
+SNAPSHOTS = """
+SELECT user_id AS traj, concat(event_type, CAST(event_id % 2 AS STRING)) AS tool_call_id, CAST(event_id - event_id % 10 + CASE WHEN event_id % 10 = 9 THEN 8 ELSE event_id % 10 END AS BIGINT) AS idx, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('title ', CAST(event_id AS STRING)) END AS title,
+       CASE event_id % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'pending' END AS status, ts
+FROM {events}
+"""
 STEPS = """
 SELECT user_id AS traj, event_id, ts, event_type, value,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx,
@@ -91,7 +115,7 @@ CONV = """
 SELECT conv_id, turn, role, text, concat(text, {newline}, 'Confidence: ', CAST((conv_id * 17 + turn * 5) % 130 AS STRING), '%') AS response
 FROM {conversations}
 """
-TABLES = {"results": (RESULTS, ["orders"]), "results_runs": (RESULTS_RUNS, ["results"]), "gnodes": (GNODES, ["nation", "customer", "orders"]), "gedges": (GEDGES, ["customer", "orders"]), "enodes": (ENODES, ["gnodes", "orders", "customer"]), "eedges": (EEDGES, ["gedges", "orders", "customer"]), "badedges": (BADEDGES, ["gedges", "orders", "customer"]), "steps": (STEPS, ["events"]), "chains": (CHAINS, ["orders", "customer"]), "deepnodes": (DEEPNODES, ["chains"]), "deepedges": (DEEPEDGES, ["chains"]), "calls_broken": (CALLS_BROKEN, ["events"]), "calls": (CALLS, ["calls_broken"]), "conv": (CONV, ["conversations"])}
+TABLES = {"results": (RESULTS, ["orders"]), "results_runs": (RESULTS_RUNS, ["results"]), "gnodes": (GNODES, ["nation", "customer", "orders"]), "gedges": (GEDGES, ["customer", "orders"]), "enodes": (ENODES, ["gnodes", "orders", "customer"]), "eedges": (EEDGES, ["gedges", "orders", "customer"]), "badedges": (BADEDGES, ["gedges", "orders", "customer"]), "steps": (STEPS, ["events"]), "rawcalls": (RAWCALLS, ["events"]), "loose": (LOOSE, ["orders"]), "snapshots": (SNAPSHOTS, ["events"]), "chains": (CHAINS, ["orders", "customer"]), "deepnodes": (DEEPNODES, ["chains"]), "deepedges": (DEEPEDGES, ["chains"]), "calls_broken": (CALLS_BROKEN, ["events"]), "calls": (CALLS, ["calls_broken"]), "conv": (CONV, ["conversations"])}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +123,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         return table(spark, sf_dir, name)
     text, needs = TABLES[name]
-    return spark.sql(text.replace("{newline}", "char(10)"), **{n: view(spark, sf_dir, n) for n in needs})
+    text = text.replace("{newline}", "char(10)").replace("<<", "{{").replace(">>", "}}")  # braces of JSON
+    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in needs})
 
 
 def with_views(*names: str) -> str:
@@ -113,7 +138,7 @@ def with_views(*names: str) -> str:
                 add(n)
             for n in needs:
                 text = text.replace("{" + n + "}", n)
-            parts[name] = text.replace("{newline}", "chr(10)")
+            parts[name] = text.replace("{newline}", "chr(10)").replace("<<", "{").replace(">>", "}")
 
     for name in names:
         add(name)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from verity.plans.runner import Scorer, score
@@ -48,6 +48,85 @@ def finished_calls(snapshots: DataFrame, idle_ms: int | None = None) -> DataFram
     return snapshots.groupBy("traj", "tool_call_id").applyInPandasWithState(step, CALL, "title string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
+SESSION = "traj string, tool_call_id string, title string, status string, snapshots long, begun timestamp, ended timestamp"
+UNFINISHED = "unfinished"
+
+
+class CallSessions(StatefulProcessor):
+    """State of one call: its open session, and the greatest place that was seen. A timer in event time
+    gives a session up that hears nothing for ``idle_ms``, and forgets the call when it has ended."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.call = handle.getValueState("call", "title string, n long, begun timestamp, ended timestamp, last long")
+
+    def _given_up(self, key: tuple, state: tuple) -> tuple:
+        return (*key, state[0], UNFINISHED, state[1], state[2], state[3])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        title, n, begun, ended, last = self.call.get() if self.call.exists() else ("", 0, None, None, None)
+        done = []
+        for one in pd.concat(list(rows)).sort_values(["idx", "ts"]).itertuples():
+            if last is not None and one.idx <= last:
+                continue  # told before
+            at = one.ts.to_pydatetime()
+            if n and (at - ended).total_seconds() * 1000 > self.idle_ms:
+                done.append(self._given_up(key, (title, n, begun, ended)))
+                title, n, begun = "", 0, None
+            title, n, begun, ended, last = one.title or title, n + 1, begun or at, at, one.idx
+            if one.status in TERMINAL:
+                done.append((*key, title, one.status, n, begun, ended))
+                title, n, begun = "", 0, None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.call.update((title, n, begun, ended, last))
+        self.handle.registerTimer(int(ended.timestamp() * 1000) + self.idle_ms)
+        yield self._frame(done)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        state = self.call.get()
+        self.call.clear()
+        yield self._frame([self._given_up(key, state)] if state[1] else [])
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in SESSION.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def call_sessions(snapshots: DataFrame, idle_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
+    """One row per session of a call, as it ends: title, status, snapshots, begun, ended. ``snapshots``:
+    traj, tool_call_id, idx, title, status, ts.
+
+    A session goes from a call's first snapshot to its terminal one, or is ``unfinished`` after
+    ``idle_ms`` without one; later snapshots begin the next session. A snapshot whose place was seen is
+    a repetition and not counted; what comes after the watermark (``late``) is dropped. The state of a
+    call is one row, and goes when its timer ends. The stream needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``). ``call_sessions_of`` has the same of a table.
+    """
+    timed = snapshots.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy("traj", "tool_call_id").transformWithStateInPandas(CallSessions(idle_ms), outputStructType=SESSION, outputMode="append", timeMode="eventTime")
+
+
+def call_sessions_of(snapshots: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+    """The sessions of ``call_sessions`` in a table of snapshots that is complete."""
+    own = Window.partitionBy("traj", "tool_call_id")
+    fresh = snapshots.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_again", F.row_number().over(Window.partitionBy("traj", "tool_call_id", "idx").orderBy("ts"))).where("_again = 1")
+    order = own.orderBy("idx")
+    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) > idle_ms * 1000
+    begins = F.coalesce(F.lag("status").over(order).isin(*TERMINAL), F.lit(True)) | F.coalesce(gap, F.lit(False))
+    numbered = fresh.withColumn("_begins", begins.cast("int")).withColumn("_session", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    newest = F.max_by(F.nullif("title", F.lit("")), F.when(F.coalesce("title", F.lit("")) != "", F.col("idx")))
+    last = F.max_by("status", "idx")
+    told = numbered.groupBy("traj", "tool_call_id", "_session").agg(F.coalesce(newest, F.lit("")).alias("title"), F.when(last.isin(*TERMINAL), last).otherwise(UNFINISHED).alias("status"), F.count(F.lit(1)).alias("snapshots"), F.min_by("ts", "idx").alias("begun"), F.max_by("ts", "idx").alias("ended"))
+    return told.drop("_session")
+
+
 def event_windows(events: DataFrame, size: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and values of events by type in tumbling windows, closed by a watermark."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
