@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from verity.functions import permute, scores, text
 from verity.functions.summaries import observation_summary
-from verity.operators import audit, calibration, contract, graph_edit, graphs, metrics, propagate, quality, reports, trajectory
+from verity.operators import acp, audit, calibration, contract, graph_edit, graphs, metrics, propagate, quality, reports, trajectory
 from verity.plans import runner, tables
 from verity.sources import runs as sources
 
@@ -772,3 +772,75 @@ def test_closures_above_cycles_and_of_shared_nodes(spark):
     want = {k: sorted({x for m in v for x in steps[m] or []}) for k, v in below.items()}
     assert {r["id"]: r["steps"] for r in graphs.cited_steps(n, n, e).collect()} == want
     assert {r["id"]: r["max_step"] for r in graphs.max_cited_step(n, n, e).collect()} == {k: max(v, default=-1) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_ranks_over_many_parts(spark, parts):
+    """Groups of one confidence over several parts, null keys, and keys within one part, against a plain walk."""
+    rows = [("a" if i % 3 else None, (i * 7) % 5 / 5 if i % 2 else 0.5, float(i % 4 == 0), i) for i in range(240)] + [("b", 0.5, float(i % 2), i) for i in range(90)] + [("c", 0.1, 1.0, 0)]
+    df = spark.createDataFrame(rows, "run string, estimated_confidence double, resolved double, ord int")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        with tables.Scratch(spark) as scratch:
+            got = sorted(((r["run"], r["_ord"], r["_n"], r["_below"], r["_above"], r["_i"], r["_hits"], r["_won"], r["_under"], r["_level"]) for r in metrics.ranked(df, ["run"], "estimated_confidence", "resolved", "ord", scratch).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = []
+    for run in (None, "a", "b", "c"):
+        own = sorted((c, o, y) for r, c, y, o in rows if r == run)
+        for c, o, y in own:
+            same, below, above = [(p, v) for d, p, v in own if d == c], [v for d, _, v in own if d < c], [v for d, _, v in own if d > c]
+            want.append((run, o, len(own), len(below), len(above), sum(p <= o for p, _ in same), sum(v for p, v in same if p <= o), sum(above), len(below) - sum(below), len(same) - sum(v for _, v in same)))
+    assert got == sorted(want, key=str)
+
+
+# ---------------------------------------------------------------- raw tool calls
+
+
+def test_file_edits_and_paths(spark):
+    rows = [
+        ("one", '[{"type":"diff","path":"/a","old_text":null,"new_text":"n"}]', [("/a", None, "n")]),
+        ("two", '[{"type":"diff","path":"/a","old_text":"o","new_text":"n"},{"type":"diff","path":"/b","new_text":""}]', [("/a", "o", "n"), ("/b", None, "")]),
+        ("mixed", '[{"type":"diff","path":"/a","new_text":"n"},{"type":"content"}]', None),
+        ("number", '[{"type":"diff","path":7,"new_text":"n"}]', None), ("old", '[{"type":"diff","path":"/a","old_text":1,"new_text":"n"}]', None),
+        ("bare", "[]", None), ("null", None, None), ("odd", '[1]', None), ("object", '{"type":"diff"}', None),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "k string, content string").withColumn("e", acp.file_edits(F.col("content")))
+    assert {r["k"]: [tuple(e) for e in r["e"]] if r["e"] is not None else None for r in df.collect()} == {k: want for k, _, want in rows}
+    asked = [
+        ("edit", '{"file_path":"/f","path":"/p"}', None, "completed", ("edit", "/f", None)), ("read", '{"path":"/p"}', None, "completed", ("view", "/p", None)),
+        ("edit", '{"file_path":null,"path":"/p"}', None, "completed", (None, None, acp.NO_PATH)), ("edit", '{"changes":{"/c":1}}', None, "completed", ("edit", "/c", None)),
+        ("edit", '{"changes":{"/c":1,"/d":2}}', rows[0][1], "completed", ("edit", "/a", None)), ("edit", "[]", rows[1][1], "completed", (None, None, acp.NO_PATH)),
+        ("edit", "[]", rows[1][1], "failed", (None, None, None)), ("read", '{"command":null}', None, "completed", (None, None, None)), ("execute", '{"path":"/p"}', None, "completed", (None, None, None)), ("read", None, rows[0][1], "completed", ("view", "/a", None)),
+    ]
+    calls = spark.createDataFrame([r[:4] for r in asked], "k string, i string, c string, s string")
+    got = calls.select(acp.file_operation(F.col("k"), F.col("i"), acp.file_edits(F.col("c")), F.col("s")).alias("f")).collect()
+    assert [tuple(r["f"]) for r in got] == [r[4] for r in asked]
+
+
+def test_raw_calls_are_condensed(spark):
+    kind = "traj string, idx int, tool_call_id string, call_kind string, title string, status string, raw_input string, raw_output string, content string"
+    diff = '[{"type":"diff","path":"/x","old_text":"a\\nb","new_text":"a\\nc"}]'
+    rows = [
+        ("t", 0, "c1", "execute", "Run", "pending", '{"command":"ls","call_id":"9","description":"List"}', None, None),
+        ("t", 1, "c2", "edit", "Edit", "pending", '{"path":"/x"}', None, None),
+        ("t", 2, "c1", None, None, "running", None, None, None),
+        ("t", 3, "c1", None, None, "completed", None, '{"formatted_output":"out","exit_code":0}', None),
+        ("t", 4, "c2", None, None, "completed", None, None, diff),
+        ("t", 5, "c3", "fetch", "Look", "completed", "{}", None, None),
+    ]
+    calls = spark.createDataFrame(rows, kind)
+    cited = spark.createDataFrame([("t", 3)], "traj string, step int")
+    got = {r["idx"]: r["summary"] for r in acp.condense_raw_calls(calls, cited).collect()}
+    assert sorted(got) == [0, 1, 3, 4, 5] and got[5] is None  # the cited call stays, the snapshot between goes
+    assert got[0] == "<summarized_action step=1>\nList\n</summarized_action>" and got[1] == "<summarized_action step=2>\nedit edit: /x\n</summarized_action>"
+    assert got[3] == "<summarized_observation step=1>\nTool: execute\nStatus: completed\nOutput:\nout\n</summarized_observation>"
+    assert got[4].startswith("<summarized_observation step=2>\nTool: edit\nOperation: edit\nPath: /x\nStatus: success\nChanged lines: ")
+    outputs = {r["tool_call_id"]: (r["output"], r["shown_input"]) for r in acp.calls_of(calls).collect()}
+    assert outputs["c1"][0] == "out" and json.loads(outputs["c1"][1]) == {"command": "ls", "summary": "List"} and outputs["c3"][0] == text.WEB_NOTE
+    lost = spark.createDataFrame([("t", 0, "c", "execute", "Run", "completed", "{}", None, None)], kind)
+    with pytest.raises(PySparkException, match="no output"):
+        acp.calls_of(lost).collect()
+    nameless = spark.createDataFrame([("t", 0, "c", "read", "Read", "completed", "{}", '"x"', None)], kind)
+    with pytest.raises(PySparkException, match=acp.NO_PATH):
+        acp.calls_of(nameless).collect()

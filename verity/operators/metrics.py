@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verity.functions.scores import EPSILON, bin_index
-from verity.plans.tables import eq_join, running
+from verity.plans.tables import Scratch, cut, eq_join, running
 
 NAN = float("nan")
 METRICS = ["n", "auroc", "auarc", "beh_align_score", "ece", "adaptive_ece", "brier", "brier_skill", "nll", "mean_confidence", "std_confidence", "mean_accuracy"]
@@ -19,29 +19,56 @@ def _base(df: DataFrame, keys: Sequence[str], confidence: str, label: str, order
     return df.select(*named, F.col(confidence).cast("double").alias("_c"), F.col(label).cast("double").alias("_y"), F.col(order).alias("_ord")).where("_c is not null and _y is not null")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], confidence: str, label: str, order: str) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], confidence: str, label: str, order: str, scratch: Scratch) -> DataFrame:
     """Each row with its place from the top and from the bottom (ties by input order), the hits so far,
     and the misses below it and level with it.
 
-    Places come from running sums over the rows sorted by (key, confidence, order), those of a group of
-    one confidence from its totals: no task holds a run or such a group.
+    Rows are sorted by range of (key, confidence, order), so a key or a group of one confidence may lie
+    in many parts and no task holds more than its part. Sums run within the parts; a part adds the sums
+    of the parts before it, and for its first and its last group, which alone go on in other parts, what
+    those have of them. That is a row for each key and part, which meets the sorted rows where they are:
+    nothing is joined by confidence.
     """
-    base = _base(df, keys, confidence, label, order)
-    placed = running(base, keys, ["_c", "_ord"], {"_rank": F.lit(1), "_upto": F.col("_y")})
-    groups = placed.groupBy(*keys, "_c").agg((F.min("_rank") - 1).alias("_below"), F.count(F.lit(1)).alias("_m"), F.sum("_y").alias("_p"), F.min(F.col("_upto") - F.col("_y")).alias("_lost"))
-    joined = eq_join(placed, groups, [*keys, "_c"])
-    return joined.select(
-        *keys, "_c", "_y", "_ord", "_below",
-        F.col("_rank_all").alias("_n"),
-        (F.col("_rank_all") - F.col("_below") - F.col("_m")).alias("_above"),
-        (F.col("_upto_all") - F.col("_lost") - F.col("_p")).alias("_won"),
-        (F.col("_rank") - F.col("_below")).alias("_i"),
-        (F.col("_upto") - F.col("_lost")).alias("_hits"),
+    k = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))  # one column, in which nulls are equal
+    base = _base(df, keys, confidence, label, order).withColumn("_k", k)
+    ranged = base.repartitionByRange("_k", "_c", "_ord").sortWithinPartitions("_k", "_c", "_ord")
+    rows = scratch.cut(ranged.select("_k", "_c", "_y", "_ord", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "ranked")
+    inside, group = Window.partitionBy("_k", "_part").orderBy("_c", "_ord", "_at").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_k", "_part", "_c")
+    within = rows.select("*", F.count(F.lit(1)).over(inside).alias("_r"), F.sum("_y").over(inside).alias("_u"))
+    within = within.select("*", F.count(F.lit(1)).over(group).alias("_gm"), F.sum("_y").over(group).alias("_gp"), F.min("_r").over(group).alias("_gr"), F.min(F.col("_u") - F.col("_y")).over(group).alias("_gu"))
+    ends = rows.groupBy("_k", "_part").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"), F.min("_c").alias("low"), F.max("_c").alias("high"))
+    ends = scratch.cut(ends, "ranked-parts")
+    edge = rows.join(ends.select("_k", "_part", "low", "high"), ["_k", "_part"]).where((F.col("_c") == F.col("low")) | (F.col("_c") == F.col("high")))
+    edge = edge.groupBy("_k", "_part", "_c").agg(F.count(F.lit(1)).alias("m"), F.sum("_y").alias("p"))
+    same = Window.partitionBy("_k", "_c")
+    earlier = same.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    edge = edge.select("_k", "_part", F.struct("_c", F.sum("m").over(same).alias("m"), F.sum("p").over(same).alias("p"), zero(F.sum("m").over(earlier)).alias("im"), zero(F.sum("p").over(earlier)).alias("ip")).alias("e"))
+    edge = edge.groupBy("_k", "_part").agg(F.min("e").alias("first"), F.max("e").alias("last"))
+    all_parts = Window.partitionBy("_k")
+    before = all_parts.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = ends.select("_k", "_part", zero(F.sum("n").over(before)).alias("bn"), zero(F.sum("s").over(before)).alias("bs"), F.sum("n").over(all_parts).alias("_n"), F.sum("s").over(all_parts).alias("_s")).join(edge, ["_k", "_part"])
+    both = within.join(moved, ["_k", "_part"])
+    border = F.when(F.col("_c") == F.col("first._c"), F.col("first")).when(F.col("_c") == F.col("last._c"), F.col("last"))
+    told = both.withColumn("_e", border)
+    m, p = F.coalesce("_e.m", "_gm"), F.coalesce("_e.p", "_gp")
+    i, hits = zero(F.col("_e.im")) + F.col("_r") - F.col("_gr") + 1, zero(F.col("_e.ip")) + F.col("_u") - F.col("_gu")
+    placed = told.select(*[F.col(f"_k.{c}").alias(c) for c in keys], "_c", "_y", "_ord", "_n", "_s", i.alias("_i"), hits.alias("_hits"), m.alias("_m"), p.alias("_p"), (F.col("bn") + F.col("_r") - i).alias("_below"), (F.col("bs") + F.col("_u") - hits).alias("_lost"))
+    return placed.select(
+        *keys, "_c", "_y", "_ord", "_below", "_n", "_i", "_hits",
+        (F.col("_n") - F.col("_below") - F.col("_m")).alias("_above"),
+        (F.col("_s") - F.col("_lost") - F.col("_p")).alias("_won"),
         (F.col("_below") - F.col("_lost")).alias("_under"),
         (F.col("_m") - F.col("_p")).alias("_level"),
     )
 
 
+def _from_ranks(df: DataFrame, keys: Sequence[str], confidence: str, label: str, order: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What is made of the ranked rows, a small table; the sorted rows are deleted."""
+    with Scratch(df.sparkSession) as scratch:
+        return cut(made(ranked(df, keys, confidence, label, order, scratch)), "metrics")
+
+
 def _auroc(won: Column, hits: Column, n: Column) -> Column:
     total = hits * (n - hits)
     return F.when(total > 0, won / total).otherwise(F.lit(NAN))
@@ -59,8 +86,7 @@ def auroc(df: DataFrame, keys: Sequence[str], confidence: str = "estimated_confi
 
 def auarc(df: DataFrame, keys: Sequence[str], confidence: str = "estimated_confidence", label: str = "resolved", order: str = "ord") -> DataFrame:
     """Trapezoids under accuracy against coverage, over n; one row gives 0."""
-    rows = ranked(df, keys, confidence, label, order)
-    return rows.withColumn("_acc", _accuracy()).groupBy(*keys).agg(_auarc().alias("auarc"))
+    return _from_ranks(df, keys, confidence, label, order, lambda rows: rows.withColumn("_acc", _accuracy()).groupBy(*keys).agg(_auarc().alias("auarc")))
 
 
 def _accuracy() -> Column:
@@ -123,19 +149,25 @@ def chunk_index(rank: Column, n: Column, k: int) -> Column:
 
 def adaptive_calibration_error(df: DataFrame, keys: Sequence[str], bins: int = 10, confidence: str = "estimated_confidence", label: str = "resolved", order: str = "ord", name: str = "adaptive_ece") -> DataFrame:
     """Equal-count chunks in order of confidence, ties in input order; empty chunks do not count."""
-    rows = ranked(df, keys, confidence, label, order)
     chunk = chunk_index(F.col("_below") + F.col("_i") - 1, F.col("_n"), bins)
-    by_chunk = rows.groupBy(*keys, chunk.alias("_chunk")).agg(F.abs(F.sum("_c") - F.sum("_y")).alias("_gap"), F.count(F.lit(1)).alias("_m"))
-    return by_chunk.groupBy(*keys).agg((F.sum("_gap") / F.sum("_m")).alias(name))
+
+    def made(rows: DataFrame) -> DataFrame:
+        by_chunk = rows.groupBy(*keys, chunk.alias("_chunk")).agg(F.abs(F.sum("_c") - F.sum("_y")).alias("_gap"), F.count(F.lit(1)).alias("_m"))
+        return by_chunk.groupBy(*keys).agg((F.sum("_gap") / F.sum("_m")).alias(name))
+
+    return _from_ranks(df, keys, confidence, label, order, made)
 
 
 def calibration_sweep(df: DataFrame, keys: Sequence[str], bins: Sequence[int], confidence: str = "estimated_confidence", label: str = "resolved", order: str = "ord") -> DataFrame:
     """One row per key: ``ece_k`` and ``adaptive_ece_k`` for each number of bins. The places are worked
     out once, and one grouping has the sums of the cells of every number of bins."""
-    rows = ranked(df, keys, confidence, label, order)
     cells = [F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), cell.cast("long").alias("cell")) for k in bins for kind, cell in (("", bin_index("_c", k)), ("adaptive_", chunk_index(F.col("_below") + F.col("_i") - 1, F.col("_n"), k)))]
-    each = rows.select(*keys, "_c", "_y", F.explode(F.array(*cells)).alias("x"))
-    sums = each.groupBy(*keys, "x").agg(F.abs(F.sum("_y") - F.sum("_c")).alias("gap"), F.count(F.lit(1)).alias("m"))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        each = rows.select(*keys, "_c", "_y", F.explode(F.array(*cells)).alias("x"))
+        return each.groupBy(*keys, "x").agg(F.abs(F.sum("_y") - F.sum("_c")).alias("gap"), F.count(F.lit(1)).alias("m"))
+
+    sums = _from_ranks(df, keys, confidence, label, order, summed)
 
     def error(k: int, kind: str) -> Column:
         own = (F.col("x.k") == k) & (F.col("x.kind") == kind)
@@ -151,11 +183,10 @@ def run_metrics(df: DataFrame, keys: Sequence[str] = ("run",), confidence: str =
     every metric is an expression of those sums.
     """
     keys = list(keys)
-    rows = ranked(df, keys, confidence, label, order)
-    cells = rows.withColumn("_acc", _accuracy()).withColumn("_bin", bin_index("_c", bins)).withColumn("_chunk", chunk_index(F.col("_below") + F.col("_i") - 1, F.col("_n"), bins))
     c, y = F.col("_c"), F.col("_y")
     clipped = F.greatest(F.least(c, F.lit(1 - EPSILON)), F.lit(EPSILON))
-    sums = cells.groupBy(*keys, "_bin", "_chunk").agg(
+    cells = lambda rows: rows.withColumn("_acc", _accuracy()).withColumn("_bin", bin_index("_c", bins)).withColumn("_chunk", chunk_index(F.col("_below") + F.col("_i") - 1, F.col("_n"), bins))
+    sums = _from_ranks(df, keys, confidence, label, order, lambda rows: cells(rows).groupBy(*keys, "_bin", "_chunk").agg(
         F.count(F.lit(1)).alias("m"),
         F.sum(c).alias("sc"),
         F.sum(c * c).alias("scc"),
@@ -166,7 +197,7 @@ def run_metrics(df: DataFrame, keys: Sequence[str] = ("run",), confidence: str =
         F.sum(F.when(y == 1, c).otherwise(c + F.log(1 - F.least(c, F.lit(1 - EPSILON))))).alias("ss"),
         F.sum(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("sl"),
         F.sum(y * (F.col("_under") + F.col("_level") / 2)).alias("sw"),
-    )
+    ))
     n, p = F.sum("m"), F.sum("sy") / F.sum("m")
     brier = F.sum("sb") / n
     whole = sums.groupBy(*keys).agg(
