@@ -811,3 +811,5 @@ g AS (SELECT gid, metric, count(*) AS predictions, count(*) FILTER (WHERE l = 'e
 c AS (SELECT gid % 2 AS run, round(avg(score) FILTER (WHERE metric = 'joint_sufficiency'), 6) AS joint_sufficiency, round(avg(score) FILTER (WHERE metric = 'child_necessity'), 6) AS child_necessity, round(avg(score) FILTER (WHERE metric = 'quality_of_particularization'), 6) AS quality_of_particularization, sum(entailment)::BIGINT AS observed_entailments, sum(predictions)::BIGINT AS expected_entailments, round(CAST(sum(entailment) AS DOUBLE) / sum(predictions), 6) AS total_entailments FROM g GROUP BY 1),
 r AS (SELECT n_nationkey % 2 AS run, 'judge' AS evaluator_model, count(*) AS n, round(avg(n_nationkey * 10), 6) AS avg_total_tokens, sum(n_nationkey * 10)::BIGINT AS sum_total_tokens, round(avg(n_nationkey / CAST(7 AS DOUBLE)), 6) AS avg_cost, count(*) FILTER (WHERE n_nationkey < 5) AS failed FROM nation GROUP BY 1)
 SELECT * FROM r JOIN c USING (run)""")(_quality)
+
+from verity.plans import proofs  # noqa: E402,F401  # registers more queries, which need `register`
