@@ -101,3 +101,41 @@ def test_names_and_attributes_that_drop_nothing(spark):
     for wrap in ("<article>{}</article>", "<div class=story>{}</div>"):
         got = extracted(spark, [(i, "http://a.example/", page(i, body(i), wrap)) for i in range(8)])
         assert got == {i: f"policy {i}\nprice {i}\ngems {i}\nwork {i}\nhas many words {i}" for i in range(8)}
+
+
+SNIPPETS = ["<p class=notice>notice {}</p>", "<div class=share>share {}</div>", "<p id=reply>reply {}</p>", "<section class=related>related {}</section>", "<div class=widget>widget {}</div>"]
+
+
+def test_words_within_the_article_count_only_where_the_host_repeats_them(spark):
+    alone = [(i, f"http://one{i}.example/", page(i, f"<p>text {i}</p>{x.format(i)}")) for i, x in enumerate(SNIPPETS)]
+    odd = [(i, "http://host.example/", page(i, f"<p>text {i}</p>" + (SNIPPETS[i % 5].format(i) if i >= 145 else ""))) for i in range(100, 150)]
+    always = [(i, "http://all.example/", page(i, f"<p>text {i}</p>" + "".join(x.format(i) for x in SNIPPETS))) for i in range(200, 208)]
+    got = extracted(spark, alone + odd + always)
+    word = ["notice", "share", "reply", "related", "widget"]
+    assert all(got[i] == f"text {i}\n{word[i]} {i}" for i in range(5))
+    assert all(got[i] == f"text {i}" + (f"\n{word[i % 5]} {i}" if i >= 145 else "") for i in range(100, 150))
+    assert all(got[i] == f"text {i}" for i in range(200, 208))
+
+
+def test_the_root_is_told_from_siblings_of_its_label(spark):
+    story = lambda i: "".join(f"<p>part {k} of story {i} with many words</p>" for k in range(9))
+    side = lambda i: f"<p>side {i} has few</p>"
+    grid = lambda a, b: f"<html><body><div class=row><div class={a}>{{}}</div><div class={b}>{{}}</div></div></body></html>"
+    rows = [(i, "http://grid.example/", grid("col-8", "col-4").format(story(i), side(i))) for i in range(8)]
+    rows += [(i, "http://words.example/", grid("wide", "slim").format(story(i), side(i))) for i in range(10, 18)]
+    rows += [(i, "http://bare.example/", f"<html><body><div>{side(i)}</div><div>{story(i)}</div><div>end {i}</div></body></html>") for i in range(20, 28)]
+    rows += [(i, "http://ids.example/", f"<html><body><div class=top>{side(i)}</div><div id=post-{i}>{story(i)}</div></body></html>") for i in range(30, 38)]
+    got = extracted(spark, rows)
+    assert got == {i: "\n".join(f"part {k} of story {i} with many words" for k in range(9)) for i, _, _ in rows}
+
+
+def test_the_whole_table_with_bare_divs(spark):
+    many = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    host = lambda r: r.url.split("/")[2]
+    sizes = {}
+    for r in many:
+        sizes.setdefault(host(r), set()).add(r.html)
+    plain = lambda text: re.sub(r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", text)
+    got = extracted(spark, [(r.page_id, r.url, plain(r.html)) for r in many])
+    want = {r.page_id: brute(r.html) for r in many if len(sizes[host(r)]) >= op.MIN_PAGES}
+    assert len(want) > 50 and sum(got[k] == v for k, v in want.items()) >= 0.95 * len(want)

@@ -26,6 +26,9 @@ BROADCAST_HOSTS = 20_000
 #: beginnings and ends are paired. It finds the content root; template nodes are counted at any depth.
 ALIGNED_DEPTH, MAX_CELLS = 150, 10_000
 
+#: What marks a place instead of a node, and the share of a host's pages from which it is repeated.
+SLOT, SLOT_SHARE = "~", 10
+
 # Fixed values of HTML: elements without an end tag, elements whose content is no markup, elements
 # that begin a block, and what the start of an element closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,10 +53,14 @@ DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("around", "children", "label", "path", "tag")
+    """An element. ``around``: its tag, role or attributes say that it is not the article; ``worded``: only
+    its class or id does. Where it stands: by the labels above it (``path``), by these with their digits
+    (``exact``), and by these and the place among siblings of one label (``place``)."""
+
+    __slots__ = ("around", "children", "exact", "label", "path", "place", "tag", "worded")
 
-    def __init__(self, tag: str, label: str, path: str, around: bool):
-        self.tag, self.label, self.path, self.around = tag, label, path, around
+    def __init__(self, tag: str, label: str, path: str, around: bool, worded: bool = False, exact: int = 0, place: int = 0):
+        self.tag, self.label, self.path, self.around, self.worded, self.exact, self.place = tag, label, path, around, worded, exact, place
         self.children: list[Node | str] = []
 
     def elements(self) -> list[Node]:
@@ -71,13 +78,15 @@ def _names_surroundings(value: str) -> bool:
     return any(not WORDS.isdisjoint(own) and all(w in WORDS or w in NEUTRAL for w in own) for own in names)
 
 
-def _element(tag: str, raw: str, parent: Node, inside: bool) -> Node:
-    label, around = tag, tag in AROUND or (tag == "header" and not inside)
+def _element(tag: str, raw: str, parent: Node, inside: bool, before: dict[tuple[int, str], int]) -> Node:
+    """``before`` counts the children of each element by label."""
+    label, digits, around, worded = tag, tag, tag in AROUND or (tag == "header" and not inside), False
     for name, value in ATTR.findall(raw) if raw else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             label += f"[{name}={' '.join(sorted(DIGITS.sub('0', value).split()))}]"
-            around |= tag not in ("body", "html", "main") and _names_surroundings(value) and (tag != "article" or "comment" in value or "reply" in value)
+            digits += f"[{name}={' '.join(sorted(value.split()))}]"
+            worded |= tag not in ("body", "html", "main") and _names_surroundings(value) and (tag != "article" or "comment" in value or "reply" in value)
         elif name == "role":
             around |= value in ROLES
         elif name == "aria-hidden":
@@ -85,13 +94,16 @@ def _element(tag: str, raw: str, parent: Node, inside: bool) -> Node:
         elif name == "hidden":
             around = True
     above = int(parent.path.partition("/")[0], 16)
-    return Node(tag, label, f"{zlib.crc32(label.encode('utf-8', 'surrogatepass'), above):08x}/{tag}", around)
+    code = lambda text, before: zlib.crc32(text.encode("utf-8", "surrogatepass"), before)
+    same = before.get((id(parent), label), 0)
+    before[id(parent), label] = same + 1
+    return Node(tag, label, f"{code(label, above):08x}/{tag}", around, worded, code(digits, parent.exact), code(f"{label}#{same}", parent.place))
 
 
 def parse(page: str) -> Node:
     """The element tree of a page; tags that lack an end are closed where HTML closes them."""
     root = Node("", "", "0", False)
-    stack = [root]
+    stack, before = [root], {}
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
@@ -127,7 +139,7 @@ def parse(page: str) -> Node:
                 elif stack[k].tag in SCOPE and stack[k].tag not in ends:
                     break
         inside = any(x.tag in ("article", "main") for x in stack) if tag == "header" else False
-        node = _element(tag, m[3], stack[-1], inside)
+        node = _element(tag, m[3], stack[-1], inside, before)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -214,7 +226,7 @@ def _walk(root: Node) -> Iterator[Node]:
 
 
 def induce(pages: list[str]) -> tuple[str, list[str]]:
-    """(path of the content root or '', marks of template nodes) of a host's distinct pages.
+    """(content root or '', marks of template nodes) of a host's distinct pages.
 
     A node is template if it is matched with the same text in every other page and the pages are
     MIN_PAGES at least. The root is the deepest element that holds most of the varying text; where
@@ -231,7 +243,7 @@ def induce(pages: list[str]) -> tuple[str, list[str]]:
     weight: dict[int, int] = {}
     for node in reversed(list(_walk(first))):  # children come before their parents
         own = 0 if id(node) in constant else len(node.text())
-        weight[id(node)] = 0 if node.around else own + sum(weight[id(c)] for c in node.elements())
+        weight[id(node)] = 0 if node.around or node.worded else own + sum(weight[id(c)] for c in node.elements())
     node, way = first, []
     while True:
         inner = [c for c in node.elements() if c.tag in ("html", "body", "main", "article", "section", "div", "td", "table", "tbody", "tr", "center")]
@@ -241,14 +253,28 @@ def induce(pages: list[str]) -> tuple[str, list[str]]:
         node = heavy
         way.append(node)
     told = [x for x in way if x.tag == "article"] or [x for x in way if x.tag == "main"] or way[-1:]
-    return (told[0].path if told else ""), marks
+    return (_named(told[0], trees) if told else ""), marks
+
+
+def _named(root: Node, trees: list[Node]) -> str:
+    """How the root is found again: by its path, if no page has that twice (or it is an article or main);
+    else by the path with the digits of its names, if every page has that once; else by its place among
+    siblings of one label, if every page has that; else by its path."""
+    nodes = [list(_walk(tree)) for tree in trees]
+    times = lambda test: [sum(map(test, own)) for own in nodes]
+    if root.tag in ("article", "main") or max(times(lambda x: x.path == root.path)) <= 1:
+        return root.path
+    if set(times(lambda x: x.exact == root.exact)) == {1}:
+        return f"exact {root.exact}"
+    return f"place {root.place}" if set(times(lambda x: x.place == root.place)) == {1} else root.path
 
 
 # ---------------------------------------------------------------- extraction
 
 
-def _blocks(root: Node, template: frozenset[str]) -> list[str]:
-    """The blocks of an element in page order, without template nodes and what stands around."""
+def _blocks(root: Node, template: frozenset[str], within: bool) -> list[str]:
+    """The blocks of an element in page order, without template nodes and what stands around. ``within``
+    the article a class or id says so only of a place that the host repeats."""
     out: list[str] = []
     line: list[str] = []
 
@@ -267,7 +293,7 @@ def _blocks(root: Node, template: frozenset[str]) -> list[str]:
                 end()
         elif isinstance(child, str):
             line.append(child)
-        elif not child.around:
+        elif not child.around and not (child.worded and (not within or SLOT + child.path in template)):
             block = child.tag in BLOCK
             if block:
                 end()
@@ -289,7 +315,7 @@ def main_text(page: str | None, root_path: str = "", template: frozenset[str] =
         found, todo = [], [tree]
         while todo:
             node = todo.pop()
-            if node is not tree and node.around:
+            if node is not tree and (node.around or node.worded):
                 continue
             if test(node):
                 found.append(node)
@@ -297,22 +323,26 @@ def main_text(page: str | None, root_path: str = "", template: frozenset[str] =
                 todo.extend(reversed(node.elements()))
         return found
 
-    roots = (tops(lambda x: x.path == root_path) if root_path else []) or tops(lambda x: x.tag == "article") or tops(lambda x: x.tag == "main") or [tree]
-    return "\n".join(block for root in roots for block in _blocks(root, template))
+    how, _, value = root_path.rpartition(" ")
+    at = {"exact": lambda x: x.exact == int(value), "place": lambda x: x.place == int(value)}.get(how, lambda x: x.path == root_path)
+    roots = (tops(at) if root_path else []) or tops(lambda x: x.tag == "article") or tops(lambda x: x.tag == "main")
+    return "\n".join(block for root in roots or [tree] for block in _blocks(root, template, bool(roots)))
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def marks_of(page: str) -> set[str]:
-    """Marks of the nodes with a text; a word within a sentence is part of it and no node of its own."""
-    nodes = ((x, y) for x in _walk(parse(page)) for y in x.elements() if y.text())
-    return {mark(y.path, y.text()) for x, y in nodes if y.tag in BLOCK or not x.text()}
+    """Marks of the nodes with a text (a word within a sentence is part of it and no node of its own), and
+    of the places whose class or id says that they are not the article."""
+    nodes = [(x, y) for x in _walk(parse(page)) for y in x.elements()]
+    return {mark(y.path, y.text()) for x, y in nodes if y.text() and (y.tag in BLOCK or not x.text())} | {SLOT + y.path for _, y in nodes if y.worded}
 
 
 def template_marks(keyed: DataFrame) -> DataFrame:
-    """(host, template): the nodes, by path and text, of most of the distinct pages of a host, counted
-    over all pages (host, page, h). Spark merges before it shuffles."""
+    """(host, template): the nodes, by path and text, of most of the distinct pages of a host, and the
+    places named as surroundings of one in SLOT_SHARE, counted over all pages (host, page, h). Spark
+    merges before it shuffles."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +355,7 @@ def template_marks(keyed: DataFrame) -> DataFrame:
     sizes = keyed.groupBy("host", "h").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MIN_PAGES)
     nodes = keyed.select("host", "h", "page").mapInArrow(over, "host string, h long, mark string")
     counted = cut(nodes.distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 > MIN_PAGES), "html-marks")
-    most = counted.join(sizes, "host").where(F.col("n") * 2 > F.col("pages"))
+    most = counted.join(sizes, "host").where((F.col("n") * 2 > F.col("pages")) | (F.col("mark").startswith(SLOT) & (F.col("n") * SLOT_SHARE >= F.col("pages"))))
     return most.groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("template"))
 
 
