@@ -155,9 +155,9 @@ places AS (
          s.line IS NOT NULL AND (s.at <> {'d': l.doc_id, 'n': l.n} OR r.line IS NOT NULL) AS gone
   FROM lines l LEFT JOIN sets s ON s.line = l.line LEFT JOIN similar_lines r ON r.line = l.line
 )
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS text,
-       count(*)::INT AS n_lines, count(*) FILTER (WHERE gone)::INT AS n_removed
-FROM marked GROUP BY doc_id
+SELECT m.doc_id, CASE WHEN bool_or(d.text IS NOT NULL) THEN coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') END AS text,
+       count(d.text)::INT AS n_lines, count(*) FILTER (WHERE gone)::INT AS n_removed
+FROM marked m JOIN documents d USING (doc_id) GROUP BY m.doc_id
 """
 
 
