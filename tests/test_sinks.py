@@ -19,14 +19,6 @@ def test_results_round_trip(spark, tmp_path):
     assert [tuple(r) for r in got] == rows
 
 
-def test_keyed_outputs_replace_and_keep(spark, tmp_path):
-    kind = "run string, instance_id string, model string, confidence double"
-    saved = spark.createDataFrame([("r", "a", "m", 0.1), ("r", "b", "m", 0.2)], kind)
-    new = spark.createDataFrame([("r", "b", "m", 0.9)], kind)
-    sinks.keyed_outputs(new, saved, ["run", "instance_id", "model"], str(tmp_path / "out"))
-    assert {r["instance_id"]: r["confidence"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": 0.1, "b": 0.9}
-
-
 def test_a_killed_writer_leaves_the_old_state(spark, tmp_path, monkeypatch):
     kind, key, path = "run string, instance_id string, model string, confidence double", ["run", "instance_id", "model"], str(tmp_path / "store")
     one = lambda i, c: spark.createDataFrame([("r", i, "m", c)], kind)

@@ -1,15 +1,11 @@
-"""Writers of results, metrics, outputs, graphs and failures."""
+"""Writers of results, metrics, graphs and failures; ``store`` keeps the outputs of items."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from verity.plans.tables import cut
-
 
 def results_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -20,13 +16,6 @@ def metrics_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def keyed_outputs(new: DataFrame, saved: DataFrame | None, key: Sequence[str], path: str) -> None:
-    """The store that runs resume from: saved rows whose key is not new, and the new ones, by run. They
-    are written beside first, since ``saved`` is usually read from ``path``."""
-    kept = new if saved is None else saved.join(new.select(*key), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
-    cut(kept, "outputs").write.mode("overwrite").partitionBy("run").parquet(path)
-
-
 def graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """One document per graph, nodes and edges in their order."""
     pack = lambda df: F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(*[c for c in df.columns if c not in ("gid", "pos")]).alias("x")))), lambda s: s["x"])
