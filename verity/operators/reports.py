@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verity.operators.metrics import calibration_sweep, run_metrics
+from verity.plans.tables import running
 
 KEY = ("instance_id", "model")
 
@@ -155,9 +156,8 @@ def usage_delta(after: DataFrame, before: DataFrame, keys: Sequence[str], fields
 def nearest_percentile(df: DataFrame, keys: Sequence[str], column: str, q: float, name: str) -> DataFrame:
     """The value at 0-based place q*(n-1), rounded half to even, from counts by different value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    placed = counts.withColumn("_upto", F.sum("_m").over(w.orderBy(column))).withColumn("_n", F.sum("_m").over(w))
-    return placed.where(F.col("_upto") > F.rint(q * (F.col("_n") - 1))).groupBy(*keys).agg(F.min(column).alias(name))
+    placed = running(counts, list(keys), [column], {"_upto": F.col("_m")})
+    return placed.where(F.col("_upto") > F.rint(q * (F.col("_upto_all") - 1))).groupBy(*keys).agg(F.min(column).alias(name))
 
 
 def markdown(rows: DataFrame, decimals: int = 2, most: int = MOST_SHOWN) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verity.functions import scores
@@ -10,8 +12,10 @@ from verity.functions import text as tx
 from verity.operators import audit, graphs, propagate, reports, trajectory
 from verity.operators.calibration import calibrate
 from verity.plans.catalog import G, register
+from verity.plans.tables import shared_dir
 from verity.plans.views import view, with_views
 from verity.sources import runs as sources
+from verity.sources import sinks, store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -111,3 +115,94 @@ _TESTS = [
 register("trajectory_audit", f"WITH r AS (SELECT {_AUDITED.replace('STRING', 'VARCHAR')} FROM orders) " + " UNION ALL ".join(f"SELECT instance_id, model, '{severity}' AS severity, '{code}' AS code FROM r WHERE {test}" for severity, code, test in _TESTS))(
     lambda s, d: audit.audit_trajectories(s.sql(f"SELECT *, {_TEXT.replace('{n}', 'char(10)')} AS text, {_SHORT.replace('{n}', 'char(10)')} AS condensed FROM (SELECT {_AUDITED} FROM {{orders}}) r", orders=view(s, d, "orders"))).select("instance_id", "model", "severity", "code")
 )
+
+
+# ---------------------------------------------------------------- what writers leave and readers find
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+
+
+def _as_file(spark: SparkSession, folder: str, name: str) -> None:
+    """The one part of a written folder, moved to ``name`` beside it."""
+    fs, at = spark._jvm.org.apache.hadoop.fs, spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in files.listStatus(at) if f.getPath().getName().startswith("part-")]
+    files.rename(part, fs.Path(at.getParent(), name))
+    files.delete(at, True)
+
+
+def _results_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A results file for each run, in the run's folder, read together."""
+    base, rows = _folder(spark), view(spark, sf_dir, "results_runs").withColumn("cost", F.lit(None).cast("double"))
+    columns = [c.split()[0] for c in sources.RESULTS.split(", ")]
+    for run in ("run-a", "run-b", "run-c"):
+        sinks.results_csv(rows.where(F.col("run") == run).select(*columns).coalesce(1), f"{base}/{run}/parts")
+        _as_file(spark, f"{base}/{run}/parts", "results.csv")
+    return sources.results_csv(spark, base).drop("cost")
+
+
+_FILED = "instance_id, model, benchmark, difficulty, resolved, round(estimated_confidence, 6) AS estimated_confidence, total_tokens, generated_tokens, run"
+register("results_files", f"{with_views('results_runs')} SELECT {_FILED.replace('total_tokens, generated_tokens', 'total_tokens::BIGINT AS total_tokens, generated_tokens::BIGINT AS generated_tokens')} FROM results_runs")(_results_files)
+
+
+def _graph_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Graphs written as a document each, read with the typed schema and taken apart again."""
+    nodes = view(spark, sf_dir, "gnodes").select("gid", F.row_number().over(Window.partitionBy("gid").orderBy("id")).alias("pos"), "id", "kind", "confidence", "confidence_in_children")
+    edges = view(spark, sf_dir, "gedges").select("gid", "pos", "source", "target", "relationship_type")
+    path = _folder(spark)
+    sinks.graph_json(nodes, edges, path)
+    return sources.graph_tables(spark.read.schema(f"gid int, {sources.GRAPH}").json(path), F.col("gid"))
+
+
+register("graph_document_nodes", f"{G} SELECT gid, (row_number() OVER (PARTITION BY gid ORDER BY id) - 1)::INT AS pos, id, kind, round(confidence, 6) AS confidence, round(confidence_in_children, 6) AS confidence_in_children FROM gnodes")(
+    lambda s, d: _graph_documents(s, d)[0].select("gid", "pos", "id", "kind", "confidence", "confidence_in_children")
+)
+register("graph_document_edges", f"{G} SELECT gid, (row_number() OVER (PARTITION BY gid ORDER BY pos, source, target) - 1)::INT AS pos, source, target, relationship_type FROM gedges")(lambda s, d: _graph_documents(s, d)[1].select("gid", "pos", "source", "target", "relationship_type"))
+
+
+def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters of two attempts, one added to the other."""
+    path, rows = _folder(spark), view(spark, sf_dir, "events").where("event_type = 'error'")
+    for attempt in (1, 2):
+        sinks.failures(rows.where(F.col("event_id") % 2 == attempt % 2).selectExpr("cast(event_id as string) as instance_id", "concat('m', cast(user_id as string)) as model", f"'attempt {attempt}' as error"), path)
+    return spark.read.schema("instance_id string, model string, error string").json(path)
+
+
+register("failure_letters", "SELECT CAST(event_id AS VARCHAR) AS instance_id, 'm' || CAST(user_id AS VARCHAR) AS model, CASE WHEN event_id % 2 = 1 THEN 'attempt 1' ELSE 'attempt 2' END AS error FROM events WHERE event_type = 'error'")(_failures)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of a run, of which a second writer replaces every third and adds new ones."""
+    path, rows = _folder(spark), view(spark, sf_dir, "results").selectExpr("'r' as run", "instance_id", "model", "estimated_confidence as confidence", "ord")
+    key = ["run", "instance_id", "model"]
+    store.write_store(rows.where("ord % 2 = 0").drop("ord"), key, path)
+    store.write_store(rows.where("ord % 3 = 0").selectExpr("run", "instance_id", "model", "confidence / 2 as confidence"), key, path)
+    return store.read_store(spark, path).select(*key, "confidence")
+
+
+register("stored_outputs", f"{_RESULTS} SELECT 'r' AS run, instance_id, model, round(CASE WHEN ord % 3 = 0 THEN estimated_confidence / 2 ELSE estimated_confidence END, 6) AS confidence FROM results WHERE ord % 2 = 0 OR ord % 3 = 0")(_stored)
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested rows as a flat table: structs to columns, lists as JSON."""
+    path = _folder(spark)
+    sinks.flat_csv(view(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "named_struct('cust', o_custkey, 'more', named_struct('status', o_orderstatus)) as who", "array(o_orderkey % 3, o_orderkey % 5) as places"), path)
+    return spark.read.schema("id long, who_cust long, who_more_status string, places string").csv(path, header=True)
+
+
+register("flat_tables", "SELECT o_orderkey AS id, o_custkey AS who_cust, o_orderstatus AS who_more_status, '[' || CAST(o_orderkey % 3 AS VARCHAR) || ',' || CAST(o_orderkey % 5 AS VARCHAR) || ']' AS places FROM orders")(_flat)
+
+
+def _record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories of JSON lines, one file each, with fields that no schema knows."""
+    path = _folder(spark)
+    lines = view(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "to_json(named_struct('type', case when turn % 2 = 0 then 'user_message' else 'agent_message' end, 'text', text, 'extra', turn * 2)) as line")
+    files = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    files.repartition("conv_id").write.partitionBy("conv_id").text(path)
+    got = sources.acp_records(spark, path).withColumn("conv_id", F.regexp_extract("traj", r"conv_id=(\d+)", 1).cast("long"))
+    return got.select("conv_id", "idx", "type", F.md5(F.col("text").cast("binary")).alias("text"), F.try_variant_get("payload", "$.extra", "bigint").alias("extra"))
+
+
+register("record_lines", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS idx, CASE WHEN turn % 2 = 0 THEN 'user_message' ELSE 'agent_message' END AS type, md5(text) AS text, turn * 2 AS extra FROM conversations")(_record_lines)

@@ -61,7 +61,7 @@ def graph_tables(graphs: DataFrame, gid: Column) -> tuple[DataFrame, DataFrame]:
 def acp_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON-lines trajectories: typed columns, the whole record as a variant, the file and
     the line number. A record knows its line by its place among the lines of its file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("traj"), F.col("value"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("traj"), F.col("value"))
     each = lines.select("traj", F.posexplode(F.split("value", "\n")).alias("idx", "line")).where("trim(line) <> ''")
     return each.select("traj", "idx", F.from_json("line", ACP).alias("r"), F.parse_json("line").alias("payload")).select("traj", "idx", "r.*", "payload")
 
