@@ -6,7 +6,7 @@ import pytest
 
 from verity.llm.backoff import score_texts
 
-ROWS = [(1, "The cat sat on the mat", True), (2, "the cat sat on a hat", True), (3, "the cat sat on the mat", False), (4, None, True), (5, "", False), (6, "unseen words only", False), (7, "the cat " * 20_000, True), (None, "a hat\x0ba mat x", True), (8, "the dog", None), (9, "cat cat cat", True), (9, "cat cat cat", True), (10, "\x1f odd \x00", True)]
+ROWS = [(1, "The cat sat on the mat", True), (2, "the cat sat on a hat", True), (3, "the cat sat on the mat", False), (4, None, True), (5, "", False), (6, "unseen words only", False), (7, "the cat " * 20_000, True), (None, "a hat\x0ba mat x", True), (8, "the dog", None), (9, "cat cat cat", True), (9, "cat cat cat", True), (10, "\x1f odd \x00", True), ((1 << 62) + 1, "the long id", True)]
 
 
 def brute(rows, order, prior):

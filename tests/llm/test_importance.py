@@ -35,7 +35,7 @@ def brute(docs, target, order=2, percent=25, min_words=3):
     return sorted((tuple(r[:5]) for r in rows), key=str)
 
 
-DOCS = [(1, "The cat sat on the mat"), (2, "the CAT sat, on: the mat"), (3, ""), (4, None), (5, "... !!"), (6, "Äpfel und Öl 42 x"), (7, "a b " * 40_000), (8, "only two"), (None, "some words of nobody here"), (9, "cat cat cat cat"), (9, "cat cat cat cat"), (10, "one\nline\tand\x00more")]
+DOCS = [(1, "The cat sat on the mat"), (2, "the CAT sat, on: the mat"), (3, ""), (4, None), (5, "... !!"), (6, "Äpfel und Öl 42 x"), (7, "a b " * 40_000), (8, "only two"), (None, "some words of nobody here"), (9, "cat cat cat cat"), (9, "cat cat cat cat"), (10, "one\nline\tand\x00more"), ((1 << 62) + 1, "a long id beside a null")]
 TARGET = ["the cat sat", None, "", "Öl und Äpfel"]
 
 

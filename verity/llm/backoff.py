@@ -132,6 +132,6 @@ def score_texts(docs: DataFrame, learns: str = "learns", order: int = 2, prior:
         told = merged.where("block is not null").select("block", "shard", "told")
         kind = docs.schema[id_col].dataType.simpleString()
         scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
-            _scorer(order, shards, sums["tokens"], sums["types"], prior), f"doc_id {kind}, learns boolean, n_tokens long, n_known long, base_score double, score double"
+            _scorer(order, shards, sums["tokens"], sums["types"], prior), "doc_id string, learns boolean, n_tokens long, n_known long, base_score double, score double"
         )
-        return cut(scored.select("doc_id", "learns", "n_tokens", "n_known", F.lit(sums["tokens"]).cast("long").alias("train_tokens"), "base_score", "score"), "backoff-scores")
+        return cut(scored.select(F.col("doc_id").cast(kind).alias("doc_id"), "learns", "n_tokens", "n_known", F.lit(sums["tokens"]).cast("long").alias("train_tokens"), "base_score", "score"), "backoff-scores")

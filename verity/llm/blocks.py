@@ -172,8 +172,9 @@ class Block:
 
 def code(docs: DataFrame, words: Callable[[bytes], list[bytes]], marks: bool = False) -> DataFrame:
     """The blocks of ``docs`` (doc_id, text, learns), one row each. ``words`` splits the bytes of a text;
-    ``marks`` puts START before and END after its words; only texts with ``learns`` are counted."""
-    schema = f"block long, ids array<{docs.schema['doc_id'].dataType.simpleString()}>, learns array<boolean>, lengths binary, codes binary, words binary"
+    ``marks`` puts START before and END after its words; only texts with ``learns`` are counted.
+    Ids travel as text, in which a null beside them changes no number."""
+    schema = "block long, ids array<string>, learns array<boolean>, lengths binary, codes binary, words binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seen = TaskContext.get().partitionId(), 0
@@ -189,7 +190,7 @@ def code(docs: DataFrame, words: Callable[[bytes], list[bytes]], marks: bool = F
             return pd.DataFrame([row], columns=["block", "ids", "learns", "lengths", "codes", "words"])
 
         for batch in batches:
-            for own, text, learn in zip(batch["doc_id"].astype(object), batch["text"], batch["learns"], strict=True):
+            for own, text, learn in zip(batch["doc_id"], batch["text"], batch["learns"], strict=True):
                 if ids and held + len(text) > BLOCK_BYTES:
                     yield told()
                     seen += 1
@@ -198,14 +199,14 @@ def code(docs: DataFrame, words: Callable[[bytes], list[bytes]], marks: bool = F
                     known = defaultdict()
                     known.default_factory = known.__len__
                 found = [START, *words(text), END] if marks else words(text)
-                ids.append(None if own is pd.NA or own != own else own)
+                ids.append(own)
                 coded.append(np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found)))
                 learns.append(bool(learn))
                 held += len(text)
         if ids:
             yield told()
 
-    source = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.coalesce("learns", F.lit(False)).alias("learns"))
+    source = docs.select(F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.coalesce("learns", F.lit(False)).alias("learns"))
     return source.mapInPandas(run, schema)
 
 

@@ -98,8 +98,8 @@ def resample(docs: DataFrame, target: DataFrame, order: int = 2, buckets: int =
         gain = gains(merged.where("bucket is not null").select("bucket", "s", "t"), buckets)
         told = merged.where("block is not null").select("block", "shard", "told")
         kind = docs.schema[id_col].dataType.simpleString()
-        weighed = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_weigher(order, shards, gain), f"doc_id {kind}, n_words long, n_features long, weight long")
-        scored = scratch.cut(weighed.withColumn("score", F.col("weight") + _noise(seed)).withColumn("_short", F.col("n_words") < min_words), "importance-scores")
+        weighed = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_weigher(order, shards, gain), "doc_id string, n_words long, n_features long, weight long")
+        scored = scratch.cut(weighed.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("score", F.col("weight") + _noise(seed)).withColumn("_short", F.col("n_words") < min_words), "importance-scores")
         drawn = scored.where("not _short").count() * percent // 100
         ordered = placed(scored, [F.col("_short"), -F.col("score"), F.col("doc_id")], scratch, "importance-places")
         return cut(ordered.select("doc_id", "n_features", "weight", "score", F.when(~F.col("_short") & (F.col("_rank") <= drawn), F.col("_rank")).alias("rank")), "importance-ranks")
