@@ -478,7 +478,7 @@ def test_branch_and_prefix(spark):
 EVENT = "traj string, idx int, event_id string, kind string, action_id string, tool_call_id string"
 
 
-def log(spark, *events):
+def call_log(spark, *events):
     """Of one log: (id, kind, action id, call id)."""
     return spark.createDataFrame([("t", i, *e) for i, e in enumerate(events)], EVENT)
 
@@ -487,35 +487,35 @@ def test_prefix_of_overlapping_actions(spark):
     a1, a2, a3 = ("a1", "action", None, "c1"), ("a2", "action", None, "c2"), ("a3", "action", None, "c1")
     o1, o2, o3 = ("o1", "observation", "a1", None), ("o2", "observation", "a2", None), ("o3", "observation", "a3", None)
     ids = lambda events, k: [r["event_id"] for r in trajectory.prefix_after_actions(events, k).orderBy("idx").collect()]
-    both = log(spark, a1, a2, o1, o2, a3, o3)
+    both = call_log(spark, a1, a2, o1, o2, a3, o3)
     assert ids(both, 1) == ["a1", "a2", "o1"]
     assert ids(both, 2) == ["a1", "a2", "o1", "o2"]
     assert ids(both, 0) == [] and ids(both, 4) == ids(both, -1) == ["a1", "a2", "o1", "o2", "a3", "o3"]
     # an error names the call, and a call that is named again is the latest action's
     late = ("e", "error", None, "c1")
-    assert ids(log(spark, a1, o1, a2, o2, late, a3, o3), 1) == ["a1", "o1", "a2", "o2", "e"]
-    assert ids(log(spark, a1, o1, a3, late, a2, o2), 1) == ["a1", "o1"]
-    assert {r["event_id"]: r["of_step"] for r in trajectory.with_action(log(spark, a1, o1, a3, late), "traj").collect()} == {"o1": 1, "e": 2}
+    assert ids(call_log(spark, a1, o1, a2, o2, late, a3, o3), 1) == ["a1", "o1", "a2", "o2", "e"]
+    assert ids(call_log(spark, a1, o1, a3, late, a2, o2), 1) == ["a1", "o1"]
+    assert {r["event_id"]: r["of_step"] for r in trajectory.with_action(call_log(spark, a1, o1, a3, late), "traj").collect()} == {"o1": 1, "e": 2}
 
 
 def test_what_stands_against_a_prefix(spark):
     a1, a2, o1, o2 = ("a1", "action", None, "c1"), ("a2", "action", None, "c2"), ("o1", "observation", "a1", None), ("o2", "observation", "a2", None)
-    problem = lambda k, *events: trajectory.prefix_cuts(log(spark, *events), k).first()["problem"]
+    problem = lambda k, *events: trajectory.prefix_cuts(call_log(spark, *events), k).first()["problem"]
     assert problem(1, a1, o1, a2) is None and problem(2, a1, o1, a2) == trajectory.MISSING
     assert problem(1, o1, a1) == trajectory.UNKNOWN_ACTION and problem(0, o1, a1) == trajectory.UNKNOWN_ACTION
     assert problem(1, a1, o1, o2) == trajectory.UNKNOWN_ACTION and problem(9, a1, o1, o2) == trajectory.UNKNOWN_ACTION
     assert problem(1, a1, o1, ("e", "error", None, "c9")) == trajectory.UNKNOWN_CALL
     assert problem(0, ("e", "error", None, "c9"), a1) is None and problem(0, a1, o1) is None
     assert problem(3, a1, a2) is None  # too few actions: whole
-    for events, what in ((log(spark, a1, a2, o1), trajectory.MISSING), (log(spark, a1, o2), trajectory.UNKNOWN_ACTION)):
+    for events, what in ((call_log(spark, a1, a2, o1), trajectory.MISSING), (call_log(spark, a1, o2), trajectory.UNKNOWN_ACTION)):
         with pytest.raises(Exception, match=what):
             trajectory.prefix_after_actions(events, 2 if what == trajectory.MISSING else 1).count()
     with pytest.raises(Exception, match="no action before it"):
-        trajectory.observations_with_action(log(spark, o1, a1)).collect()
+        trajectory.observations_with_action(call_log(spark, o1, a1)).collect()
     with pytest.raises(Exception, match="no call before it"):
-        trajectory.errors_with_action(log(spark, ("e", "error", None, "c1"), a1)).collect()
+        trajectory.errors_with_action(call_log(spark, ("e", "error", None, "c1"), a1)).collect()
     with pytest.raises(ValueError, match="-1 or more"):
-        trajectory.prefix_after_actions(log(spark, a1), -2)
+        trajectory.prefix_after_actions(call_log(spark, a1), -2)
 
 
 def test_action_probabilities(spark):
