@@ -149,17 +149,19 @@ def numbered(df: DataFrame, order: str = "ord") -> DataFrame:
     return running(df, [], [order], {"_place": F.lit(1)}).withColumn("_at", F.col("_place") - 1).drop("_place", "_place_all")
 
 
-def shuffled(df: DataFrame, n: int, seed: int = 42, at: str = "_at") -> DataFrame:
+def shuffled(df: DataFrame, n: int, seed: int = 42, at: str = "_at", order: str = "ord") -> DataFrame:
     """``df`` with ``_perm``, the place of each row in a seeded order, told from its 0-based place ``at``
-    of ``n`` alone: no row has to be sorted or moved. Every place is taken once."""
+    of ``n`` alone: no row has to be sorted or moved. Every place is taken once. Rows without such a
+    column are numbered by ``order`` first."""
+    df = df if at in df.columns else numbered(df, order).withColumnRenamed("_at", at)
     return df.withColumn("_perm", permuted(F.col(at), F.lit(n).cast("long"), seed))
 
 
-def sample(df: DataFrame, size: int, n: int, seed: int = 42, at: str = "_at") -> DataFrame:
+def sample(df: DataFrame, size: int, n: int, seed: int = 42, at: str = "_at", order: str = "ord") -> DataFrame:
     """The ``size`` rows that come first in the seeded order; more than there are is an error."""
     if not 0 <= size <= n:
         raise ValueError(f"a sample of {size} from {n} rows")
-    return shuffled(df, n, seed, at).where(F.col("_perm") < size)
+    return shuffled(df, n, seed, at, order).where(F.col("_perm") < size)
 
 
 def drawn(df: DataFrame, n: int, shuffle: bool = True, seed: int = 42, first: int | None = None, again: int | None = None, order: str = "ord") -> DataFrame:
