@@ -79,3 +79,24 @@ def test_random_texts_over_all_planes():
         top = (128, 256, 0x3000, 0x20000)[k % 4]
         text = "".join(chr(c) for c in rng.integers(0, top, rng.integers(1, 30)) if not 0xD800 <= c < 0xE000)
         assert np.frombuffer(encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_words_that_come_again_are_not_tokenized_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    whole = Tokenizer.from_file(tokenizer_file())
+    ids, asked = packing.WordIds(whole), []
+    tokenize = ids.tokenize
+    ids.tokenize = lambda word: asked.append(word) or tokenize(word)
+    for k in range(20):
+        for word in (" the", " blé", f" w{k}", "\x00\xa0"):
+            assert np.frombuffer(ids[word], "<u4").tolist() == whole.encode(word, add_special_tokens=False).ids
+    assert len(asked) == 23 and len(ids) + len(ids.old) <= 6
+
+
+def test_listed_letters_split_like_the_vocabulary(spark):
+    every = "".join(a + b for a in map(chr, range(256)) for b in ("", "é", " ", "7", "!", "\n"))
+    whole = Tokenizer.from_file(tokenizer_file())
+    got = packing.token_bytes(tokenizer_file())([every, "l'été's we'll ¡no! a_b\xa0c\x85 12º"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in (every, "l'été's we'll ¡no! a_b\xa0c\x85 12º")]
+    latin = every.translate({c: None for c in (0x1C, 0x1D, 0x1E, 0x1F, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE)})
+    assert np.frombuffer(packing.token_bytes(tokenizer_file())([latin])[0], "<u4").tolist() == whole.encode(latin, add_special_tokens=False).ids

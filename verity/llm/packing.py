@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
@@ -17,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.models import BPE
 
 from verity.llm.common import cut
 
@@ -31,8 +33,8 @@ GENERATIONS = 6
 ELITES = 1
 #: Tasks at most that share the districts, however many there are.
 MOST_TASKS = 4096
-#: Words whose ids a task keeps; when full, the memory starts anew.
-CACHED_WORDS = 200_000
+#: Words whose ids a task keeps, once as new and once as old ones.
+CACHED_WORDS = 150_000
 
 Bin = tuple[int, list[int]]
 
@@ -41,19 +43,22 @@ Bin = tuple[int, list[int]]
 
 
 #: Fixed value: the vocabulary's own split. Words of letters, digits or other signs with one blank before
-#: them, contractions, blanks.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{digit}+| ?{other}+|\s+(?!\S)|\s+"
+#: them, contractions, blanks. Words of letters come first here: no contraction begins like one.
+WORDS = r" ?{letter}+|'s|'t|'re|'ve|'m|'ll|'d| ?{digit}+| ?{other}+|\s+(?!\S)|\s+"
 
 
 @cache
 def _split_words() -> Callable[[str], list[str]]:
-    """The split of the byte-level vocabulary. The built-in engine is the faster one and agrees but
-    for numerals that are no decimal digits and four separators; texts with those take the other."""
+    """The split of the byte-level vocabulary. The built-in engine is the faster one, most of all where the
+    letters are listed, and agrees but for numerals that are no decimal digits and four separators; texts
+    with those take the other."""
+    listed = "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == "L")
+    latin = re.compile(WORDS.format(letter=f"[{listed}]", digit="[0-9]", other=rf"[^\s0-9{listed}]")).findall
     plain = re.compile(WORDS.format(letter=r"[^\W\d_]", digit=r"\d", other=r"(?:[^\s\w]|_)")).findall
     exact = regex.compile(WORDS.format(letter=r"\p{L}", digit=r"\p{N}", other=r"[^\s\p{L}\p{N}]")).findall
     rare = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0100-\U0010ffff]").search
     odd = frozenset(map(chr, range(0x1C, 0x20))) | {c for c in map(chr, range(128, sys.maxunicode)) if unicodedata.category(c) in ("Nl", "No")}
-    return lambda text: exact(text) if rare(text) and not odd.isdisjoint(text) else plain(text)
+    return lambda text: latin(text) if not rare(text) else plain(text) if odd.isdisjoint(text) else exact(text)
 
 
 def _byte_letters() -> str:
@@ -64,19 +69,35 @@ def _byte_letters() -> str:
     return "".join(chr(b) if b in own else chr(next(spare)) for b in range(256))
 
 
+def _without_memory(tokenizer) -> BPE:
+    """The tokenizer's model without its own memory of words, which costs more than it saves here."""
+    own = json.loads(tokenizer.to_str())["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in own["merges"]]
+    return BPE(own["vocab"], merges, cache_capacity=0, **{k: v for k, v in own.items() if v is not None and k not in ("type", "vocab", "merges")})
+
+
 class WordIds(dict):
     """Word to ids as little-endian unsigned 32-bit bytes; the vocabulary never merges over word
-    borders, so each distinct word goes through the tokenizer's model once and is then remembered."""
+    borders, so each distinct word goes through the tokenizer's model once and is then remembered.
+    Full, the memory becomes the old one, from which words that come again are taken back."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenize, self.letters = tokenizer.model.tokenize, _byte_letters()
+        self.tokenize, self.letters, self.old = _without_memory(tokenizer).tokenize, _byte_letters(), {}
+        self.packed = [struct.pack("<I", i) for i in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if word.isascii() and word.isprintable():
+                spelled = word.replace(" ", self.letters[32])
+            else:
+                spelled = word.encode().decode("latin-1").translate(self.letters)
+            found = b"".join([self.packed[t.id] for t in self.tokenize(spelled)])
         if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
-        ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
         return found
 
 
