@@ -245,3 +245,31 @@ def test_quality_score_against_brute_force(tables):
         hidden = [np.tanh(sum((features[i] - model.centre[i]) / model.scale[i] * w1[i, h] for i in range(quality.FEATURES)) + b1[h]) for h in range(quality.HIDDEN)]
         want = 1 / (1 + np.exp(-(sum(x * w for x, w in zip(hidden, w2, strict=True)) + b2[0]) / 1.7))
         assert abs(model.score(model.pooled([text], ids))[0] - want) < 1e-4
+
+
+def test_thresholds_count_every_labelled_row(spark):
+    """Rows far beyond the sample: the threshold is the best one over all that the network has not seen."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, f"{'bad' if rng.random() < (0.9 if i % 4 == 0 else 0.3) else 'good'} word{int(rng.integers(50))}", int(i % 4 == 0)) for i in range(2000)], "doc_id long, text string, toxic int")
+    sample = labelled_sample(docs, docs.select("doc_id", "toxic"), "toxic", 40, F.lit(False))
+    model = toxicity.learn_toxicity(sample)
+    assert len(model.trained) == 64 and set(model.trained) <= {r.doc_id for r in sample.collect()}
+    known = docs.select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.logits_of(docs, model)
+    cuts = toxicity.all_cuts(scored, known, model)
+    rows = scored.join(known, "doc_id").toPandas()
+    free = rows[~rows.doc_id.isin(model.trained)]
+    assert len(free) == 2000 - 64
+    weight = np.where(free.label == 1, 500 / (free.label == 1).sum(), 1500 / (free.label == 0).sum())
+
+    def f1(cut):
+        taken = nets.sigmoid(free.logit.to_numpy()) >= cut
+        return 2 * (weight * taken * free.label).sum() / ((weight * taken).sum() + (weight * free.label).sum())
+
+    best = max(f1(c) for c in nets.sigmoid(np.unique(free.logit)))
+    assert f1(cuts[""]) > best - 1e-3
+    got = toxicity.score_toxicity(docs, model, known=known).toPandas().merge(rows, on="doc_id")
+    far = abs(got.logit - np.log(cuts[""] / (1 - cuts[""]))) > 1e-6
+    assert ((got.score >= 0.5) == (nets.sigmoid(got.logit) >= cuts[""]))[far].all()

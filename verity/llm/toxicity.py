@@ -1,4 +1,8 @@
-"""Toxicity: a convolutional text classifier in numpy over hashed word embeddings."""
+"""Toxicity: a convolutional text classifier in numpy over hashed word embeddings.
+
+The network learns from a bounded sample of each class. Its thresholds do not: they are set from the scores
+of all labelled rows that it did not learn from (``all_cuts``).
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verity.llm.common import cut
 from verity.llm.language_id import LanguageModel
 from verity.llm.nets import REMEMBERED, WORD, Adam, best_threshold, recentre, sigmoid
 
@@ -23,6 +28,11 @@ WIDTHS, FILTERS = (1, 2, 3), 16
 #: Bound of the training sample: labelled rows of each class.
 PER_CLASS = 3000
 EPOCHS, BATCH = 12, 64
+#: Logits are told apart so finely, and up to this size, where thresholds are set: the driver gets the counts of
+#: 2 x LOGIT_MOST x LOGIT_STEPS steps a language, whatever the number of rows.
+LOGIT_STEPS, LOGIT_MOST = 256, 20
+#: Toxic rows of a language from which it has a threshold of its own.
+LEAST_TOXIC = 10
 #: Share of the words that a training step leaves out, and the decay of the embeddings.
 WORD_DROPOUT, DECAY = 0.2, 1e-5
 PAD = WORDS + LOOKS * STEMS
@@ -72,6 +82,7 @@ class ToxicityModel:
     out_bias: np.ndarray
     cuts: dict[str, float] = field(default_factory=dict)
     languages: LanguageModel | None = None
+    trained: list = field(default_factory=list)  # ids that the network has learned from
 
     @staticmethod
     def new(seed: int = 5) -> ToxicityModel:
@@ -151,13 +162,20 @@ def fit(docs: list[tuple[np.ndarray, str]], labels: np.ndarray, weights: np.ndar
             adam.step(steps)
     held = check if len(set(labels[check].tolist())) == 2 else order
     raw = np.concatenate([sigmoid(model.logits([docs[i][0] for i in held[a : a + BATCH]]).astype(np.float64)) for a in range(0, len(held), BATCH)])
-    model.cuts[""] = best_threshold(raw, labels[held], weights[held])
-    tongues = np.array([docs[i][1] for i in held])
+    model.cuts = cuts_of(raw, labels[held], weights[held], np.array([docs[i][1] for i in held]))
+    model.trained = train.tolist()
+    return model
+
+
+def cuts_of(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray, tongues: np.ndarray, rows: np.ndarray | None = None) -> dict[str, float]:
+    """The threshold of all, and of each language with LEAST_TOXIC toxic rows. ``rows`` that an entry stands for."""
+    rows = np.ones(len(raw)) if rows is None else rows
+    cuts = {"": best_threshold(raw, labels, weights)}
     for name in sorted(set(tongues)):
         own = tongues == name
-        if labels[held][own].sum() >= 10:
-            model.cuts[str(name)] = best_threshold(raw[own], labels[held][own], weights[held][own])
-    return model
+        if (rows * labels)[own].sum() >= LEAST_TOXIC:
+            cuts[str(name)] = best_threshold(raw[own], labels[own], weights[own])
+    return cuts
 
 
 def learn_toxicity(sample: DataFrame, languages: LanguageModel | None = None) -> ToxicityModel:
@@ -176,17 +194,13 @@ def learn_toxicity(sample: DataFrame, languages: LanguageModel | None = None) ->
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["ids"])))
     docs = [(np.frombuffer(bytes(r["ids"]), "<i4").reshape(LOOKS, -1), r["tongue"]) for r in rows]
     model = fit(docs, np.array([r["label"] for r in rows]), np.array([r["weight"] for r in rows]))
-    model.languages = languages
+    model.languages, model.trained = languages, [rows[i]["doc_id"] for i in model.trained]
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id and ``score`` (0 to 1) of the whole text.
-
-    Null and empty texts are scored as one pad word. The language's threshold lies at one half, and
-    the language is told from the text alone. Other columns are not looked at; repeated rows repeat;
-    an empty table gives an empty result.
-    """
+def logits_of(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tongue, logit) of each row of ``docs``: what the network says of the whole text, and its language,
+    told from the text alone."""
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +209,56 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 texts = part.column(1).to_pylist()
-                scores = told.value.score([(reader(t), s) for t, s in zip(texts, spoken(texts, told.value.languages), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+                logits = told.value.logits([reader(t) for t in texts]).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spoken(texts, told.value.languages), pa.string()), pa.array(logits)], names=["doc_id", "tongue", "logit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(over, f"doc_id {kind}, score double").withColumnRenamed("doc_id", id_col)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(over, f"doc_id {kind}, tongue string, logit double").withColumnRenamed("doc_id", id_col)
+
+
+def all_cuts(scored: DataFrame, known: DataFrame, model: ToxicityModel) -> dict[str, float]:
+    """Thresholds from all rows of ``scored`` (doc_id, tongue, logit) with a label in ``known`` (doc_id, label)
+    that the network did not learn from, counted by label and step of the logit. Each class weighs as much
+    as all its rows do, with those that the network learned from. Where one class has no other rows, all count."""
+    spark = scored.sparkSession
+    learned = spark.createDataFrame([(i,) for i in model.trained], f"doc_id {scored.schema['doc_id'].dataType.simpleString()}").withColumn("learned", F.lit(1))
+    step = F.floor(F.greatest(F.least(F.col("logit"), F.lit(float(LOGIT_MOST))), F.lit(-float(LOGIT_MOST))) * LOGIT_STEPS).alias("step")
+    rows = scored.join(known, "doc_id").join(F.broadcast(learned), "doc_id", "left").groupBy("tongue", "label", step, F.col("learned").isNotNull().alias("learned")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    free = rows[~rows["learned"]]
+    if free["label"].nunique() < 2:
+        free = rows
+    if free["label"].nunique() < 2:
+        return model.cuts
+    share = rows.groupby("label")["n"].sum() / free.groupby("label")["n"].sum()
+    free = free.groupby(["tongue", "label", "step"], as_index=False)["n"].sum()
+    n = free["n"].to_numpy(np.float64)
+    raw = sigmoid((free["step"].to_numpy(np.float64) + 0.5) / LOGIT_STEPS)
+    return cuts_of(raw, free["label"].to_numpy(), n * share[free["label"]].to_numpy(), free["tongue"].to_numpy(), n)
+
+
+def centred(scored: DataFrame, cuts: dict[str, float], id_col: str = "doc_id") -> DataFrame:
+    """(id, score) of (id, tongue, logit): the language's threshold comes to lie at one half."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.array([cuts.get(s, cuts.get("", 0.5)) for s in batch.column(1).to_pylist()])
+            scores = recentre(sigmoid(batch.column(2).to_numpy(zero_copy_only=False)), own) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+
+    kind = scored.schema[id_col].dataType.simpleString()
+    return scored.select(F.col(id_col), "tongue", "logit").mapInArrow(over, f"doc_id {kind}, score double").withColumnRenamed("doc_id", id_col)
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: the id and ``score`` (0 to 1) of the whole text.
+
+    Null and empty texts are scored as one pad word. The language's threshold lies at one half, and
+    the language is told from the text alone. Thresholds are the model's, or with ``known`` (doc_id, label)
+    set from the scores of all those rows (``all_cuts``); each text is read once. Other columns are not
+    looked at; repeated rows repeat; an empty table gives an empty result.
+    """
+    scored = logits_of(docs, model, id_col, text_col)
+    if known is None:
+        return centred(scored, model.cuts, id_col)
+    scored = cut(scored, "toxicity-logits")
+    return centred(scored, all_cuts(scored.withColumnRenamed(id_col, "doc_id"), known, model), id_col)
