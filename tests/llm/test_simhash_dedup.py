@@ -175,3 +175,50 @@ def test_links_to_all_candidates_not_only_to_the_likeliest(spark):
                 root = [min(root[k], root[m]) if r in (root[k], root[m]) else r for r in root]
     for block in (op.BLOCK, 2):
         assert groups_of(spark, texts, block) == dict(enumerate(root))
+
+
+def test_simhash_gives_pairs_before_the_exact_filter(spark):
+    """The similarity groups take the pairs of near fingerprints, all of them."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(25):
+        words = rng.integers(0, 5000, 300).tolist()
+        texts.append(" ".join(f"w{x}" for x in words))
+        for k in (1, 2):
+            texts.append(" ".join(f"w{x}" for x in [*words[:-k], *range(9000, 9000 + k)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [op.set_fingerprint(op.shingle_hashes(t, 5, op._WordHashes())) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 3}
+    assert near
+    nodes = spark.createDataFrame(list(enumerate(prints)), "uid long, fp long")
+    with op.Scratch(spark) as scratch:
+        found = [(r.src, r.dst) for r in op.fingerprint_pairs(nodes, 3, scratch).collect()]
+
+    def roots(pairs):
+        root = list(range(len(texts)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in pairs:
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+        return [find(i) for i in range(len(texts))]
+
+    assert roots(found) == roots(near)
+    taken, real = [], op.fingerprint_pairs
+
+    def watched(nodes, max_distance, scratch):
+        pairs = real(nodes, max_distance, scratch)
+        taken.append(pairs.count())
+        return pairs
+
+    op.fingerprint_pairs = watched
+    try:
+        got = {r.doc_id: r.component_id for r in op.similar_groups(docs).collect()}
+    finally:
+        op.fingerprint_pairs = real
+    assert taken and taken[0] >= len(set(range(len(texts)))) - len(set(roots(near)))
+    assert [got[i] for i in range(len(texts))] == [i - i % 3 for i in range(len(texts))]

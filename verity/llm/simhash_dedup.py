@@ -215,6 +215,14 @@ def shingle_hashes(text: str, width: int, hashes: dict[bytes, int]) -> np.ndarra
     return np.unique(mixed ^ (mixed >> np.uint64(27)))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of a set of shingle hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def sketch_of(hashes: np.ndarray) -> bytes:
     """SKETCH bits, each of which tells if an odd number of shingles fell on it. Two sets differ in as many
     shingles as their sketches differ in bits, or more."""
@@ -262,17 +270,18 @@ def _common(texts: DataFrame, width: int, similarity: float) -> tuple[np.ndarray
 
 
 def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
-    """``rows`` (_id, h1, h2, text) with the size of the shingle set, its sketch and its prefix in place of
-    the text: in the order from rare to common, so many shingles that similar sets share one of them."""
+    """``rows`` (_id, h1, h2, text) with the size of the shingle set, its sketch, its SimHash and its prefix in
+    place of the text: in the order from rare to common, so many shingles that similar sets share one of them."""
     keys, ranks = common
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHashes()
         for batch in batches:
-            sizes, own, sketches = [], [], []
+            sizes, own, sketches, prints = [], [], [], []
             for text in batch.column(3):
                 found = shingle_hashes(text.as_py(), width, words)
                 sketches.append(sketch_of(found))
+                prints.append(set_fingerprint(found))
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                     found = found[np.argsort(np.where(keys[at] == found, ranks[at], 0), kind="stable")]
@@ -280,10 +289,10 @@ def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int
                 own.append(found[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1].view(np.int64).copy())
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), prefix], names=["_id", "h1", "h2", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prints, pa.int64()), prefix], names=["_id", "h1", "h2", "n", "sketch", "fp", "prefix"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(over, f"_id {kind}, h1 long, h2 long, n int, sketch binary, prefix array<bigint>")
+    return rows.mapInArrow(over, f"_id {kind}, h1 long, h2 long, n int, sketch binary, fp long, prefix array<bigint>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int, keys: int):
@@ -355,9 +364,23 @@ def _bucket_pairs(similarity: float, tried: bool):
     return over
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """(src, dst) between ``nodes`` (uid, h1, h2, n, sketch, prefix): links of enough Jaccard similarity of the
-    texts (h1, h2, text) that connect all that such links connect.
+def fingerprint_pairs(nodes: DataFrame, max_distance: int, scratch: Scratch) -> DataFrame:
+    """(src, dst) between ``nodes`` (uid, fp): pairs that connect all whose fingerprints links of at most
+    ``max_distance`` bits connect. Nodes of one fingerprint are paired with the first of them."""
+    first = scratch.cut(nodes.groupBy("fp").agg(F.min("uid").alias("first")), "simhash-distinct")
+    same = nodes.select("uid", "fp").join(first, "fp").where("uid <> first").select(F.col("uid").alias("src"), F.col("first").alias("dst"))
+    of = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    near = near_links(first.select("fp"), max_distance, scratch=scratch).withColumnsRenamed({"src": "a", "dst": "b"})
+    return same.unionByName(near.join(of("a", "src"), "a").join(of("b", "dst"), "b").select("src", "dst"))
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, scratch: Scratch, block: int = BLOCK, max_distance: int = 3) -> DataFrame:
+    """(src, dst) between ``nodes`` (uid, h1, h2, n, sketch, fp, prefix): links of enough Jaccard similarity of
+    the texts (h1, h2, text) that connect all that such links connect.
+
+    SimHash comes first: nodes whose fingerprints meet in a deletion-variant signature and differ in at most
+    ``max_distance`` bits are pairs to verify. It misses pairs of that similarity, so the exact filter
+    that follows looks for all pairs that the verified ones do not join yet.
 
     Similar sets have a shingle of their prefixes in common, so they meet in its bucket. Buckets of one
     member go first. A bucket of more than ``block`` members is cut into blocks, and every two blocks
@@ -407,7 +430,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
         both = pairs.join(found.select(F.col("uid").alias("src"), F.col("text").alias("a")), "src").join(found.select(F.col("uid").alias("dst"), F.col("text").alias("b")), "dst")
         return scratch.cut(both.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long"), "similar-links")
 
-    links = verified(likeliest(pairs_of(dealt.withColumn("root", F.col("uid")), True, "similar-tried")))
+    hashed = scratch.cut(fingerprint_pairs(nodes, max_distance, scratch), "similar-simhash")
+    links = verified(likeliest(pairs_of(dealt.withColumn("root", F.col("uid")), True, "similar-tried")).unionByName(hashed).distinct())
     roots = connected_components(links, scratch=scratch).withColumnRenamed("node", "uid")
     pairs = pairs_of(dealt.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")), False, "similar-pairs")
     best = likeliest(pairs)
@@ -423,8 +447,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: the id and ``component_id``, the smallest id of its group.
 
     Documents link if the Jaccard similarity of their ``width``-word shingles is ``similarity`` or more;
-    every link was verified on the whole texts. Candidates come from an exact prefix, length and
-    positional filter over the sets of 64-bit shingle hashes, so no similar pair is missed.
+    every link was verified on the whole texts. Candidates come from SimHash fingerprints of the sets of
+    64-bit shingle hashes by deletion-variant signatures, and then from an exact prefix, length and
+    positional filter over these sets, so no similar pair is missed.
 
     * Null texts count as empty; texts without a word are one group.
     * Equal texts are one node, however many rows share it. Null ids are ignored when the smallest is taken.
@@ -435,7 +460,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = _common(docs.select(text.alias("text")), width, similarity)
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.cut(_prefixes(docs.select(F.col(id_col).alias("_id"), *hashed, text.alias("text")), common, width, similarity), "similar-rows")
-        merged = rows.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+        merged = rows.groupBy("h1", "h2").agg(F.min("_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
         nodes = scratch.cut(merged.withColumn("uid", F.monotonically_increasing_id()), "similar-nodes")
         links = similar_links(nodes, docs.select(*hashed, text.alias("text")), width, similarity, scratch, block)
         roots = connected_components(links, scratch=scratch).withColumnRenamed("node", "uid")
