@@ -3,8 +3,8 @@ import random
 import duckdb
 import pytest
 
-from verity.llm import queries
-from verity.llm.line_dedup import line_dedup
+from verity.llm import common, queries
+from verity.llm.line_dedup import LARGE_GROUP, line_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +84,23 @@ def test_a_large_group_of_variants(spark):
         docs = spark.createDataFrame(own, f"doc_id {kind}, text string").repartition(40)
         got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup(docs).collect()), key=str)
         assert got == brute(own, 80)
+
+
+def test_texts_are_split_once_and_only_large_groups_are_tried_first(spark, monkeypatch):
+    tried, plans, cut = [], [], common.Scratch.cut
+
+    def kept(self, df, name):
+        out = cut(self, df, name)
+        if name == "lines-tried":
+            tried.append(out.count())
+        if name == "lines-levels":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "cut", kept)
+    for of_a_group in (4, 4 * LARGE_GROUP):
+        rows = [(g * 1000 + k, " ".join(f"g{g}w{j}" for j in range(40)) + f" own{g}x{k}") for g in range(5) for k in range(of_a_group)]
+        got = sorted((tuple(r) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()), key=str)
+        assert got == brute(rows, 80)
+    assert tried[:2] == [0, 0] and tried[2] > 5 * 3 * LARGE_GROUP
+    assert len(plans) == 2 and not any("split(" in p for p in plans)
