@@ -100,3 +100,16 @@ def test_listed_letters_split_like_the_vocabulary(spark):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in (every, "l'été's we'll ¡no! a_b\xa0c\x85 12º")]
     latin = every.translate({c: None for c in (0x1C, 0x1D, 0x1E, 0x1F, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE)})
     assert np.frombuffer(packing.token_bytes(tokenizer_file())([latin])[0], "<u4").tolist() == whole.encode(latin, add_special_tokens=False).ids
+
+
+def test_a_larger_memory_tokenizes_fewer_words():
+    whole, asked = Tokenizer.from_file(tokenizer_file()), []
+    for size in (5, 40):
+        ids, calls = packing.WordIds(whole, size), []
+        tokenize = ids.tokenize
+        ids.tokenize = lambda word, calls=calls, tokenize=tokenize: calls.append(word) or tokenize(word)
+        for _ in range(3):
+            for k in range(30):
+                assert np.frombuffer(ids[f" w{k}x"], "<u4").tolist() == whole.encode(f" w{k}x", add_special_tokens=False).ids
+        asked.append(len(calls))
+    assert asked == [90, 30]

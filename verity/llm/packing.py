@@ -81,8 +81,9 @@ class WordIds(dict):
     borders, so each distinct word goes through the tokenizer's model once and is then remembered.
     Full, the memory becomes the old one, from which words that come again are taken back."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, cached_words: int | None = None):
         super().__init__()
+        self.most = cached_words or CACHED_WORDS
         self.tokenize, self.letters, self.old = _without_memory(tokenizer).tokenize, _byte_letters(), {}
         self.packed = [struct.pack("<I", i) for i in range(tokenizer.get_vocab_size())]
 
@@ -94,7 +95,7 @@ class WordIds(dict):
             else:
                 spelled = word.encode().decode("latin-1").translate(self.letters)
             found = b"".join([self.packed[t.id] for t in self.tokenize(spelled)])
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[word] = found
@@ -116,14 +117,14 @@ def _unassigned() -> Callable[[str], object]:
 
 
 @cache
-def token_bytes(tokenizer_file: str) -> Callable[[list[str]], list[bytes]]:
+def token_bytes(tokenizer_file: str, cached_words: int | None = None) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as bytes; a worker keeps it for its next task. Texts that hold
     one of the tokenizer's added tokens, or a code point that may be split another way, go through the
     tokenizer whole."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_file)
-    split, ids = _split_words(), WordIds(whole)
+    split, ids = _split_words(), WordIds(whole, cached_words)
     added = [t.content for t in whole.get_added_tokens_decoder().values()]
     rare, unassigned = re.compile("[\u0100-\U0010ffff]").search, _unassigned()
 
@@ -139,14 +140,14 @@ def token_bytes(tokenizer_file: str) -> Callable[[list[str]], list[bytes]]:
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, cached_words: int | None = None) -> DataFrame:
     """One row per piece: a document's ids and an end id, cut into ``capacity`` tokens if longer (the
     first piece takes what is over). Null text is the empty text: the end id alone."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([END_ID], "<u4").tobytes()
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_bytes(tokenizer_file)
+        encode = token_bytes(tokenizer_file, cached_words)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -340,12 +341,12 @@ def pack(
     return placed.unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, **options: int) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, cached_words: int | None = None, **options: int) -> DataFrame:
     """Pack all documents into as few sequences of at most ``capacity`` tokens as can be found.
 
     One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``; see
     ``pieces`` and ``pack``. Null text is packed as the empty text (one end id); null ids are kept;
     rows that repeat are packed as often as they come; other columns are not looked at; an empty
-    table gives an empty result.
+    table gives an empty result. ``cached_words`` is what a task remembers instead of ``CACHED_WORDS``.
     """
-    return pack(pieces(docs, tokenizer_file, id_col, text_col, capacity), capacity, **options)
+    return pack(pieces(docs, tokenizer_file, id_col, text_col, capacity, cached_words=cached_words), capacity, **options)
