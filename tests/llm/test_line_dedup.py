@@ -104,3 +104,30 @@ def test_texts_are_split_once_and_only_large_groups_are_tried_first(spark, monke
         assert got == brute(rows, 80)
     assert tried[:2] == [0, 0] and tried[2] > 5 * 3 * LARGE_GROUP
     assert len(plans) == 2 and not any("split(" in p for p in plans)
+
+
+def test_smaller_sets_meet_by_a_shorter_prefix_and_lambdas_take_columns(spark, monkeypatch):
+    met, plans, cut = [], [], common.Scratch.cut
+
+    def kept(self, df, name):
+        if name == "lines-unique":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        if name == "lines-candidates":
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            met.append(plan.count("slice("))
+        return cut(self, df, name)
+
+    monkeypatch.setattr(common.Scratch, "cut", kept)
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = [f"b{i % 12}w{k}" for k in range(4 + 9 * (i % 12))]
+        rng.shuffle(words)
+        cutoff = rng.choice([len(words), len(words) * 4 // 5, -(-len(words) * 4 // 5), len(words) - 1])
+        rows.append((rng.randrange(10**6), " ".join(words[:cutoff] + [f"n{rng.randrange(40)}" for _ in range(rng.randrange(3))])))
+    rows = list(dict(rows).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for percent in (80, 60, 95):
+        assert sorted((tuple(r) for r in line_dedup(docs, percent=percent).collect()), key=str) == brute(rows, percent)
+    assert met and all(met)
+    assert plans and not any(f"{f}({g}(" in p for p in plans for f in ("filter", "aggregate", "transform") for g in ("slice", "sort_array", "filter"))
