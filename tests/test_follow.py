@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_goldens import chain, values
-from verity.operators import contract, propagate
+from verity.operators import contract, graphs, propagate
 from verity.plans.tables import Scratch
 
 
@@ -64,3 +64,24 @@ def test_messages_write_as_many_tables_for_any_depth(spark, monkeypatch):
         assert len(values(propagate.belief_propagation(nodes, edges, 1))) == 2 * n
         tables.append(len(made))
     assert tables[0] == tables[1]
+
+
+def test_greatest_steps_walk_levels_only_above_cycles(spark, monkeypatch):
+    asked, walk = [], graphs.predecessor_levels
+
+    def noted(targets, edges):
+        asked.append(targets.count())
+        return walk(targets, edges)
+
+    monkeypatch.setattr(graphs, "predecessor_levels", noted)
+    links = [("a", f"n{i + 1}", f"n{i}") for i in range(60)] + [("b", "p", "q"), ("b", "q", "p"), ("b", "e", "q")]
+    steps = {("a", f"n{i}"): [i * 7 % 61] for i in range(0, 61, 9)} | {("b", "e"): [4, 9]}
+    edges = spark.createDataFrame(links, "gid string, source string, target string")
+    ids = sorted({(g, i) for g, *ends in links for i in ends})
+    nodes = spark.createDataFrame([(g, i, steps.get((g, i), [])) for g, i in ids], "gid string, id string, step_numbers array<int>")
+    got = {(r["gid"], r["id"]): r["max_step"] for r in graphs.max_cited_step(nodes, nodes, edges).collect()}
+    want = {("a", f"n{i}"): max([-1, *[s for j in range(i, 61) for s in steps.get(("a", f"n{j}"), [])]]) for i in range(61)}
+    assert got == want | {("b", i): 9 for i in "pqe"} and asked == [2]
+    asked.clear()
+    only = nodes.where("gid = 'a'")
+    assert graphs.max_cited_step(only, only, edges.where("gid = 'a'")).count() == 61 and not asked
