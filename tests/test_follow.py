@@ -85,3 +85,24 @@ def test_greatest_steps_walk_levels_only_above_cycles(spark, monkeypatch):
     asked.clear()
     only = nodes.where("gid = 'a'")
     assert graphs.max_cited_step(only, only, edges.where("gid = 'a'")).count() == 61 and not asked
+
+
+def test_summaries_of_cited_steps_equal_the_sets(spark, monkeypatch):
+    """Trees of all shapes, one with ties of steps over many paths; a graph with shared children, a cycle, nodes alone."""
+    rng = np.random.default_rng(5)
+    links, steps = [], {}
+    for g, reach in ((1, 1), (2, 3), (3, 40), (4, 10**6)):  # a chain, and trees ever wider
+        for i in range(1, 120):
+            links.append((g, f"n{i}", f"n{rng.integers(max(0, i - reach), i)}"))
+        steps |= {(g, f"n{i}"): sorted(set(rng.integers(0, 90, rng.integers(0, 4)).tolist())) for i in range(120)}
+    links += [(5, "b", "a"), (5, "c", "a"), (5, "d", "b"), (5, "d", "c"), (6, "p", "q"), (6, "q", "p"), (6, "e", "q"), (7, "y", "x"), (7, "y", "x")]
+    steps |= {(5, "d"): [40000, 3], (5, "b"): [3, 7], (6, "e"): [1, 2], (6, "above"): [9], (7, "y"): [5], (8, "alone"): [6, 8]}
+    edges = spark.createDataFrame(links, "gid long, source string, target string")
+    ids = sorted({(g, i) for g, *ends in links for i in ends} | set(steps))
+    nodes = spark.createDataFrame([(g, i, steps.get((g, i), [])) for g, i in ids], "gid long, id string, step_numbers array<int>")
+    sets = {(r["gid"], r["id"]): r["steps"] for r in graphs.cited_steps(nodes, nodes, edges).collect()}
+    asked, whole = [], graphs.cited_steps
+    monkeypatch.setattr(graphs, "cited_steps", lambda targets, *rest: asked.append(targets.count()) or whole(targets, *rest))
+    got = {(r["gid"], r["id"]): (r["n"], r["total"], r["first_steps"]) for r in graphs.cited_summary(nodes, nodes, edges).collect()}
+    assert got == {k: (len(s), sum(s), s[:5]) for k, s in sets.items()} and set(got) == set(ids)
+    assert asked == [6]  # of the graph with shared children, and of the cycle
